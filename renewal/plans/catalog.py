@@ -439,3 +439,160 @@ def oracle_sql() -> dict[str, str]:
 
 
 __all__ = ["queries", "oracle_sql", "REGISTRY", "hash_u32"]
+
+
+# ---------------------------------------------------------------- neighbours
+
+
+def _d2_sql(a: str, b: str) -> str:
+    return " + ".join(f"({a}.{x} - {b}.{x}) * ({a}.{x} - {b}.{x})" for x in _XS)
+
+
+KNN_K = 5
+
+
+@register("knn_topk", rounded(E + f""", d AS (SELECT a.row_id, b.row_id AS neighbor_key, {_d2_sql('a', 'b')} AS d2
+  FROM embed a JOIN embed b ON a.row_id <> b.row_id)
+SELECT row_id, neighbor_key, CAST(nn_rank AS INTEGER) AS nn_rank, d2, sqrt(d2) AS dist FROM (
+  SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY d2, neighbor_key) AS nn_rank FROM d) WHERE nn_rank <= {KNN_K}""", ["d2", "dist"]))
+def q_knn_topk(spark, sf_dir):
+    from renewal.operators.neighbors import knn
+
+    return knn(None, frames.embed(spark, sf_dir), _XS, KNN_K)
+
+
+# ---------------------------------------------------------------- resampling
+
+_EMBED_COLS = "row_id, " + ", ".join(_XS) + ", label"
+
+
+def _nn_sql(name: str, left: str, right: str, k: int, self_exclude: bool = True, carry: str = "") -> str:
+    cond = "a.row_id <> b.row_id" if self_exclude else "true"
+    return f"""{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY d2, nk) AS nn_rank FROM (
+  SELECT a.row_id, a.label AS own, b.row_id AS nk, b.label AS nbl, {_d2_sql('a', 'b')} AS d2{carry} FROM {left} a JOIN {right} b ON {cond}))
+  WHERE nn_rank <= {k})"""
+
+
+_NB_CARRY = "".join(f", b.{x} AS nb_{x}" for x in _XS)
+
+
+def _smote_sql(seeds_cte: str, copies_expr: str, maxc_expr: str, extra_ctes: str = "") -> str:
+    """Interpolation part shared by the over-samplers (k = 5, seed 10)."""
+    synth = ", ".join(f"pk.{x} + pk.u * (nn.nb_{x} - pk.{x}) AS {x}" for x in _XS)
+    return (
+        E
+        + f""", mino AS (SELECT * FROM embed WHERE label = 1),
+cnt AS (SELECT count(*) FILTER (WHERE label = 1) AS n_min, count(*) FILTER (WHERE label = 0) AS n_maj FROM embed),
+{_nn_sql('nn', 'mino', 'mino', 5, carry=_NB_CARRY)}{extra_ctes},
+seeds AS ({seeds_cte}),
+ranked AS (SELECT s.*, row_number() OVER (ORDER BY {hash_sql(10, 's.row_id', "'seed'")}, s.row_id) - 1 AS srank,
+  count(*) OVER () AS n_seeds FROM seeds s),
+cp AS (SELECT ranked.*, {copies_expr} AS copies, {maxc_expr} AS maxc FROM ranked, cnt),
+ex AS (SELECT cp.*, unnest(range(copies)) AS j FROM cp),
+pk AS (SELECT ex.*, CAST({hash_sql(10, 'ex.row_id', 'ex.j', "'n'")} % 5 + 1 AS INTEGER) AS pick,
+  {hash_sql(10, 'ex.row_id', 'ex.j', "'u'")} / 4294967296.0 AS u FROM ex)
+SELECT CAST(-(1 + pk.srank * pk.maxc + pk.j) AS BIGINT) AS row_id, {synth}, 1 AS label
+FROM pk JOIN nn ON nn.row_id = pk.row_id AND nn.nn_rank = pk.pick
+UNION ALL SELECT {_EMBED_COLS} FROM embed"""
+    )
+
+
+_G = "(cnt.n_maj - cnt.n_min)"
+_EVEN = (f"{_G} // n_seeds + CASE WHEN srank < {_G} % n_seeds THEN 1 ELSE 0 END",
+         f"{_G} // n_seeds + CASE WHEN {_G} % n_seeds > 0 THEN 1 ELSE 0 END")
+
+
+@register("smote", rounded(_smote_sql("SELECT * FROM mino", *_EVEN), _XS))
+def q_smote(spark, sf_dir):
+    from renewal.operators.resample import smote
+
+    return smote(frames.embed(spark, sf_dir), _XS, "auto", 5, 10)
+
+
+_SHARE = lambda m: (
+    ",\n" + _nn_sql("nn_all", "mino", "embed", m)
+    + ",\nshare AS (SELECT row_id, count(*) FILTER (WHERE nbl <> 1) AS n_maj FROM nn_all GROUP BY row_id)"
+)
+
+
+@register("smote_borderline", rounded(_smote_sql(
+    "SELECT mino.* FROM mino JOIN share USING (row_id) WHERE share.n_maj * 2 >= 10 AND share.n_maj < 10", *_EVEN, extra_ctes=_SHARE(10)
+), _XS))
+def q_smote_borderline(spark, sf_dir):
+    from renewal.operators.resample import smote_borderline
+
+    return smote_borderline(frames.embed(spark, sf_dir), _XS, "auto", 5, 10, 10)
+
+
+_ADA = (
+    f"CAST(round_even(CAST(coalesce(ranked.n_maj, 0) AS DOUBLE) / (SELECT CAST(sum(n_maj) AS DOUBLE) FROM share) * {_G}, 0) AS BIGINT)",
+    f"(SELECT max(CAST(round_even(CAST(n_maj AS DOUBLE) / (SELECT CAST(sum(n_maj) AS DOUBLE) FROM share) * {_G}, 0) AS BIGINT)) FROM share)",
+)
+
+
+@register("adasyn", rounded(_smote_sql("SELECT mino.*, share.n_maj FROM mino LEFT JOIN share USING (row_id)", *_ADA, extra_ctes=_SHARE(5)), _XS))
+def q_adasyn(spark, sf_dir):
+    from renewal.operators.resample import adasyn
+
+    return adasyn(frames.embed(spark, sf_dir), _XS, "auto", 5, 10)
+
+
+@register("tomek_links", E + f""", {_nn_sql('nn', 'embed', 'embed', 1)},
+links AS (SELECT a.row_id, a.own FROM nn a JOIN nn b ON a.nk = b.row_id AND b.nk = a.row_id WHERE a.own <> a.nbl)
+SELECT {_EMBED_COLS} FROM embed WHERE row_id NOT IN (SELECT row_id FROM links WHERE own <> 1)""")
+def q_tomek_links(spark, sf_dir):
+    from renewal.operators.resample import tomek_links
+
+    return tomek_links(frames.embed(spark, sf_dir), _XS)
+
+
+@register("enn_round", E + f""", {_nn_sql('nn', 'embed', 'embed', 3)}
+SELECT {_EMBED_COLS} FROM embed WHERE row_id NOT IN (SELECT row_id FROM nn WHERE nbl <> own AND own <> 1)""")
+def q_enn_round(spark, sf_dir):
+    from renewal.operators.resample import enn_round
+
+    return enn_round(frames.embed(spark, sf_dir), _XS, 3)
+
+
+@register("smote_enn")
+def q_smote_enn(spark, sf_dir):
+    from renewal.operators.resample import smote_enn
+
+    return smote_enn(frames.embed(spark, sf_dir), _XS)
+
+
+@register("smote_tomek")
+def q_smote_tomek(spark, sf_dir):
+    from renewal.operators.resample import smote_tomek
+
+    return smote_tomek(frames.embed(spark, sf_dir), _XS)
+
+
+@register("rus_smote")
+def q_rus_smote(spark, sf_dir):
+    from renewal.operators.resample import rus_smote
+
+    return rus_smote(frames.embed(spark, sf_dir), _XS, 0.5, 0.8)
+
+
+@register("smote_svm")
+def q_smote_svm(spark, sf_dir):
+    from renewal.operators.resample import smote_svm
+
+    return smote_svm(frames.embed(spark, sf_dir), _XS)
+
+
+@register("condensed_nn_round")
+def q_condensed_nn_round(spark, sf_dir):
+    from renewal.operators.resample import condensed_nn_round
+
+    e = frames.embed(spark, sf_dir)
+    first = split.hash_rank(e.where("label = 0"), hash_u32(10, "row_id")).where("_rank = 0").drop("_rank", "_group_rows")
+    return condensed_nn_round(e.where("label = 1").unionByName(first), e, _XS)
+
+
+@register("repeated_enn")
+def q_repeated_enn(spark, sf_dir):
+    from renewal.operators.resample import repeated_enn
+
+    return repeated_enn(frames.embed(spark, sf_dir), _XS, 3)

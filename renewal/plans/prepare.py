@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +49,12 @@ def prune_features(
     sparse_threshold: float = 0.4,
 ) -> Pruned:
     out = Pruned()
+    # several small aggregate jobs read the same narrow projection: keep it for their duration
+    train = train.select(*features).persist(StorageLevel.MEMORY_AND_DISK)
+    test = test.select(*features).persist(StorageLevel.MEMORY_AND_DISK)
     out.after_constant = kept_columns(constant_report(train, test, features))
     out.after_correlation = correlation_kept(train, test, out.after_constant, corr_threshold)
     out.kept = kept_columns(sparse_report(train, test, out.after_correlation, sparse_threshold))
+    train.unpersist()
+    test.unpersist()
     return out
