@@ -11,6 +11,7 @@ collapses to one value (a value held by a third of the rows) is answered from co
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -35,6 +36,11 @@ def _in_bracket(long: DataFrame, brackets: DataFrame) -> DataFrame:
 
 def exact_medians(df: DataFrame, cols: Sequence[str], exact_limit: int = EXACT_LIMIT, max_rounds: int = 8) -> dict[str, float | None]:
     """Median per column (mean of the two middle values for even counts), nulls ignored."""
+    return exact_quantiles(df, cols, 0.5, exact_limit, max_rounds)
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float, exact_limit: int = EXACT_LIMIT, max_rounds: int = 8) -> dict[str, float | None]:
+    """Quantile q per column with linear interpolation between the ranks floor/ceil((n−1)q)."""
     cols = list(cols)
     result: dict[str, float | None] = {c: None for c in cols}
     if not cols:
@@ -43,7 +49,8 @@ def exact_medians(df: DataFrame, cols: Sequence[str], exact_limit: int = EXACT_L
     long = _long(df, cols)
     counts = {r["column"]: r["n"] for r in long.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
     state = {
-        c: {"k": ((n - 1) // 2, n // 2), "lo": None, "hi": None, "below": 0, "inside": n}
+        c: {"k": (int(math.floor((n - 1) * q)), int(math.ceil((n - 1) * q))), "frac": (n - 1) * q - math.floor((n - 1) * q),
+            "lo": None, "hi": None, "below": 0, "inside": n}
         for c, n in counts.items()
         if n
     }
@@ -64,13 +71,13 @@ def exact_medians(df: DataFrame, cols: Sequence[str], exact_limit: int = EXACT_L
         qs = {r["column"]: r["q"] for r in inside.groupBy("column").agg(F.percentile_approx("v", grid, ACCURACY).alias("q")).collect()}
         proposal = []
         for c, s in state.items():
-            q = qs[c]
+            qv = qs[c]
             a = (s["k"][0] - s["below"]) / s["inside"]
             b = (s["k"][1] - s["below"]) / s["inside"]
             margin = 2.0 / ACCURACY
             ia = max(0, int((a - margin) * GRID))
             ib = min(GRID, int((b + margin) * GRID) + 1)
-            proposal.append((c, s["lo"], s["hi"], float(q[ia]), float(q[ib])))
+            proposal.append((c, s["lo"], s["hi"], float(qv[ia]), float(qv[ib])))
         nb = spark.createDataFrame(proposal, "column string, lo double, hi double, nlo double, nhi double")
         cnt = (
             _in_bracket(long, nb)
@@ -106,7 +113,7 @@ def _rank_inside(spark, long: DataFrame, state: dict) -> dict[str, float]:
         .withColumn("_r", F.row_number().over(w) - 1)
         .where((F.col("_r") == F.col("k1")) | (F.col("_r") == F.col("k2")))
         .groupBy("column")
-        .agg(F.avg("v").alias("m"))
+        .agg(F.min("v").alias("a"), F.max("v").alias("b"))
         .collect()
     )
-    return {r["column"]: float(r["m"]) for r in picked}
+    return {r["column"]: float(r["a"]) + (float(r["b"]) - float(r["a"])) * state[r["column"]]["frac"] for r in picked}

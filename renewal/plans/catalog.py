@@ -596,3 +596,243 @@ def q_repeated_enn(spark, sf_dir):
     from renewal.operators.resample import repeated_enn
 
     return repeated_enn(frames.embed(spark, sf_dir), _XS, 3)
+
+
+# ---------------------------------------------------------------- models, importance, tuning
+# Fits have no SQL twin: these are rows-only checks, covered further by tests/.
+
+MODEL_FEATS = ["acctbal", "n_orders", "avg_price", "max_price", "recency_days", "nation"]
+
+
+def _model_frames(spark, sf_dir):
+    from renewal.operators.models import class_weight
+
+    _, train, test = _rn(spark, sf_dir)
+    cols = ["row_id", *MODEL_FEATS, "label"]
+    means = impute.fit_means(train, MODEL_FEATS)
+    tr = class_weight(impute.apply_fill(train.select(*cols), means))
+    te = impute.apply_fill(test.select(*cols), means)
+    return tr, te
+
+
+@register("boosted_trees")
+def q_boosted_trees(spark, sf_dir):
+    from renewal.operators import models
+
+    tr, te = _model_frames(spark, sf_dir)
+    return models.predict(models.boosted_trees(tr, MODEL_FEATS, {"n_estimators": 10, "max_depth": 3, "eta": 0.1}), te, MODEL_FEATS)
+
+
+@register("random_forest")
+def q_random_forest(spark, sf_dir):
+    from renewal.operators import models
+
+    tr, te = _model_frames(spark, sf_dir)
+    return models.predict(models.random_forest(tr, MODEL_FEATS, {"n_estimators": 10, "max_depth": 4}), te, MODEL_FEATS)
+
+
+@register("linear_model")
+def q_linear_model(spark, sf_dir):
+    from renewal.operators import models
+
+    tr, te = _model_frames(spark, sf_dir)
+    std = reduce.fit_scaler(tr, MODEL_FEATS)
+    return models.predict(models.linear_model(reduce.standardize(tr, MODEL_FEATS, std), MODEL_FEATS, 0.001, 0.01), reduce.standardize(te, MODEL_FEATS, std), MODEL_FEATS)
+
+
+@register("early_stop")
+def q_early_stop(spark, sf_dir):
+    from renewal.operators import models
+
+    tr, te = _model_frames(spark, sf_dir)
+    tr = split.holdout(tr, 0.25, 10)
+    m = models.boosted_trees(tr, MODEL_FEATS, {"n_estimators": 30, "max_depth": 3}, valid_col="is_valid")
+    return models.predict(m, te, MODEL_FEATS)
+
+
+@register("predict")
+def q_predict(spark, sf_dir):
+    from renewal.operators import models
+
+    tr, te = _model_frames(spark, sf_dir)
+    return models.predict(models.boosted_trees(tr, MODEL_FEATS, {"n_estimators": 5, "max_depth": 3}), te, MODEL_FEATS, keep=["row_id"])
+
+
+@register("adaboost")
+def q_adaboost(spark, sf_dir):
+    from renewal.operators import models
+
+    tr, te = _model_frames(spark, sf_dir)
+    return models.adaboost(tr, MODEL_FEATS, n_estimators=5, learning_rate=0.5, max_depth=2).predict(te)
+
+
+@register("stacking")
+def q_stacking(spark, sf_dir):
+    from renewal.operators import models
+
+    tr, te = _model_frames(spark, sf_dir)
+    small = (("gbt", {"n_estimators": 5, "max_depth": 3}), ("rf", {"n_estimators": 5, "max_depth": 3}))
+    return models.stacking(tr, MODEL_FEATS, small, cv=2).predict(te)
+
+
+@register("kmeans")
+def q_kmeans(spark, sf_dir):
+    from renewal.operators import models
+
+    return models.kmeans_labels(frames.embed(spark, sf_dir), _XS, 2, "k-means||")
+
+
+def _embed_split(spark, sf_dir):
+    e = split.holdout(frames.embed(spark, sf_dir), 0.25, 10)
+    return e.where(~F.col("is_valid")).drop("is_valid"), e.where("is_valid").drop("is_valid")
+
+
+_EMBED_VALID = f"(row_number() OVER (ORDER BY {hash_sql(10, 'row_id')}, row_id) - 1) < ceil(0.25 * count(*) OVER ())"
+
+
+@register("knn_classify", rounded(E + f""", sp AS (SELECT embed.*, {_EMBED_VALID} AS is_valid FROM embed),
+tr AS (SELECT * FROM sp WHERE NOT is_valid), te AS (SELECT * FROM sp WHERE is_valid),
+{_nn_sql('nn', 'te', 'tr', 5, self_exclude=False)},
+v AS (SELECT row_id, sum(CASE WHEN nbl = 1 THEN 1.0 ELSE 0.0 END) AS w1, sum(CASE WHEN nbl <> 1 THEN 1.0 ELSE 0.0 END) AS w0 FROM nn GROUP BY row_id)
+SELECT row_id, w1 / (w1 + w0) AS probability_1, CAST(CASE WHEN w1 > w0 THEN 1 ELSE 0 END AS INTEGER) AS prediction FROM v""", ["probability_1"]))
+def q_knn_classify(spark, sf_dir):
+    from renewal.operators import models
+
+    tr, te = _embed_split(spark, sf_dir)
+    return models.knn_classify(tr, te, _XS, 5, "uniform")
+
+
+def _imp_model(spark, sf_dir):
+    from renewal.operators import models
+
+    tr, _ = _model_frames(spark, sf_dir)
+    return models.boosted_trees(tr, MODEL_FEATS, {"n_estimators": 10, "max_depth": 3})
+
+
+@register("split_importance")
+def q_split_importance(spark, sf_dir):
+    from renewal.operators import importance
+
+    return importance.split_importance(spark, _imp_model(spark, sf_dir), MODEL_FEATS)
+
+
+@register("gain_importance")
+def q_gain_importance(spark, sf_dir):
+    from renewal.operators import importance
+
+    return importance.gain_importance(spark, _imp_model(spark, sf_dir), MODEL_FEATS)
+
+
+@register("top_features")
+def q_top_features(spark, sf_dir):
+    from renewal.operators import importance
+
+    return importance.top_features(importance.split_importance(spark, _imp_model(spark, sf_dir), MODEL_FEATS), 30)
+
+
+@register("importance_refit")
+def q_importance_refit(spark, sf_dir):
+    from renewal.operators import importance, models
+
+    tr, te = _model_frames(spark, sf_dir)
+    m = models.boosted_trees(tr, MODEL_FEATS, {"n_estimators": 10, "max_depth": 3})
+    used = importance.used_features(importance.split_importance(spark, m, MODEL_FEATS), MODEL_FEATS)
+    return models.predict(models.boosted_trees(tr, used, {"n_estimators": 10, "max_depth": 3}), te, used)
+
+
+def _search(spark, sf_dir):
+    from pyspark.ml.classification import GBTClassifier
+
+    from renewal.operators import tuning
+
+    tr, _ = _model_frames(spark, sf_dir)
+    grid = {"maxDepth": [2, 3, 4], "stepSize": [0.05, 0.1, 0.2], "maxIter": [5, 10]}
+    build = lambda _p: GBTClassifier(featuresCol="_features", labelCol="label", weightCol="weight", seed=10)
+    return tuning.random_search(tr, MODEL_FEATS, build, grid, n_iter=2, n_splits=3, n_repeats=1, seed=10)
+
+
+@register("random_search")
+def q_random_search(spark, sf_dir):
+    from renewal.operators import tuning
+
+    return tuning.summarize_search(_search(spark, sf_dir))
+
+
+@register("cv_results")
+def q_cv_results(spark, sf_dir):
+    return _search(spark, sf_dir)
+
+
+def _study(spark, sf_dir, n_trials=3):
+    from renewal.operators import evaluate, models, tuning
+
+    tr, _ = _model_frames(spark, sf_dir)
+    parts = split.holdout(tr, 0.25, 10).checkpoint()
+    fit_part, valid = parts.where("NOT is_valid"), parts.where("is_valid")
+    space = [
+        tuning.Param("booster", "cat", choices=("gbtree", "gblinear")),
+        tuning.Param("eta", "float", 1e-3, 0.5, log=True),
+        tuning.Param("max_depth", "int", 1, 5, step=1),
+        tuning.Param("n_estimators", "int", 5, 15, step=5),
+        tuning.Param("subsample", "float", 0.5, 1.0, step=0.1, when=("booster", ("gbtree",))),
+        tuning.Param("lambda", "float", 1e-4, 1.0, log=True, when=("booster", ("gblinear",))),
+    ]
+
+    def objective(p):
+        if p["booster"] == "gblinear":
+            m = models.linear_model(fit_part, MODEL_FEATS, 0.0, p["lambda"])
+        else:
+            m = models.boosted_trees(fit_part, MODEL_FEATS, p)
+        return evaluate.f1_value(models.predict(m, valid, MODEL_FEATS))
+
+    return tuning.trial_study(spark, objective, space, n_trials, timeout=600, seed=10, parallelism=2)
+
+
+@register("trial_study")
+def q_trial_study(spark, sf_dir):
+    return _study(spark, sf_dir)
+
+
+@register("best_trial")
+def q_best_trial(spark, sf_dir):
+    from renewal.operators import tuning
+
+    return tuning.best_trial(_study(spark, sf_dir))
+
+
+@register("ablation")
+def q_ablation(spark, sf_dir):
+    from renewal.operators import evaluate, models, tuning
+
+    _, train, _ = _rn(spark, sf_dir)
+    base = split.holdout(train.select("row_id", *MODEL_FEATS, "label"), 0.25, 10).checkpoint()
+    fit_part, valid = base.where("NOT is_valid"), base.where("is_valid")
+
+    def run(values):
+        a = models.class_weight(impute.apply_fill(fit_part, values))
+        m = models.boosted_trees(a, MODEL_FEATS, {"n_estimators": 5, "max_depth": 3})
+        return evaluate.f1_value(models.predict(m, impute.apply_fill(valid, values), MODEL_FEATS))
+
+    return tuning.ablation(spark, {
+        "impute_mean": lambda: run(impute.fit_means(fit_part, MODEL_FEATS)),
+        "impute_median": lambda: run(impute.fit_medians(fit_part, MODEL_FEATS)),
+        "impute_zero": lambda: run({c: 0.0 for c in MODEL_FEATS}),
+    })
+
+
+@register("pca")
+def q_pca(spark, sf_dir):
+    return reduce.pca(frames.embed(spark, sf_dir), _XS, 3)
+
+
+@register("truncated_svd")
+def q_truncated_svd(spark, sf_dir):
+    return reduce.truncated_svd(frames.embed(spark, sf_dir), _XS, 3)
+
+
+@register("instance_hardness")
+def q_instance_hardness(spark, sf_dir):
+    from renewal.operators import models
+
+    tr, _ = _model_frames(spark, sf_dir)
+    return models.instance_hardness(tr, MODEL_FEATS, cv=2)
