@@ -102,7 +102,7 @@ def value_rank(df: DataFrame, value: str, ties: Sequence[str], out: str = "_rank
     )
 
 
-def knn(
+def _band_knn(
     query: DataFrame | None,
     base: DataFrame,
     feats: Sequence[str],
@@ -112,9 +112,7 @@ def knn(
     max_rounds: int = 64,
     extra: Sequence[str] = (),
 ) -> DataFrame:
-    """k nearest base rows for every query row; ``query=None`` is the self join (a row is not
-    its own neighbour).  ``extra`` base columns (e.g. ``label``) are carried as ``nb_<col>``.
-    """
+    """The band search over points with distinct feature vectors (see the module notes)."""
     spark = base.sparkSession
     ensure_checkpoint_dir(spark)
     feats = list(feats)
@@ -193,3 +191,89 @@ def knn(
     return out.select(
         key, "neighbor_key", F.col("nn_rank").cast("int").alias("nn_rank"), *[f"nb_{c}" for c in extra], "d2", F.sqrt("d2").alias("dist")
     )
+
+
+def _distinct_points(df: DataFrame, key: str, feats: Sequence[str], carry: Sequence[str], k: int) -> DataFrame:
+    """One row per distinct feature vector with its k+1 smallest keys (and carried columns).
+
+    A group of exact copies may hold a third of all rows, so its smallest keys are found
+    without gathering it: a ``row_number`` per (input partition, vector) keeps at most k+1
+    rows of each vector per input partition, and only those are collected per vector
+    (bounded by partitions × (k+1), not by the group size).
+    """
+    item = F.struct(F.col(key).alias("key"), *[F.col(c).alias(c) for c in carry])
+    local = df.select(*feats, item.alias("_it"), F.spark_partition_id().alias("_pid"))
+    w = Window.partitionBy("_pid", *feats).orderBy(F.col("_it.key"))
+    top = local.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k + 1)
+    vec = top.groupBy(*feats).agg(F.slice(F.array_sort(F.collect_list("_it")), 1, k + 1).alias("_keys"))
+    return vec.withColumn("_vk", F.col("_keys")[0]["key"])
+
+
+def _entries(arr: Column, d2: Column, carry: Sequence[str]) -> Column:
+    return F.transform(arr, lambda x: F.struct(d2.alias("d2"), x["key"].alias("key"), *[x[c].alias(c) for c in carry]))
+
+
+def knn(
+    query: DataFrame | None,
+    base: DataFrame,
+    feats: Sequence[str],
+    k: int,
+    key: str = "row_id",
+    bucket_rows: int = BUCKET_ROWS,
+    max_rounds: int = 64,
+    extra: Sequence[str] = (),
+) -> DataFrame:
+    """k nearest base rows for every query row by ``(distance², neighbour key)``; ``query=None``
+    is the self join (a row is not its own neighbour).  ``extra`` base columns (e.g. ``label``)
+    are carried as ``nb_<col>``.
+
+    Exact copies are collapsed first: the band search runs over distinct vectors (each keyed
+    by its smallest row key), and every row then picks its k best from a bounded array — its
+    vector's k+1 smallest keys at distance 0 plus the k smallest keys of each of the k nearest
+    other vectors.  Choosing vectors by ``(distance, smallest key)`` is enough: a key of the
+    true top k always belongs to one of them.  No window ever spans a group of copies.
+    """
+    spark = base.sparkSession
+    feats, extra = list(feats), list(extra)
+    dtypes = dict(base.dtypes)
+    out_schema = f"{key} {dtypes[key]}, neighbor_key {dtypes[key]}, nn_rank int, " + "".join(
+        f"nb_{c} {dtypes[c]}, " for c in extra
+    ) + "d2 double, dist double"
+    bv = _distinct_points(base, key, feats, extra, k).persist(StorageLevel.MEMORY_AND_DISK)
+    if query is None:
+        qv = bv.select(*feats, F.col("_vk").alias("_qvk"))
+    else:
+        qv = query.groupBy(*feats).agg(F.min(key).alias("_qvk"))
+    vn = _band_knn(
+        None if query is None else qv.select(F.col("_qvk").alias("_k"), *feats),
+        bv.select(F.col("_vk").alias("_k"), *feats),
+        feats, k, key="_k", bucket_rows=bucket_rows, max_rounds=max_rounds,
+    )
+    if vn.isEmpty() and query is not None:
+        return spark.createDataFrame([], out_schema)
+    nkeys = bv.select(F.col("_vk").alias("neighbor_key"), F.slice("_keys", 1, k).alias("_nkeys"))
+    cand = (
+        vn.join(nkeys, "neighbor_key")
+        .select(F.col("_k").alias("_qvk"), F.explode(_entries(F.col("_nkeys"), F.col("d2"), extra)).alias("_e"))
+        .groupBy("_qvk")
+        .agg(F.collect_list("_e").alias("_nb"))
+    )
+    per_vec = qv.join(cand, "_qvk", "left")
+    if query is None:
+        own = bv.select(F.col("_vk").alias("_qvk"), _entries(F.col("_keys"), F.lit(0.0), extra).alias("_own"))
+        per_vec = per_vec.join(own, "_qvk")
+        rows = base.select(key, *feats).join(per_vec, feats)
+        arr = F.concat(F.col("_own"), F.coalesce(F.col("_nb"), F.array()))
+        arr = F.filter(arr, lambda e: e["key"] != F.col(key))
+    else:
+        rows = query.select(key, *feats).join(per_vec, feats)
+        arr = F.coalesce(F.col("_nb"), F.array())
+    best = rows.select(key, F.posexplode(F.slice(F.array_sort(arr), 1, k)).alias("_pos", "_e"))
+    return best.select(
+        key,
+        F.col("_e.key").alias("neighbor_key"),
+        (F.col("_pos") + 1).cast("int").alias("nn_rank"),
+        *[F.col(f"_e.{c}").alias(f"nb_{c}") for c in extra],
+        F.col("_e.d2").alias("d2"),
+        F.sqrt(F.col("_e.d2")).alias("dist"),
+    )

@@ -128,3 +128,34 @@ def test_results_stable_under_repartition(spark):
     assert a == b
     assert sorted(distinct_profile(tr, te, cols).collect()) == sorted(distinct_profile(tr.repartition(3), te, cols).collect())
     assert F is not None
+
+
+def test_knn_with_a_hot_group_of_copies(spark):
+    rng = np.random.default_rng(5)
+    pts = rng.normal(size=(200, 3)).round(2)
+    hot = np.tile([[0.1, 0.1, 0.1]], (100, 1))
+    allx = np.vstack([pts, hot])
+    keys = rng.permutation(np.arange(1000, 1300))
+    rows = [(int(k), *map(float, x), int(k) % 2) for k, x in zip(keys, allx)]
+    df = spark.createDataFrame(rows, "row_id long, a double, b double, c double, label int").repartition(5)
+    k = 4
+    res = knn(None, df, ["a", "b", "c"], k, bucket_rows=16, extra=["label"])
+    got = {}
+    for r in res.collect():
+        got.setdefault(r.row_id, {})[r.nn_rank] = (r.neighbor_key, r.nb_label)
+    assert len(got) == 300
+    for i in range(300):
+        d2 = ((allx - allx[i]) ** 2).sum(axis=1)
+        order = sorted((d2[j], keys[j]) for j in range(300) if j != i)[:k]
+        assert [got[keys[i]][t + 1][0] for t in range(k)] == [o[1] for o in order]
+        assert all(got[keys[i]][t + 1][1] == got[keys[i]][t + 1][0] % 2 for t in range(k))
+    # query side, with copies among the queries too
+    q = df.where("row_id % 3 = 0").select("row_id", "a", "b", "c")
+    b = df.where("row_id % 3 <> 0")
+    res2 = {(r.row_id, r.nn_rank): r.neighbor_key for r in knn(q, b, ["a", "b", "c"], k, bucket_rows=16).collect()}
+    bx = [(int(kk), x) for kk, x in zip(keys, allx) if kk % 3 != 0]
+    for kk, x in zip(keys, allx):
+        if kk % 3:
+            continue
+        order = sorted((float(((bxx - x) ** 2).sum()), bk) for bk, bxx in bx)[:k]
+        assert [res2[(int(kk), t + 1)] for t in range(k)] == [o[1] for o in order]
