@@ -141,47 +141,61 @@ def _band_knn(
         F.col(key), *[F.col(c).alias(f"_q_{c}") for c in feats], F.col("_p").alias("_qp"), F.col("_f").alias("_qf"),
         F.lit(None).cast("bigint").alias("_lo"), F.lit(None).cast("bigint").alias("_hi"),
     )
-    best = None  # running top-k of unsettled queries
+    # One state table per round, checkpointed once: for every unsettled query a sentinel row
+    # (neighbor_key null: keeps a query that has no candidate yet) plus its current best ≤ k.
+    fcols = [key, *[f"_q_{c}" for c in feats], "_qp", "_qf", "_lo", "_hi"]
+    ncols = ["neighbor_key", *[f"nb_{c}" for c in extra], "d2"]
+    ntypes = dict(b.dtypes)
+    carried = None
     done = []
     half = 1
+    lo_s = stats.select(F.col("_f").alias("_lo"), F.col("_lo_p").alias("_lo_edge"))
+    hi_s = stats.select(F.col("_f").alias("_hi"), F.col("_hi_p").alias("_hi_edge"))
     for _ in range(max_rounds):
         new_lo = F.greatest(F.col("_qf") - half, F.lit(0))
         new_hi = F.least(F.col("_qf") + half, F.lit(last))
         # buckets not probed before: [new_lo, lo-1] ∪ [hi+1, new_hi]  (all of it in round 0)
         first = F.col("_lo").isNull()
-        left = F.when(first, F.sequence(new_lo, new_hi)).when(new_lo < F.col("_lo"), F.sequence(new_lo, F.col("_lo") - 1)).otherwise(F.array().cast("array<bigint>"))
-        right = F.when(first, F.array().cast("array<bigint>")).when(new_hi > F.col("_hi"), F.sequence(F.col("_hi") + 1, new_hi)).otherwise(F.array().cast("array<bigint>"))
-        probe = frontier.select(
-            key, *[f"_q_{c}" for c in feats], F.explode(F.concat(left, right)).alias("_bf")
-        )
+        empty = F.array().cast("array<bigint>")
+        left = F.when(first, F.sequence(new_lo, new_hi)).when(new_lo < F.col("_lo"), F.sequence(new_lo, F.col("_lo") - 1)).otherwise(empty)
+        right = F.when(first, empty).when(new_hi > F.col("_hi"), F.sequence(F.col("_hi") + 1, new_hi)).otherwise(empty)
+        probe = frontier.select(*fcols, F.explode(F.concat(left, right)).alias("_bf"))
         cand = probe.join(b, "_bf")
         if self_join:
             cand = cand.where(F.col(key) != F.col("neighbor_key"))
-        cand = cand.select(key, "neighbor_key", *[f"nb_{c}" for c in extra], sq_dist([f"_q_{c}" for c in feats], [f"_b_{c}" for c in feats]).alias("d2"))
-        if best is not None:
-            cand = cand.unionByName(best)
-        top = Window.partitionBy(key).orderBy("d2", "neighbor_key")
-        best = cand.withColumn("nn_rank", F.row_number().over(top)).where(F.col("nn_rank") <= k)
-        frontier = frontier.withColumn("_lo", new_lo).withColumn("_hi", new_hi)
+        cand = cand.select(
+            *fcols, "neighbor_key", *[f"nb_{c}" for c in extra],
+            sq_dist([f"_q_{c}" for c in feats], [f"_b_{c}" for c in feats]).alias("d2"),
+        )
+        sentinel = frontier.select(*fcols, *[F.lit(None).cast(ntypes.get(c, "double")).alias(c) for c in ncols])
+        rows = cand.unionByName(sentinel)
+        if carried is not None:
+            rows = rows.unionByName(carried.select(*fcols, *ncols))
+        per_q = Window.partitionBy(key)
+        top = per_q.orderBy(F.col("d2").asc_nulls_last(), "neighbor_key")
+        state = (
+            rows.withColumn("nn_rank", F.row_number().over(top))
+            .where((F.col("nn_rank") <= k) | F.col("neighbor_key").isNull())
+            .withColumn("_lo", new_lo)
+            .withColumn("_hi", new_hi)
+            .withColumn("_n", F.count("neighbor_key").over(per_q))
+            .withColumn("_dk2", F.max("d2").over(per_q))
+        )
         # settle check: the band p_q ± d_k must lie inside the probed buckets
-        kth = best.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.max("d2").alias("_dk2"))
-        lo_s = stats.select(F.col("_f").alias("_lo"), F.col("_lo_p").alias("_lo_edge"))
-        hi_s = stats.select(F.col("_f").alias("_hi"), F.col("_hi_p").alias("_hi_edge"))
-        chk = frontier.join(kth, key, "left").join(lo_s, "_lo", "left").join(hi_s, "_hi", "left")
+        state = state.join(lo_s, "_lo", "left").join(hi_s, "_hi", "left")
         dk = F.sqrt(F.col("_dk2"))
         eps = F.lit(1e-9) * (F.lit(1.0) + F.abs(F.col("_qp")) + dk)
-        full = F.coalesce(F.col("_n"), F.lit(0)) >= k
+        full = F.col("_n") >= k
         left_ok = (F.col("_lo") == 0) | (full & (F.col("_lo_edge") < F.col("_qp") - dk - eps))
         right_ok = (F.col("_hi") == last) | (full & (F.col("_hi_edge") > F.col("_qp") + dk + eps))
-        chk = chk.withColumn("_settled", left_ok & right_ok).drop("_n", "_dk2", "_lo_edge", "_hi_edge")
-        chk = chk.checkpoint()
-        best = best.join(chk.select(key, "_settled"), key).checkpoint()
-        done.append(best.where("_settled").drop("_settled"))
-        best = best.where(~F.col("_settled")).drop("_settled", "nn_rank")
-        frontier = chk.where(~F.col("_settled")).drop("_settled")
+        state = state.withColumn("_settled", left_ok & right_ok).drop("_n", "_dk2", "_lo_edge", "_hi_edge").checkpoint()
+        done.append(state.where(F.col("_settled") & F.col("neighbor_key").isNotNull()).select(key, "nn_rank", *ncols))
+        open_ = state.where(~F.col("_settled"))
+        frontier = open_.where(F.col("neighbor_key").isNull()).select(*fcols)
+        carried = open_.where(F.col("neighbor_key").isNotNull())
         if frontier.isEmpty():
             break
-        half *= 2
+        half *= 4
     else:
         raise RuntimeError("knn: band search did not settle; raise max_rounds")
     out = done[0]
