@@ -19,6 +19,7 @@ from renewal.operators.correlation import corr_matrix, correlated_report
 from renewal.plans import flagship as flag
 from renewal.plans.oracle import (
     DIRTY_SQL,
+    DOCQ_SQL,
     EMBED_SQL,
     NUMERIC_TEXT_RE,
     RENEWAL_SQL,
@@ -476,13 +477,13 @@ def _nn_sql(name: str, left: str, right: str, k: int, self_exclude: bool = True,
 _NB_CARRY = "".join(f", b.{x} AS nb_{x}" for x in _XS)
 
 
-def _smote_sql(seeds_cte: str, copies_expr: str, maxc_expr: str, extra_ctes: str = "") -> str:
-    """Interpolation part shared by the over-samplers (k = 5, seed 10)."""
+def _smote_sql(seeds_cte: str, copies_expr: str, maxc_expr: str, extra_ctes: str = "", src: str = "SELECT * FROM embed") -> str:
+    """Interpolation part shared by the over-samplers (k = 5, seed 10) over the rows of ``src``."""
     synth = ", ".join(f"pk.{x} + pk.u * (nn.nb_{x} - pk.{x}) AS {x}" for x in _XS)
     return (
         E
-        + f""", mino AS (SELECT * FROM embed WHERE label = 1),
-cnt AS (SELECT count(*) FILTER (WHERE label = 1) AS n_min, count(*) FILTER (WHERE label = 0) AS n_maj FROM embed),
+        + f""", src AS ({src}), mino AS (SELECT * FROM src WHERE label = 1),
+cnt AS (SELECT count(*) FILTER (WHERE label = 1) AS n_min, count(*) FILTER (WHERE label = 0) AS n_maj FROM src),
 {_nn_sql('nn', 'mino', 'mino', 5, carry=_NB_CARRY)}{extra_ctes},
 seeds AS ({seeds_cte}),
 ranked AS (SELECT s.*, row_number() OVER (ORDER BY {hash_sql(10, 's.row_id', "'seed'")}, s.row_id) - 1 AS srank,
@@ -493,13 +494,19 @@ pk AS (SELECT ex.*, CAST({hash_sql(10, 'ex.row_id', 'ex.j', "'n'")} % 5 + 1 AS I
   {hash_sql(10, 'ex.row_id', 'ex.j', "'u'")} / 4294967296.0 AS u FROM ex)
 SELECT CAST(-(1 + pk.srank * pk.maxc + pk.j) AS BIGINT) AS row_id, {synth}, 1 AS label
 FROM pk JOIN nn ON nn.row_id = pk.row_id AND nn.nn_rank = pk.pick
-UNION ALL SELECT {_EMBED_COLS} FROM embed"""
+UNION ALL SELECT {_EMBED_COLS} FROM src"""
     )
 
 
 _G = "(cnt.n_maj - cnt.n_min)"
-_EVEN = (f"{_G} // n_seeds + CASE WHEN srank < {_G} % n_seeds THEN 1 ELSE 0 END",
-         f"{_G} // n_seeds + CASE WHEN {_G} % n_seeds > 0 THEN 1 ELSE 0 END")
+
+
+def _even(g: str = _G) -> tuple[str, str]:
+    return (f"{g} // n_seeds + CASE WHEN srank < {g} % n_seeds THEN 1 ELSE 0 END",
+            f"{g} // n_seeds + CASE WHEN {g} % n_seeds > 0 THEN 1 ELSE 0 END")
+
+
+_EVEN = _even()
 
 
 @register("smote", rounded(_smote_sql("SELECT * FROM mino", *_EVEN), _XS))
@@ -510,7 +517,7 @@ def q_smote(spark, sf_dir):
 
 
 _SHARE = lambda m: (
-    ",\n" + _nn_sql("nn_all", "mino", "embed", m)
+    ",\n" + _nn_sql("nn_all", "mino", "src", m)
     + ",\nshare AS (SELECT row_id, count(*) FILTER (WHERE nbl <> 1) AS n_maj FROM nn_all GROUP BY row_id)"
 )
 
@@ -554,21 +561,36 @@ def q_enn_round(spark, sf_dir):
     return enn_round(frames.embed(spark, sf_dir), _XS, 3)
 
 
-@register("smote_enn")
+_SMOTED = _smote_sql("SELECT * FROM mino", *_EVEN)
+
+
+@register("smote_enn", rounded(f"""WITH smoted AS ({_SMOTED}),
+{_nn_sql('nn', 'smoted', 'smoted', 3)}
+SELECT {_EMBED_COLS} FROM smoted WHERE row_id NOT IN (SELECT row_id FROM nn WHERE nbl <> own)""", _XS))
 def q_smote_enn(spark, sf_dir):
     from renewal.operators.resample import smote_enn
 
     return smote_enn(frames.embed(spark, sf_dir), _XS)
 
 
-@register("smote_tomek")
+@register("smote_tomek", rounded(f"""WITH smoted AS ({_SMOTED}),
+{_nn_sql('nn', 'smoted', 'smoted', 1)},
+links AS (SELECT a.row_id FROM nn a JOIN nn b ON a.nk = b.row_id AND b.nk = a.row_id WHERE a.own <> a.nbl)
+SELECT {_EMBED_COLS} FROM smoted WHERE row_id NOT IN (SELECT row_id FROM links)""", _XS))
 def q_smote_tomek(spark, sf_dir):
     from renewal.operators.resample import smote_tomek
 
     return smote_tomek(frames.embed(spark, sf_dir), _XS)
 
 
-@register("rus_smote")
+_RUS = f"""SELECT t.* EXCLUDE (rk, n_class) FROM (
+  SELECT embed.*, row_number() OVER (PARTITION BY label ORDER BY {hash_sql(10, 'row_id')}, row_id) - 1 AS rk,
+    count(*) OVER (PARTITION BY label) AS n_class FROM embed) t,
+  (SELECT min(n) AS n_min FROM (SELECT count(*) AS n FROM embed GROUP BY label)) m
+  WHERE rk < CASE WHEN n_class = n_min THEN n_class ELSE CAST(floor(n_min / CAST(0.5 AS DOUBLE)) AS BIGINT) END"""
+
+
+@register("rus_smote", rounded(_smote_sql("SELECT * FROM mino", *_even("(CAST(floor(CAST(0.8 AS DOUBLE) * cnt.n_maj) AS BIGINT) - cnt.n_min)"), src=_RUS), _XS))
 def q_rus_smote(spark, sf_dir):
     from renewal.operators.resample import rus_smote
 
@@ -582,7 +604,12 @@ def q_smote_svm(spark, sf_dir):
     return smote_svm(frames.embed(spark, sf_dir), _XS)
 
 
-@register("condensed_nn_round")
+@register("condensed_nn_round", E + f""", first AS (SELECT * FROM embed WHERE label = 0 ORDER BY {hash_sql(10, 'row_id')}, row_id LIMIT 1),
+store AS (SELECT * FROM embed WHERE label = 1 UNION ALL SELECT * FROM first),
+rest AS (SELECT * FROM embed WHERE row_id NOT IN (SELECT row_id FROM store)),
+{_nn_sql('nn', 'rest', 'store', 1, self_exclude=False)}
+SELECT {_EMBED_COLS} FROM store
+UNION ALL SELECT {_EMBED_COLS} FROM rest WHERE label <> 1 AND row_id IN (SELECT row_id FROM nn WHERE nbl <> own)""")
 def q_condensed_nn_round(spark, sf_dir):
     from renewal.operators.resample import condensed_nn_round
 
@@ -836,3 +863,44 @@ def q_instance_hardness(spark, sf_dir):
 
     tr, _ = _model_frames(spark, sf_dir)
     return models.instance_hardness(tr, MODEL_FEATS, cv=2)
+
+
+# ---------------------------------------------------------------- the second labelled frame
+
+DOCQ_NUM = ["n_chars", "len_text", "n_words", "quality"]
+Q = with_ctes(DOCQ_SQL)
+
+
+def _corr_report_sql(table: str, cols: list[str], where: str = "true") -> str:
+    aggs, rows = [], []
+    for i, a in enumerate(cols):
+        for j in range(i + 1, len(cols)):
+            b = cols[j]
+            aggs.append(f"corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS r_{i}_{j}, count(*) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS n_{i}_{j}")
+            rows.append(f"SELECT {j} AS j, CASE WHEN n_{i}_{j} < 2 OR isnan(r_{i}_{j}) THEN NULL ELSE abs(r_{i}_{j}) END AS corr FROM agg")
+    names = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {i} AS ordinal" for i, c in enumerate(cols))
+    return f""", agg AS MATERIALIZED (SELECT {', '.join(aggs)} FROM {table} WHERE {where}),
+pairs AS ({' UNION ALL '.join(rows)})
+SELECT n."column", n.ordinal, EXISTS (SELECT 1 FROM pairs p WHERE p.j = n.ordinal AND p.corr >= 0.75) AS "drop" FROM ({names}) n"""
+
+
+@register("docq_prune_correlated", Q + _corr_report_sql("docq", DOCQ_NUM))
+def q_docq_prune_correlated(spark, sf_dir):
+    d = frames.docq(spark, sf_dir)
+    return correlated_report(corr_matrix(d, DOCQ_NUM), DOCQ_NUM)
+
+
+@register("docq_class_balance", rounded(Q + """SELECT label, n, n / sum(n) OVER () AS share,
+  (sum(n) FILTER (WHERE label = 0) OVER ()) / (sum(n) FILTER (WHERE label = 1) OVER ()) AS neg_pos_ratio
+  FROM (SELECT label, count(*) AS n FROM docq GROUP BY label)""", ["share", "neg_pos_ratio"]))
+def q_docq_class_balance(spark, sf_dir):
+    return profile.class_balance(frames.docq(spark, sf_dir))
+
+
+@register("docq_null_profile", Q + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", {i} AS ordinal, count(*) FILTER (WHERE {c} IS NULL) AS nulls_train, count(*) AS rows_train, "
+    f"count(*) FILTER (WHERE {c} IS NULL) AS nulls_test, count(*) AS rows_test FROM docq" for i, c in enumerate(["lang", "source", *DOCQ_NUM])
+))
+def q_docq_null_profile(spark, sf_dir):
+    d = frames.docq(spark, sf_dir)
+    return profile.null_profile(d, d, ["lang", "source", *DOCQ_NUM])
