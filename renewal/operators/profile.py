@@ -40,23 +40,21 @@ def null_profile(train: DataFrame, test: DataFrame, cols: Sequence[str]) -> Data
 
 
 def _value_long(df: DataFrame, cols: Sequence[str], ordinal: dict[str, int]) -> DataFrame:
-    """Unpivot to ``(column, ordinal, value)`` with non-null values; one array per value type."""
+    """Unpivot to ``(column, ordinal, value)`` with the non-null values, in one pass.
+
+    Numbers become text through double (so 1 and 1.0 are one value; -0.0 is folded into
+    0.0, as pandas ``nunique`` does); text stays as is.
+    """
     types = dict(df.dtypes)
-    parts = []
-    text = [c for c in cols if types[c] == "string"]
-    nums = [c for c in cols if types[c] != "string"]
-    for group, cast in ((nums, "double"), (text, "string")):
-        if not group:
-            continue
-        items = [F.struct(F.lit(c).alias("column"), F.lit(ordinal[c]).alias("ordinal"), F.col(c).cast(cast).alias("value")) for c in group]
-        part = df.select(F.explode(F.array(*items)).alias("_s")).select("_s.*").where(F.col("value").isNotNull())
-        if cast == "double":
-            part = part.withColumn("value", F.col("value").cast("string"))
-        parts.append(part)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+
+    def as_text(c: str):
+        if types[c] == "string":
+            return F.col(c)
+        x = F.col(c).cast("double")
+        return F.when(x == 0, F.lit(0.0)).otherwise(x).cast("string")
+
+    items = [F.struct(F.lit(c).alias("column"), F.lit(ordinal[c]).alias("ordinal"), as_text(c).alias("value")) for c in cols]
+    return df.select(F.explode(F.array(*items)).alias("_s")).select("_s.*").where(F.col("value").isNotNull())
 
 
 def distinct_counts(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:

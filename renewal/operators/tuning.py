@@ -81,10 +81,13 @@ def trial_study(
     n_trials: int,
     timeout: float | None = None,
     seed: int = 10,
-    parallelism: int = 2,
+    parallelism: int | None = None,
 ) -> DataFrame:
     """H2: run independent trials (maximise), stop launching new ones after ``timeout`` seconds.
 
+    ``parallelism`` trials run at once (default: the session's default parallelism, at most 8);
+    each is a set of Spark jobs, so the executors stay busy between small fits.
+
     Returns ``(trial_id, params map<string,string>, value, seconds)``.
     """
     start = time.time()
@@ -98,6 +101,8 @@ def trial_study(
         value = float(objective(params))
         return (t, {k: str(v) for k, v in params.items()}, value, time.time() - t0)
 
+    if parallelism is None:
+        parallelism = min(8, spark.sparkContext.defaultParallelism)
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         for r in pool.map(run, range(n_trials)):
             if r is not None:

@@ -790,7 +790,7 @@ def q_cv_results(spark, sf_dir):
     return _search(spark, sf_dir)
 
 
-def _study(spark, sf_dir, n_trials=3):
+def _study(spark, sf_dir, n_trials=3, parallelism=None):
     from renewal.operators import evaluate, models, tuning
 
     tr, _ = _model_frames(spark, sf_dir)
@@ -812,7 +812,7 @@ def _study(spark, sf_dir, n_trials=3):
             m = models.boosted_trees(fit_part, MODEL_FEATS, p)
         return evaluate.f1_value(models.predict(m, valid, MODEL_FEATS))
 
-    return tuning.trial_study(spark, objective, space, n_trials, timeout=600, seed=10, parallelism=2)
+    return tuning.trial_study(spark, objective, space, n_trials, timeout=600, seed=10, parallelism=parallelism)
 
 
 @register("trial_study")

@@ -14,6 +14,7 @@ from renewal.operators.evaluate import f1_report
 from renewal.operators.impute import impute_mean
 from renewal.operators.split import holdout
 from renewal.plans.prepare import prune_features, split_frames
+from renewal.session import ensure_checkpoint_dir
 from renewal.sources.frames import RENEWAL_FEATURES, renewal
 
 
@@ -24,7 +25,10 @@ def rule_score(n_orders: str = "n_orders") -> F.Column:
 
 def prepared(spark: SparkSession, sf_dir: str):
     """(train, test, kept) with train-mean imputation on the kept features."""
-    df = renewal(spark, sf_dir)
+    # several profile passes read this frame: materialise it once in the shared checkpoint
+    # folder (cuts the lineage back to the orders aggregation; survives lost executors)
+    ensure_checkpoint_dir(spark)
+    df = renewal(spark, sf_dir).checkpoint()
     train, test = split_frames(df)
     kept = prune_features(train, test, RENEWAL_FEATURES).kept
     cols = ["row_id", *kept, "label"]
