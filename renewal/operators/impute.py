@@ -7,6 +7,7 @@ schema width, reaches the driver) and applied to any frame as ``coalesce`` proje
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -65,3 +66,148 @@ def with_missing_flags(df: DataFrame, cols: Sequence[str], values: dict[str, flo
     """
     flags = [F.col(c).isNull().cast("int").alias(f"{c}_missing") for c in cols]
     return apply_fill(df.select("*", *flags), values)
+
+
+def nan_euclidean_d2(cols_count: int):
+    """Squared nan-euclidean distance: (p / m) · Σ over the m coordinates present in both rows.
+
+    Null (never a number) when the rows share no coordinate.  Summed left to right, as the
+    SQL oracle writes it.
+    """
+
+    def d2(qcols, bcols):
+        ss, m = None, None
+        for q, b in zip(qcols, bcols):
+            both = F.col(q).isNotNull() & F.col(b).isNotNull()
+            diff = F.col(q) - F.col(b)
+            t = F.when(both, diff * diff).otherwise(F.lit(0.0))
+            c = F.when(both, F.lit(1)).otherwise(F.lit(0))
+            ss = t if ss is None else ss + t
+            m = c if m is None else m + c
+        return F.when(m > 0, (F.lit(float(cols_count)) / m.cast("double")) * ss)
+
+    return d2
+
+
+def anchor_cover(fit: DataFrame, target: DataFrame, cols: Sequence[str], max_patterns: int = 4096) -> list[str]:
+    """Columns such that every (target row, fit row) pair sharing a coordinate shares one of them.
+
+    Works on the distinct null patterns (one grouped pass per table, a bitmask per row);
+    greedy set cover over pattern pairs on the driver.  Too many patterns → every column.
+    """
+    def patterns(df):
+        mask = None
+        for i, c in enumerate(cols):
+            bit = F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0))
+            mask = bit if mask is None else mask + bit
+        rows = df.select(mask.alias("_m")).distinct().limit(max_patterns + 1).collect()
+        return [r["_m"] for r in rows]
+
+    pa, pb = patterns(target), patterns(fit)
+    if len(pa) > max_patterns or len(pb) > max_patterns:
+        return list(cols)
+    todo = {(a, b) for a in pa for b in pb if a & b}
+    chosen: list[str] = []
+    while todo:
+        best = max(range(len(cols)), key=lambda i: (sum(1 for a, b in todo if a & b & (1 << i)), -i))
+        chosen.append(cols[best])
+        todo = {(a, b) for a, b in todo if not a & b & (1 << best)}
+    return chosen
+
+
+def impute_knn(
+    fit: DataFrame,
+    target: DataFrame,
+    cols: Sequence[str],
+    k: int = 5,
+    weights: str = "uniform",
+    key: str = "row_id",
+    max_rounds: int = 12,
+) -> DataFrame:
+    """fill each missing cell with the mean of the k nearest fit rows that have the value,
+    by nan-euclidean distance (uniform or 1/distance weights, ties by key).
+
+    Exact and without cross joins: for every coordinate j two rows both have,
+    ``|x_j − y_j| ≤ distance``, so one band search per anchor coordinate j (query and fit
+    rows that have j, projected on j) is exact over the donors sharing j, and the union over
+    anchors covers every donor sharing any coordinate.  A cell needs k donors that have its
+    column: a receiver starts with K = k neighbours and K grows ×4 only for receivers whose
+    top K hold fewer than k such donors and may be incomplete.  Cells with no donor sharing
+    a coordinate get the fit mean (the convention for all-nan distances).
+    """
+    from pyspark.sql import Window
+
+    from renewal.operators.neighbors import knn
+
+    cols = list(cols)
+    p = len(cols)
+    means = fit_means(fit, cols)
+    any_null = None
+    for c in cols:
+        e = F.col(c).isNull()
+        any_null = e if any_null is None else any_null | e
+    pending = target.where(any_null).select(key, *[F.col(c).cast("double").alias(c) for c in cols]).checkpoint()
+    donors = fit.select(key, *[F.col(c).cast("double").alias(c) for c in cols])
+    d2 = nan_euclidean_d2(p)
+    names = F.array(*[F.lit(c) for c in cols])
+    anchors = anchor_cover(fit.select(*cols), pending.select(*cols), cols)
+    # start K so that k donors with the sparsest column are expected in the first round
+    present = fit.agg(*[(F.count(c) / F.count(F.lit(1))).alias(c) for c in cols]).collect()[0]
+    frac = min([present[c] for c in cols if present[c]] or [1.0])
+    filled = []
+    kk = max(k, int(math.ceil(1.5 * k / frac)))
+    for _ in range(max_rounds):
+        if pending.isEmpty():
+            break
+        cand = None
+        for c in anchors:
+            j = cols.index(c)
+            w = [1.0 if i == j else 0.0 for i in range(p)]
+            nb = knn(
+                pending.where(F.col(c).isNotNull()), donors.where(F.col(c).isNotNull()), cols, kk,
+                key=key, extra=cols, proj_w=w, d2_fn=d2,
+            )
+            counts = nb.groupBy(key).agg((F.count(F.lit(1)) >= kk).alias("_full"))
+            nb = nb.join(counts, key)
+            cand = nb if cand is None else cand.unionByName(nb)
+        # one donor can come from several anchors (same pair, same distance): keep it once
+        cand = cand.where(F.col("d2").isNotNull())
+        full = cand.groupBy(key).agg(F.max(F.col("_full").cast("int")).alias("_maybe_more"))
+        cand = cand.dropDuplicates([key, "neighbor_key"]).drop("_full")
+        top = cand.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("d2", "neighbor_key"))).where(F.col("_r") <= kk)
+        # one row per (receiver, missing column) with the donors that have that column
+        miss = pending.select(key, F.explode(F.filter(names, lambda n: F.element_at(F.array(*[F.col(c) for c in cols]), F.array_position(names, n).cast("int")).isNull())).alias("_col"))
+        per = top.select(key, "neighbor_key", "d2", F.map_from_arrays(names, F.array(*[F.col(f"nb_{c}") for c in cols])).alias("_vals"))
+        cells = miss.join(per, key, "left").withColumn("_v", F.element_at("_vals", F.col("_col")))
+        cells = cells.where(F.col("_v").isNotNull())
+        ranked = cells.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_col").orderBy("d2", "neighbor_key"))).where(F.col("_r") <= k)
+        if weights == "distance":
+            dist = F.sqrt("d2")
+            zero = F.max(F.when(F.col("d2") == 0, 1).otherwise(0)).over(Window.partitionBy(key, "_col"))
+            wgt = F.when(zero == 1, F.when(F.col("d2") == 0, 1.0).otherwise(0.0)).otherwise(F.lit(1.0) / dist)
+            ranked = ranked.withColumn("_w", wgt)
+        else:
+            ranked = ranked.withColumn("_w", F.lit(1.0))
+        agg = ranked.groupBy(key, "_col").agg(
+            F.count(F.lit(1)).alias("_n"), (F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("_value")
+        )
+        status = miss.join(agg, [key, "_col"], "left").join(full, key, "left")
+        done_now = (F.coalesce(F.col("_n"), F.lit(0)) >= k) | ~F.coalesce(F.col("_maybe_more") == 1, F.lit(False))
+        status = status.withColumn("_done", done_now).checkpoint()
+        filled.append(status.where("_done").select(key, "_col", "_value"))
+        open_keys = status.where(~F.col("_done")).select(key).distinct()
+        pending = pending.join(open_keys, key, "left_semi").checkpoint()
+        kk *= 4
+    else:
+        raise RuntimeError("impute_knn: donor search did not finish; raise max_rounds")
+    values = filled[0]
+    for f in filled[1:]:
+        values = values.unionByName(f)
+    wide = values.groupBy(key).pivot("_col", cols).agg(F.first("_value"))
+    out = target.join(wide.select(key, *[F.col(c).alias(f"_imp_{c}") for c in cols]), key, "left")
+    return out.select(
+        *[
+            F.coalesce(F.col(c).cast("double"), F.col(f"_imp_{c}"), F.lit(means[c])).alias(c) if c in cols else F.col(c)
+            for c in target.columns
+        ]
+    )

@@ -57,9 +57,11 @@ def principal_direction(df: DataFrame, feats: Sequence[str]) -> np.ndarray:
 def linear(cols: Sequence[str], w: Sequence[float], prefix: str = "") -> Column:
     e = None
     for c, wi in zip(cols, w):
+        if wi == 0:
+            continue
         t = F.col(prefix + c) * F.lit(float(wi))
         e = t if e is None else e + t
-    return e
+    return e if e is not None else F.lit(0.0)
 
 
 def sq_dist(a: Sequence[str], b: Sequence[str]) -> Column:
@@ -111,12 +113,18 @@ def _band_knn(
     bucket_rows: int = BUCKET_ROWS,
     max_rounds: int = 64,
     extra: Sequence[str] = (),
+    proj_w: Sequence[float] | None = None,
+    d2_fn=None,
 ) -> DataFrame:
-    """The band search over points with distinct feature vectors (see the module notes)."""
+    """The band search over points with distinct feature vectors (see the module notes).
+
+    ``proj_w`` fixes the unit direction (default: the principal axis); ``d2_fn(q_cols, b_cols)``
+    replaces the squared Euclidean distance — it must stay ≥ the squared projection gap.
+    """
     spark = base.sparkSession
     ensure_checkpoint_dir(spark)
     feats = list(feats)
-    w = principal_direction(base, feats)
+    w = principal_direction(base, feats) if proj_w is None else np.asarray(proj_w, dtype=float)
     proj = linear(feats, w)
     self_join = query is None
     bcols = [key, *feats, *extra]
@@ -165,7 +173,7 @@ def _band_knn(
             cand = cand.where(F.col(key) != F.col("neighbor_key"))
         cand = cand.select(
             *fcols, "neighbor_key", *[f"nb_{c}" for c in extra],
-            sq_dist([f"_q_{c}" for c in feats], [f"_b_{c}" for c in feats]).alias("d2"),
+            (d2_fn or sq_dist)([f"_q_{c}" for c in feats], [f"_b_{c}" for c in feats]).alias("d2"),
         )
         sentinel = frontier.select(*fcols, *[F.lit(None).cast(ntypes.get(c, "double")).alias(c) for c in ncols])
         rows = cand.unionByName(sentinel)
@@ -223,6 +231,16 @@ def _distinct_points(df: DataFrame, key: str, feats: Sequence[str], carry: Seque
     return vec.withColumn("_vk", F.col("_keys")[0]["key"])
 
 
+def _join_on_vector(rows: DataFrame, per_vec: DataFrame, feats: Sequence[str]) -> DataFrame:
+    """Attach each row to its vector's table; null-safe, so vectors with missing coordinates match."""
+    v = per_vec.select(*[F.col(c).alias(f"_v_{c}") for c in feats], *[c for c in per_vec.columns if c not in feats])
+    cond = None
+    for c in feats:
+        e = F.col(c).eqNullSafe(F.col(f"_v_{c}"))
+        cond = e if cond is None else cond & e
+    return rows.join(v, cond).drop(*[f"_v_{c}" for c in feats])
+
+
 def _entries(arr: Column, d2: Column, carry: Sequence[str]) -> Column:
     return F.transform(arr, lambda x: F.struct(d2.alias("d2"), x["key"].alias("key"), *[x[c].alias(c) for c in carry]))
 
@@ -236,6 +254,8 @@ def knn(
     bucket_rows: int = BUCKET_ROWS,
     max_rounds: int = 64,
     extra: Sequence[str] = (),
+    proj_w: Sequence[float] | None = None,
+    d2_fn=None,
 ) -> DataFrame:
     """k nearest base rows for every query row by ``(distance², neighbour key)``; ``query=None``
     is the self join (a row is not its own neighbour).  ``extra`` base columns (e.g. ``label``)
@@ -261,10 +281,8 @@ def knn(
     vn = _band_knn(
         None if query is None else qv.select(F.col("_qvk").alias("_k"), *feats),
         bv.select(F.col("_vk").alias("_k"), *feats),
-        feats, k, key="_k", bucket_rows=bucket_rows, max_rounds=max_rounds,
+        feats, k, key="_k", bucket_rows=bucket_rows, max_rounds=max_rounds, proj_w=proj_w, d2_fn=d2_fn,
     )
-    if vn.isEmpty() and query is not None:
-        return spark.createDataFrame([], out_schema)
     nkeys = bv.select(F.col("_vk").alias("neighbor_key"), F.slice("_keys", 1, k).alias("_nkeys"))
     cand = (
         vn.join(nkeys, "neighbor_key")
@@ -276,11 +294,11 @@ def knn(
     if query is None:
         own = bv.select(F.col("_vk").alias("_qvk"), _entries(F.col("_keys"), F.lit(0.0), extra).alias("_own"))
         per_vec = per_vec.join(own, "_qvk")
-        rows = base.select(key, *feats).join(per_vec, feats)
+        rows = _join_on_vector(base.select(key, *feats), per_vec, feats)
         arr = F.concat(F.col("_own"), F.coalesce(F.col("_nb"), F.array()))
         arr = F.filter(arr, lambda e: e["key"] != F.col(key))
     else:
-        rows = query.select(key, *feats).join(per_vec, feats)
+        rows = _join_on_vector(query.select(key, *feats), per_vec, feats)
         arr = F.coalesce(F.col("_nb"), F.array())
     best = rows.select(key, F.posexplode(F.slice(F.array_sort(arr), 1, k)).alias("_pos", "_e"))
     return best.select(

@@ -298,6 +298,34 @@ def q_impute_median(spark, sf_dir):
     return impute.apply_fill(df.select("row_id", *FILL_COLS), med)
 
 
+def _impute_knn_sql() -> str:
+    both = lambda c: f"r.{c} IS NOT NULL AND d.{c} IS NOT NULL"
+    ss = " + ".join(f"CASE WHEN {both(c)} THEN (r.{c} - d.{c}) * (r.{c} - d.{c}) ELSE 0.0 END" for c in FILL_COLS)
+    m = " + ".join(f"CASE WHEN {both(c)} THEN 1 ELSE 0 END" for c in FILL_COLS)
+    anynull = " OR ".join(f"r.{c} IS NULL" for c in FILL_COLS)
+    casts = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in FILL_COLS)
+    ctes = [
+        f"t AS (SELECT row_id, split, {casts} FROM renewal)",
+        "fit AS (SELECT * FROM t WHERE split = 'train')",
+        f"mean AS (SELECT {', '.join(f'avg({c}) AS m_{c}' for c in FILL_COLS)} FROM fit)",
+        f"""dd AS (SELECT r.row_id, d.row_id AS dk, (CAST({len(FILL_COLS)} AS DOUBLE) / ({m})) * ({ss}) AS d2,
+  {', '.join(f'd.{c} AS nb_{c}' for c in FILL_COLS)} FROM t r JOIN fit d ON ({m}) > 0 WHERE {anynull})""",
+    ]
+    for c in FILL_COLS:
+        ctes.append(f"""imp_{c} AS (SELECT row_id, avg(nb_{c}) AS v FROM (
+  SELECT row_id, nb_{c}, row_number() OVER (PARTITION BY row_id ORDER BY d2, dk) AS rn FROM dd WHERE nb_{c} IS NOT NULL)
+  WHERE rn <= 5 GROUP BY row_id)""")
+    sel = ", ".join(f"coalesce(t.{c}, imp_{c}.v, mean.m_{c}) AS {c}" for c in FILL_COLS)
+    joins = " ".join(f"LEFT JOIN imp_{c} ON imp_{c}.row_id = t.row_id" for c in FILL_COLS)
+    return rounded(R + ", " + ",\n".join(ctes) + f"\nSELECT t.row_id, {sel} FROM t CROSS JOIN mean {joins}", FILL_COLS)
+
+
+@register("impute_knn", _impute_knn_sql())
+def q_impute_knn(spark, sf_dir):
+    df, train, _ = _rn(spark, sf_dir)
+    return impute.impute_knn(train, df.select("row_id", *FILL_COLS), FILL_COLS, 5, "uniform")
+
+
 @register("impute_constant", rounded(R + "SELECT row_id, " + ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0.0) AS {c}" for c in FILL_COLS) + " FROM renewal", FILL_COLS))
 def q_impute_constant(spark, sf_dir):
     return impute.impute_constant(frames.renewal(spark, sf_dir).select("row_id", *FILL_COLS), FILL_COLS, 0.0)
