@@ -32,6 +32,9 @@ def test_query_matches_oracle(spark, con, name):
     sdf = se.queries()[name](spark, SF001)
     cols = sdf.columns
     srows = sdf.collect()
+    # no cross join anywhere in the executed plan (after adaptive re-planning)
+    plan = sdf._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, plan
     rel = con.sql(SQL[name])
     assert sorted(cols) == sorted(rel.columns)
     order = sorted(cols)
