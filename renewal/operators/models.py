@@ -242,12 +242,13 @@ def kmeans_labels(df: DataFrame, feats: Sequence[str], k: int = 2, init: str = "
     return assigned.join(F.broadcast(mapping), "_cluster").select(key, label, "_cluster", F.col("prediction").cast("int").alias("prediction"))
 
 
-def knn_classify(train: DataFrame, test: DataFrame, feats: Sequence[str], k: int = 5, weights: str = "uniform", label: str = "label", key: str = "row_id") -> DataFrame:
-    """M8: vote of the k nearest training rows; 'distance' weighs by 1/d (rows at distance 0
-    take all the weight); ties go to the smaller label."""
+def knn_classify(train: DataFrame, test: DataFrame, feats: Sequence[str], k: int = 5, weights: str = "uniform", label: str = "label", key: str = "row_id", p: int = 2) -> DataFrame:
+    """M8: vote of the k nearest training rows (Minkowski p = 2 Euclidean, p = 1 Manhattan);
+    'distance' weighs by 1/d (rows at distance 0 take all the weight); ties go to the smaller label."""
     from renewal.operators.neighbors import knn
 
-    nb = knn(test.select(key, *feats), train.select(key, *feats, label), feats, k, key=key, extra=[label])
+    metric = "manhattan" if p == 1 else "euclidean"
+    nb = knn(test.select(key, *feats), train.select(key, *feats, label), feats, k, key=key, extra=[label], metric=metric)
     if weights == "distance":
         zero = F.max(F.when(F.col("d2") == 0, 1).otherwise(0)).over(Window.partitionBy(key))
         nb = nb.withColumn("_z", zero).withColumn(

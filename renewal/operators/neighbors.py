@@ -74,6 +74,15 @@ def sq_dist(a: Sequence[str], b: Sequence[str]) -> Column:
     return e
 
 
+def l1_dist(a: Sequence[str], b: Sequence[str]) -> Column:
+    """Σ |a_i − b_i|, summed left to right."""
+    e = None
+    for x, y in zip(a, b):
+        t = F.abs(F.col(x) - F.col(y))
+        e = t if e is None else e + t
+    return e
+
+
 def value_rank(df: DataFrame, value: str, ties: Sequence[str], out: str = "_rank") -> DataFrame:
     """Exact 0-based global rank by ``(value, *ties)`` without a single-partition sort.
 
@@ -115,6 +124,7 @@ def _band_knn(
     extra: Sequence[str] = (),
     proj_w: Sequence[float] | None = None,
     d2_fn=None,
+    metric: str = "euclidean",
 ) -> DataFrame:
     """The band search over points with distinct feature vectors (see the module notes).
 
@@ -125,6 +135,10 @@ def _band_knn(
     ensure_checkpoint_dir(spark)
     feats = list(feats)
     w = principal_direction(base, feats) if proj_w is None else np.asarray(proj_w, dtype=float)
+    if metric == "manhattan":
+        # |w·(a−b)| ≤ max|w_i| · ‖a−b‖₁: scale the direction so that max|w_i| = 1
+        w = w / np.max(np.abs(w))
+        d2_fn = d2_fn or l1_dist
     proj = linear(feats, w)
     self_join = query is None
     bcols = [key, *feats, *extra]
@@ -191,7 +205,7 @@ def _band_knn(
         )
         # settle check: the band p_q ± d_k must lie inside the probed buckets
         state = state.join(lo_s, "_lo", "left").join(hi_s, "_hi", "left")
-        dk = F.sqrt(F.col("_dk2"))
+        dk = F.col("_dk2") if metric == "manhattan" else F.sqrt(F.col("_dk2"))
         eps = F.lit(1e-9) * (F.lit(1.0) + F.abs(F.col("_qp")) + dk)
         full = F.col("_n") >= k
         left_ok = (F.col("_lo") == 0) | (full & (F.col("_lo_edge") < F.col("_qp") - dk - eps))
@@ -256,6 +270,7 @@ def knn(
     extra: Sequence[str] = (),
     proj_w: Sequence[float] | None = None,
     d2_fn=None,
+    metric: str = "euclidean",
 ) -> DataFrame:
     """k nearest base rows for every query row by ``(distance², neighbour key)``; ``query=None``
     is the self join (a row is not its own neighbour).  ``extra`` base columns (e.g. ``label``)
@@ -266,6 +281,8 @@ def knn(
     vector's k+1 smallest keys at distance 0 plus the k smallest keys of each of the k nearest
     other vectors.  Choosing vectors by ``(distance, smallest key)`` is enough: a key of the
     true top k always belongs to one of them.  No window ever spans a group of copies.
+
+    ``metric='manhattan'`` ranks by the L1 distance (the ``d2`` column then holds it as is).
     """
     spark = base.sparkSession
     feats, extra = list(feats), list(extra)
@@ -281,7 +298,7 @@ def knn(
     vn = _band_knn(
         None if query is None else qv.select(F.col("_qvk").alias("_k"), *feats),
         bv.select(F.col("_vk").alias("_k"), *feats),
-        feats, k, key="_k", bucket_rows=bucket_rows, max_rounds=max_rounds, proj_w=proj_w, d2_fn=d2_fn,
+        feats, k, key="_k", bucket_rows=bucket_rows, max_rounds=max_rounds, proj_w=proj_w, d2_fn=d2_fn, metric=metric,
     )
     nkeys = bv.select(F.col("_vk").alias("neighbor_key"), F.slice("_keys", 1, k).alias("_nkeys"))
     cand = (
@@ -307,5 +324,5 @@ def knn(
         (F.col("_pos") + 1).cast("int").alias("nn_rank"),
         *[F.col(f"_e.{c}").alias(f"nb_{c}") for c in extra],
         F.col("_e.d2").alias("d2"),
-        F.sqrt(F.col("_e.d2")).alias("dist"),
+        (F.col("_e.d2") if metric == "manhattan" else F.sqrt(F.col("_e.d2"))).alias("dist"),
     )

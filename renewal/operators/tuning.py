@@ -168,3 +168,62 @@ def ablation(spark: SparkSession, variants: dict[str, Callable[[], float]]) -> D
     """H6: one F1 per preparation variant, ``(variant, f1)``."""
     rows = [(name, float(fn())) for name, fn in variants.items()]
     return spark.createDataFrame(rows, "variant string, f1 double")
+
+
+def resampled_cv(
+    train: DataFrame,
+    feats: Sequence[str],
+    resample: Callable[[DataFrame], DataFrame],
+    fit: Callable[[DataFrame], object],
+    n_splits: int = 5,
+    n_repeats: int = 2,
+    seed: int = 10,
+    label: str = "label",
+    key: str = "row_id",
+) -> DataFrame:
+    """R11 inside H1: per fold, resample the training part only, fit, and score the untouched
+    held-out part — synthetic or removed rows never reach a validation fold.
+
+    Returns ``(repeat, fold, f1, train_rows)``; each fold's resampled frame is checkpointed.
+    """
+    from renewal.operators.evaluate import f1_value
+    from renewal.operators.models import predict
+    from renewal.operators.split import strat_folds
+
+    spark = train.sparkSession
+    folds = strat_folds(train.select(key, label), n_splits, n_repeats, seed)
+    rows = []
+    for r in range(n_repeats):
+        data = train.join(folds.where(F.col("repeat") == r).select(key, F.col("fold").alias("_fold")), key).checkpoint()
+        for f in range(n_splits):
+            part = resample(data.where(F.col("_fold") != f).drop("_fold")).checkpoint()
+            model = fit(part)
+            held = data.where(F.col("_fold") == f).drop("_fold")
+            rows.append((r, f, f1_value(predict(model, held, feats)), part.count()))
+    return spark.createDataFrame(rows, "repeat int, fold int, f1 double, train_rows bigint")
+
+
+def resampled_search(
+    train: DataFrame,
+    feats: Sequence[str],
+    resample: Callable[[DataFrame, dict], DataFrame],
+    fit: Callable[[DataFrame, dict], object],
+    grid: dict[str, list],
+    n_iter: int = 10,
+    n_splits: int = 5,
+    n_repeats: int = 2,
+    seed: int = 10,
+) -> DataFrame:
+    """H1 with a resampling step: each draw (``step__param`` keys, validated) is scored by
+    ``resampled_cv``; returns ``(trial_id, params, f1)`` with the mean over folds."""
+    validate_steps(grid, ("resample", "model"))
+    space = [Param(k, "cat", choices=tuple(v)) for k, v in grid.items()]
+    spark = train.sparkSession
+    rows = []
+    for t in range(n_iter):
+        d = sample(space, t, seed)
+        rp = {k.split("__", 1)[1]: v for k, v in d.items() if k.startswith("resample__")}
+        mp = {k.split("__", 1)[1]: v for k, v in d.items() if k.startswith("model__")}
+        cv = resampled_cv(train, feats, lambda df: resample(df, rp), lambda df: fit(df, mp), n_splits, n_repeats, seed)
+        rows.append((t, {k: str(v) for k, v in d.items()}, float(cv.agg(F.avg("f1")).collect()[0][0])))
+    return spark.createDataFrame(rows, "trial_id int, params map<string,string>, value double")

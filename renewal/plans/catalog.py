@@ -757,6 +757,24 @@ def q_knn_classify(spark, sf_dir):
     return models.knn_classify(tr, te, _XS, 5, "uniform")
 
 
+_L1 = " + ".join(f"abs(a.{x} - b.{x})" for x in _XS)
+
+
+@register("knn_classify_manhattan", rounded(E + f""", sp AS (SELECT embed.*, {_EMBED_VALID} AS is_valid FROM embed),
+tr AS (SELECT * FROM sp WHERE NOT is_valid), te AS (SELECT * FROM sp WHERE is_valid),
+d AS (SELECT a.row_id, b.row_id AS nk, b.label AS nbl, {_L1} AS dist FROM te a JOIN tr b ON true),
+nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY dist, nk) AS nn_rank FROM d) WHERE nn_rank <= 7),
+w AS (SELECT nn.*, CASE WHEN max(CASE WHEN dist = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY row_id) = 1
+  THEN CASE WHEN dist = 0 THEN 1.0 ELSE 0.0 END ELSE 1.0 / dist END AS wt FROM nn),
+v AS (SELECT row_id, sum(CASE WHEN nbl = 1 THEN wt ELSE 0.0 END) AS w1, sum(CASE WHEN nbl <> 1 THEN wt ELSE 0.0 END) AS w0 FROM w GROUP BY row_id)
+SELECT row_id, w1 / (w1 + w0) AS probability_1, CAST(CASE WHEN w1 > w0 THEN 1 ELSE 0 END AS INTEGER) AS prediction FROM v""", ["probability_1"]))
+def q_knn_classify_manhattan(spark, sf_dir):
+    from renewal.operators import models
+
+    tr, te = _embed_split(spark, sf_dir)
+    return models.knn_classify(tr, te, _XS, 7, "distance", p=1)
+
+
 def _imp_model(spark, sf_dir):
     from renewal.operators import models
 
@@ -932,3 +950,18 @@ def q_docq_class_balance(spark, sf_dir):
 def q_docq_null_profile(spark, sf_dir):
     d = frames.docq(spark, sf_dir)
     return profile.null_profile(d, d, ["lang", "source", *DOCQ_NUM])
+
+
+@register("rus_smote_search")
+def q_rus_smote_search(spark, sf_dir):
+    from renewal.operators import models, tuning
+    from renewal.operators.resample import rus_smote
+
+    e = frames.embed(spark, sf_dir)
+    grid = {"resample__over": [0.6, 0.8], "resample__k": [3, 5], "model__max_depth": [2, 3]}
+    return tuning.resampled_search(
+        e, _XS,
+        lambda df, p: rus_smote(df, _XS, under=0.5, over=p["over"], k=p["k"]),
+        lambda df, p: models.boosted_trees(df, _XS, {"n_estimators": 5, "max_depth": p["max_depth"]}, weight=None),
+        grid, n_iter=2, n_splits=2, n_repeats=1,
+    )

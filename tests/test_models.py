@@ -63,3 +63,25 @@ def test_knn_vote_and_kmeans_run(spark):
     assert out.count() == h.where("is_valid").count()
     km = models.kmeans_labels(e, [f"x{i}" for i in range(8)], 2)
     assert km.select(F.countDistinct("_cluster")).collect()[0][0] <= 2
+
+
+def test_resampling_never_sees_validation_rows(spark):
+    from renewal.operators.resample import smote
+
+    e = frames.embed(spark, "/root/testdata/sf0.001")
+    xs = [f"x{i}" for i in range(8)]
+    seen = []
+
+    def resample(df):
+        seen.append({r.row_id for r in df.select("row_id").collect()})
+        return smote(df, xs, "auto", 3, 10)
+
+    folds = split.strat_folds(e.select("row_id", "label"), 3, 1, 10).collect()
+    out = tuning.resampled_cv(e, xs, resample, lambda df: models.boosted_trees(df, xs, {"n_estimators": 3, "max_depth": 2}, weight=None), 3, 1, 10)
+    assert out.count() == 3
+    by_fold = {}
+    for r in folds:
+        by_fold.setdefault(r.fold, set()).add(r.row_id)
+    for f, keys in enumerate(seen):
+        assert not keys & by_fold[f]
+        assert keys == set().union(*[v for g, v in by_fold.items() if g != f])
