@@ -50,6 +50,7 @@ def main() -> None:
     warm_dir = "/root/testdata/sf0.001"
     times: dict[str, float] = {}
     rows: dict[str, int] = {}
+    quality: dict[str, float] = {}
     for name in only or HEADLINE:
         fn = qs[name]
         try:
@@ -60,11 +61,14 @@ def main() -> None:
         out = fn(spark, sf_dir).collect()
         times[name] = round(time.time() - t0, 3)
         rows[name] = len(out)
+        if name in ("flagship", "f1") and out:
+            quality[f"{name}_f1"] = round(float(out[0]["f1"]), 4)
     # throughput of the trial study: 16 independent trials (the original ran ≈0.25 s per trial)
     catalog._study(spark, warm_dir, 2).collect()
     t0 = time.time()
     n_trials = 16
-    catalog._study(spark, sf_dir, n_trials).collect()
+    trials = catalog._study(spark, sf_dir, n_trials).collect()
+    quality["best_trial_f1"] = round(max(r["value"] for r in trials), 4)
     per_trial = round((time.time() - t0) / n_trials, 3)
     spark.stop()
     sf = sf_dir.rstrip("/").rsplit("sf", 1)[-1]
@@ -77,6 +81,7 @@ def main() -> None:
                 "queries": times,
                 "rows": rows,
                 "seconds_per_trial": per_trial,
+                "quality": quality,
                 "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
                 "cpus": cpus,
             }

@@ -51,10 +51,51 @@ def l2_normalize(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
+WIDE = 24
+
+
+def _gram_blocks(cols: Sequence[str]):
+    p = len(cols)
+    iu, ju = np.triu_indices(p)
+
+    def run(batches):
+        import pandas as pd
+
+        n, s, g = 0, np.zeros(p), np.zeros((p, p))
+        for pdf in batches:
+            x = pdf[list(cols)].to_numpy(dtype=np.float64, na_value=0.0)
+            n += len(x)
+            s += x.sum(axis=0)
+            g += x.T @ x
+        if n:
+            yield pd.DataFrame({"i": iu.astype(np.int32), "j": ju.astype(np.int32), "v": g[iu, ju], "n": n})
+            yield pd.DataFrame({"i": np.arange(p, dtype=np.int32), "j": np.full(p, -1, dtype=np.int32), "v": s, "n": 0})
+
+    return run
+
+
 def gram(df: DataFrame, cols: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """(n, column sums, XᵀX) in one aggregation pass (p(p+1)/2 JVM sums)."""
+    """(n, column sums, XᵀX) in one pass (nulls count as 0).
+
+    Up to ``WIDE`` columns: p(p+1)/2 JVM sums in one aggregation.  Wider: per-partition numpy
+    blocks in an Arrow-batched ``mapInPandas`` summed by ``groupBy(i, j)`` — the plan stays
+    small and the shuffle is one row per entry per task.
+    """
     p = len(cols)
-    x = [F.col(c).cast("double") for c in cols]
+    if p > WIDE:
+        narrow = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+        parts = narrow.mapInPandas(_gram_blocks(cols), "i int, j int, v double, n bigint")
+        rows = parts.groupBy("i", "j").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()
+        s, g, n = np.zeros(p), np.zeros((p, p)), 0
+        for r in rows:
+            if r["j"] < 0:
+                s[r["i"]] = r["v"]
+            else:
+                g[r["i"], r["j"]] = g[r["j"], r["i"]] = r["v"]
+                if r["i"] == 0 and r["j"] == 0:
+                    n = int(r["n"])
+        return n, s, g
+    x = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols]
     aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(x[i]).alias(f"s{i}") for i in range(p)]
     aggs += [F.sum(x[i] * x[j]).alias(f"g{i}_{j}") for i in range(p) for j in range(i, p)]
     row = df.agg(*aggs).collect()[0]

@@ -159,3 +159,21 @@ def test_knn_with_a_hot_group_of_copies(spark):
             continue
         order = sorted((float(((bxx - x) ** 2).sum()), bk) for bk, bxx in bx)[:k]
         assert [res2[(int(kk), t + 1)] for t in range(k)] == [o[1] for o in order]
+
+
+def test_wide_gram_matches_narrow(spark):
+    from renewal.operators import reduce
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 30))
+    cols = [f"c{i}" for i in range(30)]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{c} double" for c in cols)).repartition(4)
+    n, s, g = reduce.gram(df, cols)
+    assert n == 300
+    assert np.allclose(s, x.sum(axis=0)) and np.allclose(g, x.T @ x)
+    reduce.WIDE, old = 100, reduce.WIDE
+    try:
+        n2, s2, g2 = reduce.gram(df, cols)
+    finally:
+        reduce.WIDE = old
+    assert n2 == n and np.allclose(s, s2) and np.allclose(g, g2)
