@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from renewal.session import ensure_checkpoint_dir
+
 from renewal.operators.stats import exact_medians
 
 
@@ -139,6 +141,7 @@ def impute_knn(
 
     from renewal.operators.neighbors import knn
 
+    ensure_checkpoint_dir(fit.sparkSession)
     cols = list(cols)
     p = len(cols)
     means = fit_means(fit, cols)

@@ -24,6 +24,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from renewal.session import ensure_checkpoint_dir
+
 from renewal.functions import rint_label, safe_div
 from renewal.operators.split import class_counts
 
@@ -155,6 +157,7 @@ def adaboost(train: DataFrame, feats: Sequence[str], n_estimators: int = 10, lea
     ``w ← w · exp(−½ · lr · ỹ · (log p1 − log p0))`` (ỹ = ±1) as a column expression, normalise
     by the total (one aggregate), and checkpoint the weighted frame to cut the lineage.
     """
+    ensure_checkpoint_dir(train.sparkSession)
     cur = assemble(train.select(key, *feats, label), feats).withColumn(WEIGHT, F.lit(1.0)).checkpoint()
     model = AdaBoostModel(learning_rate=learning_rate, feats=tuple(feats))
     n = cur.count()
@@ -207,6 +210,7 @@ def _fit_base(kind: str, train: DataFrame, feats: Sequence[str], params: dict |
 
 def stacking(train: DataFrame, feats: Sequence[str], bases: Sequence[tuple[str, dict | None]] = (("gbt", None), ("rf", None)), cv: int = 2, seed: int = 10, label: str = "label", key: str = "row_id") -> StackingModel:
     """M5: final random forest on out-of-fold base probabilities (stratified folds); bases re-fit on all rows."""
+    ensure_checkpoint_dir(train.sparkSession)
     from renewal.operators.split import strat_folds
 
     folds = strat_folds(train.select(key, label), cv, 1, seed).select(key, "fold")
@@ -270,6 +274,7 @@ def knn_classify(train: DataFrame, test: DataFrame, feats: Sequence[str], k: int
 def instance_hardness(train: DataFrame, feats: Sequence[str], cv: int = 5, seed: int = 10, label: str = "label", key: str = "row_id") -> DataFrame:
     """Keep minority rows and the majority rows whose out-of-fold P(true class) is at or
     above the (1 − n_min/n_maj) quantile, so the majority shrinks to the minority size."""
+    ensure_checkpoint_dir(train.sparkSession)
     from renewal.operators.split import strat_folds
     from renewal.operators.stats import exact_quantiles
 

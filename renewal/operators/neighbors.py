@@ -224,6 +224,7 @@ def _band_knn(
     for d in done[1:]:
         out = out.unionByName(d)
     ranked.unpersist()
+    stats.unpersist()
     return out.select(
         key, "neighbor_key", F.col("nn_rank").cast("int").alias("nn_rank"), *[f"nb_{c}" for c in extra], "d2", F.sqrt("d2").alias("dist")
     )
@@ -290,7 +291,9 @@ def knn(
     out_schema = f"{key} {dtypes[key]}, neighbor_key {dtypes[key]}, nn_rank int, " + "".join(
         f"nb_{c} {dtypes[c]}, " for c in extra
     ) + "d2 double, dist double"
-    bv = _distinct_points(base, key, feats, extra, k).persist(StorageLevel.MEMORY_AND_DISK)
+    # written once to the shared checkpoint folder: read by several joins, no memory held
+    ensure_checkpoint_dir(spark)
+    bv = _distinct_points(base, key, feats, extra, k).checkpoint()
     if query is None:
         qv = bv.select(*feats, F.col("_vk").alias("_qvk"))
     else:

@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from renewal.session import ensure_checkpoint_dir
+
 from renewal.functions import hash_u32, uniform
 from renewal.operators.neighbors import knn
 from renewal.operators.split import class_counts, hash_rank
@@ -185,6 +187,7 @@ def enn_round(df: DataFrame, feats: Sequence[str], k: int = 3, key: str = "row_i
 
 def repeated_enn(df: DataFrame, feats: Sequence[str], k: int = 3, max_iter: int = 100, key: str = "row_id", label: str = "label") -> DataFrame:
     """ENN rounds until no row is removed (or ``max_iter``); each round is checkpointed."""
+    ensure_checkpoint_dir(df.sparkSession)
     cur = df.select(key, *feats, label).checkpoint()
     n = cur.count()
     for _ in range(max_iter):
@@ -209,6 +212,7 @@ def condensed_nn_round(store: DataFrame, df: DataFrame, feats: Sequence[str], ke
 def condensed_nn(df: DataFrame, feats: Sequence[str], seed: int = 10, max_rounds: int = 20, key: str = "row_id", label: str = "label") -> DataFrame:
     """Start from all minority rows plus one majority row (first in hash order), then add
     misclassified rows in batch rounds until none is added."""
+    ensure_checkpoint_dir(df.sparkSession)
     data = df.select(key, *feats, label)
     first = hash_rank(data.where(F.col(label) != MINORITY), hash_u32(seed, key), tie=key).where(F.col("_rank") == 0).drop("_rank", "_group_rows")
     store = data.where(F.col(label) == MINORITY).unionByName(first).checkpoint()
@@ -224,16 +228,19 @@ def condensed_nn(df: DataFrame, feats: Sequence[str], seed: int = 10, max_rounds
 
 def smote_enn(df: DataFrame, feats: Sequence[str], strategy: float | str = "auto", k: int = 5, seed: int = 10, key: str = "row_id", label: str = "label") -> DataFrame:
     """SMOTE then one ENN round over all classes (as imbalanced-learn's combination)."""
+    ensure_checkpoint_dir(df.sparkSession)
     return enn_round(smote(df, feats, strategy, k, seed, key, label).checkpoint(), feats, 3, key, label, strategy="all")
 
 
 def smote_tomek(df: DataFrame, feats: Sequence[str], strategy: float | str = "auto", k: int = 5, seed: int = 10, key: str = "row_id", label: str = "label") -> DataFrame:
     """SMOTE then Tomek-link removal ('all': both members, as imbalanced-learn's combination)."""
+    ensure_checkpoint_dir(df.sparkSession)
     return tomek_links(smote(df, feats, strategy, k, seed, key, label).checkpoint(), feats, key, label, strategy="all")
 
 
 def rus_smote(df: DataFrame, feats: Sequence[str], under: float = 0.5, over: float = 0.8, k: int = 5, seed: int = 10, key: str = "row_id", label: str = "label") -> DataFrame:
     """Random undersampling to ``under`` then SMOTE to ``over`` (ratios checked up front)."""
+    ensure_checkpoint_dir(df.sparkSession)
     from renewal.operators.split import undersample
 
     if over < under:

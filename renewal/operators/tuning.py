@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from renewal.session import ensure_checkpoint_dir
+
 
 def _u(seed: int | str, trial: int, name: str) -> float:
     h = hashlib.md5(f"{seed}:{trial}:{name}".encode()).hexdigest()
@@ -141,6 +143,7 @@ def random_search(
 
     from renewal.operators.split import strat_folds
 
+    ensure_checkpoint_dir(train.sparkSession)
     space = [Param(k, "cat", choices=tuple(v)) for k, v in grid.items()]
     draws = [sample(space, t, seed) for t in range(n_iter)]
     folds = strat_folds(train.select(key, label), n_splits, n_repeats, seed)
@@ -191,6 +194,7 @@ def resampled_cv(
     from renewal.operators.split import strat_folds
 
     spark = train.sparkSession
+    ensure_checkpoint_dir(spark)
     folds = strat_folds(train.select(key, label), n_splits, n_repeats, seed)
     rows = []
     for r in range(n_repeats):

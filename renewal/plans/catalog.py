@@ -28,6 +28,7 @@ from renewal.plans.oracle import (
     with_ctes,
 )
 from renewal.plans.prepare import split_frames
+from renewal.session import ensure_checkpoint_dir
 from renewal.sources import frames, io
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,7 +51,11 @@ def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
 
 def register(name: str, sql: str | None = None):
     def deco(fn: Query) -> Query:
-        REGISTRY[name] = Entry(lambda spark, sf_dir: round_doubles(fn(spark, sf_dir)), sql)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ensure_checkpoint_dir(spark)
+            return round_doubles(fn(spark, sf_dir))
+
+        REGISTRY[name] = Entry(run, sql)
         return fn
 
     return deco
