@@ -970,3 +970,10 @@ def q_rus_smote_search(spark, sf_dir):
         lambda df, p: models.boosted_trees(df, _XS, {"n_estimators": 5, "max_depth": p["max_depth"]}, weight=None),
         grid, n_iter=2, n_splits=2, n_repeats=1,
     )
+
+
+@register("kmeans_random")
+def q_kmeans_random(spark, sf_dir):
+    from renewal.operators import models
+
+    return models.kmeans_labels(frames.embed(spark, sf_dir), _XS, 2, "random")

@@ -35,3 +35,17 @@ def test_write_predictions(spark):
     io.write_predictions(df, path)
     back = spark.read.csv(path, schema="row_id long, prediction int")
     assert sorted(tuple(r) for r in back.collect()) == [(1, 1), (2, 0)]
+
+
+def test_dtype_split_and_results_table(spark):
+    from renewal.operators.profile import dtype_split
+
+    df = frames.renewal(spark, SF001)
+    kinds = dict(dtype_split(df, exclude=("row_id", "split", "label")))
+    assert kinds["segment"] == "text" and kinds["acctbal"] == "numeric" and kinds["n_orders"] == "numeric"
+    res = spark.createDataFrame([(0, {"a": "1"}, 0.3)], "trial_id int, params map<string,string>, value double")
+    path = tempfile.mkdtemp(prefix="renewal-res-", dir="/tmp") + "/r"
+    io.write_table(res, path, "parquet")
+    assert spark.read.parquet(path).collect()[0].value == 0.3
+    io.write_table(res.select("trial_id", "value"), path + "_csv", "csv")
+    assert spark.read.option("header", True).csv(path + "_csv").count() == 1
