@@ -163,3 +163,82 @@ def dtype_split(df: DataFrame, exclude: Sequence[str] = ()) -> list[tuple[str, s
         else:
             out.append((f.name, "other"))
     return out
+
+
+# ---------------------------------------------------------------- one pass over a split column
+# When train and test are two slices of one table, each profile is a single scan grouped by
+# the split column (two groups, partial aggregation) instead of one scan per slice.
+
+
+def _by_split(df: DataFrame, split: str, aggs: dict[str, Column], cols: Sequence[str], cast: str) -> DataFrame:
+    """``(column, ordinal, <name>_train, <name>_test …)`` from one grouped aggregation."""
+    grouped = df.groupBy(F.col(split).alias("_split")).agg(
+        *[e.alias(f"{name}__{i}") for i in range(len(cols)) for name, e in [(n, f(cols[i])) for n, f in aggs.items()]]
+    )
+    items = [
+        F.struct(
+            F.lit(c).alias("column"),
+            F.lit(i).alias("ordinal"),
+            *[F.col(f"{name}__{i}").cast(cast).alias(name) for name in aggs],
+        )
+        for i, c in enumerate(cols)
+    ]
+    long = grouped.select("_split", F.explode(F.array(*items)).alias("_s")).select("_split", "_s.*")
+    out = long.groupBy("column", "ordinal").agg(
+        *[F.max(F.when(F.col("_split") == s, F.col(name))).alias(f"{name}_{s}") for name in aggs for s in ("train", "test")]
+    )
+    return out
+
+
+def null_profile_by_split(df: DataFrame, cols: Sequence[str], split: str = "split") -> DataFrame:
+    """A1 in one pass: ``(column, ordinal, nulls_train, rows_train, nulls_test, rows_test)``."""
+    aggs = {"nulls": lambda c: F.count(F.lit(1)) - F.count(F.col(c)), "rows": lambda c: F.count(F.lit(1))}
+    return _by_split(df, split, aggs, cols, "bigint")
+
+
+def constant_report_by_split(df: DataFrame, cols: Sequence[str], split: str = "split") -> DataFrame:
+    """A4 in one pass."""
+    aggs = {"constant": lambda c: F.coalesce(F.min(c) == F.max(c), F.lit(False))}
+    out = _by_split(df, split, aggs, cols, "boolean")
+    return out.select(
+        "column", "ordinal",
+        F.coalesce("constant_train", F.lit(False)).alias("constant_train"),
+        F.coalesce("constant_test", F.lit(False)).alias("constant_test"),
+    ).withColumn("drop", F.col("constant_train") | F.col("constant_test"))
+
+
+def sparse_report_by_split(df: DataFrame, cols: Sequence[str], threshold: float = 0.4, split: str = "split") -> DataFrame:
+    """A9 in one pass."""
+    prof = null_profile_by_split(df, cols, split)
+
+    def limit(rows: Column) -> Column:
+        return F.lit(float(threshold)) if threshold >= 1 else F.lit(float(threshold)) * rows
+
+    return prof.withColumn(
+        "drop", (F.col("nulls_train") >= limit(F.col("rows_train"))) | (F.col("nulls_test") >= limit(F.col("rows_test")))
+    )
+
+
+def distinct_profile_by_split(df: DataFrame, cols: Sequence[str], split: str = "split") -> DataFrame:
+    """A2 in one pass: one unpivot, de-duplicate ``(split, column, value)``, count per split."""
+    ordinal = {c: i for i, c in enumerate(cols)}
+    types = dict(df.dtypes)
+
+    def as_text(c: str):
+        if types[c] == "string":
+            return F.col(c)
+        x = F.col(c).cast("double")
+        return F.when(x == 0, F.lit(0.0)).otherwise(x).cast("string")
+
+    items = [F.struct(F.lit(c).alias("column"), F.lit(ordinal[c]).alias("ordinal"), as_text(c).alias("value")) for c in cols]
+    long = df.select(F.col(split).alias("_split"), F.explode(F.array(*items)).alias("_s")).select("_split", "_s.*").where(F.col("value").isNotNull())
+    counted = long.distinct().groupBy("column", "ordinal").agg(
+        F.count(F.when(F.col("_split") == "train", 1)).alias("nunique_train"),
+        F.count(F.when(F.col("_split") == "test", 1)).alias("nunique_test"),
+    )
+    names = df.sparkSession.createDataFrame([(c, i) for c, i in ordinal.items()], "column string, ordinal int")
+    return names.join(counted, ["column", "ordinal"], "left").select(
+        "column", "ordinal",
+        F.coalesce("nunique_train", F.lit(0)).cast("bigint").alias("nunique_train"),
+        F.coalesce("nunique_test", F.lit(0)).cast("bigint").alias("nunique_test"),
+    )

@@ -144,8 +144,8 @@ def _per_column(feats, expr_fn, extra=""):
     f"count(*) FILTER (WHERE split = 'test' AND {c} IS NULL) AS nulls_test, count(*) FILTER (WHERE split = 'test') AS rows_test",
 ))
 def q_null_profile(spark, sf_dir):
-    _, train, test = _rn(spark, sf_dir)
-    return profile.null_profile(train, test, frames.RENEWAL_FEATURES)
+    # train and test are slices of one frame: one grouped pass (profile.null_profile takes two tables)
+    return profile.null_profile_by_split(frames.renewal(spark, sf_dir), frames.RENEWAL_FEATURES)
 
 
 @register("distinct_profile", R + _per_column(
@@ -153,8 +153,7 @@ def q_null_profile(spark, sf_dir):
     lambda c: f"count(DISTINCT {c}) FILTER (WHERE split = 'train') AS nunique_train, count(DISTINCT {c}) FILTER (WHERE split = 'test') AS nunique_test",
 ))
 def q_distinct_profile(spark, sf_dir):
-    _, train, test = _rn(spark, sf_dir)
-    return profile.distinct_profile(train, test, frames.RENEWAL_FEATURES)
+    return profile.distinct_profile_by_split(frames.renewal(spark, sf_dir), frames.RENEWAL_FEATURES)
 
 
 @register("unique_values", R + "SELECT DISTINCT segment FROM renewal")
@@ -168,8 +167,7 @@ def q_unique_values(spark, sf_dir):
     f"coalesce(min({c}) FILTER (WHERE split = 'test') = max({c}) FILTER (WHERE split = 'test'), false) AS constant_test",
 ) + ")")
 def q_prune_constant(spark, sf_dir):
-    _, train, test = _rn(spark, sf_dir)
-    return profile.constant_report(train, test, frames.RENEWAL_FEATURES)
+    return profile.constant_report_by_split(frames.renewal(spark, sf_dir), frames.RENEWAL_FEATURES)
 
 
 def _corr_sql(split_name: str, cols: list[str]) -> str:
@@ -244,8 +242,7 @@ def q_class_balance(spark, sf_dir):
     f"count(*) FILTER (WHERE split = 'test' AND {c} IS NULL) AS nulls_test, count(*) FILTER (WHERE split = 'test') AS rows_test",
 ) + ")")
 def q_prune_sparse(spark, sf_dir):
-    _, train, test = _rn(spark, sf_dir)
-    return profile.sparse_report(train, test, frames.RENEWAL_FEATURES, 0.4)
+    return profile.sparse_report_by_split(frames.renewal(spark, sf_dir), frames.RENEWAL_FEATURES, 0.4)
 
 
 # ---------------------------------------------------------------- encoding and labels

@@ -177,3 +177,21 @@ def test_wide_gram_matches_narrow(spark):
     finally:
         reduce.WIDE = old
     assert n2 == n and np.allclose(s, s2) and np.allclose(g, g2)
+
+
+def test_by_split_profiles_equal_two_table_profiles(spark):
+    from renewal.operators import profile
+
+    df = frames.renewal(spark, SF01)
+    tr, te = df.where("split='train'"), df.where("split='test'")
+    cols = list(frames.RENEWAL_FEATURES)
+    pairs = [
+        (profile.null_profile(tr, te, cols), profile.null_profile_by_split(df, cols)),
+        (profile.constant_report(tr, te, cols), profile.constant_report_by_split(df, cols)),
+        (profile.sparse_report(tr, te, cols, 0.4), profile.sparse_report_by_split(df, cols, 0.4)),
+        (profile.distinct_profile(tr, te, cols), profile.distinct_profile_by_split(df, cols)),
+    ]
+    for a, b in pairs:
+        order = sorted(a.columns)
+        assert sorted(a.columns) == sorted(b.columns)
+        assert sorted(tuple(r[c] for c in order) for r in a.collect()) == sorted(tuple(r[c] for c in order) for r in b.collect())
