@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -162,8 +163,7 @@ def impute_knn(
     for _ in range(max_rounds):
         if pending.isEmpty():
             break
-        cand = None
-        for c in anchors:
+        def search(c: str, kk: int = kk, pending: DataFrame = pending) -> DataFrame:
             j = cols.index(c)
             w = [1.0 if i == j else 0.0 for i in range(p)]
             nb = knn(
@@ -171,8 +171,14 @@ def impute_knn(
                 key=key, extra=cols, proj_w=w, d2_fn=d2,
             )
             counts = nb.groupBy(key).agg((F.count(F.lit(1)) >= kk).alias("_full"))
-            nb = nb.join(counts, key)
-            cand = nb if cand is None else cand.unionByName(nb)
+            return nb.join(counts, key)
+
+        # the anchor searches are independent Spark job chains: run them side by side
+        with ThreadPoolExecutor(max_workers=max(1, min(len(anchors), 4))) as pool:
+            found = list(pool.map(search, anchors))
+        cand = found[0]
+        for nb in found[1:]:
+            cand = cand.unionByName(nb)
         # one donor can come from several anchors (same pair, same distance): keep it once
         cand = cand.where(F.col("d2").isNotNull())
         full = cand.groupBy(key).agg(F.max(F.col("_full").cast("int")).alias("_maybe_more"))
