@@ -66,70 +66,77 @@ def _pairs_path(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return row.select(F.explode(F.array(*items)).alias("_s")).select("_s.*")
 
 
-def _gram_blocks(cols: Sequence[str], shift: Sequence[float]):
+def _gram_blocks(cols: Sequence[str], shifts: dict, group: str | None):
     p = len(cols)
     iu, ju = np.triu_indices(p, k=1)
-    shift_arr = np.asarray(shift, dtype=np.float64)
+
+    def fresh():
+        return [np.zeros((p, p)), np.zeros((p, p)), np.zeros((p, p)), np.zeros((p, p)), np.full((p, p), np.inf), np.full((p, p), -np.inf)]
+
+    def update(acc, x):
+        n, sx, sxx, sxy, mn, mx = acc
+        m = ~np.isnan(x)
+        x0 = np.where(m, x, 0.0)
+        mf = m.astype(np.float64)
+        n += mf.T @ mf
+        sx += x0.T @ mf
+        sxx += (x0 * x0).T @ mf
+        sxy += x0.T @ x0
+        # masked min / max of column i over rows where column j is present
+        for jj in range(p):
+            rows = m[:, jj]
+            if not rows.any():
+                continue
+            sub = np.where(m[rows], x[rows], np.nan)
+            with np.errstate(all="ignore"):
+                lo = np.nanmin(np.where(np.isnan(sub), np.inf, sub), axis=0)
+                hi = np.nanmax(np.where(np.isnan(sub), -np.inf, sub), axis=0)
+            mn[:, jj] = np.minimum(mn[:, jj], lo)
+            mx[:, jj] = np.maximum(mx[:, jj], hi)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = np.zeros((p, p))
-        sx = np.zeros((p, p))
-        sxx = np.zeros((p, p))
-        sxy = np.zeros((p, p))
-        mn = np.full((p, p), np.inf)
-        mx = np.full((p, p), -np.inf)
-        seen = False
+        accs: dict = {}
         for pdf in batches:
             if pdf.empty:
                 continue
-            seen = True
-            x = pdf[list(cols)].to_numpy(dtype=np.float64, na_value=np.nan) - shift_arr
-            m = ~np.isnan(x)
-            x0 = np.where(m, x, 0.0)
-            mf = m.astype(np.float64)
-            n += mf.T @ mf
-            sx += x0.T @ mf
-            sxx += (x0 * x0).T @ mf
-            sxy += x0.T @ x0
-            # masked min / max of column i over rows where column j is present
-            for jj in range(p):
-                rows = m[:, jj]
-                if not rows.any():
-                    continue
-                sub = np.where(m[rows], x[rows], np.nan)
-                with np.errstate(all="ignore"):
-                    lo = np.nanmin(np.where(np.isnan(sub), np.inf, sub), axis=0)
-                    hi = np.nanmax(np.where(np.isnan(sub), -np.inf, sub), axis=0)
-                mn[:, jj] = np.minimum(mn[:, jj], lo)
-                mx[:, jj] = np.maximum(mx[:, jj], hi)
-        if not seen:
-            return
-        yield pd.DataFrame(
-            {
-                "i": iu.astype(np.int32),
-                "j": ju.astype(np.int32),
-                "n": n[iu, ju].astype(np.int64),
-                "sx": sx[iu, ju],
-                "sy": sx[ju, iu],
-                "sxx": sxx[iu, ju],
-                "syy": sxx[ju, iu],
-                "sxy": sxy[iu, ju],
-                "minx": mn[iu, ju],
-                "maxx": mx[iu, ju],
-                "miny": mn[ju, iu],
-                "maxy": mx[ju, iu],
-            }
-        )
+            parts = pdf.groupby(group, sort=False, dropna=False) if group else [(None, pdf)]
+            for g, sub in parts:
+                shift = np.asarray(shifts.get(g, [0.0] * p), dtype=np.float64)
+                x = sub[list(cols)].to_numpy(dtype=np.float64, na_value=np.nan) - shift
+                update(accs.setdefault(g, fresh()), x)
+        for g, (n, sx, sxx, sxy, mn, mx) in accs.items():
+            out = pd.DataFrame(
+                {
+                    "i": iu.astype(np.int32),
+                    "j": ju.astype(np.int32),
+                    "n": n[iu, ju].astype(np.int64),
+                    "sx": sx[iu, ju],
+                    "sy": sx[ju, iu],
+                    "sxx": sxx[iu, ju],
+                    "syy": sxx[ju, iu],
+                    "sxy": sxy[iu, ju],
+                    "minx": mn[iu, ju],
+                    "maxx": mx[iu, ju],
+                    "miny": mn[ju, iu],
+                    "maxy": mx[ju, iu],
+                }
+            )
+            if group:
+                out.insert(0, "_g", g)
+            yield out
 
     return run
 
 
-def _gram_path(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    narrow = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    means = narrow.agg(*[F.avg(c).alias(c) for c in cols]).collect()[0]
-    shift = [float(means[c]) if means[c] is not None else 0.0 for c in cols]
-    blocks = narrow.mapInPandas(_gram_blocks(cols, shift), _GRAM_SCHEMA)
-    s = blocks.groupBy("i", "j").agg(
+def _gram_path(df: DataFrame, cols: Sequence[str], group: str | None = None) -> DataFrame:
+    keys = [F.col(group).cast("string").alias("_g")] if group else []
+    narrow = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
+    gcols = ["_g"] if group else []
+    means = narrow.groupBy(*gcols).agg(*[F.avg(c).alias(c) for c in cols]).collect()
+    shifts = {(r["_g"] if group else None): [float(r[c]) if r[c] is not None else 0.0 for c in cols] for r in means}
+    schema = ("_g string, " if group else "") + _GRAM_SCHEMA
+    blocks = narrow.mapInPandas(_gram_blocks(cols, shifts, "_g" if group else None), schema)
+    s = blocks.groupBy(*gcols, "i", "j").agg(
         F.sum("n").alias("n"),
         *[F.sum(c).alias(c) for c in ("sx", "sy", "sxx", "syy", "sxy")],
         F.min("minx").alias("minx"),
@@ -142,18 +149,25 @@ def _gram_path(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     vx = n * F.col("sxx") - F.col("sx") * F.col("sx")
     vy = n * F.col("syy") - F.col("sy") * F.col("sy")
     defined = (F.col("n") >= 2) & (F.col("minx") < F.col("maxx")) & (F.col("miny") < F.col("maxy")) & (vx > 0) & (vy > 0)
-    return s.select("i", "j", "n", F.when(defined, F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy))).alias("r"))
+    return s.select(*gcols, "i", "j", "n", F.when(defined, F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy))).alias("r"))
 
 
-def corr_matrix(df: DataFrame, cols: Sequence[str], method: str = "auto") -> DataFrame:
-    """A5: ``(column_i, column_j, i, j, n, corr)`` for i < j with ``corr = |r|`` (null if undefined)."""
+def corr_matrix(df: DataFrame, cols: Sequence[str], method: str = "auto", group: str | None = None) -> DataFrame:
+    """A5: ``(column_i, column_j, i, j, n, corr)`` for i < j with ``corr = |r|`` (null if undefined).
+
+    ``group`` (Gram path) computes one matrix per value of that column in the same pass, e.g.
+    train and test slices of one table; the value comes back as a leading string column.
+    """
     cols = list(cols)
     if method == "auto":
         method = "gram"
-    raw = _pairs_path(df, cols) if method == "pairs" else _gram_path(df, cols)
+    if group is not None and method != "gram":
+        raise ValueError("grouped correlation uses the Gram path")
+    raw = _pairs_path(df, cols) if method == "pairs" else _gram_path(df, cols, group)
     name = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("i") + 1) if cols else F.lit(None)
     name_j = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("j") + 1) if cols else F.lit(None)
     return raw.select(
+        *([F.col("_g").alias(group)] if group else []),
         name.alias("column_i"),
         name_j.alias("column_j"),
         "i",

@@ -124,10 +124,10 @@ def q_split_label(spark, sf_dir):
 
 @register("select_features", R + "SELECT row_id, acctbal, n_orders, avg_price, max_price, recency_days, nation FROM renewal")
 def q_select_features(spark, sf_dir):
-    from renewal.plans.prepare import prune_features
+    from renewal.plans.prepare import prune_features_by_split
 
-    df, train, test = _rn(spark, sf_dir)
-    kept = prune_features(train, test, frames.RENEWAL_FEATURES).kept
+    df = frames.renewal(spark, sf_dir)
+    kept = prune_features_by_split(df, frames.RENEWAL_FEATURES).kept
     return clean.select_features(df, kept)
 
 

@@ -13,7 +13,7 @@ from renewal.functions import rint_label
 from renewal.operators.evaluate import f1_report
 from renewal.operators.impute import impute_mean
 from renewal.operators.split import holdout
-from renewal.plans.prepare import prune_features, split_frames
+from renewal.plans.prepare import prune_features_by_split, split_frames
 from renewal.session import ensure_checkpoint_dir
 from renewal.sources.frames import RENEWAL_FEATURES, renewal
 
@@ -30,7 +30,7 @@ def prepared(spark: SparkSession, sf_dir: str):
     ensure_checkpoint_dir(spark)
     df = renewal(spark, sf_dir).checkpoint()
     train, test = split_frames(df)
-    kept = prune_features(train, test, RENEWAL_FEATURES).kept
+    kept = prune_features_by_split(df, RENEWAL_FEATURES).kept
     cols = ["row_id", *kept, "label"]
     tr, te = impute_mean(train.select(*cols), test.select(*cols), kept)
     return tr, te, kept

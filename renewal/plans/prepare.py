@@ -58,3 +58,28 @@ def prune_features(
     train.unpersist()
     test.unpersist()
     return out
+
+
+def prune_features_by_split(
+    df: DataFrame,
+    features: Sequence[str],
+    split: str = "split",
+    corr_threshold: float = 0.75,
+    sparse_threshold: float = 0.4,
+) -> Pruned:
+    """``prune_features`` when train and test are slices of one table: each step is one
+    grouped pass (constants, both correlation matrices, null counts) instead of one per slice."""
+    from renewal.operators.profile import constant_report_by_split, sparse_report_by_split
+
+    out = Pruned()
+    data = df.select(split, *features).persist(StorageLevel.MEMORY_AND_DISK)
+    out.after_constant = kept_columns(constant_report_by_split(data, features, split))
+    numeric = [c for c in out.after_constant if c in set(numeric_columns(data.select(*out.after_constant)))]
+    corr = corr_matrix(data, numeric, group=split).persist(StorageLevel.MEMORY_AND_DISK)
+    keep_train = set(kept_columns(correlated_report(corr.where(F.col(split) == "train"), numeric, corr_threshold)))
+    keep_test = set(kept_columns(correlated_report(corr.where(F.col(split) == "test"), numeric, corr_threshold)))
+    out.after_correlation = [c for c in numeric if c in keep_train and c in keep_test]
+    out.kept = kept_columns(sparse_report_by_split(data, out.after_correlation, sparse_threshold, split))
+    corr.unpersist()
+    data.unpersist()
+    return out

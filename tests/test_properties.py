@@ -220,3 +220,16 @@ def test_grid_knn_matches_brute_force(spark):
             continue
         order = sorted((float(((bxx - x) ** 2).sum()), bk) for bk, bxx in bx)[:3]
         assert [got2[(int(kk), t + 1)] for t in range(3)] == [o[1] for o in order]
+
+
+def test_prune_by_split_equals_two_tables(spark):
+    from renewal.plans.prepare import prune_features, prune_features_by_split
+
+    df = frames.renewal(spark, SF01)
+    a = prune_features(df.where("split='train'"), df.where("split='test'"), frames.RENEWAL_FEATURES)
+    b = prune_features_by_split(df, frames.RENEWAL_FEATURES)
+    assert (a.after_constant, a.after_correlation, a.kept) == (b.after_constant, b.after_correlation, b.kept)
+    assert b.kept == ["acctbal", "n_orders", "avg_price", "max_price", "recency_days", "nation"]
+    g = {(r.split, r.i, r.j): r.corr for r in corr_matrix(df, ["acctbal", "n_orders", "spend"], group="split").collect()}
+    t = {(r.i, r.j): r.corr for r in corr_matrix(df.where("split='test'"), ["acctbal", "n_orders", "spend"]).collect()}
+    assert all(abs(g[("test", i, j)] - v) < 1e-12 for (i, j), v in t.items())
