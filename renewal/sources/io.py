@@ -36,7 +36,7 @@ def read_table(
     being thrown away.  ``na_tokens`` gives pandas' missing-value tokens; ``None`` keeps text.
     """
     if fmt == "csv":
-        df = spark.read.option("header", True).option("nullValue", None).option("emptyValue", "").csv(path)
+        df = spark.read.option("header", True).csv(path)
     else:
         df = spark.read.format(fmt).load(path)
     if na_tokens is not None:
