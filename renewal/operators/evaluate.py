@@ -39,13 +39,14 @@ def f1_value(df: DataFrame, label: str = "label", pred: str = "prediction") -> f
 
 
 def class_report(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
-    """Precision, recall, F1 and support for each class (rows: class 0 and class 1)."""
+    """Precision, recall, F1 and support for each class (rows: class 1 and class 0),
+    from one aggregation pass."""
     c = confusion(df, label, pred)
     rows = []
     for cls, tp_, fp_, fn_ in ((1, "tp", "fp", "fn"), (0, "tn", "fn", "fp")):
         tp, fp, fn = (F.col(x).cast("double") for x in (tp_, fp_, fn_))
         rows.append(
-            c.select(
+            F.struct(
                 F.lit(cls).alias("class"),
                 F.coalesce(safe_div(tp, tp + fp), F.lit(0.0)).alias("precision"),
                 F.coalesce(safe_div(tp, tp + fn), F.lit(0.0)).alias("recall"),
@@ -53,4 +54,4 @@ def class_report(df: DataFrame, label: str = "label", pred: str = "prediction")
                 (F.col(tp_) + F.col(fn_)).cast("bigint").alias("support"),
             )
         )
-    return rows[0].unionByName(rows[1])
+    return c.select(F.explode(F.array(*rows)).alias("_r")).select("_r.*")
