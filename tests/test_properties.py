@@ -233,3 +233,20 @@ def test_prune_by_split_equals_two_tables(spark):
     g = {(r.split, r.i, r.j): r.corr for r in corr_matrix(df, ["acctbal", "n_orders", "spend"], group="split").collect()}
     t = {(r.i, r.j): r.corr for r in corr_matrix(df.where("split='test'"), ["acctbal", "n_orders", "spend"]).collect()}
     assert all(abs(g[("test", i, j)] - v) < 1e-12 for (i, j), v in t.items())
+
+
+def test_requested_ratios_are_met(spark):
+    from renewal.operators.resample import rus_smote, smote
+
+    e = frames.embed(spark, SF01)
+    before = split.class_counts(e)
+    out = split.class_counts(rus_smote(e, XS, under=0.5, over=0.8, k=5, seed=10))
+    n_maj = int(before[1] / 0.5)
+    assert out[0] == n_maj
+    assert out[1] == int(0.8 * n_maj)
+    s = split.class_counts(smote(e, XS, 0.5, 5, 10))
+    assert s[1] == int(0.5 * before[0]) and s[0] == before[0]
+    # same rows whatever the partitioning
+    a = sorted(tuple(r) for r in smote(e.repartition(1), XS, 0.5, 5, 10).collect())
+    b = sorted(tuple(r) for r in smote(e.repartition(7), XS, 0.5, 5, 10).collect())
+    assert a == b
