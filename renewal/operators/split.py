@@ -34,7 +34,9 @@ def hash_rank(
     still spread over a million keys).  A count per ``(group, bucket)`` — at most
     groups × 2**bucket_bits rows — gives each bucket its offset by a running sum; a
     ``row_number`` inside each bucket gives the rest.  ``groups`` must be low-cardinality
-    (class label, repeat index).
+    (class label, repeat index).  The input is read twice — a partially aggregated count and
+    the ranked rows — which is cheaper than deriving the counts from the sorted rows; pass a
+    materialised (checkpointed) frame when the input is expensive to recompute.
     """
     g = list(groups)
     shift = 32 - bucket_bits
