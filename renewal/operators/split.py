@@ -75,15 +75,10 @@ def strat_folds(df: DataFrame, n_splits: int = 5, n_repeats: int = 2, seed: int
     Within each repeat and class, rows are ranked by ``md5(seed:repeat:key)`` and the fold is
     rank mod k, so per class the fold sizes differ by at most one.
     """
-    base = df.select(key, label)
-    parts = []
-    for r in range(n_repeats):
-        ranked = hash_rank(base, hash_u32(seed, F.lit(r), key), tie=key, groups=[label])
-        parts.append(ranked.select(key, F.lit(r).alias("repeat"), (F.col("_rank") % n_splits).cast("int").alias("fold")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    # all repeats in one ranking: each row once per repeat, ranked within (repeat, class)
+    base = df.select(key, label).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))))
+    ranked = hash_rank(base, hash_u32(seed, "repeat", key), tie=key, groups=["repeat", label])
+    return ranked.select(key, F.col("repeat").cast("int").alias("repeat"), (F.col("_rank") % n_splits).cast("int").alias("fold"))
 
 
 def class_counts(df: DataFrame, label: str = "label") -> dict[int, int]:
