@@ -250,3 +250,62 @@ def test_requested_ratios_are_met(spark):
     a = sorted(tuple(r) for r in smote(e.repartition(1), XS, 0.5, 5, 10).collect())
     b = sorted(tuple(r) for r in smote(e.repartition(7), XS, 0.5, 5, 10).collect())
     assert a == b
+
+
+def _knn_impute_numpy(fit, target, k, weights):
+    """Reference: nan-euclidean kNN imputation over fit rows that have the value."""
+    p = fit.shape[1] - 1
+    fx, fk = fit[:, 1:], fit[:, 0]
+    means = np.nanmean(fx, axis=0)
+    out = target[:, 1:].copy()
+    for r in range(len(target)):
+        x = target[r, 1:]
+        for c in range(p):
+            if not np.isnan(x[c]):
+                continue
+            cands = []
+            for d in range(len(fit)):
+                if np.isnan(fx[d, c]):
+                    continue
+                both = ~np.isnan(x) & ~np.isnan(fx[d])
+                m = both.sum()
+                if m == 0:
+                    continue
+                ss = 0.0
+                for j in range(p):
+                    if both[j]:
+                        ss = ss + (x[j] - fx[d, j]) * (x[j] - fx[d, j])
+                cands.append(((p / m) * ss, fk[d], fx[d, c]))
+            cands.sort()
+            top = cands[:k]
+            if not top:
+                out[r, c] = means[c]
+            elif weights == "distance":
+                d0 = [t for t in top if t[0] == 0]
+                w = [1.0 if t[0] == 0 else 0.0 for t in top] if d0 else [1.0 / np.sqrt(t[0]) for t in top]
+                out[r, c] = sum(wi * t[2] for wi, t in zip(w, top)) / sum(w)
+            else:
+                out[r, c] = np.mean([t[2] for t in top])
+    return out
+
+
+def test_impute_knn_matches_numpy(spark):
+    from renewal.operators.impute import impute_knn
+
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(80, 4)).round(2)
+    x[rng.random(x.shape) < 0.25] = np.nan
+    x[10:25] = [0.5, np.nan, 1.0, -0.5]  # a group of copies with a missing value
+    x[30] = [np.nan, np.nan, np.nan, 2.0]
+    x[31] = [np.nan, 7.0, np.nan, np.nan]  # may share no coordinate with some donors
+    keys = np.arange(100, 180, dtype=float)
+    data = np.column_stack([keys, x])
+    cols = ["a", "b", "c", "d"]
+    rows = [(int(r[0]), *[None if np.isnan(v) else float(v) for v in r[1:]]) for r in data]
+    df = spark.createDataFrame(rows, "row_id long, a double, b double, c double, d double")
+    fit_rows = data[data[:, 0] % 3 != 0]
+    for weights in ("uniform", "distance"):
+        got = {r.row_id: [r[c] for c in cols] for r in impute_knn(df.where("row_id % 3 <> 0"), df, cols, 3, weights).collect()}
+        want = _knn_impute_numpy(fit_rows, data, 3, weights)
+        for i, kk in enumerate(keys):
+            assert np.allclose(got[int(kk)], want[i], atol=1e-9), (weights, int(kk), got[int(kk)], want[i])
