@@ -974,3 +974,25 @@ def q_kmeans_random(spark, sf_dir):
     from renewal.operators import models
 
     return models.kmeans_labels(frames.embed(spark, sf_dir), _XS, 2, "random")
+
+
+@register("docq_strat_folds", Q + " UNION ALL ".join(
+    f"""SELECT row_id, {r} AS repeat,
+  CAST((row_number() OVER (PARTITION BY label ORDER BY {hash_sql(10, str(r), 'row_id')}, row_id) - 1) % 5 AS INTEGER) AS fold
+  FROM docq"""
+    for r in range(2)
+))
+def q_docq_strat_folds(spark, sf_dir):
+    return split.strat_folds(frames.docq(spark, sf_dir).select("row_id", "label"), 5, 2, 10)
+
+
+_DOCQ_PROFILED = ["lang", "source", *DOCQ_NUM]
+
+
+@register("docq_distinct_profile", Q + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", {i} AS ordinal, count(DISTINCT {c}) AS nunique_train, count(DISTINCT {c}) AS nunique_test FROM docq"
+    for i, c in enumerate(_DOCQ_PROFILED)
+))
+def q_docq_distinct_profile(spark, sf_dir):
+    d = frames.docq(spark, sf_dir)
+    return profile.distinct_profile(d, d, _DOCQ_PROFILED)
