@@ -8,7 +8,6 @@ without putting a whole class into one task.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -123,10 +122,3 @@ def undersample(df: DataFrame, strategy: float | str = "auto", seed: int = 10, l
     ranked = hash_rank(df, hash_u32(seed, key), tie=key, groups=[label])
     return ranked.where(F.col("_rank") < quota).drop("_rank", "_group_rows")
 
-
-def ceil_div(a: int, b: int) -> int:
-    return -(-a // b) if b else 0
-
-
-def n_test_rows(n: int, test_size: float) -> int:
-    return int(math.ceil(test_size * n))
