@@ -51,6 +51,7 @@ def main() -> None:
     times: dict[str, float] = {}
     rows: dict[str, int] = {}
     quality: dict[str, float] = {}
+    errors: dict[str, str] = {}
     for name in only or HEADLINE:
         fn = qs[name]
         try:
@@ -58,7 +59,11 @@ def main() -> None:
         except Exception:  # noqa: BLE001 - warm-up only
             pass
         t0 = time.time()
-        out = fn(spark, sf_dir).collect()
+        try:
+            out = fn(spark, sf_dir).collect()
+        except Exception as e:  # noqa: BLE001 - recorded, the other queries still run
+            errors[name] = str(e).splitlines()[0][:300]
+            continue
         times[name] = round(time.time() - t0, 3)
         rows[name] = len(out)
         if name in ("flagship", "f1") and out:
@@ -68,9 +73,13 @@ def main() -> None:
     catalog._study(spark, "/root/testdata/sf0.01", 16).collect()
     t0 = time.time()
     n_trials = 32
-    trials = catalog._study(spark, sf_dir, n_trials).collect()
-    quality["best_trial_f1"] = round(max(r["value"] for r in trials), 4)
-    per_trial = round((time.time() - t0) / n_trials, 3)
+    try:
+        trials = catalog._study(spark, sf_dir, n_trials).collect()
+        quality["best_trial_f1"] = round(max(r["value"] for r in trials), 4)
+        per_trial = round((time.time() - t0) / n_trials, 3)
+    except Exception as e:  # noqa: BLE001
+        errors["trial_throughput"] = str(e).splitlines()[0][:300]
+        per_trial = None
     spark.stop()
     sf = sf_dir.rstrip("/").rsplit("sf", 1)[-1]
     print(
@@ -83,6 +92,7 @@ def main() -> None:
                 "rows": rows,
                 "seconds_per_trial": per_trial,
                 "quality": quality,
+                "errors": errors,
                 "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
                 "cpus": cpus,
             }
