@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from renewal.llm import decontamination, licenses, neardup, packing, quality, token_counts, token_ids, toxicity
+from renewal.llm import decontamination, licenses, neardup, packing, quality, suffix_dedup, token_counts, token_ids, toxicity
 from renewal.llm.common import table
 
 
@@ -15,8 +15,7 @@ def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return toxicity.toxicity(docs, table(spark, sf_dir, "labels")).drop("text")
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +26,10 @@ def op5_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(table(spark, sf_dir, "documents"))
 
@@ -44,7 +47,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_dart_minhash, op2_toxicity_chain, op4_host_rules, op5_simhash_decontamination, op7_license_scan, op8_token_counts, op9_best_fit_packing, op10_token_ids]
+    found = [op1_dart_minhash, op2_toxicity_chain, op4_host_rules, op5_simhash_decontamination, op6_suffix_dedup, op7_license_scan, op8_token_counts, op9_best_fit_packing, op10_token_ids]
     return {f.__name__: f for f in found}
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 import numpy as np
@@ -62,3 +63,11 @@ def starts_of(sorted_keys: np.ndarray) -> np.ndarray:
 
 def utf8(texts: Iterable[str | None]) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+
+
+def stash(df: DataFrame) -> DataFrame:
+    """``df`` written as a compressed table in the shared checkpoint folder and read back."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

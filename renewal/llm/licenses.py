@@ -4,7 +4,7 @@ Paragraphs are the lines of a text that hold a word.  A multinomial logistic reg
 sparse word uni- and bigrams (the vocabulary of the templates below) names a paragraph's
 licence family or ``unknown``.  It is trained on the templates, whole and in halves, and on a
 bounded sample of document paragraphs that resemble no template.  The unknown class is
-calibrated: a family needs a probability above what ``1 - FALSE_RATE`` of held-out unknown
+calibrated: families weigh the same in training, and one needs a probability above what ``1 - FALSE_RATE`` of held-out unknown
 paragraphs reach.  A prediction is then compared with the family's templates: ``similarity``
 is the largest share of a template's word 3-grams that the paragraph contains, and
 ``confirmed`` says that it reaches ``MIN_SIMILARITY``.
@@ -86,7 +86,7 @@ TEMPLATES = {
 }
 UNKNOWN = "unknown"
 #: Bound of the sample of unknown paragraphs, its share held out, and what of it may pass.
-MAX_UNKNOWN, FALSE_RATE, MIN_SIMILARITY = 20_000, 0.001, 0.6
+MAX_UNKNOWN, FALSE_RATE, MIN_SIMILARITY = 5_000, 0.001, 0.6
 
 
 def terms(paragraph: Column) -> Column:
@@ -95,19 +95,23 @@ def terms(paragraph: Column) -> Column:
 
 
 def _grams(words: Column, n: int) -> Column:
-    at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+    """Runs of ``n`` words, joined by a space."""
 
+    def of(w: Column) -> Column:
+        at = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.concat_ws(" ", *[F.get(w, i + j) for j in range(n)]))
 
-def _bigrams(words: Column) -> Column:
-    at = F.when(F.size(words) >= 2, F.sequence(F.lit(0), F.size(words) - 2)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1)))
+    return let(words, of)
+
+
+def _terms(words: Column) -> Column:
+    return let(words, lambda w: F.concat(w, _grams(w, 2)))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, paragraph (line number), words: the lines that hold a word."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)).alias("paragraph", "line"))
-    return lines.select("doc_id", "paragraph", terms(F.col("line")).alias("words")).filter(F.size("words") > 0)
+    lines = F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1), terms)
+    return docs.select("doc_id", F.posexplode(lines).alias("paragraph", "words")).filter(F.size("words") > 0)
 
 
 def template_rows(spark: SparkSession) -> DataFrame:
@@ -126,9 +130,10 @@ class Scanner:
         """Paragraphs (with ``words``) that the model gives a family, with its probability."""
         probability = _probabilities(self.vectors, self.model, found, len(self.families))
         names = F.array(*[F.lit(f) for f in self.families])
-        best = let(F.col("_p"), lambda p: F.struct(F.array_max(F.slice(p, 1, len(self.families))).alias("p"), (F.array_position(p, F.array_max(F.slice(p, 1, len(self.families)))) - 1).cast("int").alias("i")))
-        scored = probability.withColumn("_best", best).filter(F.col("_best.p") > self.cut)
-        return scored.withColumn("family", F.get(names, F.col("_best.i"))).withColumn("probability", F.col("_best.p")).drop("_p", "_best")
+        ranked = F.transform(F.slice("_p", 1, len(self.families)), lambda p, i: F.struct(p.alias("p"), (-i).alias("i")))
+        best = F.filter(F.array(F.array_max(ranked)), lambda x: x["p"] > self.cut)
+        scored = probability.select("doc_id", "paragraph", "words", F.explode(best).alias("_best"))  # explode: the model runs once per paragraph
+        return scored.withColumn("family", F.get(names, -F.col("_best.i"))).withColumn("probability", F.col("_best.p")).drop("_best")
 
     def scan(self, docs: DataFrame) -> DataFrame:
         """doc_id, paragraph, family, probability, similarity, confirmed of every predicted paragraph."""
@@ -140,7 +145,7 @@ class Scanner:
 
 
 def _probabilities(vectors: CountVectorizerModel, model: LogisticRegressionModel, df: DataFrame, n: int) -> DataFrame:
-    counted = vectors.transform(df.withColumn("_terms", F.concat(F.col("words"), _bigrams(F.col("words")))))
+    counted = vectors.transform(df.withColumn("_terms", _terms(F.col("words"))))
     return model.transform(counted).withColumn("_p", vector_to_array("_probability")).drop("_terms", "_x", "_probability")
 
 
@@ -149,7 +154,7 @@ def fit(docs: DataFrame, max_unknown: int = MAX_UNKNOWN) -> Scanner:
     spark = docs.sparkSession
     templates = template_rows(spark)
     families = [*TEMPLATES]
-    vocabulary = [r[0] for r in templates.select(F.explode(F.array_distinct(F.concat("words", _bigrams(F.col("words")))))).distinct().sort("col").collect()]  # fixed by TEMPLATES
+    vocabulary = [r[0] for r in templates.select(F.explode(F.array_distinct(_terms(F.col("words"))))).distinct().sort("col").collect()]  # fixed by TEMPLATES
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="_terms", outputCol="_x")
     vectors.setBinary(True)
     label = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")).cast("double") - 1
@@ -164,9 +169,12 @@ def fit(docs: DataFrame, max_unknown: int = MAX_UNKNOWN) -> Scanner:
     good = templates.select("family", F.explode(F.array_distinct(F.filter(pieces, lambda p: F.size(p) >= 4))).alias("words")).unionByName(templates.select("family", "words")).withColumn("label", label)
     empty = templates.limit(1).select(F.lit(UNKNOWN).alias("family"), F.array(F.lit("")).alias("words"), F.lit(float(len(families))).alias("label"))
     rows = good.unionByName(empty).unionByName(unlike.filter(~F.col("held")).drop("held")).coalesce(4)
-    counted = vectors.transform(rows.withColumn("_terms", F.concat(F.col("words"), _bigrams(F.col("words")))))
-    lr = LogisticRegression(featuresCol="_x", labelCol="label", probabilityCol="_probability", rawPredictionCol="", predictionCol="", regParam=1e-4, maxIter=80, standardization=False, family="multinomial")
-    model = lr.fit(materialise(counted.select("_x", "label")))
+    counted = vectors.transform(rows.withColumn("_terms", _terms(F.col("words"))))
+    counted = materialise(counted.select("_x", "label"))
+    sizes = {r["label"]: r["n"] for r in counted.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per family
+    weight = F.coalesce(*[F.when(F.col("label") == c, F.lit(1.0 / n)) for c, n in sizes.items()])
+    lr = LogisticRegression(featuresCol="_x", labelCol="label", weightCol="weight", probabilityCol="_probability", rawPredictionCol="", predictionCol="", regParam=1e-3, maxIter=40, tol=1e-4, family="multinomial")
+    model = lr.fit(counted.withColumn("weight", weight))
     top = _probabilities(vectors, model, unlike.filter("held"), len(families)).select(F.array_max(F.slice("_p", 1, len(families))).alias("p"))
     high = top.agg(F.percentile(F.col("p"), 1 - FALSE_RATE)).first()[0]
     return Scanner(vectors, model, families, min(0.95, max(0.5, high or 0.0)), templates)

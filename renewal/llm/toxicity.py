@@ -1,101 +1,157 @@
 """Toxicity by a classifier chain of sparse linear models.
 
-Categories are predicted one after the other.  The model of a category sees hashed words and
-the probabilities of the categories before it; in training those probabilities are out of
-fold, so a later model learns from predictions as honest as the ones it gets when scoring.
-The models are L1-regularised logistic regressions on which of a text's words occur.
+Categories are predicted one after the other.  The model of a category sees which hashed words
+a text has and the log-odds that the chain gave the categories before it; in training those
+are out of fold, so a later model learns from predictions as honest as the ones it gets when
+scoring.  The models are logistic regressions with L1 shrinkage, fitted by numpy.
 
-The models are fitted on a sample of the labelled rows of at most about ``max_rows``
-(chosen by a hash of the id); every document is scored, whole.
+The models are fitted on a sample of the labelled rows of at most about ``MAX_ROWS`` (chosen by
+a hash of the id); that bound keeps the fit on the driver small.  Every document is scored,
+whole, in Arrow batches.
 
 Defined results: a null text has no words; labels of unknown documents and null labels are
 left out; a document labelled more than once has the larger value; repeated documents are
-scored each; an empty table gives no rows; a category with a single value in the sample has that
-value as its probability; other columns of the documents are kept as they are.
+scored each; an empty table gives no rows; without labelled rows every probability is 0.5, and
+with labels of one value only it tends to that value; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from renewal.llm.common import materialise
-
-#: Bound of the training sample, folds, hashed features, L1 strength and cut of the verdict.
-MAX_ROWS, FOLDS, FEATURES, REGULARISATION, CUT = 20_000, 3, 1 << 18, 2e-4, 0.5
-
-
-def _features(docs: DataFrame, text: str, out: str, n: int) -> DataFrame:
-    words = F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"))
-    tf = HashingTF(inputCol="_chain_words", outputCol=out, numFeatures=n, binary=True)
-    return tf.transform(docs.withColumn("_chain_words", words)).drop("_chain_words")
-
-
-class Constant:
-    """Stands for a model where the sample has one value only."""
-
-    def __init__(self, value: float):
-        self.value = value
+#: Bound of the training sample, folds, hashed features, texts needed to keep a feature.
+MAX_ROWS, FOLDS, FEATURES, LEAST_TEXTS = 20_000, 3, 1 << 20, 3
+#: L1 strength, steps of the fit, cut of the verdict, texts handled at once.
+SHRINK, STEPS, CUT, TEXTS = 2e-5, 80, 0.5, 2000
+_PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "\u00bf\u00a1\u00ab\u00bb"
+
+
+def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hashed word) of the distinct words of every text, sorted."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    coded = lists.flatten().dictionary_encode()
+    words = [k.lower().strip(_PUNCTUATION) for k in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+    hashed = np.array([zlib.crc32(w.encode()) % FEATURES if w else -1 for w in words], np.int64)
+    doc = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    ids = hashed[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
+    both = np.unique(doc[ids >= 0] * FEATURES + ids[ids >= 0])
+    return both // FEATURES, both % FEATURES
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+class Linear:
+    """Logistic regression on sparse 0/1 features and a few dense ones (the chain's log-odds)."""
+
+    def __init__(self, n_dense: int):
+        self.weights, self.dense, self.bias = np.zeros(FEATURES, np.float32), np.zeros(n_dense), 0.0
+
+    def odds(self, doc: np.ndarray, ids: np.ndarray, dense: np.ndarray) -> np.ndarray:
+        return np.bincount(doc, self.weights[ids], len(dense)) + dense @ self.dense + self.bias
+
+    def fit(self, doc: np.ndarray, ids: np.ndarray, dense: np.ndarray, y: np.ndarray) -> Linear:
+        n, k = len(y), dense.shape[1]
+        known, code = np.unique(ids, return_inverse=True)
+        some = np.bincount(code, minlength=len(known)) >= LEAST_TEXTS
+        new = np.cumsum(some) - 1
+        doc, code, known = doc[some[code]], new[code[some[code]]], known[some]
+        m = len(known)
+        w, mean, square = np.zeros(m + k + 1), np.zeros(m + k + 1), np.zeros(m + k + 1)
+        if n:
+            rate = (y.sum() + 0.5) / (n + 1)
+            w[-1] = np.log(rate / (1 - rate))
+        for t in range(1, STEPS + 1 if n else 1):  # Adam, then soft thresholding of the word weights
+            p = _sigmoid(np.bincount(doc, w[code], n) + dense @ w[m : m + k] + w[-1])
+            r = (p - y) / n
+            g = np.concatenate([np.bincount(code, r[doc], m), r @ dense, [r.sum()]])
+            mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
+            step = 0.15 / (np.sqrt(square / (1 - 0.99**t)) + 1e-5)
+            w -= step * mean / (1 - 0.9**t)
+            w[:m] = np.sign(w[:m]) * np.maximum(0, np.abs(w[:m]) - step[:m] * SHRINK)
+        self.weights[known], self.dense, self.bias = w[:m], w[m : m + k], float(w[-1])
+        return self
 
 
 class Chain:
     """Fitted models by category, in order."""
 
-    def __init__(self, models: list[tuple[str, LogisticRegressionModel | Constant]], n_features: int):
-        self.models, self.n_features = models, n_features
-
-    def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """``docs`` with a column ``p_<category>`` for each category."""
-        out = _features(docs, text, "_chain_x", self.n_features)
-        for i, (name, model) in enumerate(self.models):
-            out = _with_earlier(out, [f"p_{n}" for n, _ in self.models[:i]])
-            out = _probability(model, out, f"p_{name}")
-        return out.drop("_chain_x")
-
-
-def _with_earlier(df: DataFrame, earlier: list[str]) -> DataFrame:
-    if not earlier:
-        return df.withColumn("_chain_f", F.col("_chain_x"))
-    return VectorAssembler(inputCols=["_chain_x", *earlier], outputCol="_chain_f").transform(df)
+    def __init__(self, names: list[str]):
+        self.names, self.models = names, [Linear(i) for i in range(len(names))]
+
+    def fit(self, doc: np.ndarray, ids: np.ndarray, labels: np.ndarray, fold: np.ndarray) -> Chain:
+        odds = np.zeros((len(labels), 0))
+        for i, model in enumerate(self.models):
+            model.fit(doc, ids, odds, labels[:, i])
+            if i + 1 < len(self.models):
+                own = np.zeros(len(labels))
+                for k in range(FOLDS):  # out of fold: from a model that has not seen the row
+                    seen = fold != k
+                    place = np.cumsum(seen) - 1
+                    part = seen[doc]
+                    other = Linear(i).fit(place[doc[part]], ids[part], odds[seen], labels[seen, i])
+                    own[~seen] = other.odds(doc, ids, odds)[~seen]
+                odds = np.column_stack([odds, own])
+        return self
+
+    def probabilities(self, doc: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+        odds = np.zeros((n, 0))
+        for model in self.models:
+            odds = np.column_stack([odds, model.odds(doc, ids, odds)])
+        return _sigmoid(odds)
+
+
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], max_rows: int = MAX_ROWS) -> Chain:
+    """Fit the chain.  ``categories``: name and 0/1 value over the label columns, in chain order."""
+    names = list(categories)
+    marks = labels.select("doc_id", *[c.cast("double").alias(n) for n, c in categories.items()])
+    marks = marks.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in ("doc_id", *names)]))
+    marks = marks.groupBy("doc_id").agg(*[F.max(n).alias(n) for n in names])
+    share = min(1.0, max_rows / max(1, marks.count()))
+    some = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
+    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most about max_rows rows
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), *[F.first(n).alias(n) for n in names]).select("text", fold, F.array(*names).alias("labels"))
 
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, ids = features(batch.column("text"))
+            ends = np.r_[0, np.cumsum(np.bincount(doc, minlength=len(batch)))].astype(np.int32)
+            yield pa.RecordBatch.from_pydict({"fold": batch.column("fold"), "labels": batch.column("labels"), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))})
 
-def _probability(model: LogisticRegressionModel | Constant, df: DataFrame, out: str) -> DataFrame:
-    if isinstance(model, Constant):
-        return df.withColumn(out, F.lit(model.value)).drop("_chain_f")
-    return model.transform(df).withColumn(out, vector_to_array("_chain_p")[1]).drop("_chain_f", "_chain_p")
+    rows = texts.mapInArrow(words, "fold int, labels array<double>, ids array<int>").toArrow()
+    n = rows.num_rows
+    lists = rows.column("ids").combine_chunks() if n else pa.array([], pa.list_(pa.int32()))
+    ids = lists.flatten().to_numpy().astype(np.int64)
+    doc = np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy(zero_copy_only=False)) if n else np.zeros(0, np.int64)
+    values = np.array(rows.column("labels").to_pylist(), float).reshape(n, len(names))
+    return Chain(names).fit(doc, ids, values, rows.column("fold").to_numpy())
 
 
-def _fit(df: DataFrame, label: str, strength: float) -> LogisticRegressionModel | Constant:
-    mean, low, high = df.agg(F.avg(label), F.min(label), F.max(label)).first()
-    if mean is None or low == high:
-        return Constant(float(mean or 0.0))
-    lr = LogisticRegression(featuresCol="_chain_f", labelCol=label, probabilityCol="_chain_p", rawPredictionCol="", predictionCol="", elasticNetParam=1.0, regParam=strength, maxIter=60, standardization=False)
-    return lr.fit(df)
+def score(docs: DataFrame, chain: Chain) -> DataFrame:
+    """doc_id and ``p_<category>`` of every row."""
+    spark = docs.sparkSession
+    model = spark.sparkContext.broadcast(chain)  # FEATURES weights per category
+    names = chain.names
 
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), TEXTS):
+                some = batch.slice(i, TEXTS)
+                p = model.value.probabilities(*features(some.column("text")), len(some))
+                yield pa.RecordBatch.from_pydict({"doc_id": some.column("doc_id")} | {f"p_{n}": p[:, j] for j, n in enumerate(names)})
 
-def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], max_rows: int = MAX_ROWS, folds: int = FOLDS, n_features: int = FEATURES, strength: float = REGULARISATION) -> Chain:
-    """Fit the chain.  ``categories``: name and 0/1 value over the label columns, in chain order."""
-    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in ("doc_id", *categories)])
-    marks = labels.select("doc_id", *[c.cast("double").alias(n) for n, c in categories.items()]).filter(known)
-    marks = marks.groupBy("doc_id").agg(*[F.max(n).alias(n) for n in categories])
-    share = min(1.0, max_rows / max(1, marks.count()))
-    some = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most about max_rows rows
-    rows = _features(texts, "text", "_chain_x", n_features).withColumn("_chain_fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(folds)))
-    rows = materialise(rows.drop("text").coalesce(8))
-    models, names = [], list(categories)
-    for i, name in enumerate(names):
-        rows = _with_earlier(rows, [f"p_{n}" for n in names[:i]])
-        models.append((name, _fit(rows, name, strength)))
-        if i + 1 < len(names):  # out of fold: each row's probability from the model that has not seen it
-            held = [_probability(_fit(rows.filter(F.col("_chain_fold") != k), name, strength), rows.filter(F.col("_chain_fold") == k), f"p_{name}") for k in range(folds)]
-            rows = materialise(reduce(DataFrame.unionByName, held).coalesce(8))
-    return Chain(models, n_features)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(predict, "doc_id long, " + ", ".join(f"p_{n} double" for n in names))
 
 
 def label_categories() -> dict[str, Column]:
@@ -103,7 +159,7 @@ def label_categories() -> dict[str, Column]:
     return {"junk": 1 - F.col("quality"), "toxic": F.col("toxic")}
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, cut: float = CUT, training_docs: DataFrame | None = None) -> DataFrame:
-    """``docs`` with p_junk, p_toxic and is_toxic, by a chain fitted on ``labels``."""
-    chain = fit_chain(docs if training_docs is None else training_docs, labels, label_categories())
-    return chain.score(docs).withColumn("is_toxic", F.col("p_toxic") >= cut)
+def toxicity(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
+    """Per document: doc_id, p_junk, p_toxic and is_toxic, by a chain fitted on ``labels``."""
+    chain = fit_chain(docs, labels, label_categories())
+    return score(docs, chain).withColumn("is_toxic", F.col("p_toxic") >= cut)
