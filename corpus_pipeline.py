@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from renewal.llm import packing
+from renewal.llm import decontamination, neardup, packing, suffix_dedup, toxicity
 from renewal.llm.common import table
 from renewal.session import ensure_checkpoint_dir
 
@@ -14,12 +15,40 @@ from renewal.session import ensure_checkpoint_dir
 ORACLE_SQL = None
 
 
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain, fitted on ``labels``, does not find toxic."""
+    chain = toxicity.fit_chain(docs, table(spark, sf_dir, "labels"), toxicity.label_categories())
+    return toxicity.without_toxic(docs, chain)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    return neardup.without_near_duplicates(docs)
+
+
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the 50-byte passages that an earlier one holds; n_chars follows."""
+    cut = suffix_dedup.dedup_texts(docs)
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window like an item of ``benchmark``."""
+    return decontamination.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the kept documents with their places in training sequences."""
     return packing.pack(docs)
 
 
-STAGES = [("best-fit packing", best_fit_packing)]
+STAGES = [
+    ("toxicity", toxicity_filter),
+    ("MinHash near-dedup", near_dedup),
+    ("suffix-array dedup", passage_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("best-fit packing", best_fit_packing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

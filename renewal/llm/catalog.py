@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from renewal.llm import decontamination, licenses, neardup, packing, quality, suffix_dedup, token_counts, token_ids, toxicity
+from renewal.llm import decontamination, language_model, licenses, neardup, packing, quality, suffix_dedup, token_counts, token_ids, toxicity
 from renewal.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_dart_minhash, op2_toxicity_chain, op4_host_rules, op5_simhash_decontamination, op6_suffix_dedup, op7_license_scan, op8_token_counts, op9_best_fit_packing, op10_token_ids]
+    found = [op1_dart_minhash, op2_toxicity_chain, op3_maxent_lm, op4_host_rules, op5_simhash_decontamination, op6_suffix_dedup, op7_license_scan, op8_token_counts, op9_best_fit_packing, op10_token_ids]
     return {f.__name__: f for f in found}
 
 

@@ -118,3 +118,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, mi
     checked = pairs.join(items.select("item_id", F.col("h").alias("item_h")), "item_id").withColumn("similarity", similarity(F.col("h"), F.col("item_h")))
     best = checked.filter(F.col("similarity") >= min_similarity).groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", -F.col("start"))).alias("b"))
     return best.select("doc_id", "item_id", (-F.col("b.col2")).cast("int").alias("start"), F.col("b.similarity").alias("similarity"))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without those that hold a window like a benchmark item."""
+    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)

@@ -315,3 +315,10 @@ def near_duplicates(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) ->
     of = of.join(classes, "label").select("node", "class_id")
     joined = signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(of, "node", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
     return joined.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
+    """``docs`` with the first document of each class only; rows that repeat id and text count once."""
+    found = near_duplicates(docs, min_similarity)
+    dropped = found.filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -163,3 +164,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """Per document: doc_id, p_junk, p_toxic and is_toxic, by a chain fitted on ``labels``."""
     chain = fit_chain(docs, labels, label_categories())
     return score(docs, chain).withColumn("is_toxic", F.col("p_toxic") >= cut)
+
+
+def without_toxic(docs: DataFrame, chain: Chain, cut: float = CUT) -> DataFrame:
+    """The rows of ``docs`` whose last category's probability is below ``cut``, all columns kept."""
+    model = docs.sparkSession.sparkContext.broadcast(chain)
+
+    def clean(text: pd.Series) -> pd.Series:
+        texts = pa.array(text, pa.large_string(), from_pandas=True)
+        found = [model.value.probabilities(*features(texts.slice(i, TEXTS)), len(texts.slice(i, TEXTS)))[:, -1] for i in range(0, len(texts), TEXTS)]
+        return pd.Series(np.concatenate(found) < cut if found else np.zeros(0, bool))
+
+    return docs.filter(F.pandas_udf(clean, "boolean")("text"))
