@@ -1,4 +1,7 @@
-"""Exact k-nearest neighbours as an equi-join band search.
+"""Exact k-nearest neighbours (N1): copies collapsed, then a search over distinct vectors.
+
+``knn`` searches leaves on all coordinates (``leaves``).  The band search below serves callers
+with a distance of their own (kNN imputation).
 
 No cross join and no all-pairs block: points are ordered along one unit direction ``w``
 (the base table's principal axis), and since ``|w·a − w·b| ≤ ‖a − b‖`` every neighbour within
@@ -28,6 +31,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from renewal.operators.leaves import leaf_knn
 from renewal.operators.reduce import gram
 from renewal.session import ensure_checkpoint_dir
 
@@ -272,23 +276,20 @@ def knn(
     proj_w: Sequence[float] | None = None,
     d2_fn=None,
     metric: str = "euclidean",
-    grid: bool | None = None,
-    cells_per_slab: int = 16,
 ) -> DataFrame:
     """k nearest base rows for every query row by ``(distance², neighbour key)``; ``query=None``
     is the self join (a row is not its own neighbour).  ``extra`` base columns (e.g. ``label``)
     are carried as ``nb_<col>``.
 
-    Exact copies are collapsed first: the band search runs over distinct vectors (each keyed
+    Exact copies are collapsed first: the search runs over distinct vectors (each keyed
     by its smallest row key), and every row then picks its k best from a bounded array — its
     vector's k+1 smallest keys at distance 0 plus the k smallest keys of each of the k nearest
     other vectors.  Choosing vectors by ``(distance, smallest key)`` is enough: a key of the
     true top k always belongs to one of them.  No window ever spans a group of copies.
 
     ``metric='manhattan'`` ranks by the L1 distance (the ``d2`` column then holds it as is).
-    ``grid`` selects the two-axis search (``_band_knn_2d``); by default it is used for plain
-    Euclidean searches over at least ``GRID_MIN_ROWS`` distinct base vectors, where a second
-    axis prunes most of the band.
+    The search runs over leaves on all coordinates (``leaves.leaf_knn``); a caller's own
+    distance (``d2_fn``, ``proj_w``: kNN imputation) takes the band search along its direction.
     """
     spark = base.sparkSession
     feats, extra = list(feats), list(extra)
@@ -303,20 +304,12 @@ def knn(
         qv = bv.select(*feats, F.col("_vk").alias("_qvk"))
     else:
         qv = query.groupBy(*feats).agg(F.min(key).alias("_qvk"))
-    plain = metric == "euclidean" and d2_fn is None and proj_w is None and len(feats) >= 3
-    use_grid = plain and (grid if grid is not None else bv.count() >= GRID_MIN_ROWS)
-    if use_grid:
-        vn = _band_knn_2d(
-            None if query is None else qv.select(F.col("_qvk").alias("_k"), *feats),
-            bv.select(F.col("_vk").alias("_k"), *feats),
-            feats, k, key="_k", bucket_rows=bucket_rows, cells_per_slab=cells_per_slab, max_rounds=max_rounds,
-        )
+    vq = None if query is None else qv.select(F.col("_qvk").alias("_k"), *feats)
+    vb = bv.select(F.col("_vk").alias("_k"), *feats)
+    if proj_w is None and d2_fn is None:
+        vn = leaf_knn(vq, vb, feats, k, metric)
     else:
-        vn = _band_knn(
-            None if query is None else qv.select(F.col("_qvk").alias("_k"), *feats),
-            bv.select(F.col("_vk").alias("_k"), *feats),
-            feats, k, key="_k", bucket_rows=bucket_rows, max_rounds=max_rounds, proj_w=proj_w, d2_fn=d2_fn, metric=metric,
-        )
+        vn = _band_knn(vq, vb, feats, k, key="_k", bucket_rows=bucket_rows, max_rounds=max_rounds, proj_w=proj_w, d2_fn=d2_fn, metric=metric)
     nkeys = bv.select(F.col("_vk").alias("neighbor_key"), F.slice("_keys", 1, k).alias("_nkeys"))
     cand = (
         vn.join(nkeys, "neighbor_key")
@@ -343,146 +336,3 @@ def knn(
         F.col("_e.d2").alias("d2"),
         (F.col("_e.d2") if metric == "manhattan" else F.sqrt(F.col("_e.d2"))).alias("dist"),
     )
-
-
-GRID_MIN_ROWS = 1 << 21
-
-
-def principal_directions(df: DataFrame, feats: Sequence[str], n_dirs: int = 2) -> np.ndarray:
-    """The ``n_dirs`` leading orthonormal principal directions (columns), sign-fixed."""
-    n, s, g = gram(df, feats)
-    p = len(feats)
-    if n < 2:
-        return np.eye(p)[:, :n_dirs]
-    mean = s / n
-    cov = (g - n * np.outer(mean, mean)) / (n - 1)
-    w, vecs = np.linalg.eigh(cov)
-    v = vecs[:, np.argsort(w)[::-1][:n_dirs]]
-    for j in range(v.shape[1]):
-        if v[int(np.argmax(np.abs(v[:, j]))), j] < 0:
-            v[:, j] = -v[:, j]
-    return v
-
-
-def _band_knn_2d(
-    query: DataFrame | None,
-    base: DataFrame,
-    feats: Sequence[str],
-    k: int,
-    key: str = "row_id",
-    bucket_rows: int = BUCKET_ROWS,
-    cells_per_slab: int = 16,
-    max_rounds: int = 64,
-) -> DataFrame:
-    """Band search on a two-axis grid (same contract as ``_band_knn``, Euclidean only).
-
-    Points are ranked along the principal axis into slabs of ``bucket_rows·cells_per_slab``
-    rows, and inside each slab along the second axis into cells of ``bucket_rows`` rows (both
-    ranks are exact; a slab is bounded, so its window is too).  Round 0 probes the query's cell
-    and the two next to it.  Each later round probes the slabs of a growing window around the
-    query, but only their cells whose p2 range meets ``p2_q ± d_k`` (d_k from the rounds
-    before; it only shrinks).  Because ``|Δp1|, |Δp2| ≤ distance`` for orthonormal axes, a
-    query is settled once its slab window covers ``p1_q ± d_k`` after round 0.
-    """
-    spark = base.sparkSession
-    ensure_checkpoint_dir(spark)
-    feats = list(feats)
-    w = principal_directions(base, feats, 2)
-    p1, p2 = linear(feats, w[:, 0]), linear(feats, w[:, 1])
-    self_join = query is None
-    cols = [key, *feats]
-    if self_join:
-        pts = base.select(*cols).withColumn("_isq", F.lit(True)).withColumn("_isb", F.lit(True))
-    else:
-        pts = query.select(*cols).withColumn("_isq", F.lit(True)).withColumn("_isb", F.lit(False)).unionByName(
-            base.select(*cols).withColumn("_isq", F.lit(False)).withColumn("_isb", F.lit(True))
-        )
-    pts = pts.withColumn("_p", p1).withColumn("_p2", p2)
-    slab_rows = bucket_rows * cells_per_slab
-    ranked = value_rank(pts, "_p", ["_isb", key]).withColumn("_s", F.floor(F.col("_rank") / slab_rows).cast("bigint"))
-    # inside a slab (at most slab_rows rows) the rank along the second axis gives the cell
-    in_slab = Window.partitionBy("_s").orderBy("_p2", "_isb", key)
-    ranked = ranked.withColumn("_c", F.floor((F.row_number().over(in_slab) - 1) / bucket_rows).cast("bigint")).checkpoint()
-    slabs = ranked.groupBy("_s").agg(F.min("_p").alias("_s_lo"), F.max("_p").alias("_s_hi")).checkpoint()
-    cells = ranked.where("_isb").groupBy("_s", "_c").agg(F.min("_p2").alias("_c_lo"), F.max("_p2").alias("_c_hi")).checkpoint()
-    last = slabs.agg(F.max("_s")).collect()[0][0]
-    dtypes = dict(base.dtypes)
-    if last is None:
-        return spark.createDataFrame([], f"{key} {dtypes[key]}, neighbor_key {dtypes[key]}, nn_rank int, d2 double, dist double")
-    b = ranked.where("_isb").select(F.col("_s").alias("_ps"), F.col("_c").alias("_pc"), F.col(key).alias("neighbor_key"), *[F.col(c).alias(f"_b_{c}") for c in feats])
-    fcols = [key, *[f"_q_{c}" for c in feats], "_qp", "_qp2", "_qs", "_qc", "_lo", "_hi"]
-    frontier = ranked.where("_isq").select(
-        F.col(key), *[F.col(c).alias(f"_q_{c}") for c in feats], F.col("_p").alias("_qp"), F.col("_p2").alias("_qp2"),
-        F.col("_s").alias("_qs"), F.col("_c").alias("_qc"), F.lit(None).cast("bigint").alias("_lo"), F.lit(None).cast("bigint").alias("_hi"),
-        F.lit(None).cast("double").alias("_dk2"),
-    )
-    ncols = ["neighbor_key", "d2"]
-    ntype = dtypes[key]
-    carried = None
-    done = []
-    half = 1
-    empty = F.array().cast("array<bigint>")
-    for rnd in range(max_rounds):
-        if rnd == 0:
-            probe = frontier.select(*fcols, F.col("_qs").alias("_ps"), F.explode(F.sequence(F.col("_qc") - 1, F.col("_qc") + 1)).alias("_pc"))
-            new_lo, new_hi = F.col("_qs"), F.col("_qs")
-        else:
-            new_lo = F.greatest(F.col("_qs") - half, F.lit(0))
-            new_hi = F.least(F.col("_qs") + half, F.lit(last))
-            if rnd == 1:
-                slabs_new = F.sequence(new_lo, new_hi)
-            else:
-                left = F.when(new_lo < F.col("_lo"), F.sequence(new_lo, F.col("_lo") - 1)).otherwise(empty)
-                right = F.when(new_hi > F.col("_hi"), F.sequence(F.col("_hi") + 1, new_hi)).otherwise(empty)
-                slabs_new = F.concat(left, right)
-            per_slab = frontier.select(*fcols, "_dk2", F.explode(slabs_new).alias("_ps"))
-            radius = F.coalesce(F.sqrt(F.col("_dk2")), F.lit(float("inf")))
-            eps = F.lit(1e-9) * (F.lit(1.0) + F.abs(F.col("_qp2")) + F.coalesce(F.sqrt(F.col("_dk2")), F.lit(0.0)))
-            hit = per_slab.join(cells.withColumnRenamed("_s", "_ps").withColumnRenamed("_c", "_pc"), "_ps").where(
-                (F.col("_c_hi") >= F.col("_qp2") - radius - eps) & (F.col("_c_lo") <= F.col("_qp2") + radius + eps)
-            )
-            if rnd == 1:
-                # the three cells of round 0 are already in the state
-                hit = hit.where(~((F.col("_ps") == F.col("_qs")) & (F.col("_pc") >= F.col("_qc") - 1) & (F.col("_pc") <= F.col("_qc") + 1)))
-            probe = hit.select(*fcols, "_ps", "_pc")
-        cand = probe.join(b, ["_ps", "_pc"])
-        if self_join:
-            cand = cand.where(F.col(key) != F.col("neighbor_key"))
-        cand = cand.select(*fcols, "neighbor_key", sq_dist([f"_q_{c}" for c in feats], [f"_b_{c}" for c in feats]).alias("d2"))
-        sentinel = frontier.select(*fcols, F.lit(None).cast(ntype).alias("neighbor_key"), F.lit(None).cast("double").alias("d2"))
-        rows = cand.unionByName(sentinel)
-        if carried is not None:
-            rows = rows.unionByName(carried.select(*fcols, *ncols))
-        per_q = Window.partitionBy(key)
-        state = (
-            rows.withColumn("nn_rank", F.row_number().over(per_q.orderBy(F.col("d2").asc_nulls_last(), "neighbor_key")))
-            .where((F.col("nn_rank") <= k) | F.col("neighbor_key").isNull())
-            .withColumn("_lo", new_lo)
-            .withColumn("_hi", new_hi)
-            .withColumn("_n", F.count("neighbor_key").over(per_q))
-            .withColumn("_dk2", F.when(F.count("neighbor_key").over(per_q) >= k, F.max("d2").over(per_q)))
-        )
-        lo_s = slabs.select(F.col("_s").alias("_lo"), F.col("_s_lo").alias("_lo_edge"))
-        hi_s = slabs.select(F.col("_s").alias("_hi"), F.col("_s_hi").alias("_hi_edge"))
-        state = state.join(lo_s, "_lo", "left").join(hi_s, "_hi", "left")
-        dk = F.sqrt(F.col("_dk2"))
-        eps = F.lit(1e-9) * (F.lit(1.0) + F.abs(F.col("_qp")) + F.coalesce(dk, F.lit(0.0)))
-        full = F.col("_n") >= k
-        left_ok = (F.col("_lo") == 0) | (full & (F.col("_lo_edge") < F.col("_qp") - dk - eps))
-        right_ok = (F.col("_hi") == last) | (full & (F.col("_hi_edge") > F.col("_qp") + dk + eps))
-        settled = F.lit(rnd >= 1) & left_ok & right_ok
-        state = state.withColumn("_settled", settled).drop("_n", "_lo_edge", "_hi_edge").checkpoint()
-        done.append(state.where(F.col("_settled") & F.col("neighbor_key").isNotNull()).select(key, "nn_rank", *ncols))
-        open_ = state.where(~F.col("_settled"))
-        frontier = open_.where(F.col("neighbor_key").isNull()).select(*fcols, "_dk2")
-        carried = open_.where(F.col("neighbor_key").isNotNull())
-        if frontier.isEmpty():
-            break
-        if rnd >= 1:
-            half *= 4
-    else:
-        raise RuntimeError("knn: grid search did not settle; raise max_rounds")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.select(key, "neighbor_key", F.col("nn_rank").cast("int").alias("nn_rank"), "d2", F.sqrt("d2").alias("dist"))

@@ -34,7 +34,7 @@ renewal AS (
 
 EMBED_SQL = (
     "embed AS (SELECT vec_id AS row_id, "
-    + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(8))
+    + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(64))
     + ", CAST(CASE WHEN label = 0 THEN 1 ELSE 0 END AS INTEGER) AS label FROM embeddings)"
 )
 

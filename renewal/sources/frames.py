@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CUTOFF = "2000-01-01"
-EMBED_DIMS = 8
+EMBED_DIMS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,7 +77,7 @@ RENEWAL_FEATURES = (
 
 
 def embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First eight embedding coordinates as doubles; label 1 = source class 0 (about 10 %)."""
+    """All embedding coordinates as doubles; label 1 = source class 0 (about 10 %)."""
     e = table(spark, sf_dir, "embeddings")
     return e.select(
         e.vec_id.alias("row_id"),
