@@ -43,9 +43,9 @@ def l2_normalize(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     for c in cols:
         t = F.col(c).cast("double") * F.col(c).cast("double")
         sq = t if sq is None else sq + t
-    norm = F.sqrt(sq)
+    norm = F.col("_norm")
     keep = [c for c in df.columns if c not in cols]
-    return df.select(
+    return df.withColumn("_norm", F.sqrt(sq)).select(  # a column of its own: computed once per row
         *keep,
         *[F.when(norm > 0, F.col(c).cast("double") / norm).otherwise(F.col(c).cast("double")).alias(c) for c in cols],
     )

@@ -2,7 +2,8 @@
 
 Randomness is ``md5(seed:key:copy:purpose)``, so a resample is reproducible under any
 partitioning and re-computable in SQL.  Synthetic rows get negative keys
-``-(1 + seed_rank·max_copies + copy)``; their label is the minority class.
+``-(1 + seed_rank·max_copies + copy)``, below the smallest key if the input has synthetic rows
+already; their label is the minority class.
 
 Over-samplers spread the G rows to create over their seed rows (evenly for SMOTE and
 borderline SMOTE, by majority-neighbour share for ADASYN); every copy picks one of the
@@ -39,11 +40,34 @@ def over_total(counts: dict[int, int], strategy: float | str = "auto", minority:
         if g < 0:
             raise ValueError(f"ratio {strategy} is below the current minority/majority ratio {n_min / max(n_maj, 1):.4f}; over-sampling cannot remove rows")
         return g
-    if strategy in ("auto", "minority", "not majority", "not minority", "all"):
+    if strategy == "not minority":  # names the other classes, which are as large as they get
+        return 0
+    if strategy in ("auto", "minority", "not majority", "all"):
         return max(n_maj - n_min, 0)
     raise ValueError(f"unknown sampling strategy {strategy!r}")
 
 
+def cleaned_classes(counts: dict[int, int], strategy: str = "auto") -> list[int]:
+    """Classes that a cleaner may remove rows of (imbalanced-learn semantics).
+
+    'auto' and 'not minority': all but the smallest class; 'majority': the largest;
+    'not majority': all but the largest; 'all': every class.  Others raise.
+    """
+    if strategy not in ("auto", "not minority", "majority", "not majority", "all"):
+        raise ValueError(f"unknown sampling strategy {strategy!r} for a cleaner")
+    if not counts:
+        return []
+    minority = min(counts, key=lambda c: (counts[c], -c))
+    majority = max(counts, key=lambda c: (counts[c], -c))
+    left_out = {"auto": {minority}, "not minority": {minority}, "majority": set(counts) - {majority}, "not majority": {majority}, "all": set()}[strategy]
+    return sorted(set(counts) - left_out)
+
+
+def _check_neighbours(n_minority: int, k: int) -> None:
+    if n_minority <= k:
+        raise ValueError(f"{n_minority} minority rows have fewer than k = {k} minority neighbours each")
+
+
 def _interpolate(
     seeds: DataFrame,
     neighbors: DataFrame,
@@ -53,6 +77,7 @@ def _interpolate(
     key: str,
     label: str,
     max_copies: int,
+    below: int = 0,
 ) -> DataFrame:
     """Synthetic rows from ``seeds(key, _srank, _copies, feats…)`` and minority neighbours."""
     copies = F.when(F.col("_copies") > 0, F.sequence(F.lit(0), F.col("_copies").cast("int") - 1)).otherwise(F.array().cast("array<int>"))
@@ -62,12 +87,17 @@ def _interpolate(
     nb = neighbors.select(key, "nn_rank", *[F.col(f"nb_{c}") for c in feats])
     j = exploded.join(nb, [key, "nn_rank"])
     return j.select(
-        (-(F.lit(1) + F.col("_srank") * F.lit(max_copies) + F.col("_j"))).cast("bigint").alias(key),
+        (F.lit(below) - (F.lit(1) + F.col("_srank") * F.lit(max_copies) + F.col("_j"))).cast("bigint").alias(key),
         *[(F.col(c) + F.col("_u") * (F.col(f"nb_{c}") - F.col(c))).alias(c) for c in feats],
         F.lit(MINORITY).cast("int").alias(label),
     )
 
 
+def _lowest_key(data: DataFrame, key: str) -> int:
+    """0, or the smallest key if the rows already hold synthetic (negative) ones."""
+    return min(0, data.agg(F.min(key)).first()[0] or 0)
+
+
 def _even_copies(seeds: DataFrame, g: int, seed: int, key: str) -> tuple[DataFrame, int]:
     """Spread g copies over the seed rows: G//s each, one more for the first G%s in hash order."""
     ranked = hash_rank(seeds, hash_u32(seed, key, F.lit("seed")), tie=key, out="_srank")
@@ -87,14 +117,16 @@ def smote(
     """R2 (and R3/R4 through ``seeds_filter``): original rows plus the synthetic minority rows."""
     cols = [key, *feats, label]
     data = df.select(*cols)
-    g = over_total(class_counts(data, label), strategy)
+    counts = class_counts(data, label)
+    g = over_total(counts, strategy)
     if g == 0:
         return data
+    _check_neighbours(counts.get(MINORITY, 0), k)
     minority = data.where(F.col(label) == MINORITY)
     nbrs = knn(None, minority, feats, k, key=key, extra=list(feats))
     seeds = minority if seeds_filter is None else minority.join(seeds_filter.select(key), key, "left_semi")
     ranked, max_copies = _even_copies(seeds, g, seed, key)
-    synth = _interpolate(ranked, nbrs, feats, k, seed, key, label, max(max_copies, 1))
+    synth = _interpolate(ranked, nbrs, feats, k, seed, key, label, max(max_copies, 1), _lowest_key(data, key))
     return data.unionByName(synth)
 
 
@@ -123,10 +155,13 @@ def adasyn(df: DataFrame, feats: Sequence[str], strategy: float | str = "auto",
     """Copies per minority row = rint(share_i / Σ share · G), share = majority neighbours / k."""
     cols = [key, *feats, label]
     data = df.select(*cols)
-    g = over_total(class_counts(data, label), strategy)
+    counts = class_counts(data, label)
+    g = over_total(counts, strategy)
     if g == 0:
         return data
-    share = majority_share(data, feats, k, key, label)
+    _check_neighbours(counts.get(MINORITY, 0), k)
+    ensure_checkpoint_dir(df.sparkSession)
+    share = majority_share(data, feats, k, key, label).checkpoint()  # read three times
     total = share.agg(F.sum("n_maj")).collect()[0][0] or 0
     if total == 0:
         raise ValueError("adasyn: no minority row has a majority neighbour; nothing to adapt to")
@@ -139,7 +174,7 @@ def adasyn(df: DataFrame, feats: Sequence[str], strategy: float | str = "auto",
     if max_copies == 0:
         return data
     nbrs = knn(None, minority, feats, k, key=key, extra=list(feats))
-    return data.unionByName(_interpolate(seeds, nbrs, feats, k, seed, key, label, int(max_copies)))
+    return data.unionByName(_interpolate(seeds, nbrs, feats, k, seed, key, label, int(max_copies), _lowest_key(data, key)))
 
 
 def smote_svm(df: DataFrame, feats: Sequence[str], strategy: float | str = "auto", k: int = 5, seed: int = 10, key: str = "row_id", label: str = "label", reg: float = 0.01) -> DataFrame:
@@ -155,13 +190,14 @@ def smote_svm(df: DataFrame, feats: Sequence[str], strategy: float | str = "auto
     )
     seeds = data.where((F.col(label) == MINORITY) & (margin <= 1.0)).select(key)
     if seeds.isEmpty():
-        seeds = data.where(F.col(label) == MINORITY).select(key)
+        raise ValueError("smote_svm: no minority row lies inside the margin; lower reg or use smote")
     return smote(df, feats, strategy, k, seed, key, label, seeds_filter=seeds)
 
 
 def tomek_links(df: DataFrame, feats: Sequence[str], key: str = "row_id", label: str = "label", strategy: str = "auto") -> DataFrame:
-    """Drop the majority member ('auto') or both members ('all') of every Tomek link
-    (mutual nearest neighbours of different classes)."""
+    """Of every Tomek link (mutual nearest neighbours of different classes) drop the members
+    of the classes that ``strategy`` names (``cleaned_classes``)."""
+    targets = cleaned_classes(class_counts(df, label), strategy)
     data = df.select(key, *feats, label)
     nn = knn(None, data, feats, 1, key=key, extra=[label]).select(key, "neighbor_key", F.col(f"nb_{label}").alias("_nbl"))
     a = nn.alias("a")
@@ -169,61 +205,71 @@ def tomek_links(df: DataFrame, feats: Sequence[str], key: str = "row_id", label:
     mutual = a.join(b, (F.col("a.neighbor_key") == F.col("_bk")) & (F.col(f"a.{key}") == F.col("_bn")))
     own = data.select(key, label)
     links = mutual.join(own, key).where(F.col(label) != F.col("_nbl"))
-    condemned = links.where(F.col(label) != MINORITY) if strategy == "auto" else links
+    condemned = links.where(F.col(label).isin(targets))
     return data.join(condemned.select(key), key, "left_anti")
 
 
 def enn_round(df: DataFrame, feats: Sequence[str], k: int = 3, key: str = "row_id", label: str = "label", strategy: str = "auto") -> DataFrame:
-    """R8, one round: drop rows of the targeted classes ('auto': all but the minority, 'all')
-    whose k neighbours are not all of their class."""
+    """R8, one round: drop rows of the classes that ``strategy`` names (``cleaned_classes``) whose
+    k neighbours are not all of their class."""
+    targets = cleaned_classes(class_counts(df, label), strategy)
     data = df.select(key, *feats, label)
     nb = knn(None, data, feats, k, key=key, extra=[label])
     own = data.select(key, F.col(label).alias("_own"))
     disagree = nb.join(own, key).where(F.col(f"nb_{label}") != F.col("_own")).select(key).distinct()
-    targeted = own if strategy == "all" else own.where(F.col("_own") != MINORITY)
+    targeted = own.where(F.col("_own").isin(targets))
     condemned = disagree.join(targeted, key, "left_semi")
     return data.join(condemned, key, "left_anti")
 
 
-def repeated_enn(df: DataFrame, feats: Sequence[str], k: int = 3, max_iter: int = 100, key: str = "row_id", label: str = "label") -> DataFrame:
-    """ENN rounds until no row is removed (or ``max_iter``); each round is checkpointed."""
+def repeated_enn(df: DataFrame, feats: Sequence[str], k: int = 3, max_iter: int = 100, key: str = "row_id", label: str = "label", strategy: str = "auto") -> DataFrame:
+    """ENN rounds until no row is removed, another class has fewer rows than the smallest
+    class had at first, or a class is gone; that round counts.  Each round is checkpointed."""
     ensure_checkpoint_dir(df.sparkSession)
     cur = df.select(key, *feats, label).checkpoint()
-    n = cur.count()
+    start = class_counts(cur, label)
+    smallest = min(start, key=lambda c: (start[c], -c), default=None)
+    before = start
     for _ in range(max_iter):
-        nxt = enn_round(cur, feats, k, key, label).checkpoint()
-        m = nxt.count()
-        counts = class_counts(nxt, label)
-        cur = nxt
-        if m == n or counts.get(MINORITY, 0) >= max((v for c, v in counts.items() if c != MINORITY), default=0):
+        cur = enn_round(cur, feats, k, key, label, strategy).checkpoint()
+        now = class_counts(cur, label)
+        if now == before or len(now) < len(start) or any(n < start[smallest] for c, n in now.items() if c != smallest):
             break
-        n = m
+        before = now
     return cur
 
 
-def condensed_nn_round(store: DataFrame, df: DataFrame, feats: Sequence[str], key: str = "row_id", label: str = "label") -> DataFrame:
-    """R7 (re-aimed), one round: add every non-minority row the 1-NN rule on ``store`` misclassifies."""
+def condensed_nn_round(store: DataFrame, df: DataFrame, feats: Sequence[str], key: str = "row_id", label: str = "label", k: int = 1, targets: Sequence[int] | None = None) -> DataFrame:
+    """R7 (re-aimed), one round: add every row of the ``targets`` (default: all but the minority)
+    that the vote of its k nearest rows in ``store`` misclassifies (ties: the smaller class)."""
     rest = df.select(key, *feats, label).join(store.select(key), key, "left_anti")
-    nn = knn(rest.select(key, *feats), store.select(key, *feats, label), feats, 1, key=key, extra=[label])
-    wrong = nn.join(rest.select(key, label), key).where(F.col(f"nb_{label}") != F.col(label)).select(key)
-    return store.select(key, *feats, label).unionByName(rest.join(wrong, key, "left_semi").where(F.col(label) != MINORITY))
-
-
-def condensed_nn(df: DataFrame, feats: Sequence[str], seed: int = 10, max_rounds: int = 20, key: str = "row_id", label: str = "label") -> DataFrame:
-    """Start from all minority rows plus one majority row (first in hash order), then add
-    misclassified rows in batch rounds until none is added."""
+    nn = knn(rest.select(key, *feats), store.select(key, *feats, label), feats, k, key=key, extra=[label])
+    votes = nn.groupBy(key, F.col(f"nb_{label}").alias("_vote")).count()
+    vote = votes.groupBy(key).agg(F.max(F.struct("count", (-F.col("_vote")).alias("_neg"))).alias("_best")).select(key, (-F.col("_best._neg")).alias("_vote"))
+    wrong = vote.join(rest.select(key, label), key).where(F.col("_vote") != F.col(label)).select(key)
+    own = F.col(label) != MINORITY if targets is None else F.col(label).isin(list(targets))
+    return store.select(key, *feats, label).unionByName(rest.join(wrong, key, "left_semi").where(own))
+
+
+def condensed_nn(df: DataFrame, feats: Sequence[str], seed: int = 10, max_rounds: int = 1000, key: str = "row_id", label: str = "label", strategy: str = "auto", k: int = 1, n_seeds: int = 1) -> DataFrame:
+    """Start from all rows of the classes that ``strategy`` leaves alone plus ``n_seeds`` rows of
+    each other class (first in hash order), then add misclassified rows in batch rounds until
+    none is added.  Raises if that takes more than ``max_rounds``."""
     ensure_checkpoint_dir(df.sparkSession)
     data = df.select(key, *feats, label)
-    first = hash_rank(data.where(F.col(label) != MINORITY), hash_u32(seed, key), tie=key).where(F.col("_rank") == 0).drop("_rank", "_group_rows")
-    store = data.where(F.col(label) == MINORITY).unionByName(first).checkpoint()
+    targets = cleaned_classes(class_counts(data, label), strategy)
+    store = data.where(~F.col(label).isin(targets))
+    for c in targets:
+        store = store.unionByName(data.where(F.col(label) == c).orderBy(hash_u32(seed, key), key).limit(n_seeds))
+    store = store.checkpoint()
     n = store.count()
     for _ in range(max_rounds):
-        store = condensed_nn_round(store, data, feats, key, label).checkpoint()
+        store = condensed_nn_round(store, data, feats, key, label, k, targets).checkpoint()
         m = store.count()
         if m == n:
-            break
+            return store
         n = m
-    return store
+    raise RuntimeError("condensed_nn: rows were still added in the last round; raise max_rounds")
 
 
 def smote_enn(df: DataFrame, feats: Sequence[str], strategy: float | str = "auto", k: int = 5, seed: int = 10, key: str = "row_id", label: str = "label") -> DataFrame:

@@ -361,7 +361,7 @@ def q_standardize(spark, sf_dir):
     return reduce.standardize(df.select("row_id", *FILL_COLS), FILL_COLS, stats)
 
 
-_XS = [f"x{i}" for i in range(8)]
+_XS = list(frames.EMBED_FEATURES)
 _NORM = "sqrt(" + " + ".join(f"{x} * {x}" for x in _XS) + ")"
 
 
@@ -591,6 +591,30 @@ def q_enn_round(spark, sf_dir):
     return enn_round(frames.embed(spark, sf_dir), _XS, 3)
 
 
+@register("tomek_links_all", E + f""", {_nn_sql('nn', 'embed', 'embed', 1)},
+links AS (SELECT a.row_id, a.own FROM nn a JOIN nn b ON a.nk = b.row_id AND b.nk = a.row_id WHERE a.own <> a.nbl)
+SELECT {_EMBED_COLS} FROM embed WHERE row_id NOT IN (SELECT row_id FROM links)""")
+def q_tomek_links_all(spark, sf_dir):
+    from renewal.operators.resample import tomek_links
+
+    return tomek_links(frames.embed(spark, sf_dir), _XS, strategy="all")
+
+
+@register("enn_not_majority", E + f""", {_nn_sql('nn', 'embed', 'embed', 3)}
+SELECT {_EMBED_COLS} FROM embed WHERE row_id NOT IN (SELECT row_id FROM nn WHERE nbl <> own AND own = 1)""")
+def q_enn_not_majority(spark, sf_dir):
+    from renewal.operators.resample import enn_round
+
+    return enn_round(frames.embed(spark, sf_dir), _XS, 3, strategy="not majority")
+
+
+@register("condensed_nn")
+def q_condensed_nn(spark, sf_dir):
+    from renewal.operators.resample import condensed_nn
+
+    return condensed_nn(frames.embed(spark, sf_dir), _XS)
+
+
 _SMOTED = _smote_sql("SELECT * FROM mino", *_EVEN)
 
 
@@ -897,12 +921,12 @@ def q_ablation(spark, sf_dir):
 
 @register("pca")
 def q_pca(spark, sf_dir):
-    return reduce.pca(frames.embed(spark, sf_dir), _XS, 3)
+    return reduce.pca(frames.embed(spark, sf_dir), _XS, 15)
 
 
 @register("truncated_svd")
 def q_truncated_svd(spark, sf_dir):
-    return reduce.truncated_svd(frames.embed(spark, sf_dir), _XS, 3)
+    return reduce.truncated_svd(frames.embed(spark, sf_dir), _XS, 15)
 
 
 @register("instance_hardness")

@@ -197,7 +197,7 @@ def test_by_split_profiles_equal_two_table_profiles(spark):
         assert sorted(tuple(r[c] for c in order) for r in a.collect()) == sorted(tuple(r[c] for c in order) for r in b.collect())
 
 
-def test_grid_knn_matches_brute_force(spark):
+def test_leaf_knn_with_a_hot_vector_matches_brute_force(spark):
     rng = np.random.default_rng(11)
     pts = rng.normal(size=(240, 4)).round(3)
     hot = np.tile([[0.2, -0.1, 0.3, 0.0]], (60, 1))
@@ -206,14 +206,14 @@ def test_grid_knn_matches_brute_force(spark):
     cols = ["a", "b", "c", "d"]
     df = spark.createDataFrame([(int(kk), *map(float, x)) for kk, x in zip(keys, allx)], "row_id long, a double, b double, c double, d double").repartition(3)
     k = 5
-    got = {(r.row_id, r.nn_rank): r.neighbor_key for r in knn(None, df, cols, k, bucket_rows=4, grid=True, cells_per_slab=3).collect()}
+    got = {(r.row_id, r.nn_rank): r.neighbor_key for r in knn(None, df, cols, k).collect()}
     for i in range(300):
         d2 = ((allx - allx[i]) ** 2).sum(axis=1)
         order = sorted((d2[j], keys[j]) for j in range(300) if j != i)[:k]
         assert [got[(int(keys[i]), t + 1)] for t in range(k)] == [o[1] for o in order]
     q = df.where("row_id % 4 = 0").select("row_id", *cols)
     b = df.where("row_id % 4 <> 0")
-    got2 = {(r.row_id, r.nn_rank): r.neighbor_key for r in knn(q, b, cols, 3, bucket_rows=4, grid=True, cells_per_slab=3).collect()}
+    got2 = {(r.row_id, r.nn_rank): r.neighbor_key for r in knn(q, b, cols, 3).collect()}
     bx = [(int(kk), x) for kk, x in zip(keys, allx) if kk % 4 != 0]
     for kk, x in zip(keys, allx):
         if kk % 4:
