@@ -23,16 +23,16 @@ def _slide(x: np.ndarray, n: int, of) -> np.ndarray:
     return of(out[: len(out) - (n - step)], out[n - step :]) if n > step else out
 
 
-def gram_hashes(raw: np.ndarray, n: int) -> np.ndarray:
-    """64-bit hash of the ``n`` bytes from every place (n at least 8); polynomial in 8-byte words."""
+def gram_hashes(raw: np.ndarray, n: int, places: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hash of the ``n`` bytes (at least 8) from every place, or from some places."""
     size = len(raw) - n + 1
     if size <= 0:
         return np.zeros(0, np.uint64)
-    word = lambda at: np.ndarray((size,), "<u8", raw.data, at, (1,))  # noqa: E731  unaligned loads
     with np.errstate(over="ignore"):
-        h = np.zeros(size, np.uint64)
+        h = np.zeros(size if places is None else len(places), np.uint64)
         for at in [*range(0, n - 7, 8), *([n - 8] if n % 8 else [])]:
-            h = (h ^ word(at)) * np.uint64(0x9E3779B97F4A7C15)
+            word = np.ndarray((size,), "<u8", raw.data, at, (1,))  # unaligned loads
+            h = (h ^ (word if places is None else word[places])) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
     return h
 

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ from renewal.llm.common import mix64, parts, starts_of, stash, utf8
 from renewal.llm.passages import GRAM, SIDE, SPAN, anchors, gram_hashes
 
 SHALLOW = 24
+#: Bytes before and after the gram, by the place of the gram in a 50-byte string.
+PARTS = [(0, SIDE - 7), (8, SIDE - 14), (15, SIDE - 22), (23, 0)]
 BLOCK = "bucket int, payload binary"
 #: What the anchors settle or ask: ``ask`` is null for a span to remove.
 NEWS = "doc_id long, crc long, lo int, hi int, ask long"
@@ -44,7 +47,7 @@ def pack(columns: list[np.ndarray]) -> bytes:
     """Arrays by byte planes, compressed."""
     out = [struct.pack("<I", len(columns))]
     for c in columns:
-        raw = np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes()
+        raw = np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T.tobytes()
         out.append(struct.pack("<2sQ", c.dtype.str[1:].encode(), len(c)) + raw)
     body = b"".join(out)
     return struct.pack("<Q", len(body)) + pa.compress(body, codec="zstd", asbytes=True)
@@ -93,25 +96,26 @@ def anchor_blocks(docs: DataFrame, buckets: int) -> DataFrame:
                     whole = hi - lo == 2 * SIDE + GRAM
                     context = np.zeros(len(place), np.uint64)
                     if whole.any():
-                        context[whole] = mix64(gram_hashes(raw, 2 * SIDE + GRAM)[lo[whole]], 2)
-                    for j in np.flatnonzero(~whole).tolist():  # cut off by the text's ends
-                        context[j] = mix64(np.array([zlib.crc32(t[lo[j] : hi[j]]) << 20 | (place[j] - lo[j]) << 8 | (hi[j] - place[j])], np.uint64), 3)[0]
+                        context[whole] = mix64(gram_hashes(raw, 2 * SIDE + GRAM, lo[whole]), 2)
+                    cut_off = np.flatnonzero(~whole).tolist()  # by the text's ends
+                    context[~whole] = mix64(np.array([zlib.crc32(t[lo[j] : hi[j]]) << 20 | (place[j] - lo[j]) << 8 | (hi[j] - place[j]) for j in cut_off], np.uint64), 3)
                     found.append((np.full(len(place), i), h, context, place))
             if not found:
                 continue
             doc, h, context, place = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((place, ids[doc], context, h))
+            order = np.lexsort((context, h))
             doc, h, context, place = doc[order], h[order], context[order], place[order]
             first = _first_of(np.cumsum(np.r_[True, (h[1:] != h[:-1]) | (context[1:] != context[:-1])]), ids[doc])
             late = ids[doc] > first
-            bucket = (h >> np.uint64(32)) % np.uint64(buckets)
-            for b in np.unique(bucket).tolist():
-                mine = bucket == b
-                send, done = mine & ~late, mine & late
-                names, code = np.unique(doc[mine], return_inverse=True)
-                local = np.zeros(len(doc), "<u4")
-                local[mine] = code
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "payload": pa.array([pack([ids[names], crc[names], *_low6(h[send]), *_low6(context[send]), local[send], place[send].astype("<u4"), local[done], place[done].astype("<u4")])], pa.binary())})
+            bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(2 * bucket + late, kind="stable")  # by bucket, what goes on before what is settled
+            doc, h, context, place, bucket, late = (x[order] for x in (doc, h, context, place, bucket, late))
+            at = starts_of(bucket)
+            for a, z in zip(at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True):
+                names, local = np.unique(doc[a:z], return_inverse=True)
+                m = z - a - int(late[a:z].sum())
+                body = pack([ids[names], crc[names], *_low6(h[a : a + m]), *_low6(context[a : a + m]), local[:m].astype("<u4"), place[a : a + m].astype("<u4"), local[m:].astype("<u4"), place[a + m : z].astype("<u4")])
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket[a]], pa.int32()), "payload": pa.array([body], pa.binary())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and length(text) > 0")
     return rows.mapInArrow(blocks, BLOCK)
@@ -215,12 +219,12 @@ def deep_shallow(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ends = np.r_[starts[1:], len(open_)]
         tails = rows[order[open_], SHALLOW:]
         raw, w = tails.tobytes(), width - SHALLOW
-        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+        same_tail = (tails == np.repeat(tails[starts], ends - starts, axis=0)).all(1)
+        mixed = ~np.logical_and.reduceat(same_tail, starts)
+        for a, b in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
             members: dict[bytes, list[int]] = {}
             for i in range(a, b):
                 members.setdefault(raw[i * w : i * w + w], []).append(i)
-            if len(members) == 1:
-                continue
             strings = list(members)
             ranked = [members[strings[k]] for k in BlindTrie(strings).order()]
             place = open_[a]
@@ -237,17 +241,17 @@ def context_blocks(asked: DataFrame, buckets: int) -> DataFrame:
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
-            for doc_id, text, asks in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "text", "asks")), strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                crc = zlib.crc32(raw)
-                for a in asks:
-                    if a["crc"] == crc:
-                        at = a["at"]
-                        lo = max(0, at - SIDE)
-                        piece = raw[lo : at + SPAN]
-                        for c, v in zip(cols, (doc_id, crc, a["ask"], lo, at - lo, piece.ljust(2 * SIDE + GRAM, b"\0") + bytes([len(piece)])), strict=True):
-                            c.append(v)
+            cols: list[list] = [[], [], [], [], [], []]  # doc, crc, gram, begin, bytes before the gram, bytes
+            raws = utf8(batch.column("text").to_pylist())
+            ids = batch.column("doc_id").to_pylist()
+            own = [zlib.crc32(r) for r in raws]
+            (crc, row), (at, _), (ask, _) = (_flat(batch, c) for c in ("crc", "lo", "ask"))
+            for i, c, p, h in zip(row.tolist(), crc.tolist(), at.tolist(), ask.tolist(), strict=True):
+                if c == own[i]:
+                    lo = max(0, p - SIDE)
+                    piece = raws[i][lo : p + SPAN]
+                    for x, v in zip(cols, (ids[i], c, h, lo, p - lo, piece.ljust(2 * SIDE + GRAM, b"\0") + bytes([len(piece)])), strict=True):
+                        x.append(v)
             if not cols[0]:
                 continue
             doc, crc, h, lo, left = (np.array(c, np.int64) for c in cols[:5])
@@ -267,26 +271,32 @@ def order_suffixes(frame: pd.DataFrame) -> pd.DataFrame:
     body = body.reshape(len(doc), width + 1)
     size, body = body[:, -1].astype(np.int64), body[:, :-1]
     left = left.astype(np.int64)
-    # a common 50-byte string holds the gram and half of SIDE on one side: others cannot have one
-    half, keep = SIDE // 2, np.zeros(len(doc), bool)
-    for shift in (-half, 0):
-        start = np.clip(left + shift, 0, width - GRAM - half)
-        text = np.take_along_axis(body, start[:, None] + np.arange(GRAM + half), 1)
-        key = mix64(_row_hash(text) + h.astype(np.uint64), 5)
+    # A common string that begins ``l`` bytes before the gram holds one of these (l, r) parts: l
+    # bytes before the gram and r after it.  Only strings whose part some other document has go on.
+    repeated = np.zeros((len(doc), len(PARTS)), bool)
+    for k, (l, r) in enumerate(PARTS):
+        some = np.flatnonzero((left >= l) & (size - left - GRAM >= r))
+        text = np.take_along_axis(body[some], (left[some] - l)[:, None] + np.arange(l + GRAM + r), 1)
+        key = mix64(_row_hash(text) + h[some].astype(np.uint64), 5)
         by = np.argsort(key, kind="stable")
         g = np.cumsum(np.r_[True, key[by][1:] != key[by][:-1]])
-        lowest = _first_of(g, doc[by])
-        highest = -_first_of(g, -doc[by])
-        keep[by] |= lowest < highest
-    doc, crc, lo, size, body = doc[keep], crc[keep], lo[keep].astype(np.int64), size[keep], body[keep]
+        repeated[some[by], k] = _first_of(g, doc[some][by]) < -_first_of(g, -doc[some][by])
+    lo = lo.astype(np.int64)
     n = np.maximum(0, size - SPAN + 1)
     row = np.repeat(np.arange(len(doc)), n)
     at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    part = np.searchsorted([l for l, _ in PARTS], left[row] - at, "right") - 1
+    on = (part >= 0) & repeated[row, np.maximum(part, 0)] if len(row) else np.zeros(0, bool)
+    row, at = row[on], at[on]
     windows = np.lib.stride_tricks.sliding_window_view(body, SPAN, axis=1)[row, at] if len(row) else np.zeros((0, SPAN), np.uint8)
     order, group = deep_shallow(windows)
     late = doc[row[order]] > _first_of(group, doc[row[order]]) if len(row) else np.zeros(0, bool)
     row, at = row[order][late], at[order][late]
-    return pd.DataFrame({"doc_id": doc[row], "crc": crc[row].astype(np.int64), "lo": (lo[row] + at).astype(np.int32), "hi": (lo[row] + at + SPAN).astype(np.int32)})
+    text = np.unique(np.stack([doc, crc.astype(np.int64)], 1), axis=0, return_inverse=True)[1].reshape(-1) if len(doc) else doc
+    one = np.zeros(len(text), np.int64)
+    one[text] = np.arange(len(text))  # a row of each text
+    of, a, b = merged(text[row], lo[row] + at, lo[row] + at + SPAN)
+    return pd.DataFrame({"doc_id": doc[one[of]], "crc": crc[one[of]].astype(np.int64), "lo": a.astype(np.int32), "hi": b.astype(np.int32)})
 
 
 def _row_hash(rows: np.ndarray) -> np.ndarray:
@@ -298,30 +308,61 @@ def _row_hash(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _merged(spans: list[dict], crc: int, size: int) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for lo, hi in sorted((max(0, s["lo"]), min(size, s["hi"])) for s in spans if s["crc"] == crc):
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi)
-        else:
-            out.append([lo, hi])
-    return [(a, b) for a, b in out]
+def merged(text: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs (text, lo, hi) of the spans of each text; touching spans are one run."""
+    order = np.lexsort((lo, text))
+    text, lo, hi = text[order], lo[order], hi[order]
+    shift = text.astype(np.int64) << 40
+    reach = np.maximum.accumulate(hi + shift) if len(hi) else hi
+    new = np.flatnonzero(np.r_[True, (lo + shift)[1:] > reach[:-1]]) if len(lo) else np.zeros(0, np.int64)
+    last = np.r_[new[1:], len(lo)] - 1 if len(new) else new
+    return text[new], lo[new], (reach[last] - shift[last]) if len(new) else hi
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, spans: per document that loses bytes, the byte ranges (crc: of the text they are of)."""
+    """doc_id, crc, lo, hi: per document that loses bytes, arrays of byte ranges and of the
+    checksum of the text that each is of (ids may repeat)."""
     buckets = 2 * parts(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     news = stash(anchor_blocks(docs, buckets).groupBy("bucket").applyInPandas(settle, NEWS))
-    asks = news.filter("ask is not null").groupBy("doc_id").agg(F.collect_list(F.struct("crc", F.col("lo").alias("at"), "ask")).alias("asks"))
-    asked = texts.join(asks.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "asks")
+    asks = news.filter("ask is not null").groupBy("doc_id").agg(*[F.collect_list(c).alias(c) for c in ("crc", "lo", "ask")])
+    asked = texts.join(asks.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "crc", "lo", "ask")
     seen = context_blocks(asked, buckets).groupBy("bucket").applyInPandas(order_suffixes, "doc_id long, crc long, lo int, hi int")
     spans = news.filter("ask is null").select("doc_id", "crc", "lo", "hi").unionByName(seen)
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("crc", "lo", "hi")).alias("spans"))  # at most a few per byte of the document
+    return spans.groupBy("doc_id").agg(*[F.collect_list(c).alias(c) for c in ("crc", "lo", "hi")])  # at most a few per byte of the document
+
+
+def _flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """(values, row) of a list column; null lists are empty."""
+    column = batch.column(name)
+    n = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(n)), n)
+
+
+def _kept(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[bytes], int]]:
+    """Per row: its bytes, the pieces that stay, and the number of removed runs."""
+    raws = utf8(batch.column("text").to_pylist())
+    (crc, row), (lo, _), (hi, _) = (_flat(batch, c) for c in ("_crc", "_lo", "_hi"))
+    size, own = np.array([len(r) for r in raws], np.int64), np.array([zlib.crc32(r) for r in raws], np.int64)
+    real = crc == own[row] if len(row) else np.zeros(0, bool)
+    row, lo, hi = row[real], np.maximum(lo[real], 0), np.minimum(hi[real], size[row[real]])
+    row, lo, hi = merged(row, lo, hi)
+    ends = np.searchsorted(row, np.arange(len(raws) + 1)).tolist()
+    lo, hi = lo.tolist(), hi.tolist()
+    for i, raw in enumerate(raws):
+        at, pieces = 0, []
+        for j in range(ends[i], ends[i + 1]):
+            pieces.append(raw[at : lo[j]])
+            at = hi[j]
+        pieces.append(raw[at:])
+        yield raw, pieces, ends[i + 1] - ends[i]
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
-    return docs.join(removed_spans(docs).hint("shuffle_hash"), "doc_id", "left")
+    spans = removed_spans(docs).select(F.col("doc_id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in ("crc", "lo", "hi")])
+    known = docs.filter("doc_id is not null")
+    none = [F.lit(None).cast(t).alias(c) for c, t in spans.dtypes if c != "_id"]
+    return known.join(spans.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left").drop("_id").unionByName(docs.filter("doc_id is null").select("*", *none))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -330,35 +371,22 @@ def dedup(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                gone = _merged(spans, zlib.crc32(raw), len(raw)) if spans else []
-                kept, at = hashlib.sha256(), 0
-                for lo, hi in [*gone, (len(raw), len(raw))]:
-                    kept.update(raw[at:lo])
-                    at = hi
-                for c, v in zip(out, (len(raw), sum(b - a for a, b in gone), len(gone), kept.hexdigest()), strict=True):
+            for raw, pieces, runs in _kept(batch):
+                kept = b"".join(pieces)
+                for c, v in zip(out, (len(raw), len(raw) - len(kept), runs, hashlib.sha256(kept).hexdigest()), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_bytes": pa.array(out[0], pa.int64()), "n_removed": pa.array(out[1], pa.int64()), "n_spans": pa.array(out[2], pa.int64()), "kept_sha256": pa.array(out[3], pa.string())})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _with_spans(rows).select("doc_id", "text", "spans").mapInArrow(cut, RESULT)
+    return _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(cut, RESULT)
 
 
 def dedup_texts(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated bytes cut from ``text``; a character cut in two goes whole."""
 
-    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for t, s in zip(text, spans, strict=True):
-            raw = (t or "").encode("utf-8", "surrogatepass")
-            gone = _merged(list(s), zlib.crc32(raw), len(raw)) if s is not None else []
-            kept, at = [], 0
-            for lo, hi in [*gone, (len(raw), len(raw))]:
-                kept.append(raw[at:lo].decode("utf-8", "ignore"))
-                at = hi
-            out.append("".join(kept) if gone else t)
-        return pd.Series(out)
-
-    joined = _with_spans(docs)
-    return joined.withColumn("text", F.pandas_udf(cut, "string")("text", "spans")).select(*docs.columns)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            old = batch.column("text").to_pylist()
+            text = [b"".join(p.decode("utf-8", "ignore").encode() for p in pieces).decode() if runs else o for o, (_, pieces, runs) in zip(old, _kept(batch), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()) if n == "text" else batch.column(n) for n in docs.columns], names=docs.columns)
+
+    return _with_spans(docs).mapInArrow(cut, docs.schema)
