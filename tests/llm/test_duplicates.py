@@ -76,7 +76,7 @@ def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     assert neardup.near_duplicates(no_docs).count() == 0
     kept = neardup.without_near_duplicates(odd_docs)
     assert kept.columns == odd_docs.columns
-    assert sorted(r.doc_id or -1 for r in kept.select("doc_id").collect()) == [-1, 0, 2, 3, 5, 7, 8]
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.select("doc_id").collect()) == [-1, 0, 2, 3, 5, 7, 8]
 
 
 def test_deep_shallow_sort_and_blind_trie():
