@@ -229,29 +229,34 @@ def verify(pairs: DataFrame, contents: DataFrame, min_similarity: float = MIN_SI
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInPandas(similar, "a binary, b binary, similarity double")
 
 
+def _both_ways(links: DataFrame) -> DataFrame:
+    return links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def rough_labels(links: DataFrame) -> DataFrame:
+    """node, label: the smallest node within two links; equal labels are surely one component."""
+    both = _both_ways(links)
+    one = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("b"), F.least("a", "b").alias("label"))
+    return both.join(one, "b").groupBy("a").agg(F.min("label").alias("label")).select(F.col("a").alias("node"), F.least("a", "label").alias("label"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label: the smallest node of each connected component of the links (a, b).
 
-    Every round joins each label to the smallest label next to it and follows such joins to
-    their end; linked labels become the next round's nodes until no link is left.
+    Every round takes the smallest label next to a node, then that label's own label, so the
+    distance that a label travels doubles; it ends when no label changes.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = materialise(both)
-    labels = materialise(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
-    while not both.isEmpty():
-        step = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("label"), F.least("a", "b").alias("to"))
-        step = materialise(step)
-        while True:  # pointer jumping
-            far = step.select(F.col("label").alias("to"), F.col("to").alias("end"))
-            jumped = materialise(step.join(far, "to", "left").select("label", "to", F.coalesce("end", "to").alias("end")))
-            moved = not jumped.filter(F.col("to") != F.col("end")).isEmpty()
-            step = jumped.select("label", F.col("end").alias("to"))
-            if not moved:
-                break
-        labels = materialise(labels.join(step, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
-        a, b = step.select(F.col("label").alias("a"), F.col("to").alias("x")), step.select(F.col("label").alias("b"), F.col("to").alias("y"))
-        both = materialise(both.join(a, "a").join(b, "b").filter(F.col("x") != F.col("y")).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-    return labels
+    both = materialise(_both_ways(links).distinct())
+    labels = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label"))
+    labels = materialise(labels)
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
+        step = labels.join(near, F.col("node") == F.col("a")).select("node", "label", F.least("label", "near").alias("to"))
+        far = labels.select(F.col("node").alias("to"), F.col("label").alias("far"))
+        moved = materialise(step.join(far, "to", "left").select("node", F.col("label").alias("old"), F.least("to", "far").alias("label")))
+        labels = moved.select("node", "label")
+        if moved.filter(F.col("old") != F.col("label")).isEmpty():
+            return labels
 
 
 def shared_sizes(contents: DataFrame) -> DataFrame:
@@ -276,7 +281,7 @@ def links_between(members: DataFrame, contents: DataFrame, min_similarity: float
     alive = shared_sizes(contents).filter(F.col("shared") >= min_similarity * F.col("n") - 1e-9)
     members = materialise(members.join(alive, "node"))
     state = members.withColumns({"label": F.col("node"), "degree": F.lit(0).cast("long")})
-    links, tested, labels = None, None, None
+    links, tested = None, None
     for round_ in range(LEADER_ROUNDS + 1):
         if round_ < LEADER_ROUNDS:
             first = F.struct("degree", F.xxhash64(F.lit(round_), "node") if round_ else -F.col("doc_id"), "node", "label", "n", "shared")
@@ -290,12 +295,12 @@ def links_between(members: DataFrame, contents: DataFrame, min_similarity: float
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = materialise(verify(pairs, contents, min_similarity))
         links = found if links is None else links.unionByName(found)
-        labels = components(links)
         if round_ < LEADER_ROUNDS:
+            labels = rough_labels(links)
             degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
             state = members.join(labels, "node", "left").join(degrees, "node", "left")
             state = materialise(state.withColumns({"label": F.coalesce("label", "node"), "degree": F.coalesce("degree", F.lit(0).cast("long"))}))
-    return links, labels
+    return links, components(links)
 
 
 def near_duplicates(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
