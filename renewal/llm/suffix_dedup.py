@@ -35,6 +35,8 @@ from renewal.llm.common import mix64, parts, starts_of, stash, utf8
 from renewal.llm.passages import GRAM, SIDE, SPAN, anchors, gram_hashes
 
 SHALLOW = 24
+#: Texts whose anchors a task holds at once.
+TEXTS = 2500
 #: Bytes before and after the gram, by the place of the gram in a 50-byte string.
 PARTS = [(0, SIDE - 7), (8, SIDE - 14), (15, SIDE - 22), (23, 0)]
 BLOCK = "bucket int, payload binary"
@@ -83,7 +85,7 @@ def anchor_blocks(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, payload): anchors that their task cannot settle, and the spans that it can."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, TEXTS) for b in batches for i in range(0, len(b), TEXTS)):
             texts = utf8(batch.column("text").to_pylist())
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             crc = np.array([zlib.crc32(t) for t in texts], "<u4")
@@ -382,11 +384,12 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def dedup_texts(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated bytes cut from ``text``; a character cut in two goes whole."""
+    names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             old = batch.column("text").to_pylist()
             text = [b"".join(p.decode("utf-8", "ignore").encode() for p in pieces).decode() if runs else o for o, (_, pieces, runs) in zip(old, _kept(batch), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()) if n == "text" else batch.column(n) for n in docs.columns], names=docs.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()) if n == "text" else batch.column(n) for n in names], names=names)
 
     return _with_spans(docs).mapInArrow(cut, docs.schema)
