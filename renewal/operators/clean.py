@@ -37,12 +37,19 @@ def split_label(df: DataFrame, label: str = "target", key: str = "row_id") -> tu
 
 
 def cast_strict(df: DataFrame, cols: Sequence[str], to: str = "double") -> DataFrame:
-    """Text → number; a non-null cell that is not a number fails the job (CAST_INVALID_INPUT style)."""
+    """Text → number; a non-null cell that is not a number fails the job (CAST_INVALID_INPUT style).
+
+    For an integer target a number with a fraction fails too.
+    """
     wanted = set(cols)
+    whole = to in ("int", "integer", "long", "bigint", "smallint", "tinyint")
 
     def conv(c: str):
         v = F.col(c)
         ok = v.isNull() | is_numeric_text(v)
+        if whole:
+            number = F.when(is_numeric_text(v), F.trim(v).cast("double"))
+            ok = ok & (number.isNull() | (number == F.floor(number)))
         msg = F.concat(F.lit(f"cast_strict: column {c} has non-numeric text '"), v, F.lit("'"))
         return F.when(ok, F.trim(v).cast("double").cast(to)).otherwise(F.raise_error(msg).cast(to)).alias(c)
 

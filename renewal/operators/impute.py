@@ -95,16 +95,13 @@ def nan_euclidean_d2(cols_count: int):
 def anchor_cover(fit: DataFrame, target: DataFrame, cols: Sequence[str], max_patterns: int = 4096) -> list[str]:
     """Columns such that every (target row, fit row) pair sharing a coordinate shares one of them.
 
-    Works on the distinct null patterns (one grouped pass per table, a bitmask per row);
+    Works on the distinct null patterns (one grouped pass per table, a flag per column);
     greedy set cover over pattern pairs on the driver.  Too many patterns → every column.
     """
     def patterns(df):
-        mask = None
-        for i, c in enumerate(cols):
-            bit = F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0))
-            mask = bit if mask is None else mask + bit
-        rows = df.select(mask.alias("_m")).distinct().limit(max_patterns + 1).collect()
-        return [r["_m"] for r in rows]
+        flags = F.concat(*[F.when(F.col(c).isNotNull(), F.lit("1")).otherwise(F.lit("0")) for c in reversed(cols)])
+        rows = df.select(flags.alias("_m")).distinct().limit(max_patterns + 1).collect()
+        return [int(r["_m"], 2) for r in rows]
 
     pa, pb = patterns(target), patterns(fit)
     if len(pa) > max_patterns or len(pb) > max_patterns:

@@ -8,6 +8,7 @@ in DataFrames checkpointed to the shared checkpoint folder.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -52,7 +53,9 @@ def assemble(df: DataFrame, feats: Sequence[str]) -> DataFrame:
 
 # Parameter names of the original learners → Spark ML (see SURVEY §2.6).
 def tree_params(params: dict[str, Any]) -> dict[str, Any]:
+    """Spark ML parameters; what has no counterpart is named in a warning."""
     out: dict[str, Any] = {}
+    dropped: list[str] = []
     for k, v in params.items():
         if k in ("eta", "learning_rate"):
             out["stepSize"] = float(min(max(v, 1e-6), 1.0))
@@ -72,8 +75,14 @@ def tree_params(params: dict[str, Any]) -> dict[str, Any]:
             out["subsamplingRate"] = float(min(max(v, 0.05), 1.0))
         elif k in ("colsample_bynode", "colsample_bytree", "feature_fraction", "colsample_bylevel"):
             out["featureSubsetStrategy"] = str(float(min(max(v, 0.05), 1.0)))
-        elif k == "max_bins":
-            out["maxBins"] = int(v)
+        elif k in ("max_bins", "max_bin", "min_data_in_bin"):
+            out["maxBins"] = int(max(v, 2))
+        else:
+            dropped.append(k)
+    if params.get("num_leaves") and (params.get("max_depth") or 0) <= 0:  # depth unlimited: leaves decide, in any order
+        out["maxDepth"] = int(min(max(math.ceil(math.log2(max(params["num_leaves"], 2))), 1), 30))
+    if dropped:
+        warnings.warn(f"Spark ML trees have no counterpart of {', '.join(sorted(dropped))}; ignored", stacklevel=2)
     return out
 
 

@@ -3,6 +3,9 @@
 import numpy as np
 import pytest
 
+from renewal.operators.clean import cast_strict
+from renewal.operators.impute import anchor_cover
+from renewal.operators.models import tree_params
 from renewal.operators.neighbors import knn
 from renewal.operators.resample import adasyn, cleaned_classes, condensed_nn, enn_round, over_total, repeated_enn, smote, tomek_links
 
@@ -86,3 +89,24 @@ def test_leaf_search_equals_brute_force(spark, metric):
         assert [k for _, k in sorted(got[i])] == [j for _, j in want]
     missing = base.union(spark.createDataFrame([(5000, None, *[0.0] * 5)], base.schema))
     assert knn(missing.where("row_id = 5000"), base, feats, 2, metric=metric).count() == 0
+
+
+def test_strict_integers_refuse_fractions(spark):
+    df = spark.createDataFrame([("1",), ("2.0",), (None,)], "f string")
+    assert [r.f for r in cast_strict(df, ["f"], "int").collect()] == [1, 2, None]
+    with pytest.raises(Exception, match="cast_strict"):
+        cast_strict(spark.createDataFrame([("1.5",)], "f string"), ["f"], "int").collect()
+
+
+def test_anchor_cover_takes_many_columns(spark):
+    cols = [f"c{i}" for i in range(100)]
+    df = spark.createDataFrame([tuple(float(i) if j != i else None for j in range(100)) for i in range(3)], ", ".join(f"{c} double" for c in cols))
+    assert anchor_cover(df, df, cols) == ["c3"]
+    only = df.select(*[cols[99] if c == cols[99] else (df[c] * None).cast("double").alias(c) for c in cols])
+    assert anchor_cover(only, df, cols) == ["c99"]
+
+
+def test_tree_params_name_what_they_drop():
+    with pytest.warns(UserWarning, match="alpha, lambda"):
+        assert tree_params({"lambda": 1, "alpha": 2, "min_data_in_bin": 7}) == {"maxBins": 7}
+    assert tree_params({"max_depth": -1, "num_leaves": 31}) == tree_params({"num_leaves": 31, "max_depth": -1})
