@@ -45,9 +45,10 @@ from renewal.llm.common import materialise, mix64, starts_of
 SHINGLE, MIN_SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 #: Texts hashed at once, and rounds of leaders before the remaining pairs.
-TEXTS, LEADER_ROUNDS = 500, 2
+TEXTS, LEADER_ROUNDS = 500, 3
 _FIRST_RANK, _CELL = 1 / 16, 16.0
 SIGNED = "doc_id long, node binary, bands array<long>"
+_DOC_BITS = 9  # TEXTS texts fit; the rest of 64 bits is a shingle's hash
 _SHIFTS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5), np.uint64(0x85EBCA77C2B2AE63)]
 
 
@@ -64,20 +65,22 @@ def shingle_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     word, doc = word[real], doc[real]
     n = np.bincount(doc, minlength=len(size))
     first = np.cumsum(n) - n
-    at = np.arange(len(word))
-    place, count = at - first[doc], n[doc]
-    starts = at[(place == 0) | (place + SHINGLE <= count)]
     with np.errstate(over="ignore"):
-        h = np.zeros(len(starts), np.uint64)
+        h = np.zeros(max(0, len(word) - SHINGLE + 1), np.uint64)
         for j in range(SHINGLE):
-            inside = place[starts] + j < count[starts]
-            nxt = word[np.minimum(starts + j, max(0, len(word) - 1))] if len(word) else word
-            h = np.where(inside, mix64(h * np.uint64(3) + nxt * _SHIFTS[j]), h)
-    doc = doc[starts]
-    order = np.lexsort((h, doc))
-    doc, h = doc[order], h[order]
-    new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]) if len(doc) else np.zeros(0, np.int64)
-    return doc[new], h[new], np.diff(np.r_[new, len(doc)])
+            h += word[j : len(word) - SHINGLE + 1 + j] * _SHIFTS[j] if len(h) else h
+        at = np.flatnonzero(doc[: len(h)] == doc[SHINGLE - 1 :]) if len(h) else np.zeros(0, np.int64)
+        short = np.flatnonzero((n > 0) & (n < SHINGLE))  # one shingle of all their words
+        few = np.zeros(len(short), np.uint64)
+        for j in range(SHINGLE - 1):
+            more = n[short] > j
+            few[more] += word[first[short[more]] + j] * _SHIFTS[j]
+    bits = np.uint64(64 - _DOC_BITS)
+    both = np.concatenate([doc[at], short]).astype(np.uint64) << bits | mix64(np.concatenate([h[at], few])) >> np.uint64(_DOC_BITS)
+    both.sort()
+    new = starts_of(both)
+    doc = (both[new] >> bits).astype(np.int64)
+    return doc, both[new] & np.uint64((1 << (64 - _DOC_BITS)) - 1), np.diff(np.r_[new, len(both)])
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -92,25 +95,22 @@ def _poisson_cdf(area: float) -> np.ndarray:
 _cdfs: dict[float, np.ndarray] = {}
 
 
-def _darts(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, level: int, low: float, high: float):
+def _darts(doc: np.ndarray, seed: np.ndarray, weight: np.ndarray, base: float, width: float, low: float, high: float):
     """Darts of one weight level and rank step that fall below the weights: (doc, rank, identity)."""
-    base, width = (0.0, 1.0) if level == 0 else (2.0 ** (level - 1), 2.0 ** (level - 1))
     cells = max(1, math.ceil(width * (high - low) / _CELL))  # a cell's ranks, so that no Poisson mean is large
     area = width * (high - low) / cells
     if area not in _cdfs:
         _cdfs[area] = _poisson_cdf(area)
-    seed = mix64(key, 1 + level)
-    step = np.uint64(int(low * 1024) * 2 + 1)
+    none = np.uint64(int(_cdfs[area][0] * 2.0**53) << 11)
+    step = int(low * 1024) * 2 + 1
     found = []
     for c in range(cells):
         with np.errstate(over="ignore"):
-            cell = mix64(seed + step * np.uint64(0xD1B54A32D192ED03) + np.uint64(c))
-        u = _uniform(cell)
-        some = np.flatnonzero(u >= _cdfs[area][0])
-        n = np.searchsorted(_cdfs[area], u[some], "right")
-        at = np.repeat(some, n)
-        j = (np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64)
-        with np.errstate(over="ignore"):
+            cell = mix64(seed + np.uint64((step * 0xD1B54A32D192ED03 + c) & 0xFFFFFFFFFFFFFFFF))
+            some = np.flatnonzero(cell >= none)
+            n = np.searchsorted(_cdfs[area], _uniform(cell[some]), "right")
+            at = np.repeat(some, n)
+            j = (np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64)
             dart = mix64(cell[at] + (j + np.uint64(1)) * np.uint64(0xA24BAED4963EE407))
         under = base + width * _uniform(mix64(dart, 7)) < weight[at]
         at, dart = at[under], dart[under]
@@ -122,29 +122,32 @@ def _darts(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, level: int, low
 def signatures(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, n_docs: int, k: int = BANDS * ROWS) -> np.ndarray:
     """Per text the identity of the earliest dart of each of ``k`` coordinates (0: no shingles)."""
     sign = np.zeros((n_docs, k), np.uint64)
-    has = np.zeros(n_docs, bool)
-    has[doc] = True
-    open_ = has.copy()
+    flat = sign.reshape(-1)
+    open_ = np.bincount(doc, minlength=n_docs) > 0
+    levels, level = [], 0  # the weight axis in steps [0, 1), [1, 2), [2, 4), ...
+    while True:
+        base = 0.0 if level == 0 else 2.0 ** (level - 1)
+        above = weight > base
+        if not above.any():
+            break
+        levels.append((doc[above], mix64(key[above], 1 + level), weight[above], base, max(1.0, base)))
+        level += 1
     low, high = 0.0, _FIRST_RANK
     while open_.any():
-        live = open_[doc]
-        d, x, w = doc[live], key[live], weight[live]
-        got, level = [], 0
-        while True:
-            above = w > (0 if level == 0 else 2.0 ** (level - 1))
-            if not above.any():
-                break
-            got.append(_darts(d[above], x[above], w[above], level, low, high))
-            level += 1
+        got = [_darts(*x, low, high) for x in levels if len(x[0])]
         td, rank, dart = (np.concatenate(v) for v in zip(*got, strict=True))
         slot = td * k + (mix64(dart, 9) % np.uint64(k)).astype(np.int64)
+        free = flat[slot] == 0
+        slot, rank, dart = slot[free], rank[free], dart[free]
         order = np.lexsort((dart, rank, slot))
         first = order[starts_of(slot[order])]
-        flat = sign.reshape(-1)
-        empty = first[flat[slot[first]] == 0]
-        flat[slot[empty]] = dart[empty]
+        flat[slot[first]] = dart[first]
         open_ &= (sign == 0).any(1)
         low, high = high, 2 * high
+        for i, (d, x, w, base, width) in enumerate(levels):
+            live = open_[d]
+            if i or 2 * live.sum() < len(live):  # texts that are done need no more darts (few do no harm)
+                levels[i] = (d[live], x[live], w[live], base, width)
     return sign
 
 
@@ -296,7 +299,7 @@ def links_between(members: DataFrame, contents: DataFrame, min_similarity: float
         found = materialise(verify(pairs, contents, min_similarity))
         links = found if links is None else links.unionByName(found)
         if round_ < LEADER_ROUNDS:
-            labels = rough_labels(links)
+            labels = rough_labels(links) if round_ + 1 < LEADER_ROUNDS else components(links)
             degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
             state = members.join(labels, "node", "left").join(degrees, "node", "left")
             state = materialise(state.withColumns({"label": F.coalesce("label", "node"), "degree": F.coalesce("degree", F.lit(0).cast("long"))}))
