@@ -4,13 +4,14 @@ The texts are never sorted as a whole.  Anchors (``passages``) are positions tha
 50-byte strings have in common; each stands for the 80 bytes around it.  Anchors meet by the
 hash of their gram, in packed blocks by hash bucket; a map task first settles what repeats
 within its own texts, so a passage that a third of the documents share arrives once per task.
-An anchor whose 80 bytes an earlier document has is settled there.  Only those whose
-surroundings differ are looked up in the texts, and the suffixes of their surroundings, those
-with 50 bytes left, are put in order by a deep-shallow sort: a multikey quicksort on 8-byte
+The surroundings of a gram that several documents have are fetched from the texts.  An anchor
+whose 80 bytes an earlier document has is settled there.  Of those that differ, the suffixes
+with 50 bytes left are put in order by a deep-shallow sort: a multikey quicksort on 8-byte
 characters to ``SHALLOW`` bytes, then a blind trie for every group that is still equal.  Equal
 50-byte strings are neighbours in that order, and all but the earliest document's are removed.
 
-80-byte surroundings are compared by 96 bits of hash, everything else byte by byte.
+Hashes only choose what is compared; nothing is removed unless its bytes are equal.  Rows that
+repeat an id are told apart by the crc32 of their text.
 
 Defined results: a null text is empty; a document with a null id neither loses nor removes
 anything; rows that repeat an id do not remove each other's bytes; an empty table gives no
@@ -28,6 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,8 @@ TEXTS = 2500
 #: Bytes before and after the gram, by the place of the gram in a 50-byte string.
 PARTS = [(0, SIDE - 7), (8, SIDE - 14), (15, SIDE - 22), (23, 0)]
 BLOCK = "bucket int, payload binary"
+#: Pairs of surroundings compared at once.
+PAIRS = 1 << 16
 #: What the anchors settle or ask: ``ask`` is null for a span to remove.
 NEWS = "doc_id long, crc long, lo int, hi int, ask long"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -81,6 +85,16 @@ def _first_of(group: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return np.repeat(np.minimum.reduceat(doc, at), np.diff(np.r_[at, len(group)]))
 
 
+def _equal(raw: np.ndarray, lo: np.ndarray, size: np.ndarray, left: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the surroundings ``a`` and ``b`` (their numbers) are the same bytes around the gram."""
+    view = np.lib.stride_tricks.sliding_window_view(raw, 2 * SIDE + GRAM)
+    out = (size[a] == size[b]) & (left[a] == left[b])
+    for i in range(0, len(a), PAIRS):
+        x, y = a[i : i + PAIRS], b[i : i + PAIRS]
+        out[i : i + PAIRS] &= ((view[lo[x]] == view[lo[y]]) | (np.arange(2 * SIDE + GRAM) >= size[x][:, None])).all(1)
+    return out
+
+
 def anchor_blocks(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, payload): anchors that their task cannot settle, and the spans that it can."""
 
@@ -89,6 +103,8 @@ def anchor_blocks(docs: DataFrame, buckets: int) -> DataFrame:
             texts = utf8(batch.column("text").to_pylist())
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             crc = np.array([zlib.crc32(t) for t in texts], "<u4")
+            joined = np.frombuffer(b"".join(texts) + bytes(2 * SIDE + GRAM), np.uint8)
+            begin = np.cumsum([0, *map(len, texts)])
             found = []
             for i, t in enumerate(texts):
                 raw = np.frombuffer(t, np.uint8)
@@ -100,23 +116,26 @@ def anchor_blocks(docs: DataFrame, buckets: int) -> DataFrame:
                     if whole.any():
                         context[whole] = mix64(gram_hashes(raw, 2 * SIDE + GRAM, lo[whole]), 2)
                     cut_off = np.flatnonzero(~whole).tolist()  # by the text's ends
-                    context[~whole] = mix64(np.array([zlib.crc32(t[lo[j] : hi[j]]) << 20 | (place[j] - lo[j]) << 8 | (hi[j] - place[j]) for j in cut_off], np.uint64), 3)
-                    found.append((np.full(len(place), i), h, context, place))
+                    context[~whole] = mix64(np.array([xxhash.xxh3_64_intdigest(t[lo[j] : hi[j]], int(place[j] - lo[j])) for j in cut_off], np.uint64), 3)
+                    found.append((np.full(len(place), i), h, context, place, lo + begin[i], hi - lo))
             if not found:
                 continue
-            doc, h, context, place = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((context, h))
-            doc, h, context, place = doc[order], h[order], context[order], place[order]
-            first = _first_of(np.cumsum(np.r_[True, (h[1:] != h[:-1]) | (context[1:] != context[:-1])]), ids[doc])
-            late = ids[doc] > first
+            doc, h, context, place, lo, size = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((ids[doc], context, h))
+            doc, h, context, place, lo, size = (x[order] for x in (doc, h, context, place, lo, size))
+            new = np.r_[True, (h[1:] != h[:-1]) | (context[1:] != context[:-1])]
+            first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))  # the row of the smallest doc
+            late = ids[doc] > ids[doc[first]]
+            some = np.flatnonzero(late)
+            late[some] = _equal(joined, lo, size, place + begin[doc] - lo, some, first[some])
             bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(2 * bucket + late, kind="stable")  # by bucket, what goes on before what is settled
-            doc, h, context, place, bucket, late = (x[order] for x in (doc, h, context, place, bucket, late))
+            doc, h, place, bucket, late = (x[order] for x in (doc, h, place, bucket, late))
             at = starts_of(bucket)
             for a, z in zip(at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True):
                 names, local = np.unique(doc[a:z], return_inverse=True)
                 m = z - a - int(late[a:z].sum())
-                body = pack([ids[names], crc[names], *_low6(h[a : a + m]), *_low6(context[a : a + m]), local[:m].astype("<u4"), place[a : a + m].astype("<u4"), local[m:].astype("<u4"), place[a + m : z].astype("<u4")])
+                body = pack([ids[names], crc[names], *_low6(h[a : a + m]), local[:m].astype("<u4"), place[a : a + m].astype("<u4"), local[m:].astype("<u4"), place[a + m : z].astype("<u4")])
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket[a]], pa.int32()), "payload": pa.array([body], pa.binary())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and length(text) > 0")
@@ -124,35 +143,25 @@ def anchor_blocks(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def settle(frame: pd.DataFrame) -> pd.DataFrame:
-    """One bucket: spans that an earlier document repeats, and anchors whose surroundings must be seen."""
+    """One bucket: the spans that their tasks settled, and the anchors of grams that several documents have."""
     got = [unpack(p) for p in frame["payload"]]
-    cols = [np.concatenate([ids[local] for ids, *_, local, _, _, _ in got]), np.concatenate([crc[local] for _, crc, *_, local, _, _, _ in got])]
-    wide = lambda lo, hi: lo.astype(np.uint64) | hi.astype(np.uint64) << np.uint64(32)
-    h = np.concatenate([wide(g[2], g[3]) for g in got])
-    context = np.concatenate([wide(g[4], g[5]) for g in got])
-    place = np.concatenate([g[7] for g in got]).astype(np.int64)
-    doc, crc = cols
-    order = np.lexsort((doc, context, h))
-    doc, crc, h, context, place = doc[order], crc[order], h[order], context[order], place[order]
-    new_h = np.r_[True, h[1:] != h[:-1]]
-    new_c = new_h | np.r_[True, context[1:] != context[:-1]]
-    late = doc > _first_of(np.cumsum(new_c), doc)
-    group = np.cumsum(new_h) - 1
-    at = np.flatnonzero(new_h)
-    kinds, low, high = np.add.reduceat(new_c, at, dtype=np.int64), np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)
-    ask = ~late & ((kinds > 1) & (low < high))[group]
-    done_doc, done_crc = np.concatenate([g[0][g[8]] for g in got]), np.concatenate([g[1][g[8]] for g in got])
-    done = np.concatenate([g[9] for g in got]).astype(np.int64)
-    spans = np.r_[place[late], done]
+    doc, crc = np.concatenate([g[0][g[4]] for g in got]), np.concatenate([g[1][g[4]] for g in got])
+    h = np.concatenate([g[2].astype(np.uint64) | g[3].astype(np.uint64) << np.uint64(32) for g in got])
+    place = np.concatenate([g[5] for g in got]).astype(np.int64)
+    order = np.argsort(h, kind="stable")
+    doc, crc, h, place = doc[order], crc[order], h[order], place[order]
+    ask = _first_of(h, doc) < -_first_of(h, -doc)
+    done_doc, done_crc = np.concatenate([g[0][g[6]] for g in got]), np.concatenate([g[1][g[6]] for g in got])
+    done = np.concatenate([g[7] for g in got]).astype(np.int64)
     return pd.DataFrame(
         {
-            "doc_id": np.r_[doc[late], done_doc, doc[ask]],
-            "crc": np.r_[crc[late], done_crc, crc[ask]].astype(np.int64),
-            "lo": np.r_[spans - SIDE, place[ask]].astype(np.int32),
-            "hi": np.r_[spans + SPAN, place[ask]].astype(np.int32),
-            "ask": pd.array(np.r_[np.zeros(len(spans), np.int64), h[ask].astype(np.int64)], "Int64").copy(),
+            "doc_id": np.r_[done_doc, doc[ask]],
+            "crc": np.r_[done_crc, crc[ask]].astype(np.int64),
+            "lo": np.r_[done - SIDE, place[ask]].astype(np.int32),
+            "hi": np.r_[done + SPAN, place[ask]].astype(np.int32),
+            "ask": pd.array(np.r_[np.zeros(len(done), np.int64), h[ask].astype(np.int64)], "Int64").copy(),
         }
-    ).assign(ask=lambda f: f["ask"].where(np.arange(len(f)) >= len(spans)))
+    ).assign(ask=lambda f: f["ask"].where(np.arange(len(f)) >= len(done)))
 
 
 class BlindTrie:
@@ -271,6 +280,20 @@ def order_suffixes(frame: pd.DataFrame) -> pd.DataFrame:
     doc, crc, h, lo, left, body = (np.concatenate(x) for x in zip(*(unpack(p) for p in frame["payload"]), strict=True))
     width = 2 * SIDE + GRAM
     body = body.reshape(len(doc), width + 1)
+    # What an earlier document has whole is settled; the first of equal surroundings go on.
+    key = mix64(_row_hash(body) + left, 4)
+    by = np.lexsort((doc, key))
+    new = np.r_[True, key[by][1:] != key[by][:-1]] if len(by) else np.zeros(0, bool)
+    first = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
+    some = np.flatnonzero(doc[by] > doc[first])
+    for i in range(0, len(some), PAIRS):
+        k = some[i : i + PAIRS]
+        some[i : i + PAIRS] = np.where((body[by[k]] == body[first[k]]).all(1) & (left[by[k]] == left[first[k]]), k, -1)
+    whole = by[some[some >= 0]]
+    on = np.ones(len(doc), bool)
+    on[whole] = False
+    settled = doc[whole], crc[whole], lo[whole].astype(np.int64), body[whole, -1].astype(np.int64)
+    doc, crc, h, lo, left, body = doc[on], crc[on], h[on], lo[on], left[on], body[on]
     size, body = body[:, -1].astype(np.int64), body[:, :-1]
     left = left.astype(np.int64)
     # A common string that begins ``l`` bytes before the gram holds one of these (l, r) parts: l
@@ -278,6 +301,8 @@ def order_suffixes(frame: pd.DataFrame) -> pd.DataFrame:
     repeated = np.zeros((len(doc), len(PARTS)), bool)
     for k, (l, r) in enumerate(PARTS):
         some = np.flatnonzero((left >= l) & (size - left - GRAM >= r))
+        if not len(some):
+            continue
         text = np.take_along_axis(body[some], (left[some] - l)[:, None] + np.arange(l + GRAM + r), 1)
         key = mix64(_row_hash(text) + h[some].astype(np.uint64), 5)
         by = np.argsort(key, kind="stable")
@@ -294,11 +319,13 @@ def order_suffixes(frame: pd.DataFrame) -> pd.DataFrame:
     order, group = deep_shallow(windows)
     late = doc[row[order]] > _first_of(group, doc[row[order]]) if len(row) else np.zeros(0, bool)
     row, at = row[order][late], at[order][late]
-    text = np.unique(np.stack([doc, crc.astype(np.int64)], 1), axis=0, return_inverse=True)[1].reshape(-1) if len(doc) else doc
+    out_doc, out_crc = np.r_[doc[row], settled[0]], np.r_[crc[row], settled[1]].astype(np.int64)
+    begin, end = np.r_[lo[row] + at, settled[2]], np.r_[lo[row] + at + SPAN, settled[2] + settled[3]]
+    text = np.unique(np.stack([out_doc, out_crc], 1), axis=0, return_inverse=True)[1].reshape(-1) if len(out_doc) else out_doc
     one = np.zeros(len(text), np.int64)
     one[text] = np.arange(len(text))  # a row of each text
-    of, a, b = merged(text[row], lo[row] + at, lo[row] + at + SPAN)
-    return pd.DataFrame({"doc_id": doc[one[of]], "crc": crc[one[of]].astype(np.int64), "lo": a.astype(np.int32), "hi": b.astype(np.int32)})
+    of, a, b = merged(text, begin, end)
+    return pd.DataFrame({"doc_id": out_doc[one[of]], "crc": out_crc[one[of]], "lo": a.astype(np.int32), "hi": b.astype(np.int32)})
 
 
 def _row_hash(rows: np.ndarray) -> np.ndarray:

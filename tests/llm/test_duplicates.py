@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -127,6 +128,31 @@ def test_suffix_dedup_equals_brute_force(spark, sf_small, odd_docs, no_docs):
     assert {r.doc_id: r.text for r in cut.collect()}[6] == ""
 
 
+def _same_crc(rng, n):
+    """``n`` pairs of different 9-letter strings of one crc32, which any common header keeps equal."""
+    seen, out = {}, []
+    while len(out) < n:
+        letters = rng.integers(97, 123, (1 << 16, 9)).astype(np.uint8).tobytes()
+        for i in range(0, len(letters), 9):
+            x = letters[i : i + 9]
+            y = seen.setdefault(zlib.crc32(x), x)
+            if x != y:
+                out.append((y.decode(), x.decode()))
+    return out[:n]
+
+
+def test_suffix_dedup_compares_surroundings_cut_off_by_the_start_or_end(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for x, y in _same_crc(rng, 30):
+        head, tail = ("".join(map(chr, rng.integers(97, 123, n))) for n in (45, 45))
+        for middle in (x, y):
+            rows.append((len(rows), head + middle + tail))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for part in (frame.coalesce(1), frame.repartition(7)):
+        assert Counter(map(tuple, suffix_dedup.dedup(part).collect())) == _brute_suffix(rows)
+
+
 def test_decontamination_equals_brute_force(spark, sf_small, odd_docs, no_docs):
     items = [(i, " ".join(WORDS[(i * 97 + j * (i + 1)) % 4000] for j in range(20 + i))) for i in range(12)] + [(90, "just three words"), (91, ""), (92, None), (None, "no id here at all now")]
     bench = spark.createDataFrame(items, "item_id long, text string")
