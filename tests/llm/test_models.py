@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import textwrap
 import zlib
 from collections import Counter
 
@@ -151,3 +152,30 @@ def test_licences_are_found_and_confirmed(spark, odd_docs, no_docs):
     assert all(r.paragraph == 1 for r in got)
     assert licenses.licenses(odd_docs).filter("confirmed").count() == 0
     assert licenses.licenses(no_docs).count() == 0
+
+
+def test_wrapped_changed_and_titled_licences_are_found(spark):
+    filler = [" ".join(f"q{(i * 7 + j * (i + 3)) % 500}" for j in range(30)) for i in range(200)]
+    long = {f: max(texts, key=len) for f, texts in licenses.TEMPLATES.items() if f in ("MIT", "BSD", "GPL-3.0", "Apache-2.0", "ISC")}
+    rows, want = [(i, f"{filler[i]}\n{filler[i + 1]}") for i in range(150)], set()
+    for k, (family, text) in enumerate(long.items()):
+        wrapped = textwrap.wrap(text, 60)
+        assert len(wrapped) > 1
+        changed = text.split()
+        changed[6] = "some"
+        for case, (before, lines, after) in enumerate([
+            ("x\n\n", wrapped, "\n\ny"),  # a paragraph of its own
+            ("", [" * " + w for w in wrapped], "\n" + filler[k]),  # in a comment, with text below
+            (filler[k] + "\n" + filler[k + 9] + "\n" + filler[k + 20] + "\n", wrapped, "\n" + filler[k + 30] + "\n" + filler[k + 40]),  # inside a long paragraph
+            (filler[k] + "\n\n", textwrap.wrap(" ".join(changed), 60), ""),  # with a word changed
+        ]):
+            rows.append((1000 + 10 * k + case, before + "\n".join(lines) + after))
+            want.add((1000 + 10 * k + case, before.count("\n"), family))
+    for k, (family, titles) in enumerate(licenses.TITLES.items()):
+        rows.append((3000 + k, f"{titles[0]}\n\n{filler[k]}"))
+        want.add((3000 + k, 0, family))
+    rows += [(4000, "Released under the\nMIT License.\n" + filler[0] + "\nReleased under the\nMIT License.")]
+    want |= {(4000, 0, "MIT"), (4000, 3, "MIT")}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.paragraph, r.family) for r in licenses.licenses(docs).filter("confirmed").collect())
+    assert got == Counter(want)
