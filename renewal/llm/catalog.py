@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from renewal.llm import decontamination, language_model, licenses, neardup, packing, quality, suffix_dedup, token_counts, token_ids, toxicity
+from renewal.llm import decontamination, language_model, licenses, line_dedup, neardup, packing, periodic_runs, quality, spelling, suffix_dedup, token_counts, token_ids, toxicity
 from renewal.llm.common import table
 
 
@@ -50,10 +50,22 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.token_ids(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(periodic_runs.with_cycles(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_dart_minhash, op2_toxicity_chain, op3_maxent_lm, op4_host_rules, op5_simhash_decontamination, op6_suffix_dedup, op7_license_scan, op8_token_counts, op9_best_fit_packing, op10_token_ids]
+    found = [op1_dart_minhash, op2_toxicity_chain, op3_maxent_lm, op4_host_rules, op5_simhash_decontamination, op6_suffix_dedup, op7_license_scan, op8_token_counts, op9_best_fit_packing, op10_token_ids, op11_spelling_variants, op12_line_dedup, op13_periodic_runs]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_host_rules": quality.ORACLE}
+    return {"op4_host_rules": quality.ORACLE, "op12_line_dedup": line_dedup.ORACLE}

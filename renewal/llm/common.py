@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,3 +73,20 @@ def stash(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def text_slices(batch: pa.RecordBatch, rows: int = 2000, size: int = 16 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """``batch`` in slices of at most ``rows`` rows and about ``size`` bytes of ``text``.
+
+    A text longer than ``size`` is a slice of its own.  The second value is the slice's texts,
+    null as empty.  The whole column is cast before it is sliced: casting a slice is what breaks
+    offsets.
+    """
+    texts = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(batch):
+        before = ends[at - 1] if at else 0
+        end = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, "right"))))
+        yield batch.slice(at, end - at), texts.slice(at, end - at)
+        at = end
