@@ -194,7 +194,7 @@ def near_in_block(words: np.ndarray, m: int, group: np.ndarray, skip: np.ndarray
     return n_near, np.where(n_near > 0, 64 * first_word + bit, -1)
 
 
-def near_words(frame: pd.DataFrame) -> pd.DataFrame:
+def near_words(frame: pd.DataFrame, block: int = BLOCK) -> pd.DataFrame:
     """Some whole groups: per group and word with near words their number and the most frequent."""
     group = frame.groupby(_KEY, sort=False).ngroup().to_numpy()
     frame = frame[np.bincount(group)[group] > 1]
@@ -205,14 +205,14 @@ def near_words(frame: pd.DataFrame) -> pd.DataFrame:
         group = np.sort(group)
         begin = starts_of(group)
         edges, at = np.r_[begin, len(group)], 0
-        while at < len(begin):  # whole groups, about BLOCK words
-            to = max(at + 1, int(np.searchsorted(edges, edges[at] + BLOCK, "right")) - 1)
+        while at < len(begin):  # whole groups, about ``block`` words
+            to = max(at + 1, int(np.searchsorted(edges, edges[at] + block, "right")) - 1)
             lo, hi = edges[at], edges[to]
-            block = some.iloc[lo:hi]
-            words, n = block["word"].to_numpy(str), block["n"].to_numpy(np.int64)
+            these = some.iloc[lo:hi]
+            words, n = these["word"].to_numpy(str), these["n"].to_numpy(np.int64)
             rank = np.lexsort((words, -n))
             words, n = words[rank], n[rank]
-            n_near, best = near_in_block(words, int(m), group[lo:hi][rank] - group[lo], block["skip"].to_numpy(np.int64)[rank])
+            n_near, best = near_in_block(words, int(m), group[lo:hi][rank] - group[lo], these["skip"].to_numpy(np.int64)[rank])
             on = n_near > 0
             out.append(pd.DataFrame({"word": words[on], "n_near": n_near[on], "best_n": n[best[on]], "best": words[best[on]]}))
             at = to
@@ -233,7 +233,7 @@ def roots(forms: DataFrame) -> DataFrame:
             return chain
 
 
-def variants(words: DataFrame, ratio: int = FORM_RATIO, group: int = GROUP) -> DataFrame:
+def variants(words: DataFrame, ratio: int = FORM_RATIO, group: int = GROUP, block: int = BLOCK) -> DataFrame:
     """Of a vocabulary (word, n; every word once): word, form (its near word of the largest n, ties the
     smallest, if at least ``ratio`` times its n), root (the last of its chain of forms), n, n_near, form_n."""
     spark = words.sparkSession
@@ -241,7 +241,7 @@ def variants(words: DataFrame, ratio: int = FORM_RATIO, group: int = GROUP) -> D
     rows = grouped(words, group)
     tasks = max(parts(spark), -(-4 * words.count() // TASK_ROWS))
     dealt = rows.withColumn("task", F.pmod(F.xxhash64(*_KEY), F.lit(tasks)))
-    near = dealt.groupBy("task").applyInPandas(lambda frame: near_words(frame.drop(columns="task")), NEAR)
+    near = dealt.groupBy("task").applyInPandas(lambda frame: near_words(frame.drop(columns="task"), block), NEAR)
     best = near.groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min(F.struct((-F.col("best_n")).alias("n"), F.col("best").alias("word"))).alias("best"))
     enough = -F.col("best.n") >= ratio * F.col("n")
     known = words.join(best, "word", "left").select(

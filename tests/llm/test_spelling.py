@@ -82,12 +82,11 @@ def _vocabulary(rng, size, letters="abé"):
 
 
 @pytest.mark.parametrize("group,block", [(4096, 2048), (8, 16), (2, 64)])
-def test_words_of_few_letters(spark, monkeypatch, group, block):
+def test_words_of_few_letters(spark, group, block):
     """Many near words, shifts within repeated letters, groups dealt again, blocks over 64 words."""
-    monkeypatch.setattr(spelling, "BLOCK", block)
     n = _vocabulary(np.random.default_rng(group), 900)
     df = spark.createDataFrame(sorted(n.items()), "word string, n long")
-    got = _rows(spelling.variants(df, group=group))
+    got = _rows(spelling.variants(df, group=group, block=block))
     assert got == _expected(n)
     assert sum(r[4] for r in got) > 2000 and any(r[2] not in (r[0], r[1]) for r in got)
 
