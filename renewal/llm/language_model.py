@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from renewal.llm.common import mix64, parts, stash
+from renewal.llm.common import mix64, parts, stash, text_slices
 from renewal.llm.suffix_dedup import pack, unpack
 
 #: Classes of single tokens (the end first) and by word shape; hashed features; words broadcast.
@@ -44,8 +44,8 @@ SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long,
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, shape, text number) of every word, in order."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    """(hash, shape, text number) of every word, in order; ``texts`` are a slice of ``text_slices``."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     coded = lists.flatten().dictionary_encode()
     words = [w.encode() for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
     h = np.fromiter((xxhash.xxh3_64_intdigest(w) | 1 if w else 0 for w in words), np.uint64, len(words))
@@ -71,9 +71,10 @@ def count_words(train: DataFrame, buckets: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, shape, _ = tokens(batch.column("text"))
-            words, first, n = np.unique(h, return_index=True, return_counts=True)
-            yield from _blocks([words, n.astype("<u4"), shape[first]], (words >> np.uint64(20)) % np.uint64(buckets))
+            for _, texts in text_slices(batch):
+                h, shape, _ = tokens(texts)
+                words, first, n = np.unique(h, return_index=True, return_counts=True)
+                yield from _blocks([words, n.astype("<u4"), shape[first]], (words >> np.uint64(20)) % np.uint64(buckets))
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         h, n, shape = (np.concatenate(x) for x in zip(*map(unpack, frame["payload"]), strict=True))
@@ -92,7 +93,7 @@ class Model:
 
     def __init__(self, n_docs: int, n_words: int, n_distinct: int, mass: np.ndarray, head: np.ndarray):
         self.train_tokens = n_docs + n_words
-        self.norm = self.train_tokens + 0.5 * (n_distinct + 1 + 1)  # V counts the end
+        self.norm = self.train_tokens + 0.5 * (n_distinct + (n_docs > 0) + 1)  # V counts the end
         self.n_docs = n_docs
         single = head[:, : SINGLES - 1]  # head: hash, count, shape by falling count
         order = np.argsort(head[0])
@@ -151,9 +152,8 @@ def train_round(train: DataFrame, model: Model, part: int) -> None:
         m = shared.value
         w, met = m.weights.copy(), np.zeros(FEATURES, np.float32)
         for batch in batches:
-            for i in range(0, len(batch), TEXTS):
-                some = batch.slice(i, TEXTS)
-                h, shape, doc = tokens(some.column("text"))
+            for some, texts in text_slices(batch, TEXTS):
+                h, shape, doc = tokens(texts)
                 target = np.zeros(len(h) + len(some), np.int64)
                 all_h, all_doc, place = with_ends(h, doc, len(some))
                 target[place] = m.classes(h, shape)[0]
@@ -209,10 +209,9 @@ def score(docs: DataFrame, counts: DataFrame, model: Model, buckets: int) -> Dat
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for i in range(0, len(batch), TEXTS):
-                some = batch.slice(i, TEXTS)
+            for some, texts in text_slices(batch, TEXTS):
                 size = len(some)
-                h, shape, doc = tokens(some.column("text"))
+                h, shape, doc = tokens(texts)
                 cls, at, known = m.classes(h, shape)
                 all_h, all_doc, place = with_ends(h, doc, size)
                 target = np.zeros(len(all_h), np.int64)

@@ -65,8 +65,8 @@ def _tokens(text):
     return (text or "").encode().lower().split() + [None]
 
 
-def test_base_scores_are_exact_and_the_model_beats_them(spark, sf_small):
-    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+def _exact_base(docs):
+    """Scores whose counts and base are compared with plain Python; (base, score) of the held-out texts."""
     rows = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in rows}
     count = Counter(w for i, t in rows.items() if not held[i] for w in _tokens(t))
@@ -78,9 +78,27 @@ def test_base_scores_are_exact_and_the_model_beats_them(spark, sf_small):
         assert r.base_score == pytest.approx(sum(math.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), rel=1e-9)
         if r.held_out:
             base, model = base + r.base_score, model + r.score
+    return base, model
+
+
+def test_base_scores_are_exact_and_the_model_beats_them(spark, sf_small):
+    base, model = _exact_base(spark.read.parquet(f"{sf_small}/documents.parquet"))
     assert model > base
 
 
+def test_base_scores_of_batches_of_many_slices(spark, sf_small):
+    """More rows in a batch than are read at once: every slice reads its own texts."""
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf_small}/documents.parquet").select("text").collect()]
+    rows = [(i, f"É{i % 90} {texts[i % 200][:200]} W{i % 700}") for i in range(3 * language_model.TEXTS + 500)]
+    _exact_base(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+
+
+def test_no_training_documents(spark):
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 1]
+    got = language_model.lm_scores(spark.createDataFrame([(i, "a b c") for i in held], "doc_id long, text string")).collect()
+    assert len(got) == len(held) and all(r.base_score == 0 and r.train_tokens == 0 and r.n_known == 0 for r in got)
+
+
 def test_probabilities_sum_to_one(spark):
     rows = [(i, t) for i, t in enumerate(["a b c a", "b b d", "a c e f", "g a b", "h i a"] * 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
