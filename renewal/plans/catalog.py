@@ -731,6 +731,43 @@ def q_early_stop(spark, sf_dir):
     return models.predict(m, te, MODEL_FEATS)
 
 
+@register("newton_trees")
+def q_newton_trees(spark, sf_dir):
+    from renewal.operators import models
+    from renewal.operators.boosting import newton_trees
+
+    _, train, test = _rn(spark, sf_dir)
+    feats = [*MODEL_FEATS, "sparse_col"]  # with its nulls: half the column
+    params = {"eta": 0.1, "max_depth": 4, "n_estimators": 20, "lambda": 1.0, "alpha": 0.1, "gamma": 0.01, "min_child_weight": 2, "max_delta_step": 4, "subsample": 0.8, "colsample_bytree": 0.8}
+    return newton_trees(models.class_weight(train), feats, params).predict(test)
+
+
+@register("early_stop_patience")
+def q_early_stop_patience(spark, sf_dir):
+    from renewal.operators import models
+    from renewal.operators.boosting import newton_trees
+
+    _, train, _ = _rn(spark, sf_dir)
+    parts = models.class_weight(split.holdout(train, 0.25, 10))
+    params = {"n_estimators": 500, "eta": 0.3, "max_depth": 1, "lambda": 1.0, "early_stopping_rounds": 100}
+    return newton_trees(parts, MODEL_FEATS, params, valid="is_valid").curve(spark)
+
+
+@register("fitted_flagship")
+def q_fitted_flagship(spark, sf_dir):
+    from renewal.plans.flagship import fitted_flagship
+
+    return fitted_flagship(spark, sf_dir)
+
+
+@register("fitted_predictions")
+def q_fitted_predictions(spark, sf_dir):
+    from renewal.plans.flagship import fitted_model
+
+    model, _, test = fitted_model(spark, sf_dir)
+    return model.predict(test)
+
+
 @register("predict")
 def q_predict(spark, sf_dir):
     from renewal.operators import models
