@@ -1,119 +1,111 @@
-"""Exact order statistics without gathering a column into one task.
-
-Spark's exact ``percentile`` keeps every distinct value of a group in one aggregation
-buffer, which does not survive a 10^12-row continuous column.  ``exact_medians`` narrows a
-value bracket per column: one grouped ``percentile_approx`` over a fixed grid of fractions
-(all columns in one job, long ``(column, v)`` form), then exact counts below and inside the
-chosen bracket.  Each round shrinks a bracket by about ``1/GRID``; once it holds at most
-``exact_limit`` values they are ranked exactly with a window per column.  A bracket that
-collapses to one value (a value held by a third of the rows) is answered from counts alone.
+"""Exact order statistics by radix selection, without gathering a column into one task.
+
+Doubles map to 64-bit numbers of the same order.  A first job counts every column's values by
+their leading 16 bits; the digit that holds the wanted rank becomes the prefix, and the next job
+counts the next 16 bits of the values that have it, for all columns at once.  Four digits give the
+value itself.  A bracket of at most ``exact_limit`` values is read in one step, by all bits that
+are left.  Counts are summed per batch before the shuffle, so a value that most rows hold costs a
+row per batch, and a group holds at most 65,536 (or ``exact_limit``) digits of one column: no column
+is sorted and no bracket can be missed.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EXACT_LIMIT = 200_000
-ACCURACY = 10_000
-GRID = 512
+EXACT_LIMIT = 1 << 16
+DIGIT_BITS = 16
+_TOP = np.uint64(1 << 63)
+
+
+def ordered(values: np.ndarray) -> np.ndarray:
+    """64-bit numbers in the order of the doubles; both zeros are one."""
+    bits = (values + 0.0).view(np.uint64)
+    return np.where(bits & _TOP, ~bits, bits | _TOP)
+
+
+def unordered(key: int) -> float:
+    bits = np.array([key], np.uint64)
+    return float(np.where(bits & _TOP, bits & ~_TOP, ~bits).view(np.float64)[0])
 
 
-def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    items = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols]
-    return df.select(F.explode(F.array(*items)).alias("_s")).select("_s.*").where(F.col("v").isNotNull() & ~F.isnan("v"))
+def _digits(df: DataFrame, names: Sequence[str], brackets: list[tuple[int, int, int, int]]) -> DataFrame:
+    """bracket, digit, n: counts of the next digit.  A bracket: column, its prefix, bits left, bits after the digit."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys: dict[int, np.ndarray] = {}
+            for i, (c, prefix, left, after) in enumerate(brackets):
+                if c not in keys:
+                    v = pc.fill_null(batch.column(names[c]), float("nan")).to_numpy(zero_copy_only=False)
+                    keys[c] = ordered(v[~np.isnan(v)])
+                k = keys[c] if left == 64 else keys[c][keys[c] >> np.uint64(left) == np.uint64(prefix)]
+                digit, n = np.unique(k & np.uint64((1 << left) - 1) if left < 64 else k, return_counts=True)
+                digit, first = np.unique(digit >> np.uint64(after), return_index=True)
+                if len(digit):
+                    n = np.add.reduceat(n, first)
+                    yield pa.RecordBatch.from_pydict({"bracket": pa.array(np.full(len(digit), i, np.int32)), "digit": pa.array(digit.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
 
-def _in_bracket(long: DataFrame, brackets: DataFrame) -> DataFrame:
-    # brackets holds one row per column (bounded by the schema width) → broadcast is safe
-    return long.join(F.broadcast(brackets), "column").where(
-        (F.col("lo").isNull() | (F.col("v") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("v") <= F.col("hi")))
-    )
+    return df.mapInArrow(count, "bracket int, digit long, n long").groupBy("bracket", "digit").agg(F.sum("n").alias("n"))
 
 
-def exact_medians(df: DataFrame, cols: Sequence[str], exact_limit: int = EXACT_LIMIT, max_rounds: int = 8) -> dict[str, float | None]:
+def _picker(wanted: list[dict[str, int] | None], q: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def pick(frame: pd.DataFrame) -> pd.DataFrame:
+        """The digits that hold the wanted ranks of one bracket."""
+        i = int(frame["bracket"].iloc[0])
+        frame = frame.sort_values("digit")
+        upto = frame["n"].cumsum().to_numpy()
+        at = (upto[-1] - 1) * q
+        ranks = wanted[i] or {"lo": math.floor(at), "hi": math.ceil(at)}
+        place = np.searchsorted(upto, list(ranks.values()), "right")
+        n = frame["n"].to_numpy()[place]
+        return pd.DataFrame({"bracket": np.int32(i), "side": list(ranks), "digit": frame["digit"].to_numpy()[place], "rank": np.array(list(ranks.values())) - (upto[place] - n), "n": n, "share": at - math.floor(at)})
+
+    return pick
+
+
+def exact_medians(df: DataFrame, cols: Sequence[str], exact_limit: int = EXACT_LIMIT) -> dict[str, float | None]:
     """Median per column (mean of the two middle values for even counts), nulls ignored."""
-    return exact_quantiles(df, cols, 0.5, exact_limit, max_rounds)
+    return exact_quantiles(df, cols, 0.5, exact_limit)
+
 
+def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float, exact_limit: int = EXACT_LIMIT) -> dict[str, float | None]:
+    """Quantile q per column with linear interpolation between the ranks floor/ceil((n-1)q).
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float, exact_limit: int = EXACT_LIMIT, max_rounds: int = 8) -> dict[str, float | None]:
-    """Quantile q per column with linear interpolation between the ranks floor/ceil((n−1)q)."""
+    Nulls and NaN are left out; a column without values gives None.
+    """
     cols = list(cols)
-    result: dict[str, float | None] = {c: None for c in cols}
-    if not cols:
-        return result
-    spark = df.sparkSession
-    long = _long(df, cols)
-    counts = {r["column"]: r["n"] for r in long.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-    state = {
-        c: {"k": (int(math.floor((n - 1) * q)), int(math.ceil((n - 1) * q))), "frac": (n - 1) * q - math.floor((n - 1) * q),
-            "lo": None, "hi": None, "below": 0, "inside": n}
-        for c, n in counts.items()
-        if n
-    }
-    grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
-    for _ in range(max_rounds):
-        done = [c for c, s in state.items() if s["lo"] is not None and s["lo"] == s["hi"]]
-        for c in done:
-            result[c] = float(state.pop(c)["lo"])
-        small = {c: s for c, s in state.items() if s["inside"] <= exact_limit}
-        if small:
-            result.update(_rank_inside(spark, long, small))
-            for c in small:
-                state.pop(c)
-        if not state:
-            break
-        br = spark.createDataFrame([(c, s["lo"], s["hi"]) for c, s in state.items()], "column string, lo double, hi double")
-        inside = _in_bracket(long, br)
-        qs = {r["column"]: r["q"] for r in inside.groupBy("column").agg(F.percentile_approx("v", grid, ACCURACY).alias("q")).collect()}
-        proposal = []
-        for c, s in state.items():
-            qv = qs[c]
-            a = (s["k"][0] - s["below"]) / s["inside"]
-            b = (s["k"][1] - s["below"]) / s["inside"]
-            margin = 2.0 / ACCURACY
-            ia = max(0, int((a - margin) * GRID))
-            ib = min(GRID, int((b + margin) * GRID) + 1)
-            proposal.append((c, s["lo"], s["hi"], float(qv[ia]), float(qv[ib])))
-        nb = spark.createDataFrame(proposal, "column string, lo double, hi double, nlo double, nhi double")
-        cnt = (
-            _in_bracket(long, nb)
-            .groupBy("column")
-            .agg(
-                F.count(F.when(F.col("v") < F.col("nlo"), 1)).alias("lt"),
-                F.count(F.when((F.col("v") >= F.col("nlo")) & (F.col("v") <= F.col("nhi")), 1)).alias("mid"),
-            )
-            .collect()
-        )
-        prop = {p[0]: p for p in proposal}
-        for r in cnt:
-            s = state[r["column"]]
-            below = s["below"] + r["lt"]
-            if below <= s["k"][0] and s["k"][1] < below + r["mid"]:
-                s.update(lo=prop[r["column"]][3], hi=prop[r["column"]][4], below=below, inside=r["mid"])
+    names = [f"c{i}" for i in range(len(cols))]
+    rows = df.select(*[F.col(c).cast("double").alias(n) for c, n in zip(cols, names, strict=True)])
+    # (column, prefix, bits left, bits after the next digit) -> wanted ranks inside; None: from the count
+    brackets: dict[tuple[int, int, int, int], dict[str, int] | None] = {(i, 0, 64, 64 - DIGIT_BITS): None for i in range(len(cols))}
+    found: dict[tuple[int, str], float] = {}
+    share: dict[int, float] = {}
+    while brackets:
+        keys, wanted = list(brackets), list(brackets.values())
+        counted = _digits(rows, names, keys)
+        picked = counted.groupBy("bracket").applyInPandas(_picker(wanted, q), "bracket int, side string, digit long, rank long, n long, share double").collect()  # two rows a column
+        brackets = {}
+        for r in picked:
+            c, prefix, left, after = keys[r["bracket"]]
+            if left == 64:
+                share[c] = r["share"]
+            prefix = (prefix << (left - after)) | r["digit"]
+            if after == 0:
+                found[c, r["side"]] = unordered(prefix)
             else:
-                # the approximate grid missed (its rank error is bounded, so this is rare):
-                # keep the bracket and rank it exactly
-                s["inside"] = 0
-    if state:
-        result.update(_rank_inside(spark, long, state))
-    return result
-
-
-def _rank_inside(spark, long: DataFrame, state: dict) -> dict[str, float]:
-    """Exact values at the target ranks inside each bracket."""
-    rows = [(c, s["lo"], s["hi"], s["k"][0] - s["below"], s["k"][1] - s["below"]) for c, s in state.items()]
-    br = spark.createDataFrame(rows, "column string, lo double, hi double, k1 bigint, k2 bigint")
-    w = Window.partitionBy("column").orderBy("v")
-    picked = (
-        _in_bracket(long, br)
-        .withColumn("_r", F.row_number().over(w) - 1)
-        .where((F.col("_r") == F.col("k1")) | (F.col("_r") == F.col("k2")))
-        .groupBy("column")
-        .agg(F.min("v").alias("a"), F.max("v").alias("b"))
-        .collect()
-    )
-    return {r["column"]: float(r["a"]) + (float(r["b"]) - float(r["a"])) * state[r["column"]]["frac"] for r in picked}
+                key = (c, prefix, after, 0 if r["n"] <= exact_limit else max(0, after - DIGIT_BITS))
+                brackets.setdefault(key, {})[r["side"]] = r["rank"]
+    out: dict[str, float | None] = {}
+    for i, c in enumerate(cols):
+        lo, hi = found.get((i, "lo")), found.get((i, "hi"))
+        out[c] = None if lo is None or hi is None else lo if lo == hi else lo + (hi - lo) * share[i]
+    return out
