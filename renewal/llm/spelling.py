@@ -113,11 +113,11 @@ def grouped(words: DataFrame, group: int = GROUP) -> DataFrame:
     elsewhere)."""
     whole = words.select("word", "n", F.explode(F.array(F.char_length("word"), F.char_length("word") + 1)).alias("m"))
     nothing = F.lit(0)
-    rows = materialise(_keyed(_halved(whole.select("word", "n", "m", nothing.alias("a"), nothing.alias("b"), F.lit(_NEVER).alias("skip")))))
+    rows = _keyed(_halved(whole.select("word", "n", "m", nothing.alias("a"), nothing.alias("b"), F.lit(_NEVER).alias("skip"))))
     done = None
     while True:
         large = rows.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("members")).filter((F.col("members") > group) & (F.col("m") - F.col("a") - F.col("b") > 1))
-        large = materialise(large.drop("members"))
+        large = materialise(large.drop("members"))  # fewer than the vocabulary has words, by a factor of ``group``
         if large.isEmpty():
             return rows if done is None else done.unionByName(rows)
         fits = rows.join(large, _KEY, "left_anti").select(*rows.columns)
@@ -222,12 +222,10 @@ def near_words(frame: pd.DataFrame, block: int = BLOCK) -> pd.DataFrame:
 def roots(forms: DataFrame) -> DataFrame:
     """word, root of the (word, form) rows; a form is ``FORM_RATIO`` times as frequent as its word, so
     the chain's length is the logarithm of a count, and every round doubles what it has followed."""
-    chain = forms.select("word", F.col("form").alias("root"))
+    chain = materialise(forms.select("word", F.col("form").alias("root")))
     while True:
-        chain = materialise(chain)
         onward = chain.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        step = chain.join(onward, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
-        step = materialise(step)
+        step = materialise(chain.join(onward, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         chain = step.select("word", "root")
         if step.filter("moved").isEmpty():
             return chain
@@ -242,9 +240,11 @@ def variants(words: DataFrame, ratio: int = FORM_RATIO, group: int = GROUP, bloc
     tasks = max(parts(spark), -(-4 * words.count() // TASK_ROWS))
     dealt = rows.withColumn("task", F.pmod(F.xxhash64(*_KEY), F.lit(tasks)))
     near = dealt.groupBy("task").applyInPandas(lambda frame: near_words(frame.drop(columns="task"), block), NEAR)
-    best = near.groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min(F.struct((-F.col("best_n")).alias("n"), F.col("best").alias("word"))).alias("best"))
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in near.dtypes if c != "word"]
+    both = words.select("word", "n", *nothing).unionByName(near.select("word", F.lit(None).cast("long").alias("n"), *[c for c, _ in near.dtypes if c != "word"]))
+    best = both.groupBy("word").agg(F.max("n").alias("n"), F.sum("n_near").alias("n_near"), F.min(F.when(F.col("best").isNotNull(), F.struct((-F.col("best_n")).alias("n"), F.col("best").alias("word")))).alias("best"))
     enough = -F.col("best.n") >= ratio * F.col("n")
-    known = words.join(best, "word", "left").select(
+    known = best.select(
         "word",
         "n",
         F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
