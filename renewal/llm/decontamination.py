@@ -78,13 +78,12 @@ def _hashes(w: Column, k: int) -> Column:
     return F.transform(at, lambda i: F.xxhash64(F.slice(w, i, F.lit(k))))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
-    """doc_id, item_id, start (word), similarity of the best window of each matching pair."""
-    spark = docs.sparkSession
+def _matches(docs: DataFrame, benchmark: DataFrame, radius: int, min_similarity: float) -> DataFrame | None:
+    """doc_id, key (hash of id and text), item_id, start, similarity of every matching window; None without items."""
     items = _items(benchmark)
     sizes = [r[0] for r in items.select("k").distinct().sort("k").collect()]  # at most SHINGLE values
     if not sizes:
-        return spark.createDataFrame([], FOUND)
+        return None
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.xxhash64("doc_id", "text"))
     seeds_of_items = items.select("k", "n", F.explode(F.array_distinct("h")).alias("h")).distinct()
     small = items.agg(F.sum(F.size("h"))).first()[0] <= BROADCAST_ROWS
@@ -101,25 +100,41 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, mi
     again = text.join(per_doc, "key").select("key", "doc_id", words(F.col("text")).alias("w"), "windows").dropDuplicates(["key"])
     h = None
     for k in sizes:
-        cut = again.select("doc_id", _hashes(F.col("w"), k).alias("all"), F.filter("windows", lambda x: x["k"] == k).alias("windows"))
-        cut = cut.select("doc_id", F.explode(F.transform("windows", lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"), F.slice(F.col("all"), x["start"] + 1, x["n"] - (k - 1)).alias("h")))).alias("x"))
-        cut = cut.select("doc_id", F.lit(k).alias("k"), "x.*")
+        cut = again.select("doc_id", "key", _hashes(F.col("w"), k).alias("all"), F.filter("windows", lambda x: x["k"] == k).alias("windows"))
+        cut = cut.select("doc_id", "key", F.explode(F.transform("windows", lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"), F.slice(F.col("all"), x["start"] + 1, x["n"] - (k - 1)).alias("h")))).alias("x"))
+        cut = cut.select("doc_id", "key", F.lit(k).alias("k"), "x.*")
         h = cut if h is None else h.unionByName(cut)
     marked = h.withColumn("fp", simhash(F.col("h")))
     near = radius // BLOCKS
     flips = sorted(sum(1 << b for b in c) for r in range(near + 1) for c in combinations(range(BLOCK_BITS), r))
     entries = items.select("item_id", "k", "n", F.col("fp").alias("item_fp"), F.explode(F.array(*[F.struct(F.lit(i).alias("block"), block(F.col("fp"), i).alias("own")) for i in range(BLOCKS)])).alias("e"))
     entries = entries.select("item_id", "k", "n", "item_fp", "e.block", F.explode(F.transform(F.array(*[F.lit(f) for f in flips]), lambda f: f.bitwiseXOR(F.col("e.own")))).alias("value"))
-    probes = marked.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("block"), block(F.col("fp"), i).alias("value")) for i in range(BLOCKS)])).alias("e")).select("doc_id", "k", "n", "start", "h", "fp", "e.*")
+    probes = marked.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("block"), block(F.col("fp"), i).alias("value")) for i in range(BLOCKS)])).alias("e")).select("doc_id", "key", "k", "n", "start", "h", "fp", "e.*")
     pairs = probes.join(entries, ["k", "n", "block", "value"])
     off = F.col("fp").bitwiseXOR(F.col("item_fp"))
     first = F.coalesce(*[F.when(F.bit_count(block(off, i)) <= near, F.lit(i)) for i in range(BLOCKS)])  # a pair counts in its first block only
-    pairs = pairs.filter((F.bit_count(off) <= radius) & (first == F.col("block"))).select("doc_id", "start", "h", "item_id")
+    pairs = pairs.filter((F.bit_count(off) <= radius) & (first == F.col("block"))).select("doc_id", "key", "start", "h", "item_id")
     checked = pairs.join(items.select("item_id", F.col("h").alias("item_h")), "item_id").withColumn("similarity", similarity(F.col("h"), F.col("item_h")))
-    best = checked.filter(F.col("similarity") >= min_similarity).groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", -F.col("start"))).alias("b"))
+    return checked.filter(F.col("similarity") >= min_similarity).select("doc_id", "key", "item_id", "start", "similarity")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
+    """doc_id, item_id, start (word), similarity of the best window of each matching pair."""
+    found = _matches(docs, benchmark, radius, min_similarity)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], FOUND)
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", -F.col("start"))).alias("b"))
     return best.select("doc_id", "item_id", (-F.col("b.col2")).cast("int").alias("start"), F.col("b.similarity").alias("similarity"))
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without those that hold a window like a benchmark item."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
+    """``docs`` without the rows that hold a window like a benchmark item.
+
+    A row is known by its id (null too) and its text, so a clean row stays though another of its id goes.
+    """
+    found = _matches(docs, benchmark, radius, min_similarity)
+    if found is None:
+        return docs
+    bad = found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("doc_id").cast("long"), "text") == F.col("_key"))
+    return docs.join(bad, same, "left_anti")
