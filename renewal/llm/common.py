@@ -22,9 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder (survives lost executors)."""
+def materialise(df: DataFrame, rows: int | None = None, rows_per_task: int = 100_000) -> DataFrame:
+    """``df`` computed once and kept in the shared checkpoint folder (survives lost executors).
+
+    ``rows``: about how many rows ``df`` has, or is made from.  A small table is then written by few
+    tasks, whatever the number of shuffle partitions.
+    """
     ensure_checkpoint_dir(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // rows_per_task)))
     return df.checkpoint(eager=True)
 
 

@@ -11,13 +11,15 @@ probability equal to their weighted Jaccard similarity.
 
 Texts with equal shingles (exact copies above all) are first collapsed to one node.  Nodes that
 agree in all rows of a band are candidates.  Within a band's bucket every node is compared with
-the bucket's leader (its first document, then the node with the most links so far), which
-joins nearly all of a large group at a pair per node and round.  What is left, pairs of nodes
-in one bucket but still in different components, is compared pair by pair, so no candidate
-link between components goes unchecked.  Shingles that only one node holds bound a pair's
-similarity from above; nodes and pairs that this rules out (a group's members with edits of
-their own) are not compared.  Candidates are verified by exact weighted Jaccard similarity of
-at least ``MIN_SIMILARITY``; verified links make the classes (connected components).
+the bucket's leader (its first document), which joins nearly all of a large group at a pair per
+node.  A bucket whose nodes are still in different components goes on in blocks: its largest
+component and the rest are dealt to chunks of bounded size, and a task gets two chunks, of which one
+at least is of the rest.  It multiplies their incidence matrices of shingles, which gives all
+common sizes, so exact similarities, at once, and returns a spanning forest of the links: pairs
+are never rows, and no candidate link between components goes unchecked.  Shingles that only one
+node holds bound a node's similarity from above; nodes that this rules out are not compared.
+Candidates are verified by exact weighted Jaccard similarity of at least ``MIN_SIMILARITY``; verified
+links make the classes (connected components).
 
 The signature finds a pair of similarity 0.8 with probability 1 - (1 - 0.8^4)^24, about
 0.999997, and misses fewer above it.
@@ -44,10 +46,14 @@ from renewal.llm.common import materialise, mix64, starts_of
 
 SHINGLE, MIN_SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
-#: Texts hashed at once, and rounds of leaders before the remaining pairs.
-TEXTS, LEADER_ROUNDS = 500, 3
+#: Texts hashed at once.
+TEXTS = 500
+#: Nodes of a chunk, their shingles, and shingles multiplied at once.
+CHUNK, CHUNK_SHINGLES, COLUMNS = 512, 1 << 20, 4096
+#: Rows (of nodes in buckets) that a task takes, at least.
+TASK_ROWS = 20_000
 _FIRST_RANK, _CELL = 1 / 16, 16.0
-SIGNED = "doc_id long, node binary, bands array<long>"
+SIGNED = "doc_id long, key long, node binary, bands array<long>"
 _DOC_BITS = 9  # TEXTS texts fit; the rest of 64 bits is a shingle's hash
 _SHIFTS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5), np.uint64(0x85EBCA77C2B2AE63)]
 
@@ -174,7 +180,7 @@ def _nodes(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int) -> list
 
 
 def sign_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, node (name of its shingle multiset) and band keys of every row."""
+    """doc_id, key (hash of the text), node (name of its shingle multiset) and band keys of every row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,9 +189,9 @@ def sign_documents(docs: DataFrame) -> DataFrame:
                 doc, key, weight = shingle_counts(some.column("text"))
                 bands = band_keys(signatures(doc, key, weight, len(some))).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1)))
-                yield pa.RecordBatch.from_pydict({"doc_id": some.column("doc_id"), "node": pa.array(_nodes(doc, key, weight, len(some)), pa.binary()), "bands": lists})
+                yield pa.RecordBatch.from_pydict({"doc_id": some.column("doc_id"), "key": some.column("key"), "node": pa.array(_nodes(doc, key, weight, len(some)), pa.binary()), "bands": lists})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, SIGNED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key")).mapInArrow(sign, SIGNED)
 
 
 def _contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -249,14 +255,15 @@ def components(links: DataFrame) -> DataFrame:
     Every round takes the smallest label next to a node, then that label's own label, so the
     distance that a label travels doubles; it ends when no label changes.
     """
-    both = materialise(_both_ways(links).distinct())
+    size = 2 * links.count()
+    both = materialise(_both_ways(links).distinct(), size)
     labels = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label"))
-    labels = materialise(labels)
+    labels = materialise(labels, size)
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, F.col("node") == F.col("a")).select("node", "label", F.least("label", "near").alias("to"))
         far = labels.select(F.col("node").alias("to"), F.col("label").alias("far"))
-        moved = materialise(step.join(far, "to", "left").select("node", F.col("label").alias("old"), F.least("to", "far").alias("label")))
+        moved = materialise(step.join(far, "to", "left").select("node", F.col("label").alias("old"), F.least("to", "far").alias("label")), size)
         labels = moved.select("node", "label")
         if moved.filter(F.col("old") != F.col("label")).isEmpty():
             return labels
@@ -271,47 +278,111 @@ def shared_sizes(contents: DataFrame) -> DataFrame:
     return sizes.select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"))
 
 
-def links_between(members: DataFrame, contents: DataFrame, min_similarity: float = MIN_SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(links, labels): verified links that join all that candidate pairs can join, and components.
+def leader_pairs(members: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
+    """The distinct pairs (a, b) of every node with its bucket's first document.
 
-    ``members``: bucket, node, doc_id.
+    ``members``: bucket, node, doc_id, n, shared.
     """
     share = min_similarity / (1 + min_similarity)  # of both sizes together, what must be common
+    first = members.groupBy("bucket").agg(F.min(F.struct("doc_id", "node", "n", "shared")).alias("x")).select("bucket", "x.node", "x.n", "x.shared")
+    possible = F.least("a.shared", "b.shared") >= share * (F.col("a.n") + F.col("b.n")) - 1e-9
+    both = members.alias("a").join(first.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.node") != F.col("b.node")) & possible)
+    return both.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+
+
+def chunk_pairs(members: DataFrame, labels: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """bucket, c1, c2, node, label: the nodes of the buckets that hold several components, dealt to
+    pairs of chunks so that any two nodes of different labels meet.
 
-    def possible(a: str, b: str):
-        return F.least(f"{a}.shared", f"{b}.shared") >= share * (F.col(f"{a}.n") + F.col(f"{b}.n")) - 1e-9
+    Buckets of two nodes are done: one of them was the other's leader.
+    """
+    state = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("bucket", "node", "label", "n")
+    by_label = state.repartition("bucket").groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("shingles"))
+    sizes = by_label.groupBy("bucket").agg(F.sum("nodes").alias("nodes"), F.sum("shingles").alias("shingles"), F.max(F.struct("nodes", "shingles", "label")).alias("top"))
+    chunks = lambda nodes, shingles: F.ceil(F.greatest(nodes / chunk, shingles / CHUNK_SHINGLES)).cast("int")
+    mixed = sizes.filter((F.col("nodes") > 2) & (F.col("top.nodes") < F.col("nodes"))).select(
+        "bucket",
+        F.col("top.label").alias("top"),
+        chunks(F.col("nodes") - F.col("top.nodes"), F.col("shingles") - F.col("top.shingles")).alias("rest"),
+        chunks(F.col("top.nodes"), F.col("top.shingles")).alias("tops"),
+    )
+    at = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    in_top = F.col("label") == F.col("top")
+    # the rest's chunks come first; two chunks of the largest component need not meet
+    dealt = state.join(mixed, "bucket").withColumn("own", F.when(in_top, F.col("rest") + at(F.col("tops"))).otherwise(at(F.col("rest"))))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(in_top, F.col("rest")).otherwise(F.col("rest") + F.col("tops")) - 1)))
+    return dealt.select("bucket", F.least("own", "other").alias("c1"), F.greatest("own", "other").alias("c2"), "node", "label")
+
+
+def similar_in_block(contents: list[np.ndarray], label: np.ndarray, min_similarity: float = MIN_SIMILARITY) -> list[tuple[int, int, float]]:
+    """A spanning forest (row, row, similarity) of the links between rows of different labels.
+
+    ``contents``: the distinct hashes of every row.
+    """
+    rows = np.repeat(np.arange(len(contents)), [len(h) for h in contents])
+    size = np.bincount(rows, minlength=len(contents)).astype(np.float32)
+    flat = np.concatenate(contents)
+    order = np.argsort(flat, kind="stable")
+    begin = starts_of(flat[order])
+    times = np.diff(np.r_[begin, len(flat)])
+    column = np.repeat(np.where(times > 1, np.cumsum(times > 1) - 1, -1), times)  # what one row holds is common to none
+    rows, column = rows[order][column >= 0], column[column >= 0]
+    common = np.zeros((len(contents), len(contents)), np.float32)
+    for a in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        lo, hi = np.searchsorted(column, [a, a + COLUMNS])
+        held = np.zeros((len(contents), COLUMNS), np.float32)
+        held[rows[lo:hi], column[lo:hi] - a] = 1
+        common += held @ held.T
+    similarity = common.astype(np.float64) / np.maximum(size[:, None] + size[None, :] - common, 1)
+    linked = (similarity >= min_similarity) & (label[:, None] != label[None, :])
+    forest, new = [], np.ones(len(contents), bool)
+    for root in range(len(contents)):
+        if not new[root]:
+            continue
+        new[root] = False
+        open_ = [root]
+        while open_:
+            i = open_.pop()
+            found = np.flatnonzero(linked[i] & new)
+            new[found] = False
+            forest += [(i, j, float(similarity[i, j])) for j in found.tolist()]
+            open_ += found.tolist()
+    return forest
+
+
+def block_links(dealt: DataFrame, contents: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
+    """a, b, similarity: links that join all that pairs of different labels in ``dealt`` can join."""
+
+    def links(frame: pd.DataFrame) -> pd.DataFrame:
+        node = frame["node"].to_list()
+        label = np.unique(np.array(frame["label"].to_list(), dtype=object), return_inverse=True)[1]
+        found = similar_in_block([np.asarray(h) for h in frame["h"]], label, min_similarity)
+        return pd.DataFrame([(min(node[i], node[j]), max(node[i], node[j]), x) for i, j, x in found], columns=["a", "b", "similarity"])
+
+    full = dealt.join(contents, "node").select("bucket", "c1", "c2", "node", "label", "h")
+    return full.groupBy("bucket", "c1", "c2").applyInPandas(links, "a binary, b binary, similarity double")
+
+
+def links_between(members: DataFrame, contents: DataFrame, min_similarity: float = MIN_SIMILARITY, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """(links, labels): verified links that join all that candidate pairs can join, and components.
 
+    ``members``: bucket, node, doc_id.
+    """
     alive = shared_sizes(contents).filter(F.col("shared") >= min_similarity * F.col("n") - 1e-9)
-    members = materialise(members.join(alive, "node"))
-    state = members.withColumns({"label": F.col("node"), "degree": F.lit(0).cast("long")})
-    links, tested = None, None
-    for round_ in range(LEADER_ROUNDS + 1):
-        if round_ < LEADER_ROUNDS:
-            first = F.struct("degree", F.xxhash64(F.lit(round_), "node") if round_ else -F.col("doc_id"), "node", "label", "n", "shared")
-            other = state.groupBy("bucket").agg(F.max(first).alias("x")).select("bucket", "x.node", "x.label", "x.n", "x.shared")
-            order = F.col("a.node") != F.col("b.node")
-        else:
-            other, order = state.select("bucket", "node", "label", "n", "shared"), F.col("a.node") < F.col("b.node")
-        both = state.alias("a").join(other.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.label") != F.col("b.label")) & order & possible("a", "b"))
-        pairs = both.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
-        pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = materialise(verify(pairs, contents, min_similarity))
-        links = found if links is None else links.unionByName(found)
-        if round_ < LEADER_ROUNDS:
-            labels = rough_labels(links) if round_ + 1 < LEADER_ROUNDS else components(links)
-            degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-            state = members.join(labels, "node", "left").join(degrees, "node", "left")
-            state = materialise(state.withColumns({"label": F.coalesce("label", "node"), "degree": F.coalesce("degree", F.lit(0).cast("long"))}))
+    size = members.count()
+    members = materialise(members.join(alive, "node"), size, TASK_ROWS)
+    led = materialise(verify(leader_pairs(members, min_similarity), contents, min_similarity), size, TASK_ROWS)
+    rest = materialise(block_links(chunk_pairs(members, rough_labels(led), chunk), contents, min_similarity), size, TASK_ROWS)
+    links = led.unionByName(rest)
     return links, components(links)
 
 
-def near_duplicates(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
-    """Per row: doc_id, class_id, n_class (documents of its class) and kept (the first of its class)."""
+def _classified(docs: DataFrame, min_similarity: float) -> DataFrame:
+    """doc_id, key (hash of the text), class_id, first (the key of the class's first row) of every row."""
     signed = materialise(sign_documents(docs))
     known = signed.filter(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
-    nodes = known.groupBy("node").agg(F.min(F.struct("doc_id", "bands")).alias("first"))
-    nodes = materialise(nodes.select("node", "first.doc_id", "first.bands"))
+    nodes = known.groupBy("node").agg(F.min(F.struct("doc_id", "key", "bands")).alias("first"))
+    nodes = materialise(nodes.select("node", "first.doc_id", "first.key", "first.bands"))
     exploded = nodes.select("node", "doc_id", F.explode("bands").alias("bucket"))
     shared = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     members = materialise(exploded.join(shared, "bucket"))
@@ -319,14 +390,27 @@ def near_duplicates(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) ->
     contents = materialise(_contents(docs, wanted))
     _, labels = links_between(members, contents, min_similarity)
     of = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    classes = of.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    of = of.join(classes, "label").select("node", "class_id")
-    joined = signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(of, "node", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
-    return joined.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    classes = of.groupBy("label").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    of = of.join(classes, "label").select("node", F.col("first.doc_id").alias("class_id"), F.col("first.key").alias("first"))
+    rows = signed.select("doc_id", "key", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(of, "node", "left")
+    return rows.select("doc_id", "key", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("first", "key").alias("first"))
+
+
+def near_duplicates(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
+    """Per row: doc_id, class_id and kept (whether it is the first of its class: the smallest id, and
+    of the texts of that id the one with the smallest hash)."""
+    first = (F.col("doc_id") == F.col("class_id")) & (F.col("key") == F.col("first"))
+    return _classified(docs, min_similarity).select("doc_id", "class_id", F.coalesce(first, F.lit(True)).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
-    """``docs`` with the first document of each class only; rows that repeat id and text count once."""
-    found = near_duplicates(docs, min_similarity)
-    dropped = found.filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """``docs`` with the first document of each class only.
+
+    A row is known by its id and its text: of rows that repeat both one stays, and rows that share an
+    id but not their text are judged one by one.  Rows with a null id all stay.
+    """
+    found = _classified(docs, min_similarity)
+    dropped = found.filter(~((F.col("doc_id") == F.col("class_id")) & (F.col("key") == F.col("first")))).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    known = docs.filter("doc_id is not null")
+    kept = known.join(dropped, (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_anti")
+    return kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns).unionByName(docs.filter("doc_id is null"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from renewal.llm import decontamination, neardup, suffix_dedup
 from tests.llm.conftest import WORDS
@@ -80,6 +82,92 @@ def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.select("doc_id").collect()) == [-1, 0, 2, 3, 5, 7, 8]
 
 
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    near = [WORDS[i] for i in range(100)]
+    copy, other = " ".join(near[:-1] + ["end"]), " ".join(WORDS[500:600])
+    rows = [(0, " ".join(near)), (1, copy), (1, other), (1, other), (None, copy), (None, copy), (2, ""), (2, None), (3, other)]
+    kept = neardup.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert Counter(map(tuple, kept.collect())) == Counter([rows[0], rows[2], rows[4], rows[5], rows[6], rows[7]])
+
+
+def _borderline(n, edits, seed=0):
+    """Copies of a text of 200 words with so many edits of their own, some shared by a few copies."""
+    rng = np.random.default_rng(seed)
+    base, rows = [WORDS[(i * 37) % 4000] for i in range(200)], []
+    for s in range(n):
+        w, at = list(base), rng.choice(200, edits, replace=False)
+        for i in at.tolist():
+            w[i] = f"e{i}_{s % 7}"
+        rows.append((s, " ".join(w)))
+    return rows
+
+
+def _classes_of_many(rows):
+    """As ``_classes``, by inverted lists."""
+    sets = [set(zip(*[w[i:] for i in range(5)], strict=False)) for _, t in rows for w in [t.split()]]
+    names = {g: k for k, g in enumerate(sorted(set().union(*sets)))}
+    held = np.zeros((len(sets), len(names)), np.float32)
+    for i, g in enumerate(sets):
+        held[i, [names[x] for x in g]] = 1
+    common, size = held @ held.T, held.sum(1)
+    linked = common / (size[:, None] + size - common) >= 0.8
+    label, new = np.arange(len(rows)), None
+    while new is None or (new != label).any():
+        label = label if new is None else new
+        new = np.where(linked, label[None, :], len(rows)).min(1)
+    return {rows[i][0]: rows[int(label[i])][0] for i in range(len(rows))}
+
+
+@pytest.mark.parametrize("n,edits,chunk", [(300, 3, 512), (300, 3, 20), (150, 5, 16), (150, 2, 16)])
+def test_groups_near_the_threshold(spark, monkeypatch, n, edits, chunk):
+    monkeypatch.setattr(neardup, "links_between", partial(neardup.links_between, chunk=chunk))
+    rows = _borderline(n, edits)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = _classes_of_many(rows)
+    assert len(set(want.values())) > 1 or edits < 3
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(frame).collect()} == want
+
+
+def test_chunks_let_all_labels_meet(spark):
+    members = [("b", bytes([i]), 5) for i in range(90)] + [("c", b"x", 5), ("c", b"y", 5)]
+    label = {bytes([i]): b"top" if i < 50 else bytes([i // 2]) for i in range(90)}
+    dealt = neardup.chunk_pairs(spark.createDataFrame(members, "bucket string, node binary, n int"), spark.createDataFrame(sorted(label.items()), "node binary, label binary"), chunk=8)
+    groups: dict = {}
+    for r in dealt.collect():
+        assert r.bucket == "b"
+        groups.setdefault((r.c1, r.c2), []).append(bytes(r.node))
+    met = {(x, y) for g in groups.values() for x in g for y in g}
+    assert all((x, y) in met for x in label for y in label if label[x] != label[y])
+    assert max(map(len, groups.values())) < 50 and not any(all(label[x] == b"top" for x in g) for g in groups.values())
+
+
+def test_blocks_find_a_forest_of_all_links(monkeypatch):
+    monkeypatch.setattr(neardup, "COLUMNS", 50)
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.choice(200 * (i % 3 + 1), 180)) for i in range(60)] + [np.arange(150) + i for i in range(30)] + [np.zeros(0, np.int64)]
+    label = np.arange(len(sets)) // 2
+    sim = np.array([[len(np.intersect1d(a, b)) / max(1, len(np.union1d(a, b))) for b in sets] for a in sets])
+    forest = neardup.similar_in_block(sets, label)
+    assert all(s == sim[i, j] >= 0.8 and label[i] != label[j] for i, j, s in forest) and len(forest) > 5
+
+    def components(pairs):
+        of = list(range(len(sets)))
+        for i, j in pairs:
+            of = [min(of[i], of[j]) if x in (of[i], of[j]) else x for x in of]
+        return of
+
+    want = components([(i, j) for i in range(len(sets)) for j in range(len(sets)) if sim[i, j] >= 0.8 and label[i] != label[j]])
+    assert components([f[:2] for f in forest]) == want
+
+
+def test_contaminated_rows_are_known_by_id_and_text(spark):
+    item = " ".join(WORDS[700:740])
+    bad, clean = f"before it {item} after it", " ".join(WORDS[900:960])
+    rows = [(1, bad), (1, clean), (None, bad), (None, clean), (2, None), (3, bad)]
+    kept = decontamination.without_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(0, item)], "item_id long, text string"))
+    assert Counter(map(tuple, kept.collect())) == Counter([rows[1], rows[3], rows[4]])
+
+
 def test_deep_shallow_sort_and_blind_trie():
     rng = np.random.default_rng(1)
     rows = rng.integers(97, 99, (2000, 50)).astype(np.uint8)
@@ -193,7 +281,7 @@ def test_decontamination_equals_brute_force(spark, sf_small, odd_docs, no_docs):
     assert decontamination.contaminated(no_docs, bench).count() == 0
     assert decontamination.contaminated(docs, bench.limit(0)).count() == 0
     kept = decontamination.without_contaminated(docs, bench)
-    assert {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - {k[0] for k in want if k[0] is not None}
+    assert {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - {k[0] for k in want}  # null ids too
 
 
 def test_index_finds_every_fingerprint_within_its_radius():
