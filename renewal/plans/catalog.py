@@ -492,6 +492,21 @@ def q_knn_topk(spark, sf_dir):
     return knn(None, frames.embed(spark, sf_dir), _XS, KNN_K)
 
 
+@register("knn_graph")
+def q_knn_graph(spark, sf_dir):
+    from renewal.operators.graph import knn_graph
+
+    return knn_graph(frames.embed(spark, sf_dir), _XS, 10)
+
+
+@register("knn_graph_recall")
+def q_knn_graph_recall(spark, sf_dir):
+    from renewal.operators.graph import knn_graph, recall
+
+    e = frames.embed(spark, sf_dir)
+    return recall(knn_graph(e, _XS, 10), e, _XS, e.where("row_id % 10 = 0").select("row_id"), 10)
+
+
 # ---------------------------------------------------------------- resampling
 
 _EMBED_COLS = "row_id, " + ", ".join(_XS) + ", label"
