@@ -2,7 +2,8 @@
 
 Trials are independent Spark fits launched from a driver thread pool (the executors do the
 work); the search space is sampled with ``md5(seed:trial:param)`` so a study is reproducible
-and its draws do not depend on the order trials finish in.  Results are DataFrames.
+and its draws do not depend on the order trials finish in.  ``adaptive_study`` draws from what
+the trials before have shown.  Results are DataFrames.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ import time
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from statistics import NormalDist
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,6 +115,127 @@ def trial_study(
     return spark.createDataFrame(rows, "trial_id int, params map<string,string>, value double, seconds double")
 
 
+def _unit(p: Param, v) -> float:
+    """A value's place in [0, 1] on its dimension (logarithmic where the dimension is)."""
+    lo, hi, v = float(p.low), float(p.high), float(v)
+    if p.log:
+        lo, hi, v = math.log(lo), math.log(hi), math.log(v)
+    return (v - lo) / (hi - lo) if hi > lo else 0.5
+
+
+def _density(u: float, seen: list[float]) -> float:
+    """A Parzen density on [0, 1] of the values seen, with one uniform kernel among them.
+
+    A kernel is as wide as the gap to its farther neighbour, within bounds, and cut at 0 and 1.
+    """
+    edges = [0.0, *sorted(seen), 1.0]
+    total = 1.0
+    for i in range(1, len(edges) - 1):
+        m = edges[i]
+        s = min(max(m - edges[i - 1], edges[i + 1] - m, 1 / (1 + len(seen))), 1.0)
+        inside = 0.5 * (math.erf((1 - m) / (s * math.sqrt(2))) - math.erf(-m / (s * math.sqrt(2))))
+        total += math.exp(-0.5 * ((u - m) / s) ** 2) / (s * math.sqrt(2 * math.pi) * inside)
+    return total / (1 + len(seen))
+
+
+def _near(seen: list[float], u: float, v: float) -> float:
+    """A draw from the density of ``seen``: ``u`` chooses the kernel, ``v`` the place in it (by inversion)."""
+    edges = [0.0, *sorted(seen), 1.0]
+    at = int(u * (len(seen) + 1))
+    if at >= len(seen):
+        return v
+    m = edges[at + 1]
+    s = min(max(m - edges[at], edges[at + 2] - m, 1 / (1 + len(seen))), 1.0)
+    normal = NormalDist(m, s)
+    a, b = normal.cdf(0.0), normal.cdf(1.0)
+    return min(1.0, max(0.0, normal.inv_cdf(min(max(a + v * (b - a), 1e-12), 1 - 1e-12))))
+
+
+def suggest(space: Sequence[Param], trials: Sequence[tuple[dict, float]], trial: int, seed: int = 10, startup: int = 10, good_share: float = 0.25, candidates: int = 24) -> dict:
+    """H2: the parameters of the next trial by two densities over the trials so far (params, value).
+
+    The best ``good_share`` of the trials give the density of good values, the others that of bad
+    ones; of ``candidates`` draws from the good one the draw with the highest ratio is taken,
+    dimension by dimension; a conditional parameter only looks at trials that have it.  The
+    first ``startup`` trials are plain draws.  Same trials, same suggestion.
+    """
+    if len(trials) < startup:
+        return sample(space, trial, seed)
+    ranked = sorted(range(len(trials)), key=lambda i: (-trials[i][1], i))
+    n_good = max(1, math.ceil(good_share * len(ranked)))
+    good, bad = [trials[i][0] for i in ranked[:n_good]], [trials[i][0] for i in ranked[n_good:]]
+    out: dict = {}
+    for p in space:
+        if p.when is not None and out.get(p.when[0]) not in p.when[1]:
+            continue
+        sides = [[t[p.name] for t in side if p.name in t] for side in (good, bad)]
+        us = [(_u(seed, trial, f"{p.name}:{j}:kernel"), _u(seed, trial, f"{p.name}:{j}")) for j in range(candidates)]
+        if p.kind == "cat":
+            share = [{c: (1 + side.count(c)) / (len(p.choices) + len(side)) for c in p.choices} for side in sides]
+            draws, upto = [], [sum(list(share[0].values())[: i + 1]) for i in range(len(p.choices))]
+            draws = [p.choices[min(sum(u >= x for x in upto), len(p.choices) - 1)] for u, _ in us]
+            out[p.name] = max(draws, key=lambda c: share[0][c] / share[1][c])
+            continue
+        seen = [[_unit(p, v) for v in side] for side in sides]
+        draws = [_near(seen[0], u, v) for u, v in us]
+        best = max(draws, key=lambda u: math.log(_density(u, seen[0])) - math.log(_density(u, seen[1])))
+        out[p.name] = p.draw(min(best, 1 - 1e-9))
+    return out
+
+
+def _typed(space: Sequence[Param], params: dict[str, str]) -> dict:
+    """Stored (text) parameters as values of their dimensions."""
+    of = {p.name: p for p in space}
+    read = {"int": int, "float": float}
+    return {k: next((c for c in of[k].choices if str(c) == v), v) if of[k].kind == "cat" else read[of[k].kind](v) for k, v in params.items() if k in of}
+
+
+TRIALS = "trial_id int, params map<string,string>, value double, seconds double"
+
+
+def adaptive_study(
+    spark: SparkSession,
+    objective: Callable[[dict], float],
+    space: Sequence[Param],
+    n_trials: int,
+    path: str | None = None,
+    timeout: float | None = None,
+    seed: int = 10,
+    startup: int = 10,
+    batch: int | None = None,
+) -> DataFrame:
+    """H2: trials (maximise) whose parameters follow from the trials before (``suggest``).
+
+    ``batch`` trials are suggested at once and run at once (default: as in ``trial_study``), so a study
+    depends on the seed and the batch, not on which trial ends first.  With ``path`` every
+    batch is appended to that table, and a study that starts again goes on after the trials it holds.
+    """
+    start = time.time()
+    batch = batch or max(1, min(8, spark.sparkContext.defaultParallelism))
+    rows: list[tuple] = []
+    if path is not None:
+        try:
+            rows = [tuple(r) for r in spark.read.schema(TRIALS).parquet(path).orderBy("trial_id").collect()]  # a row per trial
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+
+    def run(task: tuple[int, dict]) -> tuple:
+        t0 = time.time()
+        value = float(objective(task[1]))
+        return (task[0], {k: str(v) for k, v in task[1].items()}, value, time.time() - t0)
+
+    with ThreadPoolExecutor(max_workers=batch) as pool:
+        while len(rows) < n_trials and (timeout is None or time.time() - start <= timeout):
+            known = [(_typed(space, p), v) for _, p, v, _ in rows]
+            ids = range(len(rows), min(n_trials, len(rows) + batch))
+            new = list(pool.map(run, [(t, suggest(space, known, t, seed, startup)) for t in ids]))
+            if path is not None:
+                spark.createDataFrame(new, TRIALS).coalesce(1).write.mode("append").parquet(path)
+            rows += new
+    return spark.createDataFrame(rows, TRIALS)
+
+
 def best_trial(trials: DataFrame, value: str = "value") -> DataFrame:
     """H4: the best trial (ties → smallest trial id)."""
     return trials.orderBy(F.desc(value), "trial_id").limit(1)

@@ -267,6 +267,20 @@ def q_one_hot_align(spark, sf_dir):
     return encode.one_hot(test.select("row_id", "segment"), ["segment"], dic)
 
 
+_SPARSE_CELLS = """cells AS (SELECT o_orderkey AS row_id, 'customer' AS col, CAST(o_custkey AS VARCHAR) AS value FROM orders
+  UNION ALL SELECT o_orderkey, 'priority', o_orderpriority FROM orders)"""
+
+
+@register("one_hot_sparse", with_ctes(_SPARSE_CELLS, f"""fit AS (SELECT col, value, row_number() OVER (ORDER BY {hash_sql(10, 'col', 'value')}, col || ':' || value) - 1 AS i
+  FROM (SELECT DISTINCT col, value FROM cells WHERE row_id % 4 <> 3 AND value IS NOT NULL))""") + "SELECT DISTINCT row_id, i AS index FROM cells JOIN fit USING (col, value)")
+def q_one_hot_sparse(spark, sf_dir):
+    orders = frames.table(spark, sf_dir, "orders")
+    rows = orders.select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("customer"), F.col("o_orderpriority").alias("priority"))
+    cols = ["customer", "priority"]
+    dictionary = encode.fit_sparse_dictionary(rows.where("row_id % 4 <> 3"), cols)
+    return encode.one_hot_sparse(rows, cols, dictionary).select("row_id", F.explode("indices").alias("index"))
+
+
 @register("to_label", rounded(R + """SELECT row_id, 4.0 / (n_orders + 4.0) AS probability_1,
   CAST(round_even(4.0 / (n_orders + 4.0), 0) AS INTEGER) AS prediction FROM renewal""", ["probability_1"]))
 def q_to_label(spark, sf_dir):
@@ -914,6 +928,33 @@ def q_cv_results(spark, sf_dir):
     return _search(spark, sf_dir)
 
 
+@register("adaptive_study")
+def q_adaptive_study(spark, sf_dir):
+    """Trials of the second-order booster: its regularisation, shrinkage and sampling."""
+    from renewal.operators import evaluate, tuning
+    from renewal.operators.boosting import newton_trees
+    from renewal.operators.models import class_weight
+
+    _, train, _ = _rn(spark, sf_dir)
+    parts = class_weight(split.holdout(train, 0.25, 10)).checkpoint()
+    space = [
+        tuning.Param("eta", "float", 1e-3, 1.0, log=True),
+        tuning.Param("max_depth", "int", 1, 6, step=1),
+        tuning.Param("lambda", "float", 1e-8, 1.0, log=True),
+        tuning.Param("alpha", "float", 1e-8, 1.0, log=True),
+        tuning.Param("gamma", "float", 1e-8, 1.0, log=True),
+        tuning.Param("min_child_weight", "int", 2, 15, step=1),
+        tuning.Param("max_delta_step", "int", 0, 15, step=1),
+        tuning.Param("colsample_bytree", "float", 0.1, 1.0, step=0.1),
+    ]
+
+    def objective(p):
+        model = newton_trees(parts, MODEL_FEATS, {**p, "n_estimators": 5}, valid="is_valid")
+        return evaluate.f1_value(model.predict(parts.where("is_valid")))
+
+    return tuning.adaptive_study(spark, objective, space, 16, startup=8).drop("seconds")
+
+
 def _study(spark, sf_dir, n_trials=3, parallelism=None):
     from renewal.operators import evaluate, models, tuning
 
