@@ -687,6 +687,13 @@ def q_smote_svm(spark, sf_dir):
     return smote_svm(frames.embed(spark, sf_dir), _XS)
 
 
+@register("smote_svm_rbf")
+def q_smote_svm_rbf(spark, sf_dir):
+    from renewal.operators.svm_smote import smote_svm_rbf
+
+    return smote_svm_rbf(frames.embed(spark, sf_dir), _XS)
+
+
 @register("condensed_nn_round", E + f""", first AS (SELECT * FROM embed WHERE label = 0 ORDER BY {hash_sql(10, 'row_id')}, row_id LIMIT 1),
 store AS (SELECT * FROM embed WHERE label = 1 UNION ALL SELECT * FROM first),
 rest AS (SELECT * FROM embed WHERE row_id NOT IN (SELECT row_id FROM store)),
@@ -708,6 +715,32 @@ def q_repeated_enn(spark, sf_dir):
     return repeated_enn(frames.embed(spark, sf_dir), _XS, 3)
 
 
+def _order_categories(spark, sf_dir):
+    """(rows of sparse indices, number of categories): customers and priorities of all orders."""
+    orders = frames.table(spark, sf_dir, "orders")
+    rows = orders.select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("customer"), F.col("o_orderpriority").alias("priority"))
+    dictionary = encode.fit_sparse_dictionary(rows, ["customer", "priority"]).checkpoint()
+    return encode.one_hot_sparse(rows, ["customer", "priority"], dictionary).checkpoint(), dictionary.count()
+
+
+@register("truncated_svd_sparse")
+def q_truncated_svd_sparse(spark, sf_dir):
+    from renewal.operators import wide
+
+    encoded, p = _order_categories(spark, sf_dir)
+    rows = encoded.select("row_id", *wide.sparse("indices"))
+    return wide.wide_components(rows, p, 5).scores(rows, ["row_id"])
+
+
+@register("pca_sparse")
+def q_pca_sparse(spark, sf_dir):
+    from renewal.operators import wide
+
+    encoded, p = _order_categories(spark, sf_dir)
+    rows = encoded.select("row_id", *wide.sparse("indices"))
+    return wide.wide_components(rows, p, 5, center=True).scores(rows, ["row_id"], "pc")
+
+
 # ---------------------------------------------------------------- models, importance, tuning
 # Fits have no SQL twin: these are rows-only checks, covered further by tests/.
 
