@@ -1,18 +1,29 @@
 """Language-model scores of texts by a hashed maximum-entropy model.
 
 Tokens are the words of a text (ASCII letters in lower case) and one end.  A token's
-probability is factored by class: a softmax over classes, given hashed n-gram and skip features of
-the words before (one, two, both together, the third alone), times the word's share of its class.
-The end and the most frequent words are classes of their own; all others share ``SHAPES``
-classes by their last letters.  Within a class a word has its smoothed count as weight, and
-one more word stands for all that are not known, so the probabilities sum to one.
-
-Counts are gathered from all training documents by hash bucket (packed blocks, summed per task
-first) and stay distributed; only the ``HEAD`` most frequent words and the class masses are
-broadcast.  The feature weights are trained by rounds over disjoint parts of all training
-documents: each task makes gradient steps from the round's weights on its own texts, and the
-steps are averaged by how often a feature was met.  Scoring reads every text once in Arrow
-batches; words outside the head go to their bucket's counts and come back as sums per document.
+probability is factored by class: the end and the most frequent words are classes of their own, all
+other words share ``SHAPES`` classes by their last letters.  The class is predicted by a softmax in
+two steps (one of ``SUPERS`` groups of classes, then a class of that group), given hashed n-gram and
+skip features of the words before: one, two, both together, the third alone.  Within a shape
+class c, after a word of class d, word w has
+
+    (N(d, w) + k(d, c) u(w)) / (N(d, c) + k(d, c)),    u(w) = (n(w) + 0.5) / mass(c)
+
+with N the counts of what follows what in the training texts, and k the value of ``KAPPAS`` that
+predicts the training words best when each is left out of the counts; one more word stands for
+all that are not known, so the probabilities sum to one.
+
+Counts of words, and of words by the class before, are gathered from all training documents by hash
+bucket (packed blocks, summed per slice first); they grow with the vocabulary and stay
+distributed.  The ``HEAD`` most frequent words with their counts, the class table and the weights are
+broadcast: ``features`` says how the hashed features grow with the training tokens up to a fixed
+bound.  The weights are trained by rounds over disjoint parts of all training documents: each
+task makes gradient steps from the round's weights on its own texts, and the steps are averaged
+by how often a feature was met.  Scoring reads every text once in Arrow batches; words outside the head
+ask their bucket's counts, and the answers come back as sums per document, packed by slice.
+
+A word of a class of its own is never looked up, so no bucket gets more than one in ``SINGLES``
+of the tokens for one word.
 
 Words are told apart by 64-bit hashes.  Defined results: a null text has the end only; a null
 doc_id counts as a training document; repeated rows are counted and scored each; an empty table
@@ -34,13 +45,28 @@ from pyspark.sql import functions as F
 from renewal.llm.common import mix64, parts, stash, text_slices
 from renewal.llm.suffix_dedup import pack, unpack
 
-#: Classes of single tokens (the end first) and by word shape; hashed features; words broadcast.
-SINGLES, SHAPES, FEATURES, HEAD = 48, 16, 1 << 14, 1 << 16
-CLASSES = SINGLES + SHAPES
+#: Classes: groups of them, classes of a group; the last classes are those by word shape.
+SUPERS, WIDTH, SHAPES = 8, 16, 16
+CLASSES = SUPERS * WIDTH
+#: Classes of single tokens (the end first).
+SINGLES = CLASSES - SHAPES
+#: Words broadcast.
+HEAD = 1 << 14
+#: Weights of a word's share of its class against what follows the class before.
+KAPPAS = [4.0**i for i in range(14)]
+#: Training tokens for each hashed feature, and the least and most features.
+TOKENS_A_FEATURE, LEAST_FEATURES, MOST_FEATURES = 4096, 1 << 12, 1 << 16
 #: Rounds over parts of the training documents, tokens in a gradient step, its size and shrinkage.
 ROUNDS, STEP_TOKENS, RATE, PRIOR = 2, 16384, 0.4, 4.0
-TEXTS, FEATURE_ROWS = 1000, 256
-SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+#: Texts read at once, weights sent in a block.
+TEXTS, BLOCK_ROWS = 1000, 4096
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+
+
+def features(train_tokens: int) -> int:
+    """Hashed features of a model: a power of two that grows with the training tokens, within bounds
+    (the most weigh 36 MB)."""
+    return min(MOST_FEATURES, max(LEAST_FEATURES, 1 << max(0, train_tokens // TOKENS_A_FEATURE - 1).bit_length()))
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,7 +93,7 @@ def _blocks(columns: list[np.ndarray], bucket: np.ndarray) -> Iterator[pa.Record
 
 
 def count_words(train: DataFrame, buckets: int) -> DataFrame:
-    """Per bucket: payload (hash, count, shape of its words), n, v, mass of each shape, its top words."""
+    """Per bucket: n and v (words, distinct words), mass of each shape, its top words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,36 +108,76 @@ def count_words(train: DataFrame, buckets: int) -> DataFrame:
         n, shape = np.bincount(code, n, len(words)).astype(np.int64), shape[first]
         mass = np.bincount(shape, n + 0.5, SHAPES)
         top = np.lexsort((words, -n))[:HEAD]
-        return pd.DataFrame({"bucket": frame["bucket"].iloc[:1], "payload": [pack([words, n, shape])], "n": [int(n.sum())], "v": [len(words)], "mass": [mass], "top": [[{"h": int(a), "n": int(b), "shape": int(c)} for a, b, c in zip(words[top].view(np.int64), n[top], shape[top], strict=True)]]})
+        return pd.DataFrame({"bucket": frame["bucket"].iloc[:1], "n": [int(n.sum())], "v": [len(words)], "mass": [mass], "top": [[{"h": int(a), "n": int(b), "shape": int(c)} for a, b, c in zip(words[top].view(np.int64), n[top], shape[top], strict=True)]]})
 
-    kind = "bucket int, payload binary, n long, v long, mass array<double>, top array<struct<h: long, n: long, shape: int>>"
+    kind = "bucket int, n long, v long, mass array<double>, top array<struct<h: long, n: long, shape: int>>"
     return stash(train.select("text").mapInArrow(count, "bucket int, payload binary").groupBy("bucket").applyInPandas(add, kind))
 
 
 class Model:
-    """What scoring needs on every executor; its size does not grow with the input."""
+    """What scoring needs on every executor; its size is bounded."""
 
     def __init__(self, n_docs: int, n_words: int, n_distinct: int, mass: np.ndarray, head: np.ndarray):
         self.train_tokens = n_docs + n_words
         self.norm = self.train_tokens + 0.5 * (n_distinct + (n_docs > 0) + 1)  # V counts the end
         self.n_docs = n_docs
+        self.features = features(self.train_tokens)
         single = head[:, : SINGLES - 1]  # head: hash, count, shape by falling count
         order = np.argsort(head[0])
         self.head_hash, self.head_count = head[0][order], head[1][order].astype(np.float64)
         by_rank = np.full(head.shape[1], -1)
         by_rank[: single.shape[1]] = np.arange(1, 1 + single.shape[1])
-        self.head_single = by_rank[order]
+        self.head_class = np.where(by_rank > 0, by_rank, SINGLES + head[2].astype(np.int64))[order]
         mass = mass - np.bincount(single[2].astype(np.int64), single[1].astype(np.float64) + 0.5, SHAPES)
         self.shape_mass = mass + 0.5  # with the word that stands for unknown ones
-        self.bias = np.log(np.r_[n_docs + 0.5, single[1].astype(np.float64) + 0.5, np.full(SINGLES - 1 - single.shape[1], 1e-9), self.shape_mass]).astype(np.float32)
-        self.weights = np.zeros((FEATURES, CLASSES), np.float32)
+        weight = np.r_[n_docs + 0.5, single[1].astype(np.float64) + 0.5, np.full(SINGLES - 1 - single.shape[1], 1e-9), self.shape_mass].reshape(SUPERS, WIDTH)
+        self.super_bias = np.log(weight.sum(1)).astype(np.float32)
+        self.class_bias = np.log(weight / weight.sum(1, keepdims=True)).astype(np.float32)
+        #: Weights of a group by feature, and of a group's class by feature and group.
+        self.supers = np.zeros((self.features, SUPERS), np.float32)
+        self.classes_ = np.zeros((self.features * SUPERS, WIDTH), np.float32)
+        #: Counts of shape classes, and of the head's words, after each class.
+        self.after = np.zeros((CLASSES, SHAPES))
+        self.kappa = np.full((CLASSES, SHAPES), KAPPAS[-1])
+        self.head_after = np.zeros((len(self.head_hash), CLASSES), np.uint32)
 
     def classes(self, h: np.ndarray, shape: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(class, place in the head, is in the head) of words."""
-        at = np.minimum(np.searchsorted(self.head_hash, h), max(0, len(self.head_hash) - 1))
-        known = self.head_hash[at] == h if len(self.head_hash) else np.zeros(len(h), bool)
-        single = np.where(known, self.head_single[at], -1) if len(self.head_hash) else np.full(len(h), -1)
-        return np.where(single > 0, single, SINGLES + shape.astype(np.int64)), at, known
+        if not len(self.head_hash):
+            return SINGLES + shape.astype(np.int64), np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.head_hash, h), len(self.head_hash) - 1)
+        known = self.head_hash[at] == h
+        return np.where(known, self.head_class[at], SINGLES + shape.astype(np.int64)), at, known
+
+    def context_features(self, h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Hashed features of the words before every token; before a text's first word there is nothing."""
+        back = []
+        for k in (1, 2, 3):
+            prev = np.zeros(len(h), np.uint64)
+            prev[k:] = np.where(doc[k:] == doc[:-k], h[:-k], np.uint64(0))
+            back.append(prev)
+        with np.errstate(over="ignore"):
+            mixed = [mix64(back[0], 1), mix64(back[1], 2), mix64(back[0] * np.uint64(3) + mix64(back[1], 3), 4), mix64(back[2], 5)]
+        return np.stack([(m % np.uint64(self.features)).astype(np.int64) for m in mixed])
+
+    def log_class(self, f: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """Log probability of each class after its features."""
+        out = np.zeros(len(cls))
+        for a in range(0, len(cls), STEP_TOKENS):
+            some, y = f[:, a : a + STEP_TOKENS], cls[a : a + STEP_TOKENS]
+            of = y // WIDTH
+            row = np.arange(len(y))
+            out[a : a + len(y)] = _log_softmax(self.super_bias, self.supers, some)[row, of] + _log_softmax(self.class_bias[of], self.classes_, some * SUPERS + of)[row, y % WIDTH]
+        return out
+
+
+def _log_softmax(bias: np.ndarray, weights: np.ndarray, f: np.ndarray) -> np.ndarray:
+    z = bias + weights[f[0]]
+    for rows in f[1:]:
+        z += weights[rows]
+    z -= z.max(1, keepdims=True)
+    z -= np.log(np.exp(z).sum(1, keepdims=True))
+    return z
 
 
 def with_ends(h: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,25 +189,108 @@ def with_ends(h: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray,
     return out, np.repeat(np.arange(n_docs), n + 1), place
 
 
-def context_features(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Hashed features of the words before every token; before a text's first word there is nothing."""
-    back = []
-    for k in (1, 2, 3):
-        prev = np.zeros(len(h), np.uint64)
-        prev[k:] = np.where(doc[k:] == doc[:-k], h[:-k], np.uint64(0))
-        back.append(prev)
-    with np.errstate(over="ignore"):
-        mixed = [mix64(back[0], 1), mix64(back[1], 2), mix64(back[0] * np.uint64(3) + mix64(back[1], 3), 4), mix64(back[2], 5)]
-    return np.stack([(m % np.uint64(FEATURES)).astype(np.int32) for m in mixed], 1)
+def _before(cls: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The class before every word (a text begins after the end); words without ends."""
+    out = np.zeros(len(cls), np.int64)
+    out[1:] = np.where(doc[1:] == doc[:-1], cls[:-1], 0)
+    return out
 
 
-def _log_softmax(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
-    z = bias + weights[f[:, 0]]
-    for j in range(1, f.shape[1]):
-        z += weights[f[:, j]]
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a sorting order by the keys, the first the outermost; where each run of equal keys begins in it)."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    return order, np.flatnonzero(new)
+
+
+def count_pairs(train: DataFrame, model: Model, buckets: int) -> DataFrame:
+    """Per bucket: payload (its words of shape classes with the classes before and counts), and ``after``
+    (counts of each shape class after each class, flat)."""
+    shared = train.sparkSession.sparkContext.broadcast(model)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            for _, texts in text_slices(batch):
+                h, shape, doc = tokens(texts)
+                cls = m.classes(h, shape)[0]
+                on = cls >= SINGLES
+                h, before, shape = h[on], _before(cls, doc)[on], shape[on]
+                order, at = _runs(h, before)
+                first = order[at]
+                n = np.diff(np.r_[at, len(order)])
+                yield from _blocks([h[first], before[first].astype("u1"), shape[first], n.astype("<u4")], (h[first] >> np.uint64(20)) % np.uint64(buckets))
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        h, before, shape, n = (np.concatenate(x) for x in zip(*map(unpack, frame["payload"]), strict=True))
+        order, at = _runs(h, before)
+        first = order[at]
+        n = np.add.reduceat(n[order].astype(np.int64), at)
+        after = np.bincount(before[first].astype(np.int64) * SHAPES + shape[first], n, CLASSES * SHAPES).astype(np.int64)
+        return pd.DataFrame({"bucket": frame["bucket"].iloc[:1], "payload": [pack([h[first], before[first], n.astype("<u4"), shape[first]])], "after": [after]})
+
+    pairs = train.select("text").mapInArrow(count, "bucket int, payload binary").groupBy("bucket").applyInPandas(add, "bucket int, payload binary, after array<long>")
+    return stash(pairs)
+
+
+def _gather_head(pairs: DataFrame, model: Model) -> None:
+    """Give the model the counts after each class: of the shape classes, and of its head's words."""
+    for r in pairs.select(F.posexplode("after").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect():  # CLASSES x SHAPES
+        model.after[r["at"] // SHAPES, r["at"] % SHAPES] = r["n"]
+    head = model.head_hash
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload in batch.column("payload").to_pylist():
+                h, before, n, _ = unpack(payload)
+                at = np.minimum(np.searchsorted(head, h), max(0, len(head) - 1))
+                on = head[at] == h if len(head) else np.zeros(len(h), bool)
+                yield pa.RecordBatch.from_pydict({"found": pa.array([pack([at[on].astype("<u4"), before[on], n[on]])], pa.binary())})
+
+    for r in pairs.select("payload").mapInArrow(pick, "found binary").collect():  # at most HEAD x CLASSES counts
+        at, before, n = unpack(r["found"])
+        model.head_after[at, before] = n
+
+
+def _choose_kappas(pairs: DataFrame, model: Model) -> None:
+    """Give the model, per class before and shape class, the ``KAPPAS`` of the greatest leave-one-out
+    likelihood of the training words."""
+    shared = pairs.sparkSession.sparkContext.broadcast((model.after, model.shape_mass))
+    names = [f"k{i}" for i in range(len(KAPPAS))]
+
+    def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        after, mass = shared.value
+        total = np.zeros((len(KAPPAS), CLASSES * SHAPES))
+        for batch in batches:
+            for payload in batch.column("payload").to_pylist():
+                h, before, n, shape = unpack(payload)
+                begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+                count = np.repeat(np.add.reduceat(n.astype(np.float64), begin), np.diff(np.r_[begin, len(h)]))
+                share, cell, n = (count - 0.5) / mass[shape], before.astype(np.int64) * SHAPES + shape, n.astype(np.float64)
+                others = after[before, shape] - 1
+                for i, k in enumerate(KAPPAS):
+                    total[i] += np.bincount(cell, n * (np.log(n - 1 + k * share) - np.log(others + k)), CLASSES * SHAPES)
+        some = np.flatnonzero(total.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *[pa.array(t[some]) for t in total]], names=["at", *names])
+
+    found = pairs.select("payload").mapInArrow(likelihood, "at int, " + ", ".join(f"{c} double" for c in names))
+    for r in found.groupBy("at").agg(*[F.sum(c).alias(c) for c in names]).collect():  # CLASSES x SHAPES rows
+        model.kappa[r["at"] // SHAPES, r["at"] % SHAPES] = KAPPAS[int(np.argmax([r[c] for c in names]))]
+
+
+def _step(weights: np.ndarray, met: np.ndarray, f: np.ndarray, error: np.ndarray) -> None:
+    """A gradient step on the rows of ``weights`` that ``f`` names; counts how often each was met."""
+    error = np.ascontiguousarray(error.T)
+    for rows in f:
+        order = np.argsort(rows, kind="stable")
+        named = rows[order]
+        at = np.flatnonzero(np.r_[True, named[1:] != named[:-1]])
+        n = np.diff(np.r_[at, len(named)])
+        weights[named[at]] -= (RATE * np.add.reduceat(error[:, order], at, axis=1) / (n + PRIOR)).T.astype(np.float32)
+        met[named[at]] += n
 
 
 def train_round(train: DataFrame, model: Model, part: int) -> None:
@@ -150,118 +299,144 @@ def train_round(train: DataFrame, model: Model, part: int) -> None:
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        w, met = m.weights.copy(), np.zeros(FEATURES, np.float32)
+        own = [m.supers.copy(), m.classes_.copy()]
+        met = [np.zeros(len(w), np.float32) for w in own]
         for batch in batches:
             for some, texts in text_slices(batch, TEXTS):
                 h, shape, doc = tokens(texts)
                 target = np.zeros(len(h) + len(some), np.int64)
                 all_h, all_doc, place = with_ends(h, doc, len(some))
                 target[place] = m.classes(h, shape)[0]
-                f = context_features(all_h, all_doc)
+                f = m.context_features(all_h, all_doc)
                 for a in range(0, len(target), STEP_TOKENS):
-                    y, g = target[a : a + STEP_TOKENS], f[a : a + STEP_TOKENS]
-                    p = np.exp(_log_softmax(w, m.bias, g))
-                    p[np.arange(len(y)), y] -= 1
-                    for j in range(g.shape[1]):
-                        order = np.argsort(g[:, j], kind="stable")
-                        rows = g[order, j]
-                        at = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-                        n = np.diff(np.r_[at, len(rows)])
-                        w[rows[at]] -= RATE * np.add.reduceat(p[order], at) / (n + PRIOR)[:, None].astype(np.float32)
-                        met[rows[at]] += n
-        if met.any():
-            step = (w - m.weights).astype(np.float16)
-            for b in range(0, FEATURES, FEATURE_ROWS):
-                yield pa.RecordBatch.from_pydict({"rows": pa.array([b], pa.int32()), "step": pa.array([step[b : b + FEATURE_ROWS].tobytes()], pa.binary()), "met": pa.array([met[b : b + FEATURE_ROWS].tobytes()], pa.binary())})
+                    y, g = target[a : a + STEP_TOKENS], f[:, a : a + STEP_TOKENS]
+                    of, row = y // WIDTH, np.arange(len(y))
+                    for w, seen, rows, bias, right in ((own[0], met[0], g, m.super_bias, of), (own[1], met[1], g * SUPERS + of, m.class_bias[of], y % WIDTH)):
+                        p = np.exp(_log_softmax(bias, w, rows))
+                        p[row, right] -= 1
+                        _step(w, seen, rows, p)
+        for kind, (w, old, seen) in enumerate(zip(own, (m.supers, m.classes_), met, strict=True)):
+            step = (w - old).astype(np.float16)
+            for b in range(0, len(w), BLOCK_ROWS):
+                if seen[b : b + BLOCK_ROWS].any():
+                    yield pa.RecordBatch.from_pydict({"kind": pa.array([kind], pa.int32()), "rows": pa.array([b], pa.int32()), "step": pa.array([pack([step[b : b + BLOCK_ROWS].reshape(-1), seen[b : b + BLOCK_ROWS]])], pa.binary())})
 
     def average(frame: pd.DataFrame) -> pd.DataFrame:
-        total, weight = np.zeros((FEATURE_ROWS, CLASSES)), np.zeros(FEATURE_ROWS)
-        for step, met in zip(frame["step"], frame["met"], strict=True):
-            n = np.frombuffer(met, np.float32)
-            total += np.frombuffer(step, np.float16).reshape(FEATURE_ROWS, CLASSES) * n[:, None]
-            weight += n
-        return pd.DataFrame({"rows": frame["rows"].iloc[:1], "step": [(total / np.maximum(weight, 1)[:, None]).astype(np.float32).tobytes()]})
+        total = weight = 0.0
+        for payload in frame["step"]:
+            step, n = unpack(payload)
+            total = total + step.astype(np.float32).reshape(len(n), -1) * n[:, None]
+            weight = weight + n
+        return pd.DataFrame({"kind": frame["kind"].iloc[:1], "rows": frame["rows"].iloc[:1], "step": [(total / np.maximum(weight, 1)[:, None]).astype(np.float32).tobytes()]})
 
     mine = train.filter(F.pmod(F.xxhash64(F.lit("round"), "doc_id"), F.lit(ROUNDS)) == part).select("text")
-    steps = mine.mapInArrow(learn, "rows int, step binary, met binary").groupBy("rows").applyInPandas(average, "rows int, step binary")
-    for r in steps.collect():  # FEATURES x CLASSES numbers
-        model.weights[r["rows"] : r["rows"] + FEATURE_ROWS] += np.frombuffer(r["step"], np.float32).reshape(FEATURE_ROWS, CLASSES)
+    steps = mine.mapInArrow(learn, "kind int, rows int, step binary").groupBy("kind", "rows").applyInPandas(average, "kind int, rows int, step binary")
+    for r in steps.collect():  # as many numbers as the model has weights
+        weights = (model.supers, model.classes_)[r["kind"]]
+        weights[r["rows"] : r["rows"] + BLOCK_ROWS] += np.frombuffer(r["step"], np.float32).reshape(-1, weights.shape[1])
 
 
-def fit(train: DataFrame, counts: DataFrame) -> Model:
-    """The model of the training documents; ``counts`` is their ``count_words``."""
+def fit(train: DataFrame, counts: DataFrame, buckets: int) -> tuple[Model, DataFrame]:
+    """The model of the training documents and their pair counts; ``counts`` is their ``count_words``."""
     n_docs = train.count()
     n, v = counts.agg(F.sum("n"), F.sum("v")).first()
     mass = np.array([r["m"] or 0.0 for r in counts.select(F.posexplode("mass")).groupBy("pos").agg(F.sum("col").alias("m")).orderBy("pos").collect()] or [0.0] * SHAPES)
     top = counts.select(F.inline("top")).orderBy(F.desc("n"), "h").limit(HEAD).toPandas()
     head = np.stack([top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.uint64), top["shape"].to_numpy(np.uint64)]) if len(top) else np.zeros((3, 0), np.uint64)
     model = Model(n_docs, n or 0, v or 0, mass, head)
+    pairs = count_pairs(train, model, buckets)
+    _gather_head(pairs, model)
+    _choose_kappas(pairs, model)
     for part in range(ROUNDS):
         train_round(train, model, part)
-    return model
+    return model, pairs
+
 
+def _within(model: Model, follows: np.ndarray, count: np.ndarray, before: np.ndarray, shape: np.ndarray) -> np.ndarray:
+    """Log of a word's weight within its shape class: what follows the class before, and its share."""
+    return np.log(follows + model.kappa[before, shape] * (count + 0.5) / model.shape_mass[shape])
 
-def score(docs: DataFrame, counts: DataFrame, model: Model, buckets: int) -> DataFrame:
+
+def score(docs: DataFrame, pairs: DataFrame, model: Model, buckets: int) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     log10 = np.log(10)
+    row = lambda bucket, slice_, ask=None, own=None: pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "slice": pa.array([slice_], pa.int64()), "ask": pa.array([ask], pa.binary()), "own": pa.array([own], pa.binary())})
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             for some, texts in text_slices(batch, TEXTS):
-                size = len(some)
+                size, name = len(some), some.column("uid")[0].as_py()
                 h, shape, doc = tokens(texts)
                 cls, at, known = m.classes(h, shape)
+                before = _before(cls, doc)
                 all_h, all_doc, place = with_ends(h, doc, size)
                 target = np.zeros(len(all_h), np.int64)
                 target[place] = cls
-                f = context_features(all_h, all_doc)
-                logp = np.concatenate([_log_softmax(m.weights, m.bias, f[a : a + STEP_TOKENS])[np.arange(len(y)), y] for a in range(0, len(target), STEP_TOKENS) for y in [target[a : a + STEP_TOKENS]]]) if size else np.zeros(0)
-                total = np.bincount(all_doc, logp, size)
-                count = m.head_count[at[known]]
-                base = np.full(size, np.log((m.n_docs + 0.5) / m.norm)) + np.bincount(doc[known], np.log((count + 0.5) / m.norm), size)
-                shaped = cls[known] >= SINGLES
-                total += np.bincount(doc[known][shaped], np.log((count[shaped] + 0.5) / m.shape_mass[cls[known][shaped] - SINGLES]), size)
+                total = np.bincount(all_doc, m.log_class(m.context_features(all_h, all_doc), target), size)
+                shaped = cls >= SINGLES
+                total -= np.bincount(doc[shaped], np.log(m.after[before[shaped], cls[shaped] - SINGLES] + m.kappa[before[shaped], cls[shaped] - SINGLES]), size)
+                own = shaped & known
+                total += np.bincount(doc[own], _within(m, m.head_after[at[own], before[own]], m.head_count[at[own]], before[own], cls[own] - SINGLES), size)
+                base = np.full(size, np.log((m.n_docs + 0.5) / m.norm)) + np.bincount(doc[known], np.log((m.head_count[at[known]] + 0.5) / m.norm), size)
                 n_known = np.bincount(doc[known], minlength=size) + (m.n_docs > 0)
-                # words outside the head: once per text, with how often they occur
-                rare = np.flatnonzero(~known)
-                order = rare[np.lexsort((h[rare], doc[rare]))]
-                new = np.flatnonzero(np.r_[True, (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])]) if len(order) else order
-                times = np.diff(np.r_[new, len(order)])
-                order = order[new]
-                uid = some.column("uid").to_numpy()
                 ids = some.column("doc_id")
-                sums = [uid, ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False).astype("u1"), some.column("held_out").to_numpy(zero_copy_only=False).astype("u1"), np.bincount(all_doc, minlength=size).astype("<u4"), n_known.astype("<u4"), base, total]
-                ask_bucket, own_bucket = (h[order] >> np.uint64(20)) % np.uint64(buckets), mix64(uid.astype(np.uint64)) % np.uint64(buckets)
-                for b in np.unique(np.r_[ask_bucket, own_bucket]).tolist():
-                    a, o = ask_bucket == b, own_bucket == b
-                    names, local = np.unique(doc[order][a], return_inverse=True)
-                    body = pack([uid[names], local.astype("<u4"), h[order][a], times[a].astype("<u4"), shape[order][a], *[s[o] for s in sums]])
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "payload": pa.array([body], pa.binary())})
+                sums = [ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False).astype("u1"), some.column("held_out").to_numpy(zero_copy_only=False).astype("u1"), np.bincount(all_doc, minlength=size).astype("<u4"), n_known.astype("<u4"), base, total]
+                yield row(int(mix64(np.array([name], np.uint64))[0] % np.uint64(buckets)), name, own=pack(sums))
+                # words outside the head: once per text and class before, with how often they occur
+                rare = np.flatnonzero(~known)
+                order, begin = _runs(h[rare], doc[rare], before[rare])
+                times = np.diff(np.r_[begin, len(order)])
+                rare = rare[order[begin]]
+                bucket = ((h[rare] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+                for b in np.unique(bucket).tolist():
+                    on = bucket == b
+                    r = rare[on]
+                    yield row(b, name, ask=pack([doc[r].astype("<u4"), h[r], before[r].astype("u1"), shape[r], times[on].astype("<u4")]))
 
     def answer(asked: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
         m = shared.value
-        words, n = (unpack(counted["payload"].iloc[0])[:2]) if len(counted) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        h, before, n, _ = unpack(counted["payload"].iloc[0]) if len(counted) else (np.zeros(0, np.uint64), np.zeros(0, "u1"), np.zeros(0, "<u4"), None)
+        begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+        word, pair = h[begin], np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(h)])) * CLASSES + before
+        count = np.add.reduceat(n.astype(np.float64), begin) if len(h) else np.zeros(0)
         out = []
-        for payload in asked["payload"]:
-            uid, local, h, times, shape, *sums = unpack(payload)
-            at = np.minimum(np.searchsorted(words, h), max(0, len(words) - 1))
-            c = np.where(words[at] == h, n[at], 0) if len(words) else np.zeros(len(h), np.int64)
-            size = len(uid)
-            base = np.bincount(local, times * np.log((c + 0.5) / m.norm), size)
-            total = np.bincount(local, times * np.log((c + 0.5) / m.shape_mass[shape]), size)
-            out.append(pd.DataFrame({"uid": uid, "doc_id": pd.array([None] * size, "Int64"), "held_out": pd.array([None] * size, "boolean"), "n_tokens": np.zeros(size, np.int64), "n_known": np.bincount(local, times * (c > 0), size).astype(np.int64), "base": base, "score": total}))
-            uid, ids, has_id, held, size_, known, base, total = sums
-            doc_ids = pd.array(ids, "Int64")
-            doc_ids[has_id == 0] = pd.NA
-            out.append(pd.DataFrame({"uid": uid, "doc_id": doc_ids, "held_out": pd.array(held.astype(bool), "boolean"), "n_tokens": size_.astype(np.int64), "n_known": known.astype(np.int64), "base": base, "score": total}))
-        return pd.concat(out).groupby("uid", as_index=False, sort=False).agg({"doc_id": "first", "held_out": "first", "n_tokens": "sum", "n_known": "sum", "base": "sum", "score": "sum"}) if out else pd.DataFrame(columns=["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
+        for slice_, ask, own in zip(asked["slice"], asked["ask"], asked["own"], strict=True):
+            if own is not None:
+                out.append((slice_, None, own))
+                continue
+            doc, asked_h, asked_before, shape, times = unpack(ask)
+            at = np.minimum(np.searchsorted(word, asked_h), max(0, len(word) - 1))
+            found = word[at] == asked_h if len(word) else np.zeros(len(asked_h), bool)
+            c, follows = np.zeros(len(asked_h)), np.zeros(len(asked_h))
+            c[found] = count[at[found]]
+            want = at * CLASSES + asked_before
+            j = np.minimum(np.searchsorted(pair, want), max(0, len(pair) - 1))
+            found = found & (pair[j] == want) if len(pair) else found
+            follows[found] = n[j[found]]
+            names, local = np.unique(doc, return_inverse=True)
+            sums = [np.bincount(local, times * x, len(names)) for x in ((c > 0).astype(float), np.log((c + 0.5) / m.norm), _within(m, follows, c, asked_before, shape))]
+            out.append((slice_, pack([names, *sums]), None))
+        return pd.DataFrame(out, columns=["slice", "answer", "own"])
+
+    def together(frame: pd.DataFrame) -> pd.DataFrame:
+        """One slice: its own sums and the answers that its words got."""
+        ids, has_id, held, n_tokens, n_known, base, total = unpack(next(x for x in frame["own"] if x is not None))
+        n_known, base, total = n_known.astype(np.float64), base.copy(), total.copy()
+        for payload in frame["answer"]:
+            if payload is not None:
+                doc, *sums = unpack(payload)
+                for column, more in zip((n_known, base, total), sums, strict=True):
+                    column[doc] += more
+        doc_ids = pd.array(ids, "Int64")
+        doc_ids[has_id == 0] = pd.NA
+        return pd.DataFrame({"doc_id": doc_ids, "held_out": held.astype(bool), "n_tokens": n_tokens.astype(np.int64), "n_known": np.rint(n_known).astype(np.int64), "base": base, "score": total})
 
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), _held(F.col("doc_id")).alias("held_out"), "text")
-    asked = rows.mapInArrow(read, "bucket int, payload binary").groupBy("bucket")
-    parts_ = asked.cogroup(counts.select("bucket", "payload").groupBy("bucket")).applyInPandas(answer, SCORED)
-    sums = parts_.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
+    asked = rows.mapInArrow(read, "bucket int, slice long, ask binary, own binary").groupBy("bucket")
+    answers = asked.cogroup(pairs.select("bucket", "payload").groupBy("bucket")).applyInPandas(answer, "slice long, answer binary, own binary")
+    sums = answers.groupBy("slice").applyInPandas(together, SCORED)
     return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), (F.col("base") / float(log10)).alias("base_score"), (F.col("score") / float(log10)).alias("score"))
 
 
@@ -269,5 +444,5 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     """Train on four of five documents (by crc32 of the id) and score all of them."""
     buckets = parts(docs.sparkSession)
     train = docs.select("doc_id", "text").filter(~_held(F.col("doc_id")))
-    counts = count_words(train, buckets)
-    return score(docs, counts, fit(train, counts), buckets)
+    model, pairs = fit(train, count_words(train, buckets), buckets)
+    return score(docs, pairs, model, buckets)

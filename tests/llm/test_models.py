@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from renewal.llm import language_model, licenses, quality, toxicity
@@ -99,21 +100,91 @@ def test_no_training_documents(spark):
     assert len(got) == len(held) and all(r.base_score == 0 and r.train_tokens == 0 and r.n_known == 0 for r in got)
 
 
+def _plain_score(m, after, n, text):
+    """Log10 probability of a text, token by token, from the model's weights and plain counts."""
+    words = [w for w in (text or "").encode().lower().split()]
+    hashes = [xxhash.xxh3_64_intdigest(w) | 1 for w in words] + [0]
+    shapes = [xxhash.xxh32_intdigest(w[-2:]) % language_model.SHAPES for w in words]
+    cls = [int(c) for c in m.classes(np.array(hashes[:-1], np.uint64), np.array(shapes, np.uint8))[0]] + [0]
+    f = m.context_features(np.array(hashes, np.uint64), np.zeros(len(hashes), np.int64))
+    total = 0.0
+    for i, c in enumerate(cls):
+        of, one = divmod(c, language_model.WIDTH)
+        for bias, weights, rows, right in ((m.super_bias, m.supers, f[:, i], of), (m.class_bias[of], m.classes_, f[:, i] * language_model.SUPERS + of, one)):
+            z = bias.astype(float) + sum(weights[r].astype(float) for r in rows)
+            total += z[right] - math.log(np.exp(z).sum())
+        if c >= language_model.SINGLES:
+            d = cls[i - 1] if i else 0
+            u = (n[words[i]] + 0.5) / m.shape_mass[c - language_model.SINGLES]
+            k = m.kappa[d, c - language_model.SINGLES]
+            total += math.log((after[d, words[i]] + k * u) / (after[d, c] + k))
+    return total / math.log(10)
+
+
+def _plain_counts(m, texts):
+    """Counts of words, and of words and shape classes after each class."""
+    n, after = Counter(), Counter()
+    for t in texts:
+        words = (t or "").encode().lower().split()
+        h = np.array([xxhash.xxh3_64_intdigest(w) | 1 for w in words], np.uint64)
+        cls = m.classes(h, np.array([xxhash.xxh32_intdigest(w[-2:]) % language_model.SHAPES for w in words], np.uint8))[0].tolist()
+        n.update(words)
+        for i, (w, c) in enumerate(zip(words, cls, strict=True)):
+            if c >= language_model.SINGLES:
+                after[cls[i - 1] if i else 0, w] += 1
+                after[cls[i - 1] if i else 0, c] += 1
+    return n, after
+
+
+def test_scores_equal_plain_python(spark, sf_small, monkeypatch):
+    monkeypatch.setattr(language_model, "HEAD", 400)  # most words ask their buckets
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id", "text")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    train = docs.filter(~language_model._held(F.col("doc_id")))
+    m, pairs = language_model.fit(train, language_model.count_words(train, 3), 3)
+    assert len(m.head_hash) == 400 and m.supers.any() and m.classes_.any()
+    n, after = _plain_counts(m, [t for i, t in rows.items() if zlib.crc32(str(i).encode()) % 5 != 1])
+    got = {r.doc_id: r.score for r in language_model.score(docs, pairs, m, 3).collect()}
+    assert got.keys() == rows.keys()
+    some = sorted(rows, key=lambda i: len(rows[i] or ""))[::4][:50]
+    assert len(some) == 50
+    for i in some:
+        assert got[i] == pytest.approx(_plain_score(m, after, n, rows[i]), rel=1e-4)
+
+
 def test_probabilities_sum_to_one(spark):
-    rows = [(i, t) for i, t in enumerate(["a b c a", "b b d", "a c e f", "g a b", "h i a"] * 3)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    counts = language_model.count_words(docs, 2)
-    m = language_model.fit(docs, counts)
-    words = {w for _, t in rows for w in t.split()}
-    h, shape, _ = language_model.tokens(pa.array([" ".join(sorted(words))]))
-    cls, at, known = m.classes(h, shape)
-    assert known.all()
-    context = np.zeros((1, 4), np.int32)
-    p = np.exp(language_model._log_softmax(m.weights, m.bias, context))[0]
-    within = np.where(cls >= language_model.SINGLES, (m.head_count[at] + 0.5) / m.shape_mass[np.maximum(cls - language_model.SINGLES, 0)], 1.0)
-    unknown = sum(p[language_model.SINGLES + s] * 0.5 / m.shape_mass[s] for s in range(language_model.SHAPES))
-    unused = p[len(words) + 1 : language_model.SINGLES].sum()  # classes that no token has
-    assert p[0] + (p[cls] * within).sum() + unknown + unused == pytest.approx(1, abs=1e-5)
+    """Over all words, the end and the unknown words of each shape, after some contexts."""
+    rng = np.random.default_rng(0)
+    texts = [" ".join(f"w{j}{'abcdefgh'[j % 8]}" for j in (rng.zipf(1.3, 40) % 300)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    m, pairs = language_model.fit(docs, language_model.count_words(docs, 2), 2)
+    n, after = _plain_counts(m, texts)
+    assert (m.head_class >= language_model.SINGLES).sum() > 50
+    for before in ("", "w1b", "w1b w2c", "w3d w250c w7h", "never seen before"):
+        start = _plain_score(m, after, n, before)
+        end = _plain_score(m, after, n, before) - sum_before(m, after, n, before)
+        total = 10**end
+        for w in n:
+            total += 10 ** (sum_before(m, after, n, f"{before} {w.decode()}".strip()) - sum_before(m, after, n, before))
+        for s in range(language_model.SHAPES):  # the word that stands for what is not known
+            x = next(f"unknown{k}" for k in range(10**6) if xxhash.xxh32_intdigest(f"unknown{k}".encode()[-2:]) % language_model.SHAPES == s)
+            total += 10 ** (sum_before(m, after, n, f"{before} {x}".strip()) - sum_before(m, after, n, before))
+        assert math.isfinite(start) and total == pytest.approx(1, abs=2e-3)
+
+
+def sum_before(m, after, n, text):
+    """Log10 probability of a text's words without its end."""
+    words = (text or "").split()
+    if not words:
+        return 0.0
+    hashes = np.array([xxhash.xxh3_64_intdigest(w.encode().lower()) | 1 for w in words] + [0], np.uint64)
+    f = m.context_features(hashes, np.zeros(len(hashes), np.int64))[:, -1:]
+    return _plain_score(m, after, n, text) - float(m.log_class(f, np.zeros(1, np.int64))[0]) / math.log(10)
+
+
+def test_model_grows_within_bounds():
+    sizes = [language_model.features(10**e) for e in range(0, 14)]
+    assert sizes == sorted(sizes) and sizes[0] == language_model.LEAST_FEATURES and sizes[-1] == language_model.MOST_FEATURES and language_model.features(10**8) == 1 << 15
 
 
 def test_language_model_of_odd_rows(spark, odd_docs, no_docs):
