@@ -22,6 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts_of(docs: DataFrame) -> DataFrame:
+    """doc_id (long) and text; no alias where the id is one already, so that two uses of the frame
+    have equal plans and share a shuffle."""
+    own = dict(docs.dtypes)["doc_id"] == "bigint"
+    return docs.select("doc_id" if own else F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def few(df: DataFrame, rows: int | None, rows_per_task: int) -> DataFrame:
+    """``df`` in as many partitions as ``rows`` fill, and in no more than it has."""
+    return df if rows is None else df.coalesce(max(1, -(-rows // rows_per_task)))
+
+
 def materialise(df: DataFrame, rows: int | None = None, rows_per_task: int = 100_000) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder (survives lost executors).
 
@@ -29,9 +41,7 @@ def materialise(df: DataFrame, rows: int | None = None, rows_per_task: int = 100
     tasks, whatever the number of shuffle partitions.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    if rows is not None:
-        df = df.coalesce(max(1, -(-rows // rows_per_task)))
-    return df.checkpoint(eager=True)
+    return few(df, rows, rows_per_task).checkpoint(eager=True)
 
 
 def parts(spark: SparkSession) -> int:
@@ -73,11 +83,11 @@ def utf8(texts: Iterable[str | None]) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """``df`` written as a compressed table in the shared checkpoint folder and read back."""
+def stash(df: DataFrame, rows: int | None = None, rows_per_task: int = 100_000) -> DataFrame:
+    """``df`` written as a compressed table in the shared checkpoint folder and read back; ``rows`` as in ``materialise``."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    few(df, rows, rows_per_task).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

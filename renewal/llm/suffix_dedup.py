@@ -33,12 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from renewal.llm.common import mix64, parts, starts_of, stash, utf8
+from renewal.llm.common import mix64, parts, starts_of, stash, texts_of, utf8
 from renewal.llm.passages import GRAM, SIDE, SPAN, anchors, gram_hashes
 
 SHALLOW = 24
 #: Texts whose anchors a task holds at once.
 TEXTS = 2500
+#: Texts whose settled spans a task writes, at least.
+TASK_TEXTS = 5000
 #: Bytes before and after the gram, by the place of the gram in a 50-byte string.
 PARTS = [(0, SIDE - 7), (8, SIDE - 14), (15, SIDE - 22), (23, 0)]
 BLOCK = "bucket int, payload binary"
@@ -138,7 +140,7 @@ def anchor_blocks(docs: DataFrame, buckets: int) -> DataFrame:
                 body = pack([ids[names], crc[names], *_low6(h[a : a + m]), local[:m].astype("<u4"), place[a : a + m].astype("<u4"), local[m:].astype("<u4"), place[a + m : z].astype("<u4")])
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket[a]], pa.int32()), "payload": pa.array([body], pa.binary())})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and length(text) > 0")
+    rows = texts_of(docs).filter("doc_id is not null and length(text) > 0")
     return rows.mapInArrow(blocks, BLOCK)
 
 
@@ -348,12 +350,14 @@ def merged(text: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
     return text[new], lo[new], (reach[last] - shift[last]) if len(new) else hi
 
 
-def removed_spans(docs: DataFrame) -> DataFrame:
+def removed_spans(texts: DataFrame) -> DataFrame:
     """doc_id, crc, lo, hi: per document that loses bytes, arrays of byte ranges and of the
-    checksum of the text that each is of (ids may repeat)."""
-    buckets = 2 * parts(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    news = stash(anchor_blocks(docs, buckets).groupBy("bucket").applyInPandas(settle, NEWS))
+    checksum of the text that each is of (ids may repeat).
+
+    ``texts``: doc_id (long, not null) and text.
+    """
+    buckets = 2 * parts(texts.sparkSession)
+    news = stash(anchor_blocks(texts, buckets).groupBy("bucket").applyInPandas(settle, NEWS), texts.count(), TASK_TEXTS)
     asks = news.filter("ask is not null").groupBy("doc_id").agg(*[F.collect_list(c).alias(c) for c in ("crc", "lo", "ask")])
     asked = texts.join(asks.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "crc", "lo", "ask")
     seen = context_blocks(asked, buckets).groupBy("bucket").applyInPandas(order_suffixes, "doc_id long, crc long, lo int, hi int")
@@ -388,10 +392,10 @@ def _kept(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[bytes], int]]:
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
-    spans = removed_spans(docs).select(F.col("doc_id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in ("crc", "lo", "hi")])
     known = docs.filter("doc_id is not null")
-    none = [F.lit(None).cast(t).alias(c) for c, t in spans.dtypes if c != "_id"]
-    return known.join(spans.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left").drop("_id").unionByName(docs.filter("doc_id is null").select("*", *none))
+    spans = removed_spans(texts_of(known)).select("doc_id", *[F.col(c).alias(f"_{c}") for c in ("crc", "lo", "hi")])
+    none = [F.lit(None).cast(t).alias(c) for c, t in spans.dtypes if c != "doc_id"]
+    return known.join(spans.hint("shuffle_hash"), "doc_id", "left").select(*docs.columns, "_crc", "_lo", "_hi").unionByName(docs.filter("doc_id is null").select("*", *none))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -406,7 +410,7 @@ def dedup(docs: DataFrame) -> DataFrame:
                     c.append(v)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_bytes": pa.array(out[0], pa.int64()), "n_removed": pa.array(out[1], pa.int64()), "n_spans": pa.array(out[2], pa.int64()), "kept_sha256": pa.array(out[3], pa.string())})
 
-    return _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(cut, RESULT)
+    return _with_spans(texts_of(docs)).mapInArrow(cut, RESULT)
 
 
 def dedup_texts(docs: DataFrame) -> DataFrame:
