@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from renewal.llm.common import mix64, parts, starts_of, stash, text_slices
+from renewal.llm.common import mix64, parts, starts_of, stash, text_slices, texts_of
 from renewal.llm.suffix_dedup import pack, unpack
 
 MIN_CHARS = 10
@@ -269,7 +269,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"doc_id": some.column("doc_id"), "text": pa.array(kept, pa.binary()).cast(pa.string()), "n_lines": pa.array(n, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())})
 
     buckets = 2 * parts(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = texts_of(docs)
     texts = rows.filter("doc_id is not null")
     found = stash(suspects(stash(line_blocks(texts, buckets))))
     late = drops(found, first_holders(suspected_lines(texts, found), buckets))
