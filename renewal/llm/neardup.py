@@ -52,6 +52,8 @@ TEXTS = 500
 CHUNK, CHUNK_SHINGLES, COLUMNS = 512, 1 << 20, 4096
 #: Rows (of nodes in buckets) that a task takes, at least.
 TASK_ROWS = 20_000
+#: Texts whose signatures or shingles a task writes, at least.
+TASK_TEXTS = 5000
 _FIRST_RANK, _CELL = 1 / 16, 16.0
 SIGNED = "doc_id long, key long, node binary, bands array<long>"
 _DOC_BITS = 9  # TEXTS texts fit; the rest of 64 bits is a shingle's hash
@@ -379,15 +381,16 @@ def links_between(members: DataFrame, contents: DataFrame, min_similarity: float
 
 def _classified(docs: DataFrame, min_similarity: float) -> DataFrame:
     """doc_id, key (hash of the text), class_id, first (the key of the class's first row) of every row."""
-    signed = materialise(sign_documents(docs))
+    n = docs.count()
+    signed = materialise(sign_documents(docs), n, TASK_TEXTS)
     known = signed.filter(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     nodes = known.groupBy("node").agg(F.min(F.struct("doc_id", "key", "bands")).alias("first"))
-    nodes = materialise(nodes.select("node", "first.doc_id", "first.key", "first.bands"))
+    nodes = materialise(nodes.select("node", "first.doc_id", "first.key", "first.bands"), n, TASK_TEXTS)
     exploded = nodes.select("node", "doc_id", F.explode("bands").alias("bucket"))
     shared = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    members = materialise(exploded.join(shared, "bucket"))
+    members = materialise(exploded.join(shared, "bucket"), n, TASK_TEXTS)
     wanted = members.select("node", "doc_id").distinct()
-    contents = materialise(_contents(docs, wanted))
+    contents = materialise(_contents(docs, wanted), n, TASK_TEXTS)
     _, labels = links_between(members, contents, min_similarity)
     of = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = of.groupBy("label").agg(F.min(F.struct("doc_id", "key")).alias("first"))
