@@ -15,7 +15,7 @@ happen on training folds, never when predicting.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,8 +113,13 @@ def _even_copies(seeds: DataFrame, g: int, seed: int, key: str) -> tuple[DataFra
 def smote(
     df: DataFrame, feats: Sequence[str], strategy: float | str = "auto", k: int = 5, seed: int = 10,
     key: str = "row_id", label: str = "label", seeds_filter: DataFrame | None = None,
+    neighbors: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> DataFrame:
-    """R2 (and R3/R4 through ``seeds_filter``): original rows plus the synthetic minority rows."""
+    """R2 (and R3/R4 through ``seeds_filter``): original rows plus the synthetic minority rows.
+
+    ``neighbors(minority, k)`` gives the minority's neighbours in place of a search
+    (``fold_neighbors.NeighborTable.within``).
+    """
     cols = [key, *feats, label]
     data = df.select(*cols)
     counts = class_counts(data, label)
@@ -123,7 +128,7 @@ def smote(
         return data
     _check_neighbours(counts.get(MINORITY, 0), k)
     minority = data.where(F.col(label) == MINORITY)
-    nbrs = knn(None, minority, feats, k, key=key, extra=list(feats))
+    nbrs = knn(None, minority, feats, k, key=key, extra=list(feats)) if neighbors is None else neighbors(minority, k)
     seeds = minority if seeds_filter is None else minority.join(seeds_filter.select(key), key, "left_semi")
     ranked, max_copies = _even_copies(seeds, g, seed, key)
     synth = _interpolate(ranked, nbrs, feats, k, seed, key, label, max(max_copies, 1), _lowest_key(data, key))
@@ -284,11 +289,14 @@ def smote_tomek(df: DataFrame, feats: Sequence[str], strategy: float | str = "au
     return tomek_links(smote(df, feats, strategy, k, seed, key, label).checkpoint(), feats, key, label, strategy="all")
 
 
-def rus_smote(df: DataFrame, feats: Sequence[str], under: float = 0.5, over: float = 0.8, k: int = 5, seed: int = 10, key: str = "row_id", label: str = "label") -> DataFrame:
+def rus_smote(
+    df: DataFrame, feats: Sequence[str], under: float = 0.5, over: float = 0.8, k: int = 5, seed: int = 10, key: str = "row_id", label: str = "label",
+    neighbors: Callable[[DataFrame, int], DataFrame] | None = None,
+) -> DataFrame:
     """Random undersampling to ``under`` then SMOTE to ``over`` (ratios checked up front)."""
     ensure_checkpoint_dir(df.sparkSession)
     from renewal.operators.split import undersample
 
     if over < under:
         raise ValueError(f"SMOTE ratio {over} after undersampling to {under} would have to remove rows")
-    return smote(undersample(df.select(key, *feats, label), under, seed, label, key).checkpoint(), feats, over, k, seed, key, label)
+    return smote(undersample(df.select(key, *feats, label), under, seed, label, key).checkpoint(), feats, over, k, seed, key, label, neighbors=neighbors)

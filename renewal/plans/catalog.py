@@ -1106,14 +1106,18 @@ def q_docq_null_profile(spark, sf_dir):
 
 @register("rus_smote_search")
 def q_rus_smote_search(spark, sf_dir):
-    from renewal.operators import models, tuning
+    from renewal.operators import fold_neighbors, models, tuning
     from renewal.operators.resample import rus_smote
+    from renewal.session import ensure_checkpoint_dir
 
-    e = frames.embed(spark, sf_dir)
+    ensure_checkpoint_dir(spark)
+
+    e = frames.embed(spark, sf_dir).checkpoint()
     grid = {"resample__over": [0.6, 0.8], "resample__k": [3, 5], "model__max_depth": [2, 3]}
+    table = fold_neighbors.minority_table(e, _XS, 5, 2)
     return tuning.resampled_search(
         e, _XS,
-        lambda df, p: rus_smote(df, _XS, under=0.5, over=p["over"], k=p["k"]),
+        lambda df, p: rus_smote(df, _XS, under=0.5, over=p["over"], k=p["k"], neighbors=table.within),
         lambda df, p: models.boosted_trees(df, _XS, {"n_estimators": 5, "max_depth": p["max_depth"]}, weight=None),
         grid, n_iter=2, n_splits=2, n_repeats=1,
     )
