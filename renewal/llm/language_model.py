@@ -16,8 +16,7 @@ all that are not known, so the probabilities sum to one.
 Counts of words, and of words by the class before, are gathered from all training documents by hash
 bucket (packed blocks, summed per slice first); they grow with the vocabulary and stay
 distributed.  The ``HEAD`` most frequent words with their counts, the class table and the weights are
-broadcast: ``features`` says how the hashed features grow with the training tokens up to a fixed
-bound.  The weights are trained by rounds over disjoint parts of all training documents: each
+broadcast; ``FEATURES`` bounds the weights, as every task sends its steps on them.  The weights are trained by rounds over disjoint parts of all training documents: each
 task makes gradient steps from the round's weights on its own texts, and the steps are averaged
 by how often a feature was met.  Scoring reads every text once in Arrow batches; words outside the head
 ask their bucket's counts, and the answers come back as sums per document, packed by slice.
@@ -54,8 +53,8 @@ SINGLES = CLASSES - SHAPES
 HEAD = 1 << 14
 #: Weights of a word's share of its class against what follows the class before.
 KAPPAS = [4.0**i for i in range(14)]
-#: Training tokens for each hashed feature, and the least and most features.
-TOKENS_A_FEATURE, LEAST_FEATURES, MOST_FEATURES = 4096, 1 << 12, 1 << 16
+#: Hashed features of the class softmaxes.
+FEATURES = 1 << 14
 #: Rounds over parts of the training documents, tokens in a gradient step, its size and shrinkage.
 ROUNDS, STEP_TOKENS, RATE, PRIOR = 2, 16384, 0.4, 4.0
 #: Texts read at once, weights sent in a block.
@@ -63,33 +62,54 @@ TEXTS, BLOCK_ROWS = 1000, 4096
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
 
-def features(train_tokens: int) -> int:
-    """Hashed features of a model: a power of two that grows with the training tokens, within bounds
-    (the most weigh 36 MB)."""
-    return min(MOST_FEATURES, max(LEAST_FEATURES, 1 << max(0, train_tokens // TOKENS_A_FEATURE - 1).bit_length()))
-
-
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, shape, text number) of every word, in order; ``texts`` are a slice of ``text_slices``."""
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the distinct words, their shapes, number of every word among them in order, its
+    text's number); ``texts`` are a slice of ``text_slices``."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     coded = lists.flatten().dictionary_encode()
     words = [w.encode() for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
-    h = np.fromiter((xxhash.xxh3_64_intdigest(w) | 1 if w else 0 for w in words), np.uint64, len(words))
+    h = np.fromiter((xxhash.xxh3_64_intdigest(w) | 1 for w in words), np.uint64, len(words))
     shape = np.fromiter((xxhash.xxh32_intdigest(w[-2:]) % SHAPES for w in words), np.uint8, len(words))
-    code = coded.indices.to_numpy(zero_copy_only=False)
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     doc = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-    real = h[code] != 0 if len(words) else np.zeros(0, bool)
-    code = code[real]
-    return (h[code], shape[code], doc[real]) if len(words) else (np.zeros(0, np.uint64), np.zeros(0, np.uint8), doc)
+    real = pc.not_equal(coded.dictionary, "").to_numpy(zero_copy_only=False)  # outer white space leaves empty words
+    keep = real[code] if len(words) else np.zeros(0, bool)
+    return h, shape, code[keep], doc[keep]
 
 
 def _held(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(5)) == 1, F.lit(False))
 
 
-def _blocks(columns: list[np.ndarray], bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for b in np.unique(bucket).tolist():
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "payload": pa.array([pack([c[bucket == b] for c in columns])], pa.binary())})
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _by_bucket(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the words by bucket, then hash; the bucket of each in that order)."""
+    bucket = _bucket(h, buckets)
+    order = np.lexsort((h, bucket))
+    return order, bucket[order]
+
+
+def _parts(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(bucket, begin, end) of the runs of a sorted array."""
+    if not len(bucket):
+        return iter(())
+    at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    return zip(bucket[at].tolist(), at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True)
+
+
+def _summed(rows: DataFrame, column: str, size: int) -> np.ndarray:
+    """Sum of a column of packed arrays, by groups of buckets."""
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({column: [pack([sum(unpack(p)[0] for p in frame[column])])]})
+
+    total = np.zeros(size)
+    for r in rows.groupBy(F.pmod("bucket", F.lit(32))).applyInPandas(add, f"{column} binary").collect():  # at most 32 arrays
+        total += unpack(r[column])[0]
+    return total
 
 
 def count_words(train: DataFrame, buckets: int) -> DataFrame:
@@ -98,9 +118,13 @@ def count_words(train: DataFrame, buckets: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in text_slices(batch):
-                h, shape, _ = tokens(texts)
-                words, first, n = np.unique(h, return_index=True, return_counts=True)
-                yield from _blocks([words, n.astype("<u4"), shape[first]], (words >> np.uint64(20)) % np.uint64(buckets))
+                h, shape, code, _ = tokens(texts)
+                n = np.bincount(code, minlength=len(h))
+                order, bucket = _by_bucket(h, buckets)
+                order, bucket = order[n[order] > 0], bucket[n[order] > 0]
+                for b, lo, hi in _parts(bucket):
+                    at = order[lo:hi]
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "payload": pa.array([pack([h[at], n[at].astype("<u4"), shape[at]])], pa.binary())})
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         h, n, shape = (np.concatenate(x) for x in zip(*map(unpack, frame["payload"]), strict=True))
@@ -121,7 +145,6 @@ class Model:
         self.train_tokens = n_docs + n_words
         self.norm = self.train_tokens + 0.5 * (n_distinct + (n_docs > 0) + 1)  # V counts the end
         self.n_docs = n_docs
-        self.features = features(self.train_tokens)
         single = head[:, : SINGLES - 1]  # head: hash, count, shape by falling count
         order = np.argsort(head[0])
         self.head_hash, self.head_count = head[0][order], head[1][order].astype(np.float64)
@@ -134,8 +157,8 @@ class Model:
         self.super_bias = np.log(weight.sum(1)).astype(np.float32)
         self.class_bias = np.log(weight / weight.sum(1, keepdims=True)).astype(np.float32)
         #: Weights of a group by feature, and of a group's class by feature and group.
-        self.supers = np.zeros((self.features, SUPERS), np.float32)
-        self.classes_ = np.zeros((self.features * SUPERS, WIDTH), np.float32)
+        self.supers = np.zeros((FEATURES, SUPERS), np.float32)
+        self.classes_ = np.zeros((FEATURES * SUPERS, WIDTH), np.float32)
         #: Counts of shape classes, and of the head's words, after each class.
         self.after = np.zeros((CLASSES, SHAPES))
         self.kappa = np.full((CLASSES, SHAPES), KAPPAS[-1])
@@ -158,7 +181,7 @@ class Model:
             back.append(prev)
         with np.errstate(over="ignore"):
             mixed = [mix64(back[0], 1), mix64(back[1], 2), mix64(back[0] * np.uint64(3) + mix64(back[1], 3), 4), mix64(back[2], 5)]
-        return np.stack([(m % np.uint64(self.features)).astype(np.int64) for m in mixed])
+        return np.stack([(m % np.uint64(FEATURES)).astype(np.int64) for m in mixed])
 
     def log_class(self, f: np.ndarray, cls: np.ndarray) -> np.ndarray:
         """Log probability of each class after its features."""
@@ -166,17 +189,19 @@ class Model:
         for a in range(0, len(cls), STEP_TOKENS):
             some, y = f[:, a : a + STEP_TOKENS], cls[a : a + STEP_TOKENS]
             of = y // WIDTH
-            row = np.arange(len(y))
-            out[a : a + len(y)] = _log_softmax(self.super_bias, self.supers, some)[row, of] + _log_softmax(self.class_bias[of], self.classes_, some * SUPERS + of)[row, y % WIDTH]
+            at = np.arange(len(y))
+            out[a : a + len(y)] = _log_softmax(self.super_bias[:, None], self.supers, some)[of, at] + _log_softmax(self.class_bias.T[:, of], self.classes_, some * SUPERS + of)[y % WIDTH, at]
         return out
 
 
 def _log_softmax(bias: np.ndarray, weights: np.ndarray, f: np.ndarray) -> np.ndarray:
-    z = bias + weights[f[0]]
+    """Choices x tokens: log probabilities after the features ``f`` (kinds x tokens) of the tokens."""
+    z = np.take(weights, f[0], axis=0)
     for rows in f[1:]:
-        z += weights[rows]
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
+        z += np.take(weights, rows, axis=0)
+    z = np.ascontiguousarray(z.T) + bias
+    z -= z.max(0)
+    z -= np.log(np.exp(z).sum(0))
     return z
 
 
@@ -196,50 +221,44 @@ def _before(cls: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(a sorting order by the keys, the first the outermost; where each run of equal keys begins in it)."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for k in keys:
-        new[1:] |= k[order][1:] != k[order][:-1]
-    return order, np.flatnonzero(new)
-
-
 def count_pairs(train: DataFrame, model: Model, buckets: int) -> DataFrame:
     """Per bucket: payload (its words of shape classes with the classes before and counts), and ``after``
-    (counts of each shape class after each class, flat)."""
+    (counts of each shape class after each class, packed)."""
     shared = train.sparkSession.sparkContext.broadcast(model)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             for _, texts in text_slices(batch):
-                h, shape, doc = tokens(texts)
-                cls = m.classes(h, shape)[0]
+                h, shape, code, doc = tokens(texts)
+                of = m.classes(h, shape)[0]
+                order, bucket = _by_bucket(h, buckets)
+                place = np.empty(len(h), np.int64)
+                place[order] = np.arange(len(h))
+                cls = of[code]
                 on = cls >= SINGLES
-                h, before, shape = h[on], _before(cls, doc)[on], shape[on]
-                order, at = _runs(h, before)
-                first = order[at]
-                n = np.diff(np.r_[at, len(order)])
-                yield from _blocks([h[first], before[first].astype("u1"), shape[first], n.astype("<u4")], (h[first] >> np.uint64(20)) % np.uint64(buckets))
+                pair, n = np.unique(place[code[on]] * CLASSES + _before(cls, doc)[on], return_counts=True)
+                word, before = order[pair // CLASSES], (pair % CLASSES).astype("u1")
+                for b, lo, hi in _parts(bucket[pair // CLASSES]):
+                    w = word[lo:hi]
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "payload": pa.array([pack([h[w], before[lo:hi], shape[w], n[lo:hi].astype("<u4")])], pa.binary())})
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         h, before, shape, n = (np.concatenate(x) for x in zip(*map(unpack, frame["payload"]), strict=True))
-        order, at = _runs(h, before)
+        order = np.lexsort((before, h))
+        at = np.flatnonzero(np.r_[True, (h[order][1:] != h[order][:-1]) | (before[order][1:] != before[order][:-1])])
         first = order[at]
         n = np.add.reduceat(n[order].astype(np.int64), at)
-        after = np.bincount(before[first].astype(np.int64) * SHAPES + shape[first], n, CLASSES * SHAPES).astype(np.int64)
-        return pd.DataFrame({"bucket": frame["bucket"].iloc[:1], "payload": [pack([h[first], before[first], n.astype("<u4"), shape[first]])], "after": [after]})
+        after = np.bincount(before[first].astype(np.int64) * SHAPES + shape[first], n, CLASSES * SHAPES)
+        return pd.DataFrame({"bucket": frame["bucket"].iloc[:1], "payload": [pack([h[first], before[first], n.astype("<u4"), shape[first]])], "after": [pack([after])]})
 
-    pairs = train.select("text").mapInArrow(count, "bucket int, payload binary").groupBy("bucket").applyInPandas(add, "bucket int, payload binary, after array<long>")
+    pairs = train.select("text").mapInArrow(count, "bucket int, payload binary").groupBy("bucket").applyInPandas(add, "bucket int, payload binary, after binary")
     return stash(pairs)
 
 
 def _gather_head(pairs: DataFrame, model: Model) -> None:
     """Give the model the counts after each class: of the shape classes, and of its head's words."""
-    for r in pairs.select(F.posexplode("after").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect():  # CLASSES x SHAPES
-        model.after[r["at"] // SHAPES, r["at"] % SHAPES] = r["n"]
+    model.after[:] = _summed(pairs.select("bucket", "after"), "after", CLASSES * SHAPES).reshape(CLASSES, SHAPES)
     head = model.head_hash
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,38 +278,37 @@ def _choose_kappas(pairs: DataFrame, model: Model) -> None:
     """Give the model, per class before and shape class, the ``KAPPAS`` of the greatest leave-one-out
     likelihood of the training words."""
     shared = pairs.sparkSession.sparkContext.broadcast((model.after, model.shape_mass))
-    names = [f"k{i}" for i in range(len(KAPPAS))]
 
     def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         after, mass = shared.value
-        total = np.zeros((len(KAPPAS), CLASSES * SHAPES))
         for batch in batches:
-            for payload in batch.column("payload").to_pylist():
+            for bucket, payload in zip(batch.column("bucket").to_pylist(), batch.column("payload").to_pylist(), strict=True):
                 h, before, n, shape = unpack(payload)
                 begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
                 count = np.repeat(np.add.reduceat(n.astype(np.float64), begin), np.diff(np.r_[begin, len(h)]))
                 share, cell, n = (count - 0.5) / mass[shape], before.astype(np.int64) * SHAPES + shape, n.astype(np.float64)
                 others = after[before, shape] - 1
-                for i, k in enumerate(KAPPAS):
-                    total[i] += np.bincount(cell, n * (np.log(n - 1 + k * share) - np.log(others + k)), CLASSES * SHAPES)
-        some = np.flatnonzero(total.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *[pa.array(t[some]) for t in total]], names=["at", *names])
+                total = [np.bincount(cell, n * (np.log(n - 1 + k * share) - np.log(others + k)), CLASSES * SHAPES) for k in KAPPAS]
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "likelihood": pa.array([pack([np.concatenate(total)])], pa.binary())})
 
-    found = pairs.select("payload").mapInArrow(likelihood, "at int, " + ", ".join(f"{c} double" for c in names))
-    for r in found.groupBy("at").agg(*[F.sum(c).alias(c) for c in names]).collect():  # CLASSES x SHAPES rows
-        model.kappa[r["at"] // SHAPES, r["at"] % SHAPES] = KAPPAS[int(np.argmax([r[c] for c in names]))]
+    found = pairs.select("bucket", "payload").mapInArrow(likelihood, "bucket int, likelihood binary")
+    total = _summed(found, "likelihood", len(KAPPAS) * CLASSES * SHAPES).reshape(len(KAPPAS), CLASSES, SHAPES)
+    model.kappa[:] = np.where(model.after > 0, np.array(KAPPAS)[total.argmax(0)], KAPPAS[-1])
 
 
 def _step(weights: np.ndarray, met: np.ndarray, f: np.ndarray, error: np.ndarray) -> None:
-    """A gradient step on the rows of ``weights`` that ``f`` names; counts how often each was met."""
-    error = np.ascontiguousarray(error.T)
+    """A gradient step on the rows of ``weights`` that ``f`` names (``error``: choices x tokens); counts
+    how often each was met."""
+    place = np.arange(f.shape[1], dtype=np.uint64)
     for rows in f:
-        order = np.argsort(rows, kind="stable")
-        named = rows[order]
-        at = np.flatnonzero(np.r_[True, named[1:] != named[:-1]])
-        n = np.diff(np.r_[at, len(named)])
-        weights[named[at]] -= (RATE * np.add.reduceat(error[:, order], at, axis=1) / (n + PRIOR)).T.astype(np.float32)
-        met[named[at]] += n
+        both = np.sort(rows.astype(np.uint64) << np.uint64(20) | place)
+        named = (both >> np.uint64(20)).astype(np.int64)
+        end = np.flatnonzero(np.r_[named[1:] != named[:-1], True])
+        upto = np.cumsum(error[:, (both & np.uint64((1 << 20) - 1)).astype(np.int64)], axis=1, dtype=np.float64)[:, end]
+        upto[:, 1:] -= upto[:, :-1].copy()
+        n = np.diff(np.r_[-1, end])
+        weights[named[end]] -= (RATE / (n + PRIOR) * upto).T.astype(np.float32)
+        met[named[end]] += n
 
 
 def train_round(train: DataFrame, model: Model, part: int) -> None:
@@ -303,17 +321,17 @@ def train_round(train: DataFrame, model: Model, part: int) -> None:
         met = [np.zeros(len(w), np.float32) for w in own]
         for batch in batches:
             for some, texts in text_slices(batch, TEXTS):
-                h, shape, doc = tokens(texts)
-                target = np.zeros(len(h) + len(some), np.int64)
-                all_h, all_doc, place = with_ends(h, doc, len(some))
-                target[place] = m.classes(h, shape)[0]
+                h, shape, code, doc = tokens(texts)
+                target = np.zeros(len(code) + len(some), np.int64)
+                all_h, all_doc, place = with_ends(h[code], doc, len(some))
+                target[place] = m.classes(h, shape)[0][code]
                 f = m.context_features(all_h, all_doc)
                 for a in range(0, len(target), STEP_TOKENS):
                     y, g = target[a : a + STEP_TOKENS], f[:, a : a + STEP_TOKENS]
-                    of, row = y // WIDTH, np.arange(len(y))
-                    for w, seen, rows, bias, right in ((own[0], met[0], g, m.super_bias, of), (own[1], met[1], g * SUPERS + of, m.class_bias[of], y % WIDTH)):
+                    of, at = y // WIDTH, np.arange(len(y))
+                    for w, seen, rows, bias, right in ((own[0], met[0], g, m.super_bias[:, None], of), (own[1], met[1], g * SUPERS + of, m.class_bias.T[:, of], y % WIDTH)):
                         p = np.exp(_log_softmax(bias, w, rows))
-                        p[row, right] -= 1
+                        p[right, at] -= 1
                         _step(w, seen, rows, p)
         for kind, (w, old, seen) in enumerate(zip(own, (m.supers, m.classes_), met, strict=True)):
             step = (w - old).astype(np.float16)
@@ -368,32 +386,37 @@ def score(docs: DataFrame, pairs: DataFrame, model: Model, buckets: int) -> Data
         for batch in batches:
             for some, texts in text_slices(batch, TEXTS):
                 size, name = len(some), some.column("uid")[0].as_py()
-                h, shape, doc = tokens(texts)
-                cls, at, known = m.classes(h, shape)
+                h, shape, code, doc = tokens(texts)
+                of, at, known = m.classes(h, shape)
+                cls = of[code]
                 before = _before(cls, doc)
-                all_h, all_doc, place = with_ends(h, doc, size)
+                all_h, all_doc, place = with_ends(h[code], doc, size)
                 target = np.zeros(len(all_h), np.int64)
                 target[place] = cls
                 total = np.bincount(all_doc, m.log_class(m.context_features(all_h, all_doc), target), size)
                 shaped = cls >= SINGLES
-                total -= np.bincount(doc[shaped], np.log(m.after[before[shaped], cls[shaped] - SINGLES] + m.kappa[before[shaped], cls[shaped] - SINGLES]), size)
-                own = shaped & known
-                total += np.bincount(doc[own], _within(m, m.head_after[at[own], before[own]], m.head_count[at[own]], before[own], cls[own] - SINGLES), size)
-                base = np.full(size, np.log((m.n_docs + 0.5) / m.norm)) + np.bincount(doc[known], np.log((m.head_count[at[known]] + 0.5) / m.norm), size)
-                n_known = np.bincount(doc[known], minlength=size) + (m.n_docs > 0)
+                shape_, before_ = cls[shaped] - SINGLES, before[shaped]
+                total -= np.bincount(doc[shaped], np.log(m.after[before_, shape_] + m.kappa[before_, shape_]), size)
+                in_head = known[code]
+                own = shaped & in_head
+                head = at[code[own]]
+                total += np.bincount(doc[own], _within(m, m.head_after[head, before[own]], m.head_count[head], before[own], cls[own] - SINGLES), size)
+                head = at[code[in_head]]
+                base = np.full(size, np.log((m.n_docs + 0.5) / m.norm)) + np.bincount(doc[in_head], np.log((m.head_count + 0.5) / m.norm)[head], size)
+                n_known = np.bincount(doc[in_head], minlength=size) + (m.n_docs > 0)
                 ids = some.column("doc_id")
                 sums = [ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False).astype("u1"), some.column("held_out").to_numpy(zero_copy_only=False).astype("u1"), np.bincount(all_doc, minlength=size).astype("<u4"), n_known.astype("<u4"), base, total]
                 yield row(int(mix64(np.array([name], np.uint64))[0] % np.uint64(buckets)), name, own=pack(sums))
                 # words outside the head: once per text and class before, with how often they occur
-                rare = np.flatnonzero(~known)
-                order, begin = _runs(h[rare], doc[rare], before[rare])
-                times = np.diff(np.r_[begin, len(order)])
-                rare = rare[order[begin]]
-                bucket = ((h[rare] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-                for b in np.unique(bucket).tolist():
-                    on = bucket == b
-                    r = rare[on]
-                    yield row(b, name, ask=pack([doc[r].astype("<u4"), h[r], before[r].astype("u1"), shape[r], times[on].astype("<u4")]))
+                order, bucket = _by_bucket(h, buckets)
+                nth = np.empty(len(h), np.int64)
+                nth[order] = np.arange(len(h))
+                rare = ~in_head
+                key, times = np.unique((nth[code[rare]] * size + doc[rare]) * CLASSES + before[rare], return_counts=True)
+                word, text, after = key // (CLASSES * size), (key // CLASSES % size).astype("<u4"), (key % CLASSES).astype("u1")
+                for b, lo, hi in _parts(bucket[word]):
+                    w = order[word[lo:hi]]
+                    yield row(b, name, ask=pack([text[lo:hi], h[w], after[lo:hi], shape[w], times[lo:hi].astype("<u4")]))
 
     def answer(asked: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
         m = shared.value

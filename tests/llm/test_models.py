@@ -182,11 +182,6 @@ def sum_before(m, after, n, text):
     return _plain_score(m, after, n, text) - float(m.log_class(f, np.zeros(1, np.int64))[0]) / math.log(10)
 
 
-def test_model_grows_within_bounds():
-    sizes = [language_model.features(10**e) for e in range(0, 14)]
-    assert sizes == sorted(sizes) and sizes[0] == language_model.LEAST_FEATURES and sizes[-1] == language_model.MOST_FEATURES and language_model.features(10**8) == 1 << 15
-
-
 def test_language_model_of_odd_rows(spark, odd_docs, no_docs):
     got = language_model.lm_scores(odd_docs).collect()
     assert len(got) == odd_docs.count()
