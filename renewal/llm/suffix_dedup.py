@@ -46,8 +46,8 @@ PARTS = [(0, SIDE - 7), (8, SIDE - 14), (15, SIDE - 22), (23, 0)]
 BLOCK = "bucket int, payload binary"
 #: Pairs of surroundings compared at once.
 PAIRS = 1 << 16
-#: What the anchors settle or ask: ``ask`` is null for a span to remove.
-NEWS = "doc_id long, crc long, lo int, hi int, ask long"
+#: What the anchors settle or ask: a span to remove, or (``ask``) the place of an anchor.
+NEWS = "doc_id long, crc long, lo int, hi int, ask boolean"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -161,9 +161,9 @@ def settle(frame: pd.DataFrame) -> pd.DataFrame:
             "crc": np.r_[done_crc, crc[ask]].astype(np.int64),
             "lo": np.r_[done - SIDE, place[ask]].astype(np.int32),
             "hi": np.r_[done + SPAN, place[ask]].astype(np.int32),
-            "ask": pd.array(np.r_[np.zeros(len(done), np.int64), h[ask].astype(np.int64)], "Int64").copy(),
+            "ask": np.r_[np.zeros(len(done), bool), np.ones(int(ask.sum()), bool)],
         }
-    ).assign(ask=lambda f: f["ask"].where(np.arange(len(f)) >= len(done)))
+    )
 
 
 class BlindTrie:
@@ -254,21 +254,25 @@ def context_blocks(asked: DataFrame, buckets: int) -> DataFrame:
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]  # doc, crc, gram, begin, bytes before the gram, bytes
             raws = utf8(batch.column("text").to_pylist())
-            ids = batch.column("doc_id").to_pylist()
-            own = [zlib.crc32(r) for r in raws]
-            (crc, row), (at, _), (ask, _) = (_flat(batch, c) for c in ("crc", "lo", "ask"))
-            for i, c, p, h in zip(row.tolist(), crc.tolist(), at.tolist(), ask.tolist(), strict=True):
-                if c == own[i]:
-                    lo = max(0, p - SIDE)
-                    piece = raws[i][lo : p + SPAN]
-                    for x, v in zip(cols, (ids[i], c, h, lo, p - lo, piece.ljust(2 * SIDE + GRAM, b"\0") + bytes([len(piece)])), strict=True):
-                        x.append(v)
-            if not cols[0]:
+            own = np.array([zlib.crc32(r) for r in raws], np.int64)
+            (crc, row), (at, _) = (_flat(batch, c) for c in ("crc", "lo"))
+            mine = crc == own[row]
+            row, at = row[mine], at[mine]
+            if not len(row):
                 continue
-            doc, crc, h, lo, left = (np.array(c, np.int64) for c in cols[:5])
-            body = np.frombuffer(b"".join(cols[5]), np.uint8).reshape(len(doc), -1)
+            lo, grams, pieces = np.maximum(0, at - SIDE), [], []
+            ends = np.searchsorted(row, np.arange(len(raws) + 1)).tolist()
+            for i, raw in enumerate(raws):
+                if ends[i] < ends[i + 1]:
+                    some = at[ends[i] : ends[i + 1]]
+                    grams.append(mix64(gram_hashes(np.frombuffer(raw, np.uint8), GRAM, some)))
+                    for p in some.tolist():
+                        piece = raw[max(0, p - SIDE) : p + SPAN]
+                        pieces.append(piece.ljust(2 * SIDE + GRAM, b"\0") + bytes([len(piece)]))
+            doc, crc, left = batch.column("doc_id").to_numpy()[row], own[row], at - lo
+            h = (np.concatenate(grams) & np.uint64((1 << 48) - 1)).astype(np.int64)
+            body = np.frombuffer(b"".join(pieces), np.uint8).reshape(len(doc), -1)
             bucket = h % buckets
             for b in np.unique(bucket).tolist():
                 m = bucket == b
@@ -358,10 +362,10 @@ def removed_spans(texts: DataFrame) -> DataFrame:
     """
     buckets = 2 * parts(texts.sparkSession)
     news = stash(anchor_blocks(texts, buckets).groupBy("bucket").applyInPandas(settle, NEWS), texts.count(), TASK_TEXTS)
-    asks = news.filter("ask is not null").groupBy("doc_id").agg(*[F.collect_list(c).alias(c) for c in ("crc", "lo", "ask")])
-    asked = texts.join(asks.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "crc", "lo", "ask")
+    asks = news.filter("ask").groupBy("doc_id").agg(*[F.collect_list(c).alias(c) for c in ("crc", "lo")])
+    asked = texts.join(asks.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "crc", "lo")
     seen = context_blocks(asked, buckets).groupBy("bucket").applyInPandas(order_suffixes, "doc_id long, crc long, lo int, hi int")
-    spans = news.filter("ask is null").select("doc_id", "crc", "lo", "hi").unionByName(seen)
+    spans = news.filter("not ask").select("doc_id", "crc", "lo", "hi").unionByName(seen)
     return spans.groupBy("doc_id").agg(*[F.collect_list(c).alias(c) for c in ("crc", "lo", "hi")])  # at most a few per byte of the document
 
 
