@@ -11,6 +11,7 @@ import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,7 +97,7 @@ def anchor_cover(fit: DataFrame, target: DataFrame, cols: Sequence[str], max_pat
     """Columns such that every (target row, fit row) pair sharing a coordinate shares one of them.
 
     Works on the distinct null patterns (one grouped pass per table, a flag per column);
-    greedy set cover over pattern pairs on the driver.  Too many patterns → every column.
+    greedy set cover over a bit matrix of pattern pairs on the driver (64 MB at most).  Too many patterns → every column.
     """
     def patterns(df):
         flags = F.concat(*[F.when(F.col(c).isNotNull(), F.lit("1")).otherwise(F.lit("0")) for c in reversed(cols)])
@@ -106,13 +107,14 @@ def anchor_cover(fit: DataFrame, target: DataFrame, cols: Sequence[str], max_pat
     pa, pb = patterns(target), patterns(fit)
     if len(pa) > max_patterns or len(pb) > max_patterns:
         return list(cols)
-    todo = {(a, b) for a in pa for b in pb if a & b}
-    chosen: list[str] = []
-    while todo:
-        best = max(range(len(cols)), key=lambda i: (sum(1 for a, b in todo if a & b & (1 << i)), -i))
-        chosen.append(cols[best])
-        todo = {(a, b) for a, b in todo if not a & b & (1 << best)}
-    return chosen
+    has = [np.array([[m >> i & 1 for i in range(len(cols))] for m in side], np.float32).reshape(len(side), len(cols)) for side in (pa, pb)]
+    todo = (has[0] @ has[1].T > 0).astype(np.float32)  # pattern pairs that share a column not yet chosen
+    chosen: list[int] = []
+    while todo.any():
+        best = int(np.argmax((has[0] * (todo @ has[1])).sum(0)))
+        chosen.append(best)
+        todo *= 1 - np.outer(has[0][:, best], has[1][:, best])
+    return [cols[i] for i in chosen]
 
 
 def impute_knn(

@@ -708,6 +708,20 @@ def q_condensed_nn_round(spark, sf_dir):
     return condensed_nn_round(e.where("label = 1").unionByName(first), e, _XS)
 
 
+@register("repeated_enn_rounds")
+def q_repeated_enn_rounds(spark, sf_dir):
+    from renewal.operators import maintained
+
+    return maintained.repeated_enn(frames.embed(spark, sf_dir), _XS, 3)[1]
+
+
+@register("condensed_nn_rounds")
+def q_condensed_nn_rounds(spark, sf_dir):
+    from renewal.operators import maintained
+
+    return maintained.condensed_nn(frames.embed(spark, sf_dir), _XS)[1]
+
+
 @register("repeated_enn")
 def q_repeated_enn(spark, sf_dir):
     from renewal.operators.resample import repeated_enn
