@@ -279,7 +279,7 @@ def random_search(
         pipe = Pipeline(stages=[VectorAssembler(inputCols=list(feats), outputCol="_features"), est])
         maps = [{est.getParam(k): v for k, v in d.items()} for d in draws]
         ev = MulticlassClassificationEvaluator(labelCol=label, metricName="fMeasureByLabel", metricLabel=1.0)
-        cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, foldCol="_fold", parallelism=parallelism, seed=seed)
+        cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, numFolds=n_splits, foldCol="_fold", parallelism=parallelism, seed=seed)
         model = cv.fit(data)
         for t, m in enumerate(model.avgMetrics):
             rows.append((t, {k: str(v) for k, v in draws[t].items()}, r, float(m)))

@@ -763,11 +763,14 @@ MODEL_FEATS = ["acctbal", "n_orders", "avg_price", "max_price", "recency_days",
 
 def _model_frames(spark, sf_dir):
     from renewal.operators.models import class_weight
+    from renewal.session import ensure_checkpoint_dir
 
     _, train, test = _rn(spark, sf_dir)
     cols = ["row_id", *MODEL_FEATS, "label"]
     means = impute.fit_means(train, MODEL_FEATS)
-    tr = class_weight(impute.apply_fill(train.select(*cols), means))
+    ensure_checkpoint_dir(spark)
+    # learners read the prepared rows many times: written once
+    tr = class_weight(impute.apply_fill(train.select(*cols), means)).checkpoint()
     te = impute.apply_fill(test.select(*cols), means)
     return tr, te
 
@@ -857,7 +860,7 @@ def q_adaboost(spark, sf_dir):
     from renewal.operators import models
 
     tr, te = _model_frames(spark, sf_dir)
-    return models.adaboost(tr, MODEL_FEATS, n_estimators=5, learning_rate=0.5, max_depth=2).predict(te)
+    return models.adaboost(tr, MODEL_FEATS, n_estimators=20, learning_rate=0.5, max_depth=2).predict(te)
 
 
 @register("stacking")
@@ -960,7 +963,7 @@ def _search(spark, sf_dir):
     tr, _ = _model_frames(spark, sf_dir)
     grid = {"maxDepth": [2, 3, 4], "stepSize": [0.05, 0.1, 0.2], "maxIter": [5, 10]}
     build = lambda _p: GBTClassifier(featuresCol="_features", labelCol="label", weightCol="weight", seed=10)
-    return tuning.random_search(tr, MODEL_FEATS, build, grid, n_iter=2, n_splits=3, n_repeats=1, seed=10)
+    return tuning.random_search(tr, MODEL_FEATS, build, grid, n_iter=10, n_splits=5, n_repeats=2, seed=10, parallelism=4)
 
 
 @register("random_search")
@@ -1074,7 +1077,7 @@ def q_instance_hardness(spark, sf_dir):
     from renewal.operators import models
 
     tr, _ = _model_frames(spark, sf_dir)
-    return models.instance_hardness(tr, MODEL_FEATS, cv=2)
+    return models.instance_hardness(tr, MODEL_FEATS, cv=5)
 
 
 # ---------------------------------------------------------------- the second labelled frame

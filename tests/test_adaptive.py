@@ -71,3 +71,14 @@ def test_a_study_goes_on_where_it_stopped(spark, tmp_path):
     assert strip(again.orderBy("trial_id").collect()) == strip(whole) and spark.read.parquet(path).count() == 24
     assert tuning.best_trial(again).first().value == max(r.value for r in whole)
     assert tuning.adaptive_study(spark, _surface, SPACE, 0).collect() == []
+
+
+def test_random_search_over_any_number_of_folds(spark):
+    """More folds than three, and two repeats: a row per draw and repeat."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.sql import functions as F
+
+    df = spark.range(120).select(F.col("id").alias("row_id"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 7 > 3).cast("int").alias("label"))
+    got = tuning.random_search(df, ["a"], lambda _: LogisticRegression(featuresCol="_features", labelCol="label"), {"regParam": [0.0, 0.1, 1.0]}, n_iter=3, n_splits=4, n_repeats=2)
+    assert sorted((r.trial_id, r.repeat) for r in got.collect()) == [(t, r) for t in range(3) for r in range(2)]
+    assert all(0 <= r.f1 <= 1 for r in got.collect()) and tuning.summarize_search(got).count() == 3
