@@ -299,16 +299,22 @@ def _choose_kappas(pairs: DataFrame, model: Model) -> None:
 def _step(weights: np.ndarray, met: np.ndarray, f: np.ndarray, error: np.ndarray) -> None:
     """A gradient step on the rows of ``weights`` that ``f`` names (``error``: choices x tokens); counts
     how often each was met."""
-    place = np.arange(f.shape[1], dtype=np.uint64)
+    place, by_token = np.arange(f.shape[1], dtype=np.uint64), np.ascontiguousarray(error.T)
     for rows in f:
         both = np.sort(rows.astype(np.uint64) << np.uint64(20) | place)
-        named = (both >> np.uint64(20)).astype(np.int64)
-        end = np.flatnonzero(np.r_[named[1:] != named[:-1], True])
-        upto = np.cumsum(error[:, (both & np.uint64((1 << 20) - 1)).astype(np.int64)], axis=1, dtype=np.float64)[:, end]
+        named, at = (both >> np.uint64(20)).astype(np.int64), (both & np.uint64((1 << 20) - 1)).astype(np.int64)
+        first = np.flatnonzero(np.r_[True, named[1:] != named[:-1]])
+        n = np.diff(np.r_[first, len(named)])
+        total = np.take(by_token, at[first], axis=0)  # most rows are met once
+        more = np.flatnonzero(n > 1)
+        others = np.ones(len(at), bool)
+        others[first] = False
+        upto = np.cumsum(np.take(error, at[others], axis=1), axis=1, dtype=np.float64)[:, np.cumsum(n[more] - 1) - 1]
         upto[:, 1:] -= upto[:, :-1].copy()
-        n = np.diff(np.r_[-1, end])
-        weights[named[end]] -= (RATE / (n + PRIOR) * upto).T.astype(np.float32)
-        met[named[end]] += n
+        total[more] += upto.T.astype(np.float32)
+        total *= (RATE / (n + PRIOR)).astype(np.float32)[:, None]
+        weights[named[first]] -= total
+        met[named[first]] += n
 
 
 def train_round(train: DataFrame, model: Model, part: int) -> None:
