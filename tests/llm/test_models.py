@@ -62,6 +62,53 @@ def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
     assert doc.tolist() == [0]
 
 
+def _plain_fit(x, dense, y):
+    """A logistic regression of the chain on a dense 0/1 matrix: (word weights, dense weights, bias)."""
+    n, kept = len(y), x.sum(0) >= toxicity.LEAST_TEXTS
+    m, k = int(kept.sum()), dense.shape[1]
+    full = np.column_stack([x[:, kept], dense, np.ones(n)])
+    w, mean, square = np.zeros(m + k + 1), 0.0, 0.0
+    rate = (y.sum() + 0.5) / (n + 1)
+    w[-1] = math.log(rate / (1 - rate))
+    for t in range(1, toxicity.STEPS + 1):
+        g = full.T @ ((1 / (1 + np.exp(-(full @ w))) - y) / n)
+        mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
+        step = 0.15 / (np.sqrt(square / (1 - 0.99**t)) + 1e-5)
+        w = w - step * mean / (1 - 0.9**t)
+        w[:m] = np.sign(w[:m]) * np.maximum(0, np.abs(w[:m]) - step[:m] * toxicity.SHRINK)
+    words = np.zeros(x.shape[1])
+    words[kept] = w[:m]
+    return words, w[m : m + k], w[-1]
+
+
+def test_chain_equals_a_plain_one(spark, monkeypatch):
+    """Dense matrices, one fit after the other, the second on out-of-fold log-odds of the first."""
+    monkeypatch.setattr(toxicity, "TEXTS", 7)  # many slices of a batch
+    docs, labels = _labelled(spark, 200, 3)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    marks = {r.doc_id: (1 - r.quality, r.toxic) for r in labels.collect() if r.doc_id in text}
+    fold = {r.doc_id: r.f for r in docs.select("doc_id", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(toxicity.FOLDS)).alias("f")).collect()}
+    ids = sorted(marks)
+    bag = {i: {w.lower().strip(toxicity._PUNCTUATION) for w in (text[i] or "").split()} - {""} for i in text}
+    slot = {w: k for k, w in enumerate(sorted({zlib.crc32(w.encode()) % toxicity.FEATURES for b in bag.values() for w in b}))}
+    every = sorted(text)
+    x = np.zeros((len(every), len(slot)))
+    for r, i in enumerate(every):
+        x[r, [slot[zlib.crc32(w.encode()) % toxicity.FEATURES] for w in bag[i]]] = 1
+    train = np.array([every.index(i) for i in ids])
+    y, f, none = np.array([marks[i] for i in ids], float), np.array([fold[i] for i in ids]), np.zeros((len(ids), 0))
+    first = _plain_fit(x[train], none, y[:, 0])
+    odds = np.zeros(len(ids))
+    for k in range(toxicity.FOLDS):
+        w, _, b = _plain_fit(x[train][f != k], none[f != k], y[f != k, 0])
+        odds[f == k] = (x[train] @ w + b)[f == k]
+    second = _plain_fit(x[train], odds[:, None], y[:, 1])
+    z = x @ first[0] + first[2]
+    want = 1 / (1 + np.exp(-np.clip(np.column_stack([z, x @ second[0] + z * second[1][0] + second[2]]), -30, 30)))
+    got = {r.doc_id: (r.p_junk, r.p_toxic) for r in toxicity.toxicity(docs.coalesce(1), labels).collect()}
+    assert np.abs(np.array([got[i] for i in every]) - want).max() < 1e-4 and len(ids) > 100
+
+
 def _tokens(text):
     return (text or "").encode().lower().split() + [None]
 
