@@ -414,9 +414,11 @@ def _sampled(features: np.ndarray, share: float, rng: np.random.Generator) -> np
     return features if share >= 1 else np.sort(rng.choice(features, max(1, int(len(features) * share)), replace=False))
 
 
-def newton_trees(train: DataFrame, feats: Sequence[str], params: BoostParams | dict[str, Any] | None = None, label: str = "label", weight: str | None = "weight", valid: str | None = None, key: Sequence[str] = ("row_id",)) -> NewtonModel:
+def newton_trees(train: DataFrame, feats: Sequence[str], params: BoostParams | dict[str, Any] | None = None, label: str = "label", weight: str | None = "weight", valid: str | None = None, key: Sequence[str] = ("row_id",), thresholds: Sequence[Sequence[float]] | None = None) -> NewtonModel:
     """Boosted trees of the logistic loss; ``valid`` names a boolean column of validation rows.
 
+    ``thresholds``: per feature the rising values to split at, in place of quantiles (at most 254).
+
     Rows without a label or a positive weight are left out; ``key`` names a row when rows are
     sampled.  Without training rows, or without a feature, the model has no trees (margin 0).
     """
@@ -429,7 +431,9 @@ def newton_trees(train: DataFrame, feats: Sequence[str], params: BoostParams | d
     sizes = train.filter(F.col(label).isNotNull()).agg(F.sum(F.col(weight) if weight else F.lit(1.0)).alias("w"), F.max(F.col(weight) if weight else F.lit(1.0)).alias("top")).first()
     if not feats or not sizes["w"] or sizes["w"] <= 0:
         return NewtonModel(feats, [], [], 0)
-    edges = bin_edges(fitted, feats, params.max_bins)
+    edges = bin_edges(fitted, feats, params.max_bins) if thresholds is None else [np.array(t, float) for t in thresholds]
+    if max(map(len, edges)) > 254:
+        raise ValueError("at most 254 thresholds a feature")
     n_bins = 1 + max(map(len, edges))
     scale = 2.0 ** math.floor(min(38 - math.log2(sizes["top"]), 61 - math.log2(sizes["w"])))
     blocks = _blocks(train, feats, edges, label, weight, valid, key, params.seed).checkpoint()

@@ -821,6 +821,32 @@ def q_newton_trees(spark, sf_dir):
     return newton_trees(models.class_weight(train), feats, params).predict(test)
 
 
+_STUMP_CUTS = {"acctbal": list(range(-1000, 10000, 1000)), "n_orders": list(range(1, 31)), "sparse_col": list(range(5, 101, 5))}
+_STUMP_VALUE = "CASE f WHEN 0 THEN acctbal WHEN 1 THEN CAST(n_orders AS DOUBLE) ELSE sparse_col END"
+_STUMP_LEAF = "-0.3 * sign({g}) * greatest(abs({g}) - 0.5, 0) / ({h} + 1)"
+_STUMP_FALL = "pow(greatest(abs({g}) - 0.5, 0), 2) / ({h} + 1)"
+
+
+@register("newton_stump", rounded(R + f""", ratio AS (SELECT CAST(count(*) FILTER (WHERE label = 0) AS DOUBLE) / count(*) FILTER (WHERE label = 1) AS r FROM renewal WHERE split = 'train'),
+grads AS (SELECT *, (0.5 - label) * w AS g, 0.25 * w AS h FROM (SELECT renewal.*, CASE WHEN label = 1 THEN r ELSE 1.0 END AS w FROM renewal, ratio WHERE split = 'train')),
+cuts AS ({' UNION ALL '.join(f"SELECT {i} AS f, unnest(CAST([{', '.join(f"'{c}'" for c in [*cuts, 'infinity'])}] AS DOUBLE[])) AS cut" for i, cuts in enumerate(_STUMP_CUTS.values()))}),
+tried AS (SELECT f, cut, null_left, coalesce({_STUMP_VALUE} < cut, null_left) AS is_left, g, h FROM grads, cuts, (VALUES (false), (true)) n(null_left)),
+sums AS (SELECT f, cut, null_left, sum(g) AS ga, sum(h) AS ha, coalesce(sum(g) FILTER (WHERE is_left), 0) AS gl, coalesce(sum(h) FILTER (WHERE is_left), 0) AS hl FROM tried GROUP BY f, cut, null_left),
+best AS (SELECT f, cut, null_left, gl, hl, ga - gl AS gr, ha - hl AS hr FROM sums WHERE hl >= 2 AND ha - hl >= 2
+  ORDER BY round({_STUMP_FALL.format(g='gl', h='hl')} + {_STUMP_FALL.format(g='(ga - gl)', h='(ha - hl)')} - {_STUMP_FALL.format(g='ga', h='ha')}, 9) DESC, f, cut, null_left LIMIT 1),
+margins AS (SELECT row_id, label, CASE WHEN coalesce({_STUMP_VALUE} < cut, null_left) THEN {_STUMP_LEAF.format(g='gl', h='hl')} ELSE {_STUMP_LEAF.format(g='gr', h='hr')} END AS m FROM renewal, best WHERE split = 'test')
+SELECT row_id, label, 1 / (1 + exp(-m)) AS probability_1, CAST(CASE WHEN m > 0 THEN 1 ELSE 0 END AS INTEGER) AS prediction FROM margins""", ["probability_1"]))
+def q_newton_stump(spark, sf_dir):
+    """One split of the second-order booster at given thresholds, nulls routed, against SQL."""
+    from renewal.operators import models
+    from renewal.operators.boosting import newton_trees
+
+    _, train, test = _rn(spark, sf_dir)
+    params = {"eta": 0.3, "max_depth": 1, "n_estimators": 1, "lambda": 1.0, "alpha": 0.5, "min_child_weight": 2}
+    model = newton_trees(models.class_weight(train), list(_STUMP_CUTS), params, thresholds=list(_STUMP_CUTS.values()))
+    return model.predict(test).withColumn("probability_1", F.round("probability_1", 6))
+
+
 @register("early_stop_patience")
 def q_early_stop_patience(spark, sf_dir):
     from renewal.operators import models
