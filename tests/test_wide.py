@@ -72,3 +72,41 @@ def test_odd_rows(spark, monkeypatch):
     assert got.singular == pytest.approx(np.linalg.svd(x)[1][:2]) and got.scores(df, ["row_id"]).count() == 5
     none = wide.wide_components(df.limit(0), 5, 2)
     assert none.singular.tolist() == [0, 0] and none.scores(df.limit(0), ["row_id"]).collect() == []
+
+
+def test_blocks_of_columns_as_numpy(spark, monkeypatch):
+    """Random numbers by blocks are those of one draw; many blocks, chunks and ranks below k give numpy's components."""
+    for name, most in (("COLUMNS", 7), ("VALUES", 50), ("DRAWN", 14), ("COMMON", 3)):
+        monkeypatch.setattr(wide, name, most)
+    drawn = wide._random(spark, 60, 4, 10).collect()
+    got = np.concatenate([np.frombuffer(r["part"], "<f8").reshape(7, 4) for r in sorted(drawn, key=lambda r: r["block"])])
+    assert np.array_equal(got[:60], np.random.default_rng(10).normal(size=(60, 4))) and not got[60:].any()
+    rng = np.random.default_rng(1)
+    x = np.zeros((200, 60))
+    for i in range(200):
+        x[i, rng.choice(60, 4, replace=False)] = rng.integers(1, 5, 4)
+    x[:, 3] += 4
+    df = spark.createDataFrame([(i, np.flatnonzero(r).tolist(), r[r != 0].tolist()) for i, r in enumerate(x)], "row_id long, at array<long>, v array<double>").repartition(4)
+    rows = df.select("row_id", *wide.sparse("at", F.col("v")))
+    for center in (False, True):
+        y = x - x.mean(0) if center else x
+        got = wide.wide_components(rows, 60, 4, center, power=8)
+        assert got.singular == pytest.approx(np.linalg.svd(y)[1][:4], rel=1e-3)
+        scores = np.array([list(r)[1:] for r in got.scores(rows, ["row_id"]).orderBy("row_id").collect()])
+        assert np.abs(scores - y @ got.vectors).max() < 1e-9
+    low = wide.wide_components(rows.where("row_id < 2"), 60, 4)
+    assert (low.singular[:2] > 0).all() and not low.singular[2:].any() and low.vectors.shape == (60, 4)
+
+
+def test_driver_holds_no_table_of_all_columns(spark):
+    """A million columns times 12 directions are 96 MB; the driver keeps some columns' at a time."""
+    import tracemalloc
+
+    p = 1_000_000
+    rows = spark.createDataFrame([(i, [i * 1000, 999_999 - i], [3.0 ** (10 - i), 1.0]) for i in range(40)], "row_id long, at array<long>, v array<double>").select("row_id", *wide.sparse("at", F.col("v")))
+    tracemalloc.start()
+    got = wide.wide_components(rows, p, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.singular == pytest.approx([np.sqrt(9.0**10 + 1), np.sqrt(9.0**9 + 1)], rel=1e-6)
+    assert peak < 40e6
