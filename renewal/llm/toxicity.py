@@ -22,16 +22,17 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from renewal.llm.common import text_slices
+
 #: Bound of the training sample, folds, hashed features, texts needed to keep a feature.
 MAX_ROWS, FOLDS, FEATURES, LEAST_TEXTS = 20_000, 3, 1 << 20, 3
-#: L1 strength, steps of the fit, cut of the verdict, texts handled at once.
-SHRINK, STEPS, CUT, TEXTS = 2e-5, 80, 0.5, 2000
+#: L1 strength, steps of the fit, cut of the verdict, texts and bytes handled at once (a longer text is alone).
+SHRINK, STEPS, CUT, TEXTS, SIZE = 2e-5, 80, 0.5, 2000, 4 << 20
 _PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "\u00bf\u00a1\u00ab\u00bb"
 
 
@@ -62,10 +63,10 @@ class Linear:
 
     def fit(self, doc: np.ndarray, ids: np.ndarray, dense: np.ndarray, y: np.ndarray) -> Linear:
         n, k = len(y), dense.shape[1]
-        known, code = np.unique(ids, return_inverse=True)
-        some = np.bincount(code, minlength=len(known)) >= LEAST_TEXTS
-        new = np.cumsum(some) - 1
-        doc, code, known = doc[some[code]], new[code[some[code]]], known[some]
+        some = np.bincount(ids, minlength=FEATURES) >= LEAST_TEXTS
+        known, new = np.flatnonzero(some), np.cumsum(some) - 1
+        part = some[ids]
+        doc, code = doc[part].astype(np.int64), new[ids[part]]  # as bincount wants them
         m = len(known)
         w, mean, square = np.zeros(m + k + 1), np.zeros(m + k + 1), np.zeros(m + k + 1)
         if n:
@@ -97,7 +98,7 @@ class Chain:
                 own = np.zeros(len(labels))
                 for k in range(FOLDS):  # out of fold: from a model that has not seen the row
                     seen = fold != k
-                    place = np.cumsum(seen) - 1
+                    place = (np.cumsum(seen) - 1).astype(np.int32)
                     part = seen[doc]
                     other = Linear(i).fit(place[doc[part]], ids[part], odds[seen], labels[seen, i])
                     own[~seen] = other.odds(doc, ids, odds)[~seen]
@@ -125,17 +126,20 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, ids = features(batch.column("text"))
-            ends = np.r_[0, np.cumsum(np.bincount(doc, minlength=len(batch)))].astype(np.int32)
-            yield pa.RecordBatch.from_pydict({"fold": batch.column("fold"), "labels": batch.column("labels"), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))})
+            for some, part in text_slices(batch, TEXTS, SIZE):
+                doc, ids = features(part)
+                ends = np.r_[0, np.cumsum(np.bincount(doc, minlength=len(some)))].astype(np.int32)
+                yield pa.RecordBatch.from_pydict({"fold": some.column("fold"), "labels": some.column("labels"), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))})
 
     rows = texts.mapInArrow(words, "fold int, labels array<double>, ids array<int>").toArrow()
-    n = rows.num_rows
-    lists = rows.column("ids").combine_chunks() if n else pa.array([], pa.list_(pa.int32()))
-    ids = lists.flatten().to_numpy().astype(np.int64)
-    doc = np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy(zero_copy_only=False)) if n else np.zeros(0, np.int64)
+    n, lists = rows.num_rows, rows.column("ids").chunks  # numbers of 32 bits, joined from the chunks without a further copy
+    ids = np.concatenate([np.zeros(0, np.int32), *[c.flatten().to_numpy() for c in lists]])
+    held = np.concatenate([np.zeros(0, np.int32), *[pc.list_value_length(c).to_numpy(zero_copy_only=False) for c in lists]])
+    doc = np.repeat(np.arange(n, dtype=np.int32), held)
     values = np.array(rows.column("labels").to_pylist(), float).reshape(n, len(names))
-    return Chain(names).fit(doc, ids, values, rows.column("fold").to_numpy())
+    fold = rows.column("fold").to_numpy()
+    del rows, lists
+    return Chain(names).fit(doc, ids, values, fold)
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
@@ -146,9 +150,8 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, len(batch), TEXTS):
-                some = batch.slice(i, TEXTS)
-                p = model.value.probabilities(*features(some.column("text")), len(some))
+            for some, texts in text_slices(batch, TEXTS, SIZE):
+                p = model.value.probabilities(*features(texts), len(some))
                 yield pa.RecordBatch.from_pydict({"doc_id": some.column("doc_id")} | {f"p_{n}": p[:, j] for j, n in enumerate(names)})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -170,9 +173,9 @@ def without_toxic(docs: DataFrame, chain: Chain, cut: float = CUT) -> DataFrame:
     """The rows of ``docs`` whose last category's probability is below ``cut``, all columns kept."""
     model = docs.sparkSession.sparkContext.broadcast(chain)
 
-    def clean(text: pd.Series) -> pd.Series:
-        texts = pa.array(text, pa.large_string(), from_pandas=True)
-        found = [model.value.probabilities(*features(texts.slice(i, TEXTS)), len(texts.slice(i, TEXTS)))[:, -1] for i in range(0, len(texts), TEXTS)]
-        return pd.Series(np.concatenate(found) < cut if found else np.zeros(0, bool))
+    def clean(text: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([text], ["text"])
+        found = [model.value.probabilities(*features(texts), len(some))[:, -1] < cut for some, texts in text_slices(batch, TEXTS, SIZE)]
+        return pa.array(np.concatenate([np.zeros(0, bool), *found]))
 
-    return docs.filter(F.pandas_udf(clean, "boolean")("text"))
+    return docs.filter(F.arrow_udf(clean, "boolean")("text"))

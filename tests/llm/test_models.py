@@ -62,6 +62,27 @@ def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
     assert doc.tolist() == [0]
 
 
+def test_toxicity_takes_long_texts_some_bytes_at_a_time(spark, monkeypatch):
+    """Forty texts of 1 MB in one batch: no call sees them all, and every verdict is that of the text alone."""
+    whole = toxicity.features
+
+    def guarded(texts):
+        assert len(texts) == 1 or texts.nbytes < 8 << 20
+        return whole(texts)
+
+    docs, labels = _labelled(spark, 300, 5)
+    chain = toxicity.fit_chain(docs, labels, toxicity.label_categories())
+    want = {r.doc_id: r.p_toxic for r in toxicity.score(docs, chain).collect()}
+    long = docs.filter("doc_id < 40").withColumn("text", F.concat("text", F.repeat(F.lit(" "), 1 << 20))).coalesce(1)
+    monkeypatch.setattr(toxicity, "features", guarded)
+    assert {r.doc_id: r.p_toxic for r in toxicity.score(long, chain).collect()} == pytest.approx({i: want[i] for i in range(40)})
+    assert {r.doc_id for r in toxicity.without_toxic(long, chain).collect()} == {i for i in range(40) if want[i] < toxicity.CUT}
+    given = []
+    monkeypatch.setattr(toxicity.Chain, "fit", lambda self, *args: given.extend(args[:2]))
+    toxicity.fit_chain(long, labels, toxicity.label_categories())
+    assert len(given[0]) and {x.dtype.itemsize for x in given} == {4}  # the driver holds numbers of 32 bits
+
+
 def _plain_fit(x, dense, y):
     """A logistic regression of the chain on a dense 0/1 matrix: (word weights, dense weights, bias)."""
     n, kept = len(y), x.sum(0) >= toxicity.LEAST_TEXTS
