@@ -79,6 +79,11 @@ def starts_of(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]])
 
 
+def give_back() -> None:
+    """Returns what Arrow keeps for later batches to the system: workers stay for the tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+
+
 def utf8(texts: Iterable[str | None]) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
 

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from renewal.llm.common import materialise, mix64, starts_of
+from renewal.llm.common import give_back, materialise, mix64, starts_of
 
 SHINGLE, MIN_SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -192,6 +192,7 @@ def sign_documents(docs: DataFrame) -> DataFrame:
                 bands = band_keys(signatures(doc, key, weight, len(some))).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1)))
                 yield pa.RecordBatch.from_pydict({"doc_id": some.column("doc_id"), "key": some.column("key"), "node": pa.array(_nodes(doc, key, weight, len(some)), pa.binary()), "bands": lists})
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key")).mapInArrow(sign, SIGNED)
 
@@ -214,6 +215,7 @@ def _contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 node = some.column("node").to_pylist()
                 same = [j for j, (a, b) in enumerate(zip(node, names, strict=True)) if a == b]  # ids may repeat
                 yield pa.RecordBatch.from_pydict({"node": pa.array([node[j] for j in same], pa.binary()), "h": pa.array([h[ends[j - 1] if j else 0 : ends[j]].view(np.int64) for j in same], pa.list_(pa.int64()))})
+        give_back()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
     return texts.mapInArrow(shingles, "node binary, h array<long>").dropDuplicates(["node"])

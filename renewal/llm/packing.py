@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from renewal.llm.common import materialise, parts
+from renewal.llm.common import give_back, materialise, parts
 from renewal.llm.tokens import encoder
 
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
@@ -69,6 +69,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, max_tokens: int) ->
             raw, lo = memoryview(ids.tobytes()), 4 * (base[doc] + start)
             crc = [zlib.crc32(raw[a:b]) for a, b in zip(lo.tolist(), (lo + 4 * length).tolist(), strict=True)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(doc)), "row": batch.column("row").take(pa.array(doc)), "piece": pa.array(piece, pa.int32()), "start": start, "length": length, "ids_crc32": pa.array(crc, pa.int64())})
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
     return rows.mapInArrow(cut, PIECES)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from renewal.llm.common import mix64, parts, starts_of, stash, texts_of, utf8
+from renewal.llm.common import give_back, mix64, parts, starts_of, stash, texts_of
 from renewal.llm.passages import GRAM, SIDE, SPAN, anchors, gram_hashes
 
 SHALLOW = 24
@@ -46,11 +46,19 @@ PARTS = [(0, SIDE - 7), (8, SIDE - 14), (15, SIDE - 22), (23, 0)]
 BLOCK = "bucket int, payload binary"
 #: Pairs of surroundings compared at once.
 PAIRS = 1 << 16
+#: Surroundings whose parts and strings are listed at once.
+ROWS = 1 << 12
 #: What the anchors settle or ask: a span to remove, or (``ask``) the place of an anchor.
 NEWS = "doc_id long, crc long, lo int, hi int, ask boolean"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+def _bytes(texts: pa.Array) -> list[bytes]:
+    """UTF-8 of the texts, null as empty, without a string of each in between."""
+    raw = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
+    return pc.fill_null(raw, b"").to_pylist()
+
+
 def pack(columns: list[np.ndarray]) -> bytes:
     """Arrays by byte planes, compressed."""
     out = [struct.pack("<I", len(columns))]
@@ -102,7 +110,7 @@ def anchor_blocks(docs: DataFrame, buckets: int) -> DataFrame:
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, TEXTS) for b in batches for i in range(0, len(b), TEXTS)):
-            texts = utf8(batch.column("text").to_pylist())
+            texts = _bytes(batch.column("text"))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             crc = np.array([zlib.crc32(t) for t in texts], "<u4")
             joined = np.frombuffer(b"".join(texts) + bytes(2 * SIDE + GRAM), np.uint8)
@@ -139,6 +147,7 @@ def anchor_blocks(docs: DataFrame, buckets: int) -> DataFrame:
                 m = z - a - int(late[a:z].sum())
                 body = pack([ids[names], crc[names], *_low6(h[a : a + m]), local[:m].astype("<u4"), place[a : a + m].astype("<u4"), local[m:].astype("<u4"), place[a + m : z].astype("<u4")])
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket[a]], pa.int32()), "payload": pa.array([body], pa.binary())})
+        give_back()
 
     rows = texts_of(docs).filter("doc_id is not null and length(text) > 0")
     return rows.mapInArrow(blocks, BLOCK)
@@ -146,6 +155,7 @@ def anchor_blocks(docs: DataFrame, buckets: int) -> DataFrame:
 
 def settle(frame: pd.DataFrame) -> pd.DataFrame:
     """One bucket: the spans that their tasks settled, and the anchors of grams that several documents have."""
+    give_back()
     got = [unpack(p) for p in frame["payload"]]
     doc, crc = np.concatenate([g[0][g[4]] for g in got]), np.concatenate([g[1][g[4]] for g in got])
     h = np.concatenate([g[2].astype(np.uint64) | g[3].astype(np.uint64) << np.uint64(32) for g in got])
@@ -254,7 +264,7 @@ def context_blocks(asked: DataFrame, buckets: int) -> DataFrame:
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raws = utf8(batch.column("text").to_pylist())
+            raws = _bytes(batch.column("text"))
             own = np.array([zlib.crc32(r) for r in raws], np.int64)
             (crc, row), (at, _) = (_flat(batch, c) for c in ("crc", "lo"))
             mine = crc == own[row]
@@ -277,12 +287,14 @@ def context_blocks(asked: DataFrame, buckets: int) -> DataFrame:
             for b in np.unique(bucket).tolist():
                 m = bucket == b
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "payload": pa.array([pack([doc[m], crc[m].astype("<u4"), h[m], lo[m].astype("<u4"), left[m].astype("u1"), body[m].reshape(-1)])], pa.binary())})
+        give_back()
 
     return asked.mapInArrow(blocks, BLOCK)
 
 
 def order_suffixes(frame: pd.DataFrame) -> pd.DataFrame:
     """One bucket: spans whose 50 bytes also stand in the surroundings of an earlier document."""
+    give_back()
     doc, crc, h, lo, left, body = (np.concatenate(x) for x in zip(*(unpack(p) for p in frame["payload"]), strict=True))
     width = 2 * SIDE + GRAM
     body = body.reshape(len(doc), width + 1)
@@ -309,18 +321,24 @@ def order_suffixes(frame: pd.DataFrame) -> pd.DataFrame:
         some = np.flatnonzero((left >= l) & (size - left - GRAM >= r))
         if not len(some):
             continue
-        text = np.take_along_axis(body[some], (left[some] - l)[:, None] + np.arange(l + GRAM + r), 1)
-        key = mix64(_row_hash(text) + h[some].astype(np.uint64), 5)
+        keys = []
+        for i in range(0, len(some), ROWS):
+            few = some[i : i + ROWS]
+            text = np.take_along_axis(body[few], (left[few] - l)[:, None] + np.arange(l + GRAM + r), 1)
+            keys.append(mix64(_row_hash(text) + h[few].astype(np.uint64), 5))
+        key = np.concatenate(keys)
         by = np.argsort(key, kind="stable")
         g = np.cumsum(np.r_[True, key[by][1:] != key[by][:-1]])
         repeated[some[by], k] = _first_of(g, doc[some][by]) < -_first_of(g, -doc[some][by])
     lo = lo.astype(np.int64)
-    n = np.maximum(0, size - SPAN + 1)
-    row = np.repeat(np.arange(len(doc)), n)
-    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    part = np.searchsorted([l for l, _ in PARTS], left[row] - at, "right") - 1
-    on = (part >= 0) & repeated[row, np.maximum(part, 0)] if len(row) else np.zeros(0, bool)
-    row, at = row[on], at[on]
+    n, some = np.maximum(0, size - SPAN + 1), []
+    for i in range(0, len(doc), ROWS):  # a few at a time: every surrounding has up to 31 strings, of which few go on
+        row = i + np.repeat(np.arange(len(n[i : i + ROWS])), n[i : i + ROWS])
+        at = np.arange(len(row)) - np.repeat(np.cumsum(n[i : i + ROWS]) - n[i : i + ROWS], n[i : i + ROWS])
+        part = np.searchsorted([l for l, _ in PARTS], left[row] - at, "right") - 1
+        on = (part >= 0) & repeated[row, np.maximum(part, 0)]
+        some.append((row[on], at[on]))
+    row, at = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*some, strict=True) if some else ((), ())))
     windows = np.lib.stride_tricks.sliding_window_view(body, SPAN, axis=1)[row, at] if len(row) else np.zeros((0, SPAN), np.uint8)
     order, group = deep_shallow(windows)
     late = doc[row[order]] > _first_of(group, doc[row[order]]) if len(row) else np.zeros(0, bool)
@@ -378,7 +396,7 @@ def _flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
 
 def _kept(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[bytes], int]]:
     """Per row: its bytes, the pieces that stay, and the number of removed runs."""
-    raws = utf8(batch.column("text").to_pylist())
+    raws = _bytes(batch.column("text"))
     (crc, row), (lo, _), (hi, _) = (_flat(batch, c) for c in ("_crc", "_lo", "_hi"))
     size, own = np.array([len(r) for r in raws], np.int64), np.array([zlib.crc32(r) for r in raws], np.int64)
     real = crc == own[row] if len(row) else np.zeros(0, bool)
@@ -413,6 +431,7 @@ def dedup(docs: DataFrame) -> DataFrame:
                 for c, v in zip(out, (len(raw), len(raw) - len(kept), runs, hashlib.sha256(kept).hexdigest()), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_bytes": pa.array(out[0], pa.int64()), "n_removed": pa.array(out[1], pa.int64()), "n_spans": pa.array(out[2], pa.int64()), "kept_sha256": pa.array(out[3], pa.string())})
+        give_back()
 
     return _with_spans(texts_of(docs)).mapInArrow(cut, RESULT)
 
@@ -426,5 +445,6 @@ def dedup_texts(docs: DataFrame) -> DataFrame:
             old = batch.column("text").to_pylist()
             text = [b"".join(p.decode("utf-8", "ignore").encode() for p in pieces).decode() if runs else o for o, (_, pieces, runs) in zip(old, _kept(batch), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()) if n == "text" else batch.column(n) for n in names], names=names)
+        give_back()
 
     return _with_spans(docs).mapInArrow(cut, docs.schema)

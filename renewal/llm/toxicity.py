@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from renewal.llm.common import text_slices
+from renewal.llm.common import give_back, text_slices
 
 #: Bound of the training sample, folds, hashed features, texts needed to keep a feature.
 MAX_ROWS, FOLDS, FEATURES, LEAST_TEXTS = 20_000, 3, 1 << 20, 3
@@ -130,6 +130,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
                 doc, ids = features(part)
                 ends = np.r_[0, np.cumsum(np.bincount(doc, minlength=len(some)))].astype(np.int32)
                 yield pa.RecordBatch.from_pydict({"fold": some.column("fold"), "labels": some.column("labels"), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))})
+        give_back()
 
     rows = texts.mapInArrow(words, "fold int, labels array<double>, ids array<int>").toArrow()
     n, lists = rows.num_rows, rows.column("ids").chunks  # numbers of 32 bits, joined from the chunks without a further copy
@@ -153,6 +154,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
             for some, texts in text_slices(batch, TEXTS, SIZE):
                 p = model.value.probabilities(*features(texts), len(some))
                 yield pa.RecordBatch.from_pydict({"doc_id": some.column("doc_id")} | {f"p_{n}": p[:, j] for j, n in enumerate(names)})
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(predict, "doc_id long, " + ", ".join(f"p_{n} double" for n in names))
@@ -176,6 +178,7 @@ def without_toxic(docs: DataFrame, chain: Chain, cut: float = CUT) -> DataFrame:
     def clean(text: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([text], ["text"])
         found = [model.value.probabilities(*features(texts), len(some))[:, -1] < cut for some, texts in text_slices(batch, TEXTS, SIZE)]
+        give_back()
         return pa.array(np.concatenate([np.zeros(0, bool), *found]))
 
     return docs.filter(F.arrow_udf(clean, "boolean")("text"))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import tracemalloc
 import zlib
 from collections import Counter
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -229,6 +231,23 @@ def _same_crc(rng, n):
     return out[:n]
 
 
+def test_order_suffixes_lists_few_strings_at_once():
+    """40,000 surroundings, one in 100 with a string of the one before: found, in few bytes for each."""
+    n, width, rng = 40_000, 2 * suffix_dedup.SIDE + suffix_dedup.GRAM, np.random.default_rng(0)
+    body = np.full((n, width + 1), width, np.uint8)
+    body[:, :-1] = rng.integers(97, 123, (n, width))
+    h = rng.integers(0, 1 << 47, n)
+    body[1::100, :50], h[1::100] = body[::100, :50], h[::100]
+    left = np.full(n, suffix_dedup.SIDE, "u1")
+    payload = suffix_dedup.pack([np.arange(n), np.arange(n, dtype="<u4"), h, np.zeros(n, "<u4"), left, body.reshape(-1)])
+    tracemalloc.start()
+    found = suffix_dedup.order_suffixes(pd.DataFrame({"bucket": [0], "payload": [payload]}))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(found.doc_id) == set(range(1, n, 100)) and (found.lo == 0).all() and (found.hi >= 50).all()
+    assert most < 500 * n
+
+
 def test_suffix_dedup_compares_surroundings_cut_off_by_the_start_or_end(spark):
     rng = np.random.default_rng(3)
     rows = []
